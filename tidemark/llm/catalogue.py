@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_pack": packing.op3_pack,
+    "op4_token_files": token_files.op4_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
