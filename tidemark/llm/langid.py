@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import fold, read
 
@@ -239,12 +240,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = SW
     of letters in spans of lang_pred. Ties go to the language first in the alphabet. Null texts and texts
     without a letter, and all texts if no language was learned: `und`, score 0, no spans."""
     rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    spans = "array<struct<lang: string, first_word: bigint, words: bigint>>"
-    return rows.mapInArrow(
-        partial(_labelled, model=model, penalty=penalty),
-        f"{schema}, lang_pred string, score double, spans {spans}",
-    )
+    span = T.StructType().add("lang", "string").add("first_word", "long").add("words", "long")
+    schema = T.StructType([rows.schema[c] for c in keep])
+    schema = schema.add("lang_pred", "string").add("score", "double").add("spans", T.ArrayType(span))
+    return rows.mapInArrow(partial(_labelled, model=model, penalty=penalty), schema)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,9 +256,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_filter(docs: DataFrame, least: float = MIN_SHARE) -> DataFrame:
     """Rows of `docs`, as they were, with a known language that at least `least` of the letters are in."""
     model = learn(docs.where(fold("doc_id", 5) != 0).select("doc_id", "text", "lang"))
-    found = identify(docs.withColumnsRenamed({"score": "_score", "spans": "_spans", "lang_pred": "_pred"}), model,
-                     [{"score": "_score", "spans": "_spans", "lang_pred": "_pred"}.get(c, c) for c in docs.columns])
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.drop("lang_pred", "score", "spans").withColumnsRenamed(
-        {"_score": "score", "_spans": "spans", "_pred": "lang_pred"}
-    )
+    rows = docs.select(F.struct("*").alias("row"), "text")  # so that no column name of docs can clash
+    kept = identify(rows, model, ["row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select("row.*")

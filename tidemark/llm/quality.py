@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import fold, read
 
@@ -108,8 +109,8 @@ def _scored(batches, weights: bytes):
 def score(docs: DataFrame, weights: bytes, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns `keep` and `score`, the probability of label 1, of every whole text. Null and empty: the bias's."""
     rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(partial(_scored, weights=weights), f"{schema}, score double")
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(partial(_scored, weights=weights), schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -136,7 +137,5 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     The texts are scored where they are read, so no row is joined or shuffled: null and empty texts pass
     if the bias alone does."""
     weights = train(training_rows(docs, labels))
-    scored = docs.withColumn("_text", F.col("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    kept = scored.mapInArrow(partial(_scored, weights=weights), f"{schema}, score double")
-    return kept.where(F.col("score") >= threshold).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # so that no column name of docs can clash
+    return score(rows, weights, ["row"]).where(F.col("score") >= threshold).select("row.*")

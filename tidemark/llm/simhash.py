@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash_kernel import fingerprint_batches
+from .simhash_kernel import fingerprint_batches, jaccard_batches, set_batches, signature_batches
 from .staging import stage, tasks
 from .tables import read
 
@@ -179,6 +179,60 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
     return per_doc.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): documents joined by links of word-shingle Jaccard similarity at or above `similarity`.
+
+    At similarity 0.8 of five-word shingles two 64-bit SimHashes differ in 9 bits as a median (4 to 15), so
+    three bits alone would find one pair in thirty. Candidates therefore come from the deletion variants of
+    the fingerprints and from bands of minima over the same shingle hashes; every candidate is verified on
+    the whole shingle sets. Texts with equal words are one row. Members of a band are held against two
+    members of it (the first and last in an order of the band's own), not against each other, so a group of
+    any size costs its own size; twenty bands have different first members.
+
+    Texts without words are copies of each other. Null doc_ids are left out, an empty table gives no rows,
+    and repeated rows come once."""
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sign = partial(signature_batches, width=width)
+    signed = stage(docs.mapInArrow(sign, "doc_id long, digest binary, fp long, bands array<long>"), "signatures")
+    reps = stage(signed.groupBy("digest").agg(
+        F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+
+    members = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    order = F.struct(F.xxhash64("id", "band"), "id")
+    ends = members.groupBy("band", "key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    ends = ends.where("lo.id != hi.id").select("band", "key", F.array("lo.id", "hi.id").alias("heads"))
+    met = members.join(ends, ["band", "key"]).select(F.col("id").alias("a"), F.explode("heads").alias("b"))
+
+    one = reps.groupBy("fp").agg(F.min("id").alias("id"))
+    same_fp = reps.join(one.withColumnRenamed("id", "b"), "fp").select(F.col("id").alias("a"), "b")
+    close = links(one.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    close = close.join(one.withColumnsRenamed({"fp": "x", "id": "a"}), "x")
+    close = close.join(one.withColumnsRenamed({"fp": "y", "id": "b"}), "y").select("a", "b")
+
+    pairs = met.unionAll(same_fp).unionAll(close).where("a != b")
+    pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(partial(set_batches, width=width), "id long, shingles binary")
+    sets = stage(sets.dropDuplicates(["id"]), "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "of_a"}), "a")
+    both = both.join(sets.withColumnsRenamed({"id": "b", "shingles": "of_b"}), "b").select("a", "b", "of_a", "of_b")
+    alike = both.mapInArrow(jaccard_batches, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+
+    groups = connected_components(alike, "a", "b")
+    of_text = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
+        "digest", F.coalesce("component", "id").alias("component_id")
+    )
+    return signed.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "component_id").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of `docs`, as they were: of each group the one with the smallest doc_id, and rows without a doc_id."""
+    groups = near_duplicate_components(docs, width, similarity)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -50,3 +52,62 @@ def fingerprint_batches(batches, width: int):
         fps = np.array([fingerprint(t.as_py(), width) for t in texts], dtype=np.uint64).view(np.int64)
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(fps)], names=[*batch.schema.names[:-1], "fp"])
+
+
+#: Minima a band, and bands: two texts of similarity s share a band with probability 1 - (1 - s^5)^20, 0.9996 at 0.8.
+ROWS, BANDS = 5, 20
+_RANDOM = np.random.RandomState(20)
+_MIX = _RANDOM.randint(1, 2**63 - 1, size=ROWS * BANDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RANDOM.randint(0, 2**63 - 1, size=ROWS * BANDS, dtype=np.int64).astype(np.uint64)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles."""
+    blocks = [np.unique(np.frombuffer(b, ">u8").astype(np.uint64)) for b in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One key a band from minima of ROWS hash functions each; none without shingles."""
+    if not len(shingles):
+        return []
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 2048):
+        least = np.minimum(least, ((shingles[i : i + 2048, None] ^ _XOR) * _MIX).min(axis=0))
+    raw = least.tobytes()
+    keys = [xxhash.xxh64_intdigest(raw[i : i + 8 * ROWS], i) for i in range(0, len(raw), 8 * ROWS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def signature_batches(batches, width: int):
+    """(doc_id, text) to (doc_id, digest, fp, bands). digest: of the lower-cased words, equal for texts that share all."""
+    for batch in batches:
+        rows = []
+        for text in batch.column(1):
+            text = text.as_py()
+            digest = hashlib.blake2b(word_spans(text)[0], digest_size=16).digest()
+            fp = fingerprint(text, width)
+            rows.append((digest, fp - (fp >> 63 << 64), band_keys(shingle_set(text, width))))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.list_(pa.int64())))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "fp", "bands"])
+
+
+def set_batches(batches, width: int):
+    """(id, text) to (id, shingles): the sorted distinct hashes, shortened to 32 bits, as bytes."""
+    for batch in batches:
+        sets = [np.unique(shingle_set(t.as_py(), width).astype(np.uint32)).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+
+def jaccard_batches(batches):
+    """(a, b, their shingles) to (a, b, similarity)."""
+    for batch in batches:
+        found = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            found.append(both / max(1, len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"]
+        )
