@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, simhash, token_files
+from . import fingerprint, langid, packing, quality, simhash, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_pack": packing.op3_pack,
     "op4_token_files": token_files.op4_token_files,
+    "op6_fingerprint": fingerprint.op6_fingerprint,
     "op8_quality": quality.op8_quality,
     "op10_langid": langid.op10_langid,
 }
