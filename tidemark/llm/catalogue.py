@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, packing, quality, simhash, token_files
+from . import fingerprint, langid, packing, quality, simhash, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,7 +10,8 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op8_quality": quality.op8_quality,
+    "op9_urls": urls.op9_urls,
     "op10_langid": langid.op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_urls": urls.OP9_SQL}
