@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, packing, quality, simhash, token_files, urls
+from . import embeddings, fingerprint, langid, packing, quality, simhash, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_pack": packing.op3_pack,
     "op4_token_files": token_files.op4_token_files,
+    "op5_embeddings": embeddings.op5_embeddings,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op8_quality": quality.op8_quality,
     "op9_urls": urls.op9_urls,
