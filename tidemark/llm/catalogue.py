@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprint, langid, packing, quality, simhash, token_files, urls
+from . import brown, embeddings, fingerprint, langid, packing, quality, simhash, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op5_embeddings": embeddings.op5_embeddings,
     "op6_fingerprint": fingerprint.op6_fingerprint,
+    "op7_brown": brown.op7_brown,
     "op8_quality": quality.op8_quality,
     "op9_urls": urls.op9_urls,
     "op10_langid": langid.op10_langid,
