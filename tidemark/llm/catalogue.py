@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import brown, embeddings, fingerprint, langid, packing, quality, simhash, token_files, urls
+from . import brown, embeddings, fingerprint, langid, packing, pieces, quality, simhash, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_pack": packing.op3_pack,
     "op4_token_files": token_files.op4_token_files,
     "op5_embeddings": embeddings.op5_embeddings,
