@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache, partial
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,35 @@ class _Whole(Exception):
     """The text has white space that a cut at single spaces would tear apart."""
 
 
+#: Marks that the pre-tokenizer parts from the letters before them.
+_MARKS = ".,!?;:%$#&*|)"
+
+
+def _byte_letters() -> list[int]:
+    """The printable characters that byte-level vocabularies write the 256 bytes as, by their public rule."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [b if b in plain else next(others) for b in range(256)]
+
+
 class _Chunks(dict):
     """Ids of `lead + chunk` as little-endian unsigned 32-bit integers, encoded when first met."""
 
-    def __init__(self, encode, lead: str):
+    def __init__(self, encoder: Encoder, lead: str, bare: _Chunks | None = None):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encoder, self.lead, self.bare = encoder, lead, self if bare is None else bare
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[-1].isspace() or (self.lead and chunk[0].isspace()):
             raise _Whole
-        ids = self.encode(self.lead + chunk)
+        if chunk.isalpha():
+            ids = self.encoder.word(self.lead + chunk)
+        elif (core := chunk.rstrip(_MARKS)) != chunk and core.isalpha():
+            ids = self[core] + self.bare[chunk[len(core) :]]
+        elif "\n" in chunk and all(parts := chunk.split("\n")) and not any(p[0].isspace() for p in parts[1:]):
+            ids = self[parts[0]] + b"".join([self.encoder.line + self.bare[p] for p in parts[1:]])
+        else:
+            ids = self.encoder.whole(self.lead + chunk)
         if len(self) < CACHE:
             self[chunk] = ids
         return ids
@@ -47,8 +66,10 @@ class Encoder:
     """`ids(text)`: what the tokenizers library gives for the text without special tokens added.
 
     A byte-level pre-tokenizer never joins two words across a space: a single space goes to the word
-    behind it. So a text cut before each single space has the ids of its chunks, and a chunk is encoded
-    once per worker. Texts with other runs of white space around spaces are encoded as a whole."""
+    behind it. So a text cut before each single space has the ids of its chunks, a chunk that of its
+    letters, marks and lines, and each is encoded once per worker, letters by the library's merge model
+    alone. Texts with other runs of white space around spaces are encoded as a whole, as are all texts
+    where the file asks for another pre-tokenizer, a normaliser or added tokens without a bracket."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,18 +78,30 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        pre = spec.get("pre_tokenizer") or {}
+        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.by_chunk = (
             not spec.get("normalizer")
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
+            and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+            and all(t["content"][:1] == "<" for t in spec["added_tokens"])
         )
-        self.first, self.rest = _Chunks(self._encode, ""), _Chunks(self._encode, " ")
+        self.model, self.letters = self.library.model, _byte_letters()
+        if self.by_chunk:
+            self.line = self.whole("\n")
+            self.first = _Chunks(self, "")
+            self.rest = _Chunks(self, " ", self.first)
 
-    def _encode(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        """Ids of letters with at most a space before them, which the pre-tokenizer keeps together."""
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return pack(f"<{len(found)}I", *[t.id for t in found])
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -78,7 +111,7 @@ class Encoder:
                 return self.first[head] + b"".join(map(self.rest.__getitem__, chunks))
             except _Whole:
                 pass
-        return self._encode(text)
+        return self.whole(text)
 
 
 @lru_cache(maxsize=2)
