@@ -28,8 +28,8 @@ SWITCH = 8.0
 CLIP = 6.0
 #: A script belongs to a language if it writes at least this share of the language's learned letters.
 SCRIPT_SHARE = 0.01
-#: Words that a worker keeps scores of, and padded words that are labelled at a time.
-CACHE, PADDED = 400_000, 1 << 20
+#: Words that a worker keeps scores of, padded words that are labelled at a time, and documents of an output batch.
+CACHE, PADDED, ROWS = 200_000, 1 << 19, 500
 MIN_SHARE = 0.5
 
 #: First code points of blocks of letters and their script, from the Unicode block list.
@@ -219,8 +219,8 @@ def _labelled(batches, model: Model, penalty: float):
 
     for batch in batches:
         last = batch.num_columns - 1
-        for at in range(0, batch.num_rows, 2000):
-            rows = batch.slice(at, 2000)
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
             if len(words) > CACHE:
                 words.clear()
             texts = [list(map(words.__getitem__, (t.as_py() or "").split())) for t in rows.column(last)]

@@ -23,6 +23,8 @@ from .tables import read
 SEGMENT_BITS = 32
 #: Fingerprints of one variant that are compared at a time; a larger group goes through in such blocks.
 BLOCK = 1024
+#: Members of a band up to which each two are compared.
+FEW = 8
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,9 +187,9 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
     At similarity 0.8 of five-word shingles two 64-bit SimHashes differ in 9 bits as a median (4 to 15), so
     three bits alone would find one pair in thirty. Candidates therefore come from the deletion variants of
     the fingerprints and from bands of minima over the same shingle hashes; every candidate is verified on
-    the whole shingle sets. Texts with equal words are one row. Members of a band are held against two
-    members of it (the first and last in an order of the band's own), not against each other, so a group of
-    any size costs its own size; twenty bands have different first members.
+    the whole shingle sets. Texts with equal words are one row. Up to FEW members of a band meet each other;
+    those of a larger one meet two of its members and not each other, so a group of any size costs its own
+    size, and the twenty bands give each text many chances to meet the middle of its group.
 
     Texts without words are copies of each other. Null doc_ids are left out, an empty table gives no rows,
     and repeated rows come once."""
@@ -198,10 +200,19 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
         F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
 
     members = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    order = F.struct(F.xxhash64("id", "band"), "id")
-    ends = members.groupBy("band", "key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    ends = ends.where("lo.id != hi.id").select("band", "key", F.array("lo.id", "hi.id").alias("heads"))
-    met = members.join(ends, ["band", "key"]).select(F.col("id").alias("a"), F.explode("heads").alias("b"))
+    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stage(members.join(sizes, ["band", "key"]), "bands")
+    few = shared.where(F.col("n") <= FEW).select("band", "key", "id")
+    met = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), ["band", "key"]).where("a > b").select("a", "b")
+    # in a crowded band: all against the member that shares most bands with others, as an original does with
+    # its copies, and against one of the band's own choice
+    crowd = shared.where(F.col("n") > FEW)
+    central = crowd.join(crowd.groupBy("id").agg(F.sum("n").alias("p")), "id")
+    heads = central.groupBy("band", "key").agg(
+        F.max(F.struct("p", "id")).alias("x"), F.max(F.struct(F.xxhash64("id", "band"), "id")).alias("y")
+    )
+    heads = heads.select("band", "key", F.array_distinct(F.array("x.id", "y.id")).alias("heads"))
+    met = met.unionAll(crowd.join(heads, ["band", "key"]).select(F.col("id").alias("a"), F.explode("heads").alias("b")))
 
     one = reps.groupBy("fp").agg(F.min("id").alias("id"))
     same_fp = reps.join(one.withColumnRenamed("id", "b"), "fp").select(F.col("id").alias("a"), "b")
