@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash_kernel import fingerprint_batches, jaccard_batches, set_batches, signature_batches
-from .staging import stage, tasks
+from .staging import release, stage, tasks
 from .tables import read
 
 SEGMENT_BITS = 32
 #: Fingerprints of one variant that are compared at a time; a larger group goes through in such blocks.
 BLOCK = 1024
-#: Members of a band up to which each two are compared.
-FEW = 8
+#: Members of a band up to which each two are compared; members of a larger one that a text without a link is held against.
+FEW, MORE = 8, 16
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,16 +220,28 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
     close = close.join(one.withColumnsRenamed({"fp": "x", "id": "a"}), "x")
     close = close.join(one.withColumnsRenamed({"fp": "y", "id": "b"}), "y").select("a", "b")
 
-    pairs = met.unionAll(same_fp).unionAll(close).where("a != b")
-    pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(partial(set_batches, width=width), "id long, shingles binary")
-    sets = stage(sets.dropDuplicates(["id"]), "shingles")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "of_a"}), "a")
-    both = both.join(sets.withColumnsRenamed({"id": "b", "shingles": "of_b"}), "b").select("a", "b", "of_a", "of_b")
-    alike = both.mapInArrow(jaccard_batches, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
-
-    groups = connected_components(alike, "a", "b")
+    def alike(met: DataFrame, label: str) -> DataFrame:
+        """Candidates that are similar enough, by their whole shingle sets."""
+        pairs = met.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        pairs = stage(pairs.distinct(), f"candidates-{label}")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = docs.join(needed, "doc_id", "left_semi").mapInArrow(partial(set_batches, width=width), "id long, shingles binary")
+        sets = stage(texts.dropDuplicates(["id"]), f"shingles-{label}")
+        both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "of_a"}), "a")
+        both = both.join(sets.withColumnsRenamed({"id": "b", "shingles": "of_b"}), "b").select("a", "b", "of_a", "of_b")
+        found = both.mapInArrow(jaccard_batches, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+        found = stage(found.select("a", "b"), f"alike-{label}")
+        release(pairs, sets)
+        return found
+
+    first = alike(met.unionAll(same_fp).unionAll(close), "first")
+    # texts of crowded bands that have met nobody alike meet more of their bands' members
+    linked = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    alone = crowd.join(linked, "id", "left_anti").select("band", "key", F.col("id").alias("a"))
+    more = crowd.groupBy("band", "key", F.pmod(F.xxhash64("id"), F.lit(MORE))).agg(F.min("id").alias("b"))
+    second = alike(alone.join(more, ["band", "key"]).select("a", "b"), "second")
+
+    groups = connected_components(first.unionAll(second), "a", "b")
     of_text = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("component_id")
     )
