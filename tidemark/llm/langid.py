@@ -79,6 +79,8 @@ def _counts(batches):
             words.setdefault(lang, Counter()).update((text.as_py() or "").split())
     rows = []
     for lang, seen in words.items():
+        if not seen:
+            continue
         own, n = list(map(letters, seen)), np.array(list(seen.values()))
         buckets, whole, starts = trigrams(own)
         times = np.repeat(n, np.diff(np.append(starts, len(buckets))))

@@ -15,8 +15,8 @@ from .tables import read
 
 #: A host is blocked if its posterior mean plus Z standard deviations is below THRESHOLD.
 THRESHOLD, Z = 0.5, 1.645
-#: Limits of the estimated correlation of pages within a group; 1 / correlation - 1 is the prior's weight in pages.
-LEAST, MOST = 0.001, 0.999
+#: Limits of the estimated correlation of pages within a group; 1 / correlation - 1 is the prior's weight in pages, 2 at least.
+LEAST, MOST = 0.001, 1 / 3
 
 #: Rules of the query: verdict, and host and path prefix as one text.
 RULES = [
