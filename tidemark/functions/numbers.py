@@ -18,4 +18,4 @@ def pct_change(new: Column, old: Column, digits: int = 2) -> Column:
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))

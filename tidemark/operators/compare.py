@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rnd
 
 
+def capped(x: Column) -> Column:
+    """At most 100, one digit, null for null (`least` alone would pass over it)."""
+    return F.when(x.isNotNull(), rnd(F.least(F.lit(100.0), x), 1))
+
+
 def liquidity(bars: DataFrame, days: int = 14) -> DataFrame:
     """(symbol, avg_volume, latest_volume, volume_trend_pct) of the last `days` bars."""
     late = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("idx")))
@@ -26,7 +31,7 @@ def realised_volatility(bars: DataFrame, days: int = 14) -> DataFrame:
     x = bars.withColumn("_late", late).where(F.col("_late") <= days)
     x = x.withColumn("_r", F.try_divide("close", F.lag("close").over(own)) - 1).groupBy("symbol")
     dev = F.when((F.count("close") >= 3) & (F.count("_r") >= 2), F.stddev_pop("_r"))
-    return x.agg(rnd(F.least(F.lit(100.0), dev / 0.05 * 100), 1).alias("realised_volatility"))
+    return x.agg(capped(dev / 0.05 * 100).alias("realised_volatility"))
 
 
 COMPONENTS = ["funding_stress", "positioning_crowding", "rsi_extremity", "timeframe_conflict", "realised_volatility"]
@@ -34,12 +39,11 @@ COMPONENTS = ["funding_stress", "positioning_crowding", "rsi_extremity", "timefr
 
 def risk_composite(metrics: DataFrame, volatility: DataFrame) -> DataFrame:
     """(symbol, five components, components_available, composite_score): mean of those there are."""
-    cap = lambda x: rnd(F.least(F.lit(100.0), x), 1)
     x = metrics.join(volatility, "symbol", "left").withColumns(
         {
-            "funding_stress": cap(F.abs("funding_pct") / 0.05 * 100),
-            "positioning_crowding": cap(F.abs(F.col("long_pct") - 50) * 2),
-            "rsi_extremity": cap(F.abs(F.col("rsi") - 50) / 50 * 100),
+            "funding_stress": capped(F.abs("funding_pct") / 0.05 * 100),
+            "positioning_crowding": capped(F.abs(F.col("long_pct") - 50) * 2),
+            "rsi_extremity": capped(F.abs(F.col("rsi") - 50) / 50 * 100),
             "timeframe_conflict": F.when(F.col("aligned"), 0.0).otherwise(F.when(F.col("aligned").isNotNull(), 100.0)),
         }
     )

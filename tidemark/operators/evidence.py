@@ -130,3 +130,36 @@ def snapshot_delta(ledger: DataFrame) -> DataFrame:
     before = ledger.join(at, "coin").where("fetched_at = previous_at").select("coin", "label", F.col("balance").alias("previous"))
     joined = now.join(at, "coin", "left").join(before, ["coin", "label"], "left")
     return joined.withColumn("delta", rnd(F.col("balance") - F.col("previous"), 4))
+
+
+def crawl_status(allowed: list[str], url: str, robots: str, body: str, late: str) -> Column:
+    """Why an article has its full text or not: deadline, allow-list, robots, fetch failure, emptiness, in this order."""
+    host = F.regexp_replace(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")), r"^www\.", "")
+    return (
+        F.when(F.col(late), "skipped:deadline")
+        .when(~host.isin(*allowed), "skipped:not_whitelisted")
+        .when(~F.coalesce(F.col(robots), F.lit(False)), "skipped:robots")
+        .when(F.col(body).isNull(), "failed")
+        .when(F.trim(body) == "", "empty")
+        .otherwise("ok")
+    )
+
+
+def elided(series: str, most: int = 12) -> Column:
+    """A list as text, or only its length if it has more than `most` points."""
+    c = F.col(series)
+    return F.when(F.size(c) > most, F.concat(F.lit("<"), F.size(c).cast("string"), F.lit(" points>"))).otherwise(F.to_json(c))
+
+
+def agent_rollup(steps: DataFrame) -> DataFrame:
+    """(agent, sources, degraded, duration_ms) of (agent, label, status, duration_ms), slowest first."""
+    out = steps.groupBy("agent").agg(
+        F.array_sort(F.collect_set("label")).alias("sources"),
+        F.count(F.when(F.col("status") != "success", 1)).alias("degraded"),
+        F.sum("duration_ms").alias("duration_ms"),
+    )
+    return out.orderBy(F.desc("duration_ms"), "agent")
+
+
+def confidence_label(value: str) -> Column:
+    return F.when(F.col(value) >= 0.7, "high").when(F.col(value) >= 0.45, "medium").otherwise("low")

@@ -166,9 +166,9 @@ liq AS (SELECT symbol, {r("avg(volume)")} AS avg_volume, {r("arg_max(volume, idx
   {r("(CASE WHEN count(volume) >= 2 THEN arg_max(volume, idx) / nullif(arg_min(volume, idx), 0) - 1 END) * 100")} AS volume_trend_pct FROM lq_l WHERE late <= 14 GROUP BY 1)"""
 VOL = f"""rv_l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) AS late FROM bars),
 rv_r AS (SELECT *, close / nullif(lag(close) OVER ({BY}), 0) - 1 AS ret FROM rv_l WHERE late <= 14),
-rv AS (SELECT symbol, {r("least(100, CASE WHEN count(close) >= 3 AND count(ret) >= 2 THEN stddev_pop(ret) END / 0.05 * 100)", 1)} AS realised_volatility FROM rv_r GROUP BY 1)"""
-RISK = f"""rk AS (SELECT symbol, {r("least(100, abs(funding_pct) / 0.05 * 100)", 1)} AS funding_stress, {r("least(100, abs(long_pct - 50) * 2)", 1)} AS positioning_crowding,
-  {r("least(100, abs(rsi - 50) / 50 * 100)", 1)} AS rsi_extremity, CASE WHEN aligned THEN 0.0 WHEN NOT aligned THEN 100.0 END::DOUBLE AS timeframe_conflict, realised_volatility FROM metrics LEFT JOIN rv USING (symbol))"""
+rv AS (SELECT symbol, {r("CASE WHEN count(close) >= 3 AND count(ret) >= 2 THEN least(100, stddev_pop(ret) / 0.05 * 100) END", 1)} AS realised_volatility FROM rv_r GROUP BY 1)"""
+RISK = f"""rk AS (SELECT symbol, {r("CASE WHEN funding_pct IS NOT NULL THEN least(100, abs(funding_pct) / 0.05 * 100) END", 1)} AS funding_stress, {r("CASE WHEN long_pct IS NOT NULL THEN least(100, abs(long_pct - 50) * 2) END", 1)} AS positioning_crowding,
+  {r("CASE WHEN rsi IS NOT NULL THEN least(100, abs(rsi - 50) / 50 * 100) END", 1)} AS rsi_extremity, CASE WHEN aligned THEN 0.0 WHEN NOT aligned THEN 100.0 END::DOUBLE AS timeframe_conflict, realised_volatility FROM metrics LEFT JOIN rv USING (symbol))"""
 PARTS = ["funding_stress", "positioning_crowding", "rsi_extremity", "timeframe_conflict", "realised_volatility"]
 SQUASH = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 ENTITY = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]

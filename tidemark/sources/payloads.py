@@ -95,3 +95,19 @@ def index_direction(series: DataFrame, key: str, order: str, value: str, limit:
     return x.select(
         key, "first", "last", rnd(d, 2).alias("delta"), F.when(d > limit, "improving").when(d < -limit, "deteriorating").otherwise("stable").alias("direction")
     )
+
+
+def heartbeat(df: DataFrame, body: str) -> DataFrame:
+    """(other columns, height) of chain status payloads, decimal or hexadecimal; error envelopes have no row."""
+    rest = [c for c in df.columns if c != body]
+    raw = F.coalesce(F.get_json_object(body, "$.result"), F.get_json_object(body, "$.height"))
+    height = F.when(F.lower(raw).startswith("0x"), F.conv(F.substring(raw, 3, 16), 16, 10)).otherwise(raw)
+    good = F.get_json_object(body, "$.error").isNull() & raw.isNotNull()
+    return df.where(good).select(*rest, height.try_cast("bigint").alias("height"))
+
+
+def wallet_balances(df: DataFrame, known: DataFrame, body: str) -> DataFrame:
+    """(other columns, label, address, balance) of address-keyed balance payloads for the known addresses (address, label)."""
+    rest = [c for c in df.columns if c != body]
+    rows = df.select(*rest, F.explode(F.from_json(body, "map<string, struct<final_balance: bigint>>")).alias("address", "b"))
+    return rows.join(known, "address").select(*rest, "label", "address", satoshi(F.col("b.final_balance")).alias("balance"))
