@@ -11,18 +11,19 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import stage
 from .tables import read
 
 MARK = "▁"
 #: Words and neighbour pairs that a worker keeps; documents whose new words are encoded together.
-CACHE, PAIRS, ROWS = 500_000, 1_000_000, 4000
+CACHE, PAIRS, ROWS = 300_000, 300_000, 1000
 _NONE = (0, float("-inf"))
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -38,12 +39,6 @@ class Model:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], merges: bool, byte_ids: list[int], size: int, unknown: int = 0):
         self.pieces, self.merges, self.byte_ids, self.unknown = pieces, merges, byte_ids, unknown
-        self.back: dict = {}  # pieces by their characters from the last to the first; under "" the piece itself
-        for piece in pieces:
-            node = self.back
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = piece
         self.text = [b""] * size
         for piece, (i, _) in pieces.items():
             self.text[i] = piece.replace(MARK, " ").encode()
@@ -54,6 +49,17 @@ class Model:
         self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
 
+    @cached_property
+    def back(self) -> dict:
+        """Pieces by their characters from the last to the first; under "" the piece itself."""
+        root: dict = {}
+        for piece in self.pieces:
+            node = root
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
+        return root
+
     @classmethod
     def load(cls, path: str) -> Model:
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
@@ -174,7 +180,9 @@ class Model:
             split.append(words)
         if len(self.words) > CACHE:
             self.words.clear()
-        new = set().union(*split) - self.words.keys()
+        new: set[str] = set()
+        for words in split:
+            new.update(w for w in words if w not in self.words)
         plain = {MARK + w for w in new if not w.startswith(MARK)}
         found = self.encode_words(plain)
         for w in new:
@@ -241,7 +249,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode(encode(read(spark, sf_dir, "documents")))
+    # staged, so that a task has one Python worker with its model at a time
+    found = decode(stage(encode(read(spark, sf_dir, "documents")), "pieces"))
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256")
     )
