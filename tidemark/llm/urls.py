@@ -123,7 +123,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, outcomes: DataFrame, thresh
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    rules = spark.createDataFrame(RULES, "verdict string, rule string")
+    values = ", ".join(f"('{verdict}', '{rule}')" for verdict, rule in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(verdict, rule)")
     found = url_verdicts(read(spark, sf_dir, "pages"), rules, labels)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
