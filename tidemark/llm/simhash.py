@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash_kernel import fingerprint_batches, jaccard_batches, set_batches, signature_batches
-from .staging import release, stage, tasks
+from .staging import by_ids, release, stage, tasks
 from .tables import read
 
 SEGMENT_BITS = 32
@@ -225,14 +225,14 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
         """Candidates that are similar enough, by their whole shingle sets."""
         pairs = met.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         pairs = stage(pairs.distinct(), f"candidates-{label}")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = docs.join(needed, "doc_id", "left_semi").mapInArrow(partial(set_batches, width=width), "id long, shingles binary")
+        needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"needed-{label}")
+        texts = by_ids(docs, needed, "left_semi").mapInArrow(partial(set_batches, width=width), "id long, shingles binary")
         sets = stage(texts.dropDuplicates(["id"]), f"shingles-{label}")
         both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "of_a"}), "a")
         both = both.join(sets.withColumnsRenamed({"id": "b", "shingles": "of_b"}), "b").select("a", "b", "of_a", "of_b")
         found = both.mapInArrow(jaccard_batches, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
         found = stage(found.select("a", "b"), f"alike-{label}")
-        release(pairs, sets)
+        release(pairs, needed, sets)
         return found
 
     first = alike(met.unionAll(same_fp).unionAll(close), "first")
@@ -250,11 +250,15 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows of `docs`, as they were: of each group the one with the smallest doc_id, and rows without a doc_id."""
-    groups = near_duplicate_components(docs, width, similarity)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Rows of `docs`, as they were: of each group the one with the smallest doc_id, and rows without a doc_id.
+
+    A doc_id of several rows keeps one of them."""
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
+    gone = stage(near_duplicate_components(docs, width, similarity).where("doc_id != component_id").select("doc_id"), "gone")
+    again = stage(ids.count().where("count > 1").select("doc_id"), "again")
+    rest = by_ids(docs, gone, "left_anti")
+    once = by_ids(rest, again, "left_anti")
+    return once.unionByName(by_ids(rest, again, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -48,6 +49,18 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that a join may send to every task, about 16 bytes each there.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """`df` left_semi or left_anti joined with `ids`, a staged table of one long id column that both have.
+
+    Up to BROADCAST_IDS rows of ids are counted and broadcast, so that long texts stay where they are; more are shuffled."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, ids.columns[0], how)
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions that a shuffle of this session has; the cluster's operator sizes it with the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
