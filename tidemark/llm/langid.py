@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import in_batches, text_last, whole_rows
 from .tables import fold, read
 
 #: Bound of the documents that learning reads, in expectation; all are read where there are fewer.
@@ -126,7 +127,7 @@ def learn(docs: DataFrame, most: int = MAX_LEARNED) -> Model:
     if total > most:
         order = F.xxhash64("doc_id", F.lit("language sample"))
         known = known.where(order < F.lit(int(-(2**63) + 2**64 * (most / total))))
-    partials = known.select("lang", "text").mapInArrow(_counts, "lang string, kind string, key string, n long")
+    partials = in_batches(known.select("lang", "text"), _counts, "lang string, kind string, key string, n long")
     rows = partials.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in rows})
     at = {x: i for i, x in enumerate(langs)}
@@ -235,6 +236,15 @@ def _labelled(batches, model: Model, penalty: float):
             )
 
 
+def _labelled_rows(batches, model: Model, penalty: float):
+    return _labelled(text_last(batches), model, penalty)
+
+
+def _with_labels(schema: T.StructType) -> T.StructType:
+    span = T.StructType().add("lang", "string").add("first_word", "long").add("words", "long")
+    return T.StructType([*schema]).add("lang_pred", "string").add("score", "double").add("spans", T.ArrayType(span))
+
+
 def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = SWITCH) -> DataFrame:
     """Columns `keep`, lang_pred, score and spans of every whole text.
 
@@ -242,10 +252,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = SW
     of letters in spans of lang_pred. Ties go to the language first in the alphabet. Null texts and texts
     without a letter, and all texts if no language was learned: `und`, score 0, no spans."""
     rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
-    span = T.StructType().add("lang", "string").add("first_word", "long").add("words", "long")
-    schema = T.StructType([rows.schema[c] for c in keep])
-    schema = schema.add("lang_pred", "string").add("score", "double").add("spans", T.ArrayType(span))
-    return rows.mapInArrow(partial(_labelled, model=model, penalty=penalty), schema)
+    schema = _with_labels(T.StructType([rows.schema[c] for c in keep]))
+    return in_batches(rows, partial(_labelled, model=model, penalty=penalty), schema)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +266,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_filter(docs: DataFrame, least: float = MIN_SHARE) -> DataFrame:
     """Rows of `docs`, as they were, with a known language that at least `least` of the letters are in."""
     model = learn(docs.where(fold("doc_id", 5) != 0).select("doc_id", "text", "lang"))
-    rows = docs.select(F.struct("*").alias("row"), "text")  # so that no column name of docs can clash
-    kept = identify(rows, model, ["row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.select("row.*")
+    rows = whole_rows(docs)
+    found = in_batches(rows, partial(_labelled_rows, model=model, penalty=SWITCH), _with_labels(rows.schema))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import in_batches, text_last, whole_rows
 from .tables import fold, read
 
 BITS = 18
@@ -90,7 +91,7 @@ def train(labelled: DataFrame, most: int = MAX_LABELLED) -> bytes:
     if total > most:
         known = known.where(order < F.lit(int(-(2**63) + 2**64 * (most / total))))
     one = known.select(order.alias("order"), "text", F.col("label").cast("int").alias("label")).repartition(1)
-    found = one.mapInArrow(_train, "weights binary").first()
+    found = in_batches(one, _train, "weights binary").first()
     return bytes(found[0]) if found else np.zeros(1 + (1 << BITS), "<f4").tobytes()
 
 
@@ -106,11 +107,15 @@ def _scored(batches, weights: bytes):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
 
+def _scored_rows(batches, weights: bytes):
+    return _scored(text_last(batches), weights)
+
+
 def score(docs: DataFrame, weights: bytes, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns `keep` and `score`, the probability of label 1, of every whole text. Null and empty: the bias's."""
     rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(partial(_scored, weights=weights), schema)
+    return in_batches(rows, partial(_scored, weights=weights), schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -137,5 +142,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     The texts are scored where they are read, so no row is joined or shuffled: null and empty texts pass
     if the bias alone does."""
     weights = train(training_rows(docs, labels))
-    rows = docs.select(F.struct("*").alias("row"), "text")  # so that no column name of docs can clash
-    return score(rows, weights, ["row"]).where(F.col("score") >= threshold).select("row.*")
+    rows = whole_rows(docs)
+    schema = T.StructType([*rows.schema, T.StructField("score", T.DoubleType())])
+    scored = in_batches(rows, partial(_scored_rows, weights=weights), schema)
+    return scored.where(F.col("score") >= threshold).select("row.*")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash_kernel import fingerprint_batches, jaccard_batches, set_batches, signature_batches
-from .staging import by_ids, release, stage, tasks
+from .staging import by_ids, in_batches, release, stage, tasks
 from .tables import read
 
 SEGMENT_BITS = 32
@@ -32,7 +32,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
 
     Null and empty texts, and texts of white space, have fingerprint 0. Repeated rows stay."""
     narrow = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return narrow.mapInArrow(partial(fingerprint_batches, width=width), f"{id_col} long, fp long")
+    return in_batches(narrow, partial(fingerprint_batches, width=width), f"{id_col} long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
     and repeated rows come once."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sign = partial(signature_batches, width=width)
-    signed = stage(docs.mapInArrow(sign, "doc_id long, digest binary, fp long, bands array<long>"), "signatures")
+    signed = stage(in_batches(docs, sign, "doc_id long, digest binary, fp long, bands array<long>"), "signatures")
     reps = stage(signed.groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
 
@@ -226,11 +226,11 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
         pairs = met.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         pairs = stage(pairs.distinct(), f"candidates-{label}")
         needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"needed-{label}")
-        texts = by_ids(docs, needed, "left_semi").mapInArrow(partial(set_batches, width=width), "id long, shingles binary")
+        texts = in_batches(by_ids(docs, needed, "left_semi"), partial(set_batches, width=width), "id long, shingles binary")
         sets = stage(texts.dropDuplicates(["id"]), f"shingles-{label}")
         both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "of_a"}), "a")
         both = both.join(sets.withColumnsRenamed({"id": "b", "shingles": "of_b"}), "b").select("a", "b", "of_a", "of_b")
-        found = both.mapInArrow(jaccard_batches, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+        found = in_batches(both, jaccard_batches, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
         found = stage(found.select("a", "b"), f"alike-{label}")
         release(pairs, needed, sets)
         return found

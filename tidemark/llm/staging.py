@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,28 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of rows that go to a Python worker at a time, so that long texts need bounded memory there and in the JVM.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, function, schema) -> DataFrame:
+    """`df.mapInArrow` in batches of about BATCH_BYTES or of one row; the session keeps that setting."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row): each row as one struct, so that no column name of `docs` can clash with what is added to it."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def text_last(batches):
+    """Batches of `whole_rows` with the text as a last column, which shares the struct's memory."""
+    for batch in batches:
+        rows = batch.column(0)
+        yield pa.RecordBatch.from_arrays([rows, rows.field("text")], names=["row", "_text"])
+
+
 #: Ids that a join may send to every task, about 16 bytes each there.
 BROADCAST_IDS = 1_000_000
 

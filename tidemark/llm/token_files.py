@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .ranges import bounds, bucket
-from .staging import new_path, tasks
+from .staging import in_batches, new_path, tasks
 from .tables import read
 
 FORMAT = {
@@ -59,7 +59,7 @@ def write_tokens(docs: DataFrame, out: str, end_id: int = 0, path: str | None =
     cuts = bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", n)
     narrow = docs.select(bucket("doc_id", cuts).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = narrow.repartitionById(n, F.col("shard")).sortWithinPartitions("doc_id", "text")
-    encoded = dealt.mapInArrow(partial(_encoded, path=path or tokens.default_path(), end_id=end_id), SCHEMA)
+    encoded = in_batches(dealt, partial(_encoded, path=path or tokens.default_path(), end_id=end_id), SCHEMA)
     encoded.write.options(**FORMAT).parquet(out)
 
 
@@ -93,8 +93,9 @@ def _digests(batches):
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token-files")
     write_tokens(read(spark, sf_dir, "documents"), out)
-    rows = read_tokens(spark, out).mapInArrow(
-        _digests, "shard int, doc_id long, shard_start long, n_tokens long, ids_crc32 long"
+    rows = in_batches(
+        read_tokens(spark, out),
+        _digests, "shard int, doc_id long, shard_start long, n_tokens long, ids_crc32 long",
     )
     placed = rows.join(shard_bases(spark, out), "shard")
     return placed.select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import in_batches
+
 #: Encoded space-led chunks that a worker process keeps, about 120 bytes each.
-CACHE = 600_000
+CACHE = 150_000
 #: Documents of one output batch.
 ROWS = 2000
 
@@ -146,4 +148,4 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path: str | N
     Null and empty texts have the end id alone; repeated rows and null ids stay; other columns are not read."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = partial(_pieces, path=path or default_path(), capacity=capacity, end_id=end_id)
-    return narrow.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return in_batches(narrow, cut, "doc_id long, piece int, start long, length long, ids binary")
