@@ -9,6 +9,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,10 +55,15 @@ def release(*frames: DataFrame) -> None:
 BATCH_BYTES = 8 << 20
 
 
+def _giving_back(batches, function):
+    yield from function(batches)
+    pa.default_memory_pool().release_unused()  # workers stay for later tasks
+
+
 def in_batches(df: DataFrame, function, schema) -> DataFrame:
     """`df.mapInArrow` in batches of about BATCH_BYTES or of one row; the session keeps that setting."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(partial(_giving_back, function=function), schema)
 
 
 def whole_rows(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from .tables import read
 
 FORMAT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),

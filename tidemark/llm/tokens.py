@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .staging import in_batches
 
 #: Encoded space-led chunks that a worker process keeps, about 120 bytes each.
-CACHE = 150_000
+CACHE = 300_000
 #: Documents of one output batch.
 ROWS = 2000
 
@@ -49,14 +49,17 @@ class _Chunks(dict):
         self.encoder, self.lead, self.bare = encoder, lead, self if bare is None else bare
 
     def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[-1].isspace() or (self.lead and chunk[0].isspace()):
-            raise _Whole
         if chunk.isalpha():
             ids = self.encoder.word(self.lead + chunk)
+        elif not chunk or chunk[-1].isspace() or (self.lead and chunk[0].isspace()):
+            raise _Whole
         elif (core := chunk.rstrip(_MARKS)) != chunk and core.isalpha():
+            known = core in self
             ids = self[core] + self.bare[chunk[len(core) :]]
+            if not known:  # a rare word; it is enough to keep its letters
+                return ids
         elif "\n" in chunk and all(parts := chunk.split("\n")) and not any(p[0].isspace() for p in parts[1:]):
-            ids = self[parts[0]] + b"".join([self.encoder.line + self.bare[p] for p in parts[1:]])
+            return self[parts[0]] + b"".join([self.encoder.line + self.bare[p] for p in parts[1:]])
         else:
             ids = self.encoder.whole(self.lead + chunk)
         if len(self) < CACHE:
@@ -91,6 +94,7 @@ class Encoder:
             and all(t["content"][:1] == "<" for t in spec["added_tokens"])
         )
         self.model, self.letters = self.library.model, _byte_letters()
+        self.space = chr(self.letters[32])
         if self.by_chunk:
             self.line = self.whole("\n")
             self.first = _Chunks(self, "")
@@ -101,7 +105,10 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of letters with at most a space before them, which the pre-tokenizer keeps together."""
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        if word.isascii():  # of these only the space is written as another character
+            found = self.model.tokenize(word.replace(" ", self.space))
+        else:
+            found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         return pack(f"<{len(found)}I", *[t.id for t in found])
 
     def ids(self, text: str | None) -> bytes:
