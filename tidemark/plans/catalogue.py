@@ -119,7 +119,7 @@ def q_buy_hold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("title"))
+    docs = read(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("title"))
     return evidence.dedupe_top(docs, ["source"], "title", [F.col("doc_id")], 5).select("source", "doc_id", "rank")
 
 

@@ -267,7 +267,7 @@ SELECT 'duplicate id' AS finding, count(*) - count(DISTINCT id) AS records FROM
 UNION ALL SELECT 'missing field', count(*) FROM x WHERE dt IS NULL HAVING count(*) > 0 UNION ALL SELECT 'empty source', count(*) FROM x WHERE source IS NULL HAVING count(*) > 0
 UNION ALL SELECT 'score out of range', count(*) FROM x WHERE score < 0 OR score > 1 HAVING count(*) > 0 UNION ALL SELECT 'bad timestamp', count(*) FROM x WHERE bad HAVING count(*) > 0""",
     "dq_dangling_refs": "SELECT doc_id * 3 AS doc_id FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM documents)",
-    "dedupe_topn": """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lower(substr(text, 1, 40)) ORDER BY doc_id) AS k FROM documents)
+    "dedupe_topn": """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lower(text) ORDER BY doc_id) AS k FROM documents)
 SELECT source, doc_id, rank FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS rank FROM d WHERE k = 1) WHERE rank <= 5""",
     "snapshot_delta": f"""WITH l0 AS (SELECT event_type AS coin, strftime(ts, '%Y-%m-%d') AS fetched_at, 'w' || (user_id % 7) AS label, {r("sum(value)", 4)} AS balance FROM events GROUP BY 1, 2, 3),
 l AS (SELECT * EXCLUDE k FROM (SELECT *, dense_rank() OVER (PARTITION BY coin ORDER BY fetched_at DESC) AS k FROM l0) WHERE k <= 30),
