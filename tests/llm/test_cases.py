@@ -119,6 +119,28 @@ def test_near_duplicates_by_brute_force(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_crowded_bands_by_brute_force(spark, monkeypatch):
+    """Texts that share a template at 0.757, in pairs at 0.827, and long chains of single edits."""
+    monkeypatch.setattr(simhash, "MEMBERS", 100)
+    rng, rows = np.random.RandomState(5), []
+    template, word = [f"t{i}" for i in range(104)], lambda n: [f"w{i}" for i in rng.randint(0, 10**6, n)]
+    for _ in range(600):
+        tail = word(16)
+        rows += [template + tail, template + tail[:9] + word(7)]
+    for _ in range(2):
+        text = word(120)
+        for _ in range(150):
+            text = list(text)
+            text[rng.randint(120)] = word(1)[0]
+            rows.append(text)
+    rows = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(rows)), rows)]
+    own = {i: {" ".join(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    alike = [(a, b) for a, b in itertools.combinations(own, 2) if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_components(docs).collect()}
+    assert got == components(alike, own)
+
+
 def whole_ids(texts):
     from tokenizers import Tokenizer
 

@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash_kernel import fingerprint_batches, jaccard_batches, set_batches, signature_batches
+from .simhash_kernel import crossing, fingerprint_batches, jaccard_batches, set_batches, signature_batches, sketch_batches
 from .staging import by_ids, in_batches, release, stage, tasks
 from .tables import read
 
 SEGMENT_BITS = 32
 #: Fingerprints of one variant that are compared at a time; a larger group goes through in such blocks.
 BLOCK = 1024
-#: Members of a band up to which each two are compared; members of a larger one that a text without a link is held against.
-FEW, MORE = 8, 16
+#: Members of a band up to which each two are compared at once; of a larger one, members that a task compares with as many others.
+FEW, MEMBERS = 8, 1024
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,6 +182,23 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
     return per_doc.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _across(members: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """(a, b): pairs of one band and two components that sketches do not rule out at `similarity`.
+
+    members: (band, key, n, id, component, size, sketch). A band goes through in pairs of blocks of about
+    MEMBERS, a task's rows whatever its size. nearest: of each text only the closest of every other component."""
+    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    rows = rows.select("band", "key", "lo", "hi", "block", "id", "component", "size", "sketch")
+
+    def compare(block: pa.Table) -> pa.Table:
+        return crossing(block, similarity, nearest)
+
+    return rows.groupBy("band", "key", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): documents joined by links of word-shingle Jaccard similarity at or above `similarity`.
 
@@ -189,8 +206,9 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
     three bits alone would find one pair in thirty. Candidates therefore come from the deletion variants of
     the fingerprints and from bands of minima over the same shingle hashes; every candidate is verified on
     the whole shingle sets. Texts with equal words are one row. Up to FEW members of a band meet each other;
-    those of a larger one meet two of its members and not each other, so a group of any size costs its own
-    size, and the twenty bands give each text many chances to meet the middle of its group.
+    those of a larger one meet two of its members first. What then is one component needs no more pairs, so a
+    group of copies costs its own size; members of a larger band in different components are all held against
+    each other, block against block, and every pair that sketches of their sets do not rule out is verified.
 
     Texts without words are copies of each other. Null doc_ids are left out, an empty table gives no rows,
     and repeated rows come once."""
@@ -236,16 +254,28 @@ def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float
         return found
 
     first = alike(met.unionAll(same_fp).unionAll(close), "first")
-    # texts of crowded bands that have met nobody alike meet more of their bands' members
-    linked = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    alone = crowd.join(linked, "id", "left_anti").select("band", "key", F.col("id").alias("a"))
-    more = crowd.groupBy("band", "key", F.pmod(F.xxhash64("id"), F.lit(MORE))).agg(F.min("id").alias("b"))
-    second = alike(alone.join(more, ["band", "key"]).select("a", "b"), "second")
-
-    groups = connected_components(first.unionAll(second), "a", "b")
-    of_text = reps.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
-        "digest", F.coalesce("component", "id").alias("component_id")
-    )
+    groups = connected_components(first, "a", "b").withColumnRenamed("node", "id")
+    groups = stage(reps.select("id").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "groups")
+
+    # members of crowded bands that are in different components by now: first each with the nearest of every
+    # other component, which merges what is left of large groups, then all pairs of components still apart
+    parted = crowd.join(groups, "id").groupBy("band", "key").agg(F.min("component").alias("p"), F.max("component").alias("q"))
+    parted = stage(crowd.join(parted.where("p < q").select("band", "key"), ["band", "key"]).select("band", "key", "n", "id"), "parted")
+    if not parted.isEmpty():
+        needed = stage(parted.select(F.col("id").alias("doc_id")).distinct(), "needed-sketches")
+        texts = in_batches(by_ids(docs, needed, "left_semi"), partial(sketch_batches, width=width), "id long, size int, sketch binary")
+        sketches = stage(texts.dropDuplicates(["id"]), "sketches")
+        for nearest in (True, False):
+            met = _across(parted.join(groups, "id").join(sketches, "id"), similarity, nearest)
+            found = alike(met, "nearest" if nearest else "across")
+            if found.isEmpty():
+                continue
+            ends = found.join(groups.withColumnsRenamed({"id": "a", "component": "x"}), "a")
+            ends = ends.join(groups.withColumnsRenamed({"id": "b", "component": "y"}), "b").select("x", "y")
+            merged = connected_components(ends, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("into"))
+            merged = groups.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
+            groups = stage(merged, "groups")
+    of_text = reps.join(groups, "id").select("digest", F.col("component").alias("component_id"))
     return signed.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "component_id").distinct()
 
 

@@ -100,6 +100,50 @@ def set_batches(batches, width: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
 
+#: Bits of a sketch: the parity of the shingles that fall on each, so sketches differ in no more bits than sets in members.
+SKETCH = 2048
+
+
+def sketch_batches(batches, width: int):
+    """(id, text) to (id, size, sketch) of the sets of `set_batches`."""
+    for batch in batches:
+        sizes, sketches = [], []
+        for t in batch.column(1):
+            own = np.unique(shingle_set(t.as_py(), width).astype(np.uint32))
+            odd = np.bincount(own % SKETCH, minlength=SKETCH) & 1
+            sizes.append(len(own))
+            sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "sketch"])
+
+
+def crossing(table: pa.Table, similarity: float, nearest: bool) -> pa.Table:
+    """(a, b): pairs of different components among a block of a band, or between two, whose sets may be alike.
+
+    Sets x and y of Jaccard similarity s differ in (x + y) (1 - s) / (1 + s) members, and the smaller has s of
+    the larger; sketches that differ in more bits rule a pair out and no pair is lost. Memory: the block's sketches."""
+    table = table.combine_chunks()
+    lo, hi, block, ids, component, size = (table.column(c).to_numpy() for c in ("lo", "hi", "block", "id", "component", "size"))
+    raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), SKETCH // 64)
+    one, share = len(ids) == 0 or lo[0] == hi[0], (1 - similarity) / (1 + similarity)
+    a, b = [], []
+    for p in np.flatnonzero(block == lo):
+        q = np.arange(p + 1, len(ids)) if one else np.flatnonzero(block == hi)
+        small, large = np.minimum(size[q], size[p]), np.maximum(size[q], size[p])
+        q = q[(component[q] != component[p]) & (small + 1e-6 >= similarity * large)]
+        if not len(q):
+            continue
+        bits = np.bitwise_count(raw[q] ^ raw[p]).sum(axis=1, dtype=np.int64)
+        may = bits <= share * (size[q].astype(np.int64) + size[p]) + 1e-6
+        q, bits = q[may], bits[may]
+        if nearest and len(q) > 1:
+            q = q[np.argsort(bits, kind="stable")]
+            q = q[np.unique(component[q], return_index=True)[1]]
+        a.append(np.full(len(q), ids[p])), b.append(ids[q])
+    none = [np.empty(0, np.int64)]
+    return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+
 def jaccard_batches(batches):
     """(a, b, their shingles) to (a, b, similarity)."""
     for batch in batches:
