@@ -274,6 +274,14 @@ def test_embedding_blocks_give_the_same_links(spark, monkeypatch):
     assert sorted(embeddings.near_duplicate_vectors(table).collect()) == whole
 
 
+def test_embeddings_of_every_length_link_whatever_nulls_and_empties_outnumber(spark):
+    rows = [(i, None) for i in range(9)] + [(i, []) for i in range(10, 19)]
+    rows += [(20, [1.0, 2.0]), (21, [1.0, 2.0]), (22, [2.0, -1.0])] + [(30, [1.0, 0.0, 3.0]), (31, [1.0, 0.0, 3.0])]
+    got = {r.vec_id: r for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == len(rows)
+    assert {i: (r.n_links, r.component_id) for i, r in got.items() if r.n_links} == {20: (1, 20), 21: (1, 20), 30: (1, 30), 31: (1, 30)}
+
+
 def test_sketches_recover_every_difference(spark, docs, none):
     import re
     from collections import Counter

@@ -161,48 +161,55 @@ def fit(vectors: DataFrame, a_list: int = LIST, most: int = MAX_FITTED) -> Index
     return Index(unit_rows(keep), int(min(MAX_LISTS, max(1, total // a_list), len(keep))))
 
 
+def _linked(known: DataFrame, cosine: float) -> DataFrame | None:
+    """(vec_id, links, root) of linked vectors among `known`, all of one length; None if none of them is usable."""
+    radius = float(np.sqrt(2 - 2 * cosine))
+    index = fit(known)
+    if index is None:
+        return None
+    schema = f"vec_id long, embedding {known.schema['embedding'].dataType.simpleString()}, list int, code binary, error double, probes array<int>"
+    placed = stage(known.mapInArrow(partial(_placed, index=index, radius=radius), schema), "placed")
+    members = placed.select("list", "vec_id", "embedding", "code", "error")
+    queries = placed.select(F.explode("probes").alias("list"), "vec_id", "embedding")
+    # blocks of each list, from at most MAX_LISTS counts
+    sizes = {r[0]: r[1] for r in members.groupBy("list").count().collect()}
+    asked = {r[0]: r[1] for r in placed.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
+    blocks = lambda n: F.element_at(
+        F.create_map(*[F.lit(x) for k in asked for x in (k, -(-n.get(k, 1) // BLOCK))]), F.col("list")
+    )
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    no_code, no_error = F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error")
+    rows = members.select(
+        "list", own(sizes).alias("m"), each(asked).alias("q"), F.lit(True).alias("member"), "vec_id", "embedding", "code", "error"
+    ).unionAll(queries.where(F.col("list").isin(list(sizes))).select(
+        "list", each(sizes).alias("m"), own(asked).alias("q"), F.lit(False).alias("member"), "vec_id", "embedding", no_code, no_error
+    ))
+
+    def compare(key, table):
+        return _compared(key, table, index, cosine)
+
+    return stage(rows.groupBy("list", "m", "q").applyInArrow(compare, "vec_id long, links long, root long"), "linked")
+
+
 def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vec_id of (vec_id, embedding): links at `cosine` or above.
 
     n_links counts the other vectors that a vector is within `cosine` of, component_id is the smallest
-    vec_id reachable by links, kept marks that vector. Vectors that are null or zero or hold null or
-    non-finite components, or a length other than the most frequent one, link with nothing. A vec_id that
+    vec_id reachable by links, kept marks that vector. Vectors that are null, empty or zero or hold null or
+    non-finite components link with nothing, and others with vectors of their own length only. A vec_id that
     comes in several rows is one vector, the smallest of its embeddings; null vec_ids are left out; an
     empty table gives no rows. In a crowded list, blocks of members meet blocks of queries and give back
     counts and a spanning forest, so no task holds more than a block of each and no pair leaves it."""
-    radius = float(np.sqrt(2 - 2 * cosine))
     vectors = stage(
         table.where(F.col("vec_id").isNotNull()).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(
             F.min("embedding").alias("embedding")), "vectors")
-    usual = vectors.groupBy(F.size("embedding").alias("k")).count().orderBy(F.desc("count"), F.desc("k")).first()
-    known = vectors.where(F.size("embedding") == (usual.k if usual else 0))
-    index = fit(known)
-    if index is None:
-        linked = vectors.sparkSession.createDataFrame([], "vec_id long, links long, root long")
-    else:
-        schema = f"vec_id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, list int, code binary, error double, probes array<int>"
-        placed = stage(known.mapInArrow(partial(_placed, index=index, radius=radius), schema), "placed")
-        members = placed.select("list", "vec_id", "embedding", "code", "error")
-        queries = placed.select(F.explode("probes").alias("list"), "vec_id", "embedding")
-        # blocks of each list, from at most MAX_LISTS counts
-        sizes = {r[0]: r[1] for r in members.groupBy("list").count().collect()}
-        asked = {r[0]: r[1] for r in placed.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
-        blocks = lambda n: F.element_at(
-            F.create_map(*[F.lit(x) for k in asked for x in (k, -(-n.get(k, 1) // BLOCK))]), F.col("list")
-        )
-        own = lambda n: F.pmod(F.xxhash64("vec_id"), blocks(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-        no_code, no_error = F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error")
-        rows = members.select(
-            "list", own(sizes).alias("m"), each(asked).alias("q"), F.lit(True).alias("member"), "vec_id", "embedding", "code", "error"
-        ).unionAll(queries.where(F.col("list").isin(list(sizes))).select(
-            "list", each(sizes).alias("m"), own(asked).alias("q"), F.lit(False).alias("member"), "vec_id", "embedding", no_code, no_error
-        ))
-
-        def compare(key, table):
-            return _compared(key, table, index, cosine)
-
-        linked = stage(rows.groupBy("list", "m", "q").applyInArrow(compare, "vec_id long, links long, root long"), "linked")
+    # vectors of one length only are compared; null and empty ones have none
+    lengths = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("k")).count().where("count > 1").collect()
+    linked = vectors.sparkSession.createDataFrame([], "vec_id long, links long, root long")
+    for k in sorted(r.k for r in lengths):
+        found = _linked(vectors.where(F.size("embedding") == k), cosine)
+        linked = linked if found is None else linked.unionAll(found)
     counts = linked.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     groups = connected_components(linked, "vec_id", "root").withColumnRenamed("node", "vec_id")
     found = vectors.select("vec_id").join(counts, "vec_id", "left").join(groups, "vec_id", "left")
