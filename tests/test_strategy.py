@@ -132,18 +132,40 @@ def test_rsi_is_the_recurrence_and_its_edges(spark):
         np.testing.assert_allclose(g.rsi.dropna(), [x for x in want if x is not None], rtol=1e-9)
 
 
-def test_fold_equals_closed_form(spark):
-    t = spark.createDataFrame(walk(3))
-    a = t.withColumn("e", indicators.ema("close", 30)).where("idx = 399").select("symbol", "e").toPandas()
-    b = indicators.smoothed_fold(t, "close", 30, 1 - 2 / 31).toPandas()
-    m = a.merge(b, on="symbol")
-    np.testing.assert_allclose(m.e, m["last"], rtol=1e-12)
-
-
-def test_too_long_a_series_is_an_error(spark):
-    t = pd.DataFrame({"symbol": "L", "bar": [f"{i:05d}" for i in range(4000)], "idx": range(4000), "close": 1.0 + np.arange(4000) % 7})
-    with pytest.raises(Exception, match="smoothed_fold"):
-        indicators.wilder_rsi(spark.createDataFrame(t), 6).toPandas()
+def long_walk(n=100_000):
+    rng = np.random.RandomState(1)
+    level, out = 0.0, []
+    for i in range(n):
+        level = 0.9995 * level + rng.randn() * 0.02
+        out.append(100 * np.exp(level + 0.3 * np.sin(i / 3000)))
+    c = np.array(out)
+    return pd.DataFrame(
+        {"symbol": "L", "bar": [f"{i:06d}" for i in range(n)], "idx": range(n), "close": c, "high": c * 1.01, "low": c * 0.99, "volume": rng.rand(n) * 1000}
+    )
+
+
+def test_long_series_are_the_recurrence_and_give_the_same_signals(spark):
+    t = long_walk()
+    got = strategy.strategy(spark.createDataFrame(t), oversold=40.0, overbought=60.0, vol_mult=1.0).toPandas().sort_values("idx")
+    for p in strategy.RIBBON:
+        want = np.array([np.nan if x is None else x for x in seq_ema(t.close.tolist(), p)])
+        np.testing.assert_allclose(got[f"ema{p}"].to_numpy(), want, rtol=1e-9)
+    np.testing.assert_allclose(got.rsi.to_numpy(), np.array([np.nan if x is None else x for x in seq_rsi(t.close.tolist(), 6)]), atol=1e-9)
+    want = seq_signals(t, strategy.RIBBON, 144, 1.0, 40.0, 60.0, 988)
+    assert [None if pd.isna(x) else x for x in got.signal] == want and sum(x is not None for x in want) > 1000
+
+
+@pytest.mark.parametrize("period", [1, 2, 3])
+def test_short_memories_over_many_blocks(spark, period):
+    t = long_walk(3000)
+    got = spark.createDataFrame(t).withColumn("e", indicators.ema("close", period)).toPandas().sort_values("idx")
+    np.testing.assert_allclose(got.e.to_numpy()[period - 1 :], seq_ema(t.close.tolist(), period)[period - 1 :], rtol=1e-12)
+
+
+def test_an_average_is_unknown_from_the_first_null_on(spark):
+    t = spark.createDataFrame([("N", i, None if i == 7 else float(i)) for i in range(12)], "symbol string, idx int, close double")
+    got = t.withColumn("e", indicators.ema("close", 3)).orderBy("idx").collect()
+    assert [r.e is None for r in got] == [i < 2 or i >= 7 for i in range(12)]
 
 
 def test_signals_equal_the_sequential_state_machine(spark):

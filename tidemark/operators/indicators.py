@@ -22,47 +22,67 @@ def so_far() -> WindowSpec:
     return by_symbol().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _guard(value: Column, q: float) -> Column:
-    """`value` where the closed form is exact enough; beyond, an error and not a silent overflow."""
-    most = math.floor(300 * math.log(10) / -math.log(q))
-    return F.when(F.col("idx") <= most, value).otherwise(
-        F.raise_error(F.lit(f"more than {most} bars of a symbol: use smoothed_fold")).cast("double")
-    )
+#: Bars of a block in which powers of a ratio are summed; of the lengths that fit a ratio the longest is taken.
+BLOCKS = (128, 2048, 32_768, 524_288)
 
 
-def smoothed(x: Column, period: int, ratio: float, first: int = 0) -> Column:
-    """Running y = ratio * y + (1 - ratio) * x from idx first + period on, seeded there-1 with the mean of the first `period` values.
+def _block(ratio: float) -> int:
+    """Longest block whose powers of `ratio` stay within 1e250, for values up to 1e50; what is two blocks back then weighs below 1e-31."""
+    fits = [n for n in BLOCKS if -math.log(ratio) * n <= 250 * math.log(10)]
+    return fits[-1] if fits else 8
 
-    Closed form of the recurrence: two running sums, no loop over rows. Null before the seed."""
-    seat = first + period - 1
-    age = F.col("idx") - seat
-    seed = F.sum(F.when(F.col("idx").between(first, seat), x)).over(so_far()) / period
-    rest = F.sum(F.when(age > 0, (1 - ratio) * x * F.pow(F.lit(ratio), -age))).over(so_far())
-    return F.when(age >= 0, _guard(F.pow(F.lit(ratio), age) * (seed + F.coalesce(rest, F.lit(0.0))), ratio))
 
+def smoothed(x: str, period: int, ratio: float, first: int = 0) -> Column:
+    """Running y = ratio * y + (1 - ratio) * x from idx first + period on, seeded there-1 with the mean of the first `period` values.
 
-def smoothed_fold(bars: DataFrame, column: str, period: int, ratio: float) -> DataFrame:
-    """(symbol, last): the recurrence's last value for series of any length, folded over each symbol's ordered values."""
-    series = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", column))).alias("s"))
-    values = F.transform("s", lambda p: p[column])
-    seed = F.aggregate(F.slice(values, 1, period), F.lit(0.0), lambda a, v: a + v) / period
-    rest = F.slice(values, period + 1, F.greatest(F.size("s") - period, F.lit(0)))
-    last = F.aggregate(rest, seed, lambda a, v: a * ratio + v * (1 - ratio))
-    return series.select("symbol", F.when(F.size("s") >= period, last).alias("last"))
+    For series of any length: sums of column x over powers of the ratio run within blocks of bars and start
+    anew in each, and a block takes over what the two before it come to; anything older weighs less than a
+    double resolves. Null before the seed, and from the first null value on. Series of one call of
+    withColumns whose blocks are equally long share their windows."""
+    at, seat = f"(idx - {first})", period - 1
+    if period == 1 or ratio <= 0:
+        return F.expr(f"CASE WHEN {at} >= {seat} THEN {x} END")
+    block = _block(ratio)
+    start = f"({at} - pmod({at}, {block}))"
+    power = lambda n: f"power({ratio!r}D, {n})"
+    weighed = f"CASE WHEN {at} < 0 THEN NULL WHEN {at} <= {seat} THEN {x} / {period} ELSE {1 - ratio!r}D * {x} END"
+    decay = f"({start} - greatest({at}, {seat}))"
+    missing = f"count_if({at} >= 0 AND {x} IS NULL)"
+    own = f"OVER (PARTITION BY symbol, {start} ORDER BY idx ROWS UNBOUNDED PRECEDING)"
+    back = lambda lo, hi: f"OVER (PARTITION BY symbol ORDER BY {start} RANGE BETWEEN {lo} PRECEDING AND {hi} PRECEDING)"
+    last, before = (f"coalesce(sum({weighed} * {power(f'{decay} + {block}')}) {back(n * block, n * block)}, 0D)" for n in (1, 2))
+    value = f"{power(f'{at} - {start}')} * ({last} + {power(block)} * {before} + sum({weighed} * {power(decay)}) {own})"
+    known = f"{missing} {own} + {missing} {back('UNBOUNDED', block)} = 0"
+    return F.expr(f"CASE WHEN {at} >= {seat} AND {known} THEN {value} END")
 
 
 def ema(column: str, period: int) -> Column:
-    return smoothed(F.col(column), period, 1 - 2 / (period + 1))
+    return smoothed(column, period, 1 - 2 / (period + 1))
 
 
-def wilder_rsi(bars: DataFrame, period: int = 6, out: str = "rsi") -> DataFrame:
-    """`bars` with Wilder's relative strength index; 100 without losses, else 0 without gains, null while warming up."""
-    step = F.col("close") - F.lag("close").over(by_symbol())
-    moves = bars.withColumns({"_up": F.greatest(step, F.lit(0.0)), "_down": F.greatest(-step, F.lit(0.0))})
+def wilder(gains: str, losses: str, period: int) -> tuple[Column, Column]:
+    """Wilder's averages of two columns of moves, known from bar 1 on."""
     q = (period - 1) / period
-    known = moves.withColumns({"_g": smoothed(F.col("_up"), period, q, 1), "_l": smoothed(F.col("_down"), period, q, 1)})
-    index = F.when(F.col("_l") == 0, 100.0).when(F.col("_g") == 0, 0.0).otherwise(100 - 100 / (1 + F.col("_g") / F.col("_l")))
-    return known.withColumn(out, F.when(F.col("_g").isNotNull(), index)).drop("_up", "_down", "_g", "_l")
+    return smoothed(gains, period, q, 1), smoothed(losses, period, q, 1)
+
+
+def moves(bars: DataFrame) -> DataFrame:
+    """`bars` with _up and _down: how far each close is above or below the one before."""
+    step = F.col("close") - F.lag("close").over(by_symbol())
+    known = bars.withColumn("_step", step)
+    return known.withColumns({"_up": F.expr("greatest(_step, 0D)"), "_down": F.expr("greatest(-_step, 0D)")}).drop("_step")
+
+
+def relative_strength(gain: str, loss: str) -> Column:
+    """100 without losses, else 0 without gains, null while warming up."""
+    return F.expr(f"CASE WHEN {gain} IS NULL THEN NULL WHEN {loss} = 0 THEN 100D WHEN {gain} = 0 THEN 0D ELSE 100 - 100 / (1 + {gain} / {loss}) END")
+
+
+def wilder_rsi(bars: DataFrame, period: int = 6, out: str = "rsi") -> DataFrame:
+    """`bars` with Wilder's relative strength index."""
+    gain, loss = wilder("_up", "_down", period)
+    known = moves(bars).withColumns({"_g": gain, "_l": loss})
+    return known.withColumn(out, relative_strength("_g", "_l")).drop("_up", "_down", "_g", "_l")
 
 
 def crossed_over(x: str, level: float) -> Column:

@@ -5,46 +5,49 @@ to that bar would give: one causal pass stands for a replay per bar."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rnd
-from tidemark.operators.indicators import by_symbol, crossed_over, crossed_under, ema, so_far, wilder_rsi
+from tidemark.operators.indicators import ema, moves, relative_strength, so_far, wilder
 
 RIBBON = (144, 233, 377, 610, 987)
 #: First bar a signal may stand at; a series must have as many bars.
 WARMUP = 988
 
 
-def _ordered(names: list[str], rising: bool) -> Column:
-    pairs = [(F.col(a) < F.col(b)) if rising else (F.col(a) > F.col(b)) for a, b in zip(names, names[1:])]
-    return F.coalesce(reduce(lambda x, y: x & y, pairs), F.lit(False))
+def _averages(periods) -> dict[str, Column]:
+    return {f"ema{p}": ema("close", p) for p in periods}
 
 
-def ribbon(bars: DataFrame, periods=RIBBON) -> DataFrame:
-    """`bars` with the ribbon's averages, bull and bear (strict order of all of them), tunnel and in_tunnel."""
+def _ribbon_flags(bars: DataFrame, periods) -> DataFrame:
+    """`bars` with ema<period> to those with bull and bear (strict order of all of them), tunnel and in_tunnel."""
     names = [f"ema{p}" for p in periods]
-    out = bars.withColumns({n: ema("close", p) for n, p in zip(names, periods)})
-    first, last = F.col(names[0]), F.col(names[-1])
-    both = first.isNotNull() & last.isNotNull()
-    out = out.withColumns(
+    ordered = lambda sign: " AND ".join(f"{a} {sign} {b}" for a, b in zip(names, names[1:]))
+    out = bars.withColumns(
         {
-            "bull": _ordered(names, False),
-            "bear": _ordered(names, True),
-            "tunnel_top": F.when(both, F.greatest(first, last)),
-            "tunnel_bottom": F.when(both, F.least(first, last)),
+            "bull": F.expr(f"coalesce({ordered('>')}, false)"),
+            "bear": F.expr(f"coalesce({ordered('<')}, false)"),
+            "tunnel_top": F.expr(f"CASE WHEN {names[0]} + {names[-1]} IS NOT NULL THEN greatest({names[0]}, {names[-1]}) END"),
+            "tunnel_bottom": F.expr(f"CASE WHEN {names[0]} + {names[-1]} IS NOT NULL THEN least({names[0]}, {names[-1]}) END"),
         }
     )
-    inside = [F.col(c).between(F.col("tunnel_bottom"), F.col("tunnel_top")) for c in ("close", "high", "low")]
-    return out.withColumn("in_tunnel", F.coalesce(inside[0] | inside[1] | inside[2], F.lit(False)))
+    inside = " OR ".join(f"{c} BETWEEN tunnel_bottom AND tunnel_top" for c in ("close", "high", "low"))
+    return out.withColumn("in_tunnel", F.expr(f"coalesce({inside}, false)"))
+
+
+def _spike(multiple: float) -> Column:
+    return F.expr(f"coalesce(volume > volume_ema * {multiple!r}D, false)")
+
+
+def ribbon(bars: DataFrame, periods=RIBBON) -> DataFrame:
+    """`bars` with the ribbon's averages, bull and bear (strict order of all of them), tunnel and in_tunnel."""
+    return _ribbon_flags(bars.withColumns(_averages(periods)), periods)
 
 
 def volume_spikes(bars: DataFrame, length: int = 144, multiple: float = 2.0) -> DataFrame:
     """`bars` with volume_ema and volume_spike; no spike while warming up."""
-    out = bars.withColumn("volume_ema", ema("volume", length))
-    return out.withColumn("volume_spike", F.coalesce(F.col("volume") > F.col("volume_ema") * multiple, F.lit(False)))
+    return bars.withColumn("volume_ema", ema("volume", length)).withColumn("volume_spike", _spike(multiple))
 
 
 def strategy(
@@ -59,27 +62,25 @@ def strategy(
 ) -> DataFrame:
     """`bars` with all indicators and `signal`, null where there is none and before bar `warmup`.
 
-    A signal needs a volume spike within the run of bars beyond the level that ends at the bar before:
-    runs are islands of equal zone, and a spike so far in the island is carried to the next bar."""
-    x = volume_spikes(ribbon(wilder_rsi(bars, rsi_len), periods), vol_len, vol_mult)
-    zone = F.when(F.col("rsi") < oversold, -1).when(F.col("rsi") > overbought, 1).otherwise(0)
-    x = x.withColumn("_zone", zone)
-    x = x.withColumn("_new", F.coalesce((F.col("_zone") != F.lag("_zone").over(by_symbol())).cast("int"), F.lit(0)))
-    x = x.withColumn("_island", F.sum("_new").over(so_far()))
-    within = Window.partitionBy("symbol", "_island").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_spiked", F.max(F.col("volume_spike").cast("int")).over(within) * F.col("_zone"))
-    x = x.withColumn("_was", F.lag("_spiked").over(by_symbol()))
-    over, under = crossed_over("rsi", oversold), crossed_under("rsi", overbought)
-    low, high = F.coalesce(F.col("_was") == -1, F.lit(False)), F.coalesce(F.col("_was") == 1, F.lit(False))
-    signal = (
-        F.when(over & F.col("bull") & F.col("in_tunnel") & low, "bull_entry")
-        .when(under & F.col("bear") & F.col("in_tunnel") & high, "bear_entry")
-        .when(under & high, "take_profit_bull")
-        .when(over & low, "take_profit_bear")
-    )
-    trend = F.when(F.col("bull"), "bullish_aligned").when(F.col("bear"), "bearish_aligned").otherwise("mixed")
-    out = x.withColumns({"trend": trend, "signal": F.when(F.col("idx") >= warmup, signal), "_any": signal})
-    return out.drop("_zone", "_new", "_island", "_spiked", "_was")
+    A signal needs a volume spike within the run of bars beyond the level that ends at the bar before: the
+    last spike is not before the bar where that run began. All averages are one projection, so they share
+    their windows, and the rest are windows by symbol in order of idx."""
+    gain, loss = wilder("_up", "_down", rsi_len)
+    x = moves(bars).withColumns({**_averages(periods), "volume_ema": ema("volume", vol_len), "_g": gain, "_l": loss})
+    zone = f"CASE WHEN rsi < {oversold!r}D THEN -1 WHEN rsi > {overbought!r}D THEN 1 ELSE 0 END"
+    x = _ribbon_flags(x.withColumns({"rsi": relative_strength("_g", "_l"), "volume_spike": _spike(vol_mult)}), periods)
+    by, run = "OVER (PARTITION BY symbol ORDER BY idx)", "OVER (PARTITION BY symbol ORDER BY idx ROWS UNBOUNDED PRECEDING)"
+    x = x.withColumn("_zone", F.expr(zone)).withColumns({"_before": F.expr(f"lag(_zone) {by}"), "_rsi": F.expr(f"lag(rsi) {by}")})
+    began, spiked = "CASE WHEN NOT _zone <=> _before THEN idx END", "CASE WHEN volume_spike THEN idx END"
+    x = x.withColumns({"_began": F.expr(f"max({began}) {run}"), "_spike": F.expr(f"max({spiked}) {run}")})
+    x = x.withColumn("_was", F.expr(f"lag(CASE WHEN _spike >= _began THEN _zone ELSE 0 END) {by}"))
+    over, under = f"_rsi < {oversold!r}D AND rsi >= {oversold!r}D AND _was = -1", f"_rsi > {overbought!r}D AND rsi <= {overbought!r}D AND _was = 1"
+    signal = f"""CASE WHEN {over} AND bull AND in_tunnel THEN 'bull_entry' WHEN {under} AND bear AND in_tunnel THEN 'bear_entry'
+        WHEN {under} THEN 'take_profit_bull' WHEN {over} THEN 'take_profit_bear' END"""
+    trend = "CASE WHEN bull THEN 'bullish_aligned' WHEN bear THEN 'bearish_aligned' ELSE 'mixed' END"
+    out = x.withColumns({"trend": F.expr(trend), "_any": F.expr(signal)})
+    out = out.withColumn("signal", F.expr(f"CASE WHEN idx >= {warmup} THEN _any END"))
+    return out.drop("_up", "_down", "_g", "_l", "_zone", "_before", "_rsi", "_began", "_spike", "_was")
 
 
 def latest(states: DataFrame, least: int = WARMUP) -> DataFrame:

@@ -96,6 +96,14 @@ def q_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return strategy.alignment(high, low)
 
 
+def q_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Averages and index over one series of all events by the minute, longer than any power of a ratio reaches."""
+    events = read(spark, sf, "events").withColumn("event_type", F.lit("all"))
+    bars = indicators.wilder_rsi(event_bars(events, 1))
+    emas = [rnd(indicators.ema("close", p), 4).alias(f"ema{p}") for p in (12, 144)]
+    return bars.select("bar", *emas, rnd("rsi", 4).alias("rsi"))
+
+
 def q_trades(spark: SparkSession, sf: str, variant: str) -> DataFrame:
     done = backtest.trades(backtest.positions(loose(spark, sf), [variant]))
     return done.select(
@@ -200,6 +208,7 @@ QUERIES = {
     "downsample": lambda s, d: indicators.downsample(region_bars(s, d)).select("symbol", "bar", "close"),
     "ema": lambda s, d: region_bars(s, d).select("symbol", "bar", rnd(indicators.ema("close", 12), 4).alias("ema12"), rnd(indicators.ema("close", 144), 4).alias("ema144")),
     "rsi": lambda s, d: indicators.wilder_rsi(region_bars(s, d)).select("symbol", "bar", rnd("rsi", 4).alias("rsi")),
+    "minute_series": q_minutes,
     "ribbon_tunnel": lambda s, d: strategy.ribbon(region_bars(s, d)).select("symbol", "bar", "bull", "bear", "in_tunnel", rnd("tunnel_top", 4).alias("tunnel_top"), rnd("tunnel_bottom", 4).alias("tunnel_bottom")),
     "volume_spike": lambda s, d: strategy.volume_spikes(events30(s, d)).select("symbol", "bar", "volume_spike"),
     "crossovers": lambda s, d: indicators.wilder_rsi(events30(s, d)).select("symbol", "bar", indicators.crossed_over("rsi", 20).alias("over"), indicators.crossed_under("rsi", 80).alias("under")).where("over or under"),

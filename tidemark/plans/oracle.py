@@ -29,38 +29,40 @@ BY = "PARTITION BY symbol ORDER BY idx"
 RUN = f"({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def smooth(x: str, p: int, q: float, first: int = 0) -> str:
-    seat = first + p - 1
-    return f"""(CASE WHEN idx >= {seat} THEN power({q!r}::DOUBLE, idx - {seat}) * (
-    sum(CASE WHEN idx BETWEEN {first} AND {seat} THEN {x} END) OVER {RUN} / {p}
-    + coalesce(sum(CASE WHEN idx > {seat} THEN (1 - {q!r}::DOUBLE) * {x} * power({q!r}::DOUBLE, {seat} - idx) END) OVER {RUN}, 0)) END)"""
-
+PERIODS = (144, 233, 377, 610, 987)
 
-def ema(x: str, p: int) -> str:
-    return smooth(x, p, 1 - 2 / (p + 1))
 
+def walk(source: str, out: str, periods: tuple = PERIODS) -> str:
+    """`source` with e<period>, v144 (of volume) and rsi, bar after bar as the recurrences say."""
+    up, down = "greatest(b.close - w.last, 0)", "greatest(w.last - b.close, 0)"
 
-def rsi(source: str, out: str, p: int = 6) -> str:
-    q = (p - 1) / p
-    return f"""{out}_m AS (SELECT *, greatest(close - lag(close) OVER ({BY}), 0) AS up, greatest(lag(close) OVER ({BY}) - close, 0) AS down FROM {source}),
-{out}_g AS (SELECT *, {smooth("up", p, q, 1)} AS g, {smooth("down", p, q, 1)} AS l FROM {out}_m),
-{out} AS (SELECT *, CASE WHEN g IS NULL THEN NULL WHEN l = 0 THEN 100.0 WHEN g = 0 THEN 0.0 ELSE 100 - 100 / (1 + g / l) END AS rsi FROM {out}_g)"""
+    def ema(x: str, total: str, name: str, p: int) -> str:
+        k = f"(2.0::DOUBLE / {p + 1})"
+        return f"CASE WHEN b.idx < {p - 1} THEN NULL WHEN b.idx = {p - 1} THEN (w.{total} + b.{x}) / {p} ELSE b.{x} * {k} + w.{name} * (1 - {k}) END"
 
+    def wilder(move: str, total: str, name: str) -> str:
+        return f"CASE WHEN b.idx < 6 THEN NULL WHEN b.idx = 6 THEN (w.{total} + {move}) / 6 ELSE (w.{name} * 5 + {move}) / 6 END"
 
-PERIODS = (144, 233, 377, 610, 987)
+    return f"""{out}_w AS (SELECT symbol, idx, close AS last, close AS csum, volume AS vsum, 0.0::DOUBLE AS ups, 0.0::DOUBLE AS downs,
+  {", ".join(f"NULL::DOUBLE AS e{p}" for p in periods)}, NULL::DOUBLE AS v144, NULL::DOUBLE AS g, NULL::DOUBLE AS l FROM {source} WHERE idx = 0
+  UNION ALL SELECT b.symbol, b.idx, b.close, w.csum + b.close, w.vsum + b.volume, w.ups + {up}, w.downs + {down},
+  {", ".join(ema("close", "csum", f"e{p}", p) for p in periods)}, {ema("volume", "vsum", "v144", 144)}, {wilder(up, "ups", "g")}, {wilder(down, "downs", "l")}
+  FROM {out}_w w JOIN {source} b ON b.symbol = w.symbol AND b.idx = w.idx + 1),
+{out} AS (SELECT b.*, {", ".join(f"e{p}" for p in periods)}, v144, CASE WHEN g IS NULL THEN NULL WHEN l = 0 THEN 100.0 WHEN g = 0 THEN 0.0 ELSE 100 - 100 / (1 + g / l) END AS rsi
+  FROM {source} b JOIN {out}_w w ON b.symbol = w.symbol AND b.idx = w.idx)"""
 
 
 def ribbon(source: str, out: str) -> str:
     less = " AND ".join(f"e{a} < e{b}" for a, b in zip(PERIODS, PERIODS[1:]))
     inside = " OR ".join(f"{c} BETWEEN tb AND tt" for c in ("close", "high", "low"))
-    return f"""{out}_e AS (SELECT *, {", ".join(f"{ema('close', p)} AS e{p}" for p in PERIODS)} FROM {source}),
+    return f"""{walk(source, out + "_e")},
 {out}_t AS (SELECT *, CASE WHEN e987 IS NOT NULL THEN greatest(e144, e987) END AS tt, CASE WHEN e987 IS NOT NULL THEN least(e144, e987) END AS tb FROM {out}_e),
 {out} AS (SELECT *, coalesce({less.replace("<", ">")}, false) AS bull, coalesce({less}, false) AS bear, coalesce({inside}, false) AS in_tunnel FROM {out}_t)"""
 
 
 def strat(source: str, out: str, oversold: float = 20.0, overbought: float = 80.0, vol_mult: float = 2.0) -> str:
-    return f"""{rsi(source, out + "_r")}, {ribbon(out + "_r", out + "_b")},
-{out}_v AS (SELECT *, coalesce(volume > {vol_mult} * {ema("volume", 144)}, false) AS volume_spike,
+    return f"""{ribbon(source, out + "_b")},
+{out}_v AS (SELECT *, coalesce(volume > {vol_mult} * v144, false) AS volume_spike,
   CASE WHEN rsi < {oversold} THEN -1 WHEN rsi > {overbought} THEN 1 ELSE 0 END AS zone FROM {out}_b),
 {out}_n AS (SELECT *, coalesce((zone <> lag(zone) OVER ({BY}))::INT, 0) AS fresh FROM {out}_v),
 {out}_i AS (SELECT *, sum(fresh) OVER {RUN} AS island FROM {out}_n),
@@ -82,7 +84,7 @@ def latest(source: str, out: str, least: int = 988) -> str:
   last_signal, (idx - at_idx)::INT AS bars_since_signal FROM {out}_l WHERE idx = total - 1 AND total >= {least})"""
 
 
-LOOSE_STATES = f"WITH {REGION}, {strat('bars', 'st', **LOOSE)}"
+LOOSE_STATES = f"WITH RECURSIVE {REGION}, {strat('bars', 'st', **LOOSE)}"
 FEE = "0.998001::DOUBLE"
 POSITIONS = """p1 AS (SELECT symbol, bar, idx, close, variant, CASE WHEN variant = 'long_only' AND signal = 'bear_entry' THEN NULL ELSE signal END AS s
   FROM st, (VALUES ('long_only'), ('long_short')) v(variant)),
@@ -191,25 +193,27 @@ SENT = f"""SELECT *, CASE WHEN positive_terms > negative_terms THEN 'positive' W
 FMT = lambda x, d: f"coalesce(printf('%.{d}f', {x}), 'N/A')"
 
 ORACLE_SQL = {
-    "bars_from_events": f"WITH {events(30)} SELECT * FROM bars",
-    "bars_daily_region": f"WITH {REGION} SELECT * FROM bars",
-    "ohlcv_tail": f"WITH {REGION}, {tail(14)} SELECT symbol, bar, idx, close, volume FROM tl",
-    "manifest": f'WITH {REGION} SELECT symbol, count(*) AS rows, min(bar) AS "first", max(bar) AS "last" FROM bars GROUP BY 1',
-    "price_windows": f"WITH {REGION}, {windows()} SELECT * FROM pw",
-    "returns_lag": f"WITH {REGION} SELECT symbol, bar, {r(f'close / nullif(lag(close) OVER ({BY}), 0) - 1', 6)} AS ret FROM bars",
-    "downsample": f"""WITH {REGION}, k AS (SELECT symbol, n, round_even(i * (n - 1) / 259.0, 0)::INT AS idx FROM (SELECT symbol, count(*) AS n FROM bars GROUP BY 1), range(260) t(i))
+    "bars_from_events": f"WITH RECURSIVE {events(30)} SELECT * FROM bars",
+    "bars_daily_region": f"WITH RECURSIVE {REGION} SELECT * FROM bars",
+    "ohlcv_tail": f"WITH RECURSIVE {REGION}, {tail(14)} SELECT symbol, bar, idx, close, volume FROM tl",
+    "manifest": f'WITH RECURSIVE {REGION} SELECT symbol, count(*) AS rows, min(bar) AS "first", max(bar) AS "last" FROM bars GROUP BY 1',
+    "price_windows": f"WITH RECURSIVE {REGION}, {windows()} SELECT * FROM pw",
+    "returns_lag": f"WITH RECURSIVE {REGION} SELECT symbol, bar, {r(f'close / nullif(lag(close) OVER ({BY}), 0) - 1', 6)} AS ret FROM bars",
+    "downsample": f"""WITH RECURSIVE {REGION}, k AS (SELECT symbol, n, round_even(i * (n - 1) / 259.0, 0)::INT AS idx FROM (SELECT symbol, count(*) AS n FROM bars GROUP BY 1), range(260) t(i))
 SELECT symbol, bar, close FROM bars JOIN (SELECT symbol, count(*) AS total FROM bars GROUP BY 1) USING (symbol)
 WHERE total <= 260 OR (symbol, idx) IN (SELECT (symbol, idx) FROM k)""",
-    "ema": f"WITH {REGION} SELECT symbol, bar, {r(ema('close', 12), 4)} AS ema12, {r(ema('close', 144), 4)} AS ema144 FROM bars",
-    "rsi": f"WITH {REGION}, {rsi('bars', 'x')} SELECT symbol, bar, {r('rsi', 4)} AS rsi FROM x",
-    "ribbon_tunnel": f"WITH {REGION}, {ribbon('bars', 'x')} SELECT symbol, bar, bull, bear, in_tunnel, {r('tt', 4)} AS tunnel_top, {r('tb', 4)} AS tunnel_bottom FROM x",
-    "volume_spike": f"WITH {events(30)} SELECT symbol, bar, coalesce(volume > 2.0 * {ema('volume', 144)}, false) AS volume_spike FROM bars",
-    "crossovers": f"""WITH {events(30)}, {rsi("bars", "x")}, y AS (SELECT *, lag(rsi) OVER ({BY}) AS b FROM x)
+    "ema": f"WITH RECURSIVE {REGION}, {walk('bars', 'x', (12, 144))} SELECT symbol, bar, {r('e12', 4)} AS ema12, {r('e144', 4)} AS ema144 FROM x",
+    "minute_series": f"""WITH RECURSIVE {events(1).replace("event_type AS symbol", "'all' AS symbol")}, {walk("bars", "x", (12, 144))}
+SELECT bar, {r("e12", 4)} AS ema12, {r("e144", 4)} AS ema144, {r("rsi", 4)} AS rsi FROM x""",
+    "rsi": f"WITH RECURSIVE {REGION}, {walk('bars', 'x', (12,))} SELECT symbol, bar, {r('rsi', 4)} AS rsi FROM x",
+    "ribbon_tunnel": f"WITH RECURSIVE {REGION}, {ribbon('bars', 'x')} SELECT symbol, bar, bull, bear, in_tunnel, {r('tt', 4)} AS tunnel_top, {r('tb', 4)} AS tunnel_bottom FROM x",
+    "volume_spike": f"WITH RECURSIVE {events(30)}, {walk('bars', 'x', (12,))} SELECT symbol, bar, coalesce(volume > 2.0 * v144, false) AS volume_spike FROM x",
+    "crossovers": f"""WITH RECURSIVE {events(30)}, {walk("bars", "x", (12,))}, y AS (SELECT *, lag(rsi) OVER ({BY}) AS b FROM x)
 SELECT * FROM (SELECT symbol, bar, coalesce(b < 20 AND rsi >= 20, false) AS over, coalesce(b > 80 AND rsi <= 80, false) AS under FROM y) WHERE over OR under""",
     "strategy_signals": f"{LOOSE_STATES} SELECT symbol, bar, trend, in_tunnel, volume_spike, coalesce(signal, '-') AS signal FROM st",
-    "strategy_signals_default": f"WITH {REGION}, {strat('bars', 'st')} SELECT symbol, bar, trend, in_tunnel, volume_spike, coalesce(signal, '-') AS signal FROM st",
+    "strategy_signals_default": f"WITH RECURSIVE {REGION}, {strat('bars', 'st')} SELECT symbol, bar, trend, in_tunnel, volume_spike, coalesce(signal, '-') AS signal FROM st",
     "last_signal": f"{LOOSE_STATES}, {latest('st', 'lt')} SELECT * FROM lt",
-    "timeframe_alignment": f"""WITH {events(30, "b30")}, {events(20, "b20")}, {strat("b30", "hi")}, {strat("b20", "lo")}, {latest("hi", "h", 1)}, {latest("lo", "l", 1)},
+    "timeframe_alignment": f"""WITH RECURSIVE {events(30, "b30")}, {events(20, "b20")}, {strat("b30", "hi")}, {strat("b20", "lo")}, {latest("hi", "h", 1)}, {latest("lo", "l", 1)},
 d AS (SELECT symbol, CASE h.trend WHEN 'bullish_aligned' THEN 'long' WHEN 'bearish_aligned' THEN 'short' ELSE 'neutral' END AS higher_direction,
   CASE l.trend WHEN 'bullish_aligned' THEN 'long' WHEN 'bearish_aligned' THEN 'short' ELSE 'neutral' END AS lower_direction FROM h JOIN l USING (symbol))
 SELECT *, higher_direction = lower_direction AND higher_direction <> 'neutral' AS passed FROM d""",
@@ -231,35 +235,35 @@ SELECT symbol, variant, date_start, date_end, test_bars, {r("(coalesce(eq, 1) -
   {r("w * 100.0 / c", 1)} AS win_rate_pct, {r("gw / nullif(w, 0)")} AS avg_win_pct, {r("-gl / nullif(l, 0)")} AS avg_loss_pct,
   {r("coalesce(gw, 0) / nullif(gl, 0)")} AS profit_factor, max_drawdown_pct, {r("inside * 100.0 / test_bars", 1)} AS exposure_pct, {r("bars", 1)} AS avg_bars_held
 FROM bh LEFT JOIN dd USING (symbol, variant) LEFT JOIN ts USING (symbol, variant)""",
-    "buy_hold": f"""WITH {REGION} SELECT symbol, min(bar) AS date_start, max(bar) AS date_end, count(*) AS test_bars,
+    "buy_hold": f"""WITH RECURSIVE {REGION} SELECT symbol, min(bar) AS date_start, max(bar) AS date_end, count(*) AS test_bars,
 {r("(arg_max(close, idx) - arg_min(close, idx)) / arg_min(close, idx) * 100")} AS buy_hold_return_pct FROM bars WHERE idx >= 988 GROUP BY 1""",
-    "side_consistency": f"WITH {REGION}, {SIDE} SELECT * FROM side",
-    "trend_30_90": f"WITH {REGION}, {FLOW} SELECT * FROM flow",
-    "index_direction": f"""WITH {REGION}, {tail(14)}, x AS (SELECT symbol, arg_min(close, idx) AS "first", arg_max(close, idx) AS "last" FROM tl GROUP BY 1)
+    "side_consistency": f"WITH RECURSIVE {REGION}, {SIDE} SELECT * FROM side",
+    "trend_30_90": f"WITH RECURSIVE {REGION}, {FLOW} SELECT * FROM flow",
+    "index_direction": f"""WITH RECURSIVE {REGION}, {tail(14)}, x AS (SELECT symbol, arg_min(close, idx) AS "first", arg_max(close, idx) AS "last" FROM tl GROUP BY 1)
 SELECT symbol, "first", "last", {r('"last" - "first"')} AS delta, CASE WHEN "last" - "first" > 5 THEN 'improving' WHEN "last" - "first" < -5 THEN 'deteriorating' ELSE 'stable' END AS direction FROM x""",
-    "liquidity_profile": f"WITH {REGION}, {LIQ} SELECT * FROM liq",
-    "symbol_metrics": f"WITH {REGION}, {METRICS} SELECT * FROM metrics",
-    "risk_composite": f"""WITH {REGION}, {METRICS}, {VOL}, {RISK} SELECT *, ({" + ".join(f"({p} IS NOT NULL)::INT" for p in PARTS)})::INT AS components_available,
+    "liquidity_profile": f"WITH RECURSIVE {REGION}, {LIQ} SELECT * FROM liq",
+    "symbol_metrics": f"WITH RECURSIVE {REGION}, {METRICS} SELECT * FROM metrics",
+    "risk_composite": f"""WITH RECURSIVE {REGION}, {METRICS}, {VOL}, {RISK} SELECT *, ({" + ".join(f"({p} IS NOT NULL)::INT" for p in PARTS)})::INT AS components_available,
 {r("(" + " + ".join(f"coalesce({p}, 0)" for p in PARTS) + ") / (" + " + ".join(f"({p} IS NOT NULL)::INT" for p in PARTS) + ")", 1)} AS composite_score FROM rk""",
     "attention_profile": "SELECT *, posts >= 25 AS capped FROM (SELECT role AS symbol, count(*) AS posts, sum(coalesce(length(text), 0) + CASE WHEN turn > 0 THEN turn ELSE 0 END)::BIGINT AS engagement FROM conversations GROUP BY 1)",
-    "pairwise_compare": f"""WITH {REGION}, {LIQ} SELECT a.symbol AS a, b.symbol AS b, CASE WHEN a.avg_volume > b.avg_volume THEN a.symbol WHEN b.avg_volume > a.avg_volume THEN b.symbol END AS leader,
+    "pairwise_compare": f"""WITH RECURSIVE {REGION}, {LIQ} SELECT a.symbol AS a, b.symbol AS b, CASE WHEN a.avg_volume > b.avg_volume THEN a.symbol WHEN b.avg_volume > a.avg_volume THEN b.symbol END AS leader,
 CASE WHEN a.avg_volume = b.avg_volume THEN 'tie' ELSE 'leads' END AS verdict,
 CASE WHEN greatest(a.avg_volume, b.avg_volume) / least(a.avg_volume, b.avg_volume) >= 1.1 THEN {r("greatest(a.avg_volume, b.avg_volume) / least(a.avg_volume, b.avg_volume)")} END AS ratio
 FROM liq a JOIN liq b ON a.symbol < b.symbol""",
-    "signal_inventory": f"WITH {REGION}, {METRICS}, {INVENTORY} SELECT * FROM inv",
-    "stance": f"WITH {REGION}, {METRICS}, {INVENTORY}, {STANCE} SELECT * FROM stance",
-    "stance_drivers": f"""WITH {REGION}, {METRICS}, {INVENTORY}, {STANCE} SELECT symbol, rank, rule, weight FROM (SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY weight DESC, ord, rule))::INT AS rank, rule, weight
+    "signal_inventory": f"WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY} SELECT * FROM inv",
+    "stance": f"WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE} SELECT * FROM stance",
+    "stance_drivers": f"""WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE} SELECT symbol, rank, rule, weight FROM (SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY weight DESC, ord, rule))::INT AS rank, rule, weight
 FROM inv JOIN stance USING (symbol) WHERE side = CASE stance WHEN 'bullish' THEN 'bull' WHEN 'bearish' THEN 'bear' END) WHERE rank <= 3""",
-    "confidence": f"""WITH {REGION}, {METRICS}, {INVENTORY}, {STANCE}, {COMPLETE}, f AS (SELECT symbol, count(*) FILTER (is_fallback) AS source_failures FROM comp GROUP BY 1)
+    "confidence": f"""WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE}, {COMPLETE}, f AS (SELECT symbol, count(*) FILTER (is_fallback) AS source_failures FROM comp GROUP BY 1)
 SELECT symbol, source_failures, {r("greatest(0.2, least(0.85, 0.30 + 0.35 * coalesce(greatest(bull_weight, bear_weight) / nullif(bull_weight + bear_weight, 0), 0) - 0.06 * source_failures))")} AS confidence
 FROM stance JOIN f USING (symbol)""",
-    "risk_factors": f"""WITH {REGION}, {METRICS}, {INVENTORY}, {STANCE}, {COMPLETE}, x AS (SELECT * FROM metrics JOIN stance USING (symbol))
+    "risk_factors": f"""WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE}, {COMPLETE}, x AS (SELECT * FROM metrics JOIN stance USING (symbol))
 SELECT symbol, 1 AS ord, 'degraded source: ' || label AS factor FROM comp WHERE is_fallback AND symbol IN (SELECT symbol FROM comp)
 UNION ALL SELECT symbol, 2, 'bull and bear weights are close' FROM x WHERE bull_weight > 0 AND bull_weight / nullif(bear_weight, 0) BETWEEN 0.6 AND 1.67
 UNION ALL SELECT symbol, 3, 'timeframes disagree' FROM x WHERE NOT aligned
 UNION ALL SELECT symbol, 4, 'positioning is unstable' FROM x WHERE consistency_pct < 60
 UNION ALL SELECT symbol, 6, 'signals are simultaneous, not causal' FROM x UNION ALL SELECT symbol, 7, 'social and news sources are less reliable' FROM x""",
-    "fallback_fill": f"WITH {COMPLETE} SELECT * FROM comp",
+    "fallback_fill": f"WITH RECURSIVE {COMPLETE} SELECT * FROM comp",
     "first_available": "SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 5000 GROUP BY 1",
     "dq_rules": """WITH x AS (SELECT 'EV-' || (o_orderkey % 5000) AS id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS source, o_orderkey % 13 = 0 AS bad,
   CASE WHEN o_orderkey % 17 <> 0 THEN 'market' END AS dt, o_totalprice / 400000 AS score FROM orders)
@@ -288,7 +292,7 @@ t AS (SELECT page_id, list_transform(blocks, lambda x: {BLOCK}) AS ts FROM b)
 SELECT page_id, substr(array_to_string(list_filter(ts, lambda x: length(x) >= 80 AND
   len(list_filter(string_split(x, ' '), lambda w: starts_with(w, '$') OR ends_with(w, '%'))) <= 0.2 * len(string_split(x, ' '))), chr(10)), 1, 4000) AS body FROM t""",
     "citations": "SELECT doc_id, ref, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]{4,}')) AS ref FROM documents) GROUP BY 1, 2",
-    "report_markdown": f"""WITH {REGION}, {METRICS}, {windows(out="fw")}, {INVENTORY}, {STANCE},
+    "report_markdown": f"""WITH RECURSIVE {REGION}, {METRICS}, {windows(out="fw")}, {INVENTORY}, {STANCE},
 lg AS (SELECT symbol, string_agg('- ' || label || ': ' || {FMT("return_pct", 2)} || ' %, drawdown ' || {FMT("max_drawdown_pct", 2)} || ' %', chr(10) ORDER BY label) AS t FROM fw GROUP BY 1),
 fx AS (SELECT symbol, string_agg('- ' || rule || ' ' || side || ' ' || {FMT("weight", 1)}, chr(10) ORDER BY ord, rule) AS t FROM inv GROUP BY 1)
 SELECT symbol, '# ' || symbol || chr(10) || '## Stance' || chr(10) || stance || ' (' || {FMT("net_margin_pct", 1)} || ' %)' || chr(10) || '## Long-horizon' || chr(10) ||
