@@ -264,6 +264,32 @@ def test_embeddings_by_brute_force_and_odd_vectors(spark):
     assert embeddings.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dims, rank, wide", [(32, 32, 256), (32, 8, 256), (32, 4, 16), (128, 8, 16)])
+def test_embedding_recall_over_many_lists(spark, monkeypatch, dims, rank, wide):
+    monkeypatch.setattr(embeddings, "LIST", 40), monkeypatch.setattr(embeddings, "WIDE", wide)
+    rng, n, c = np.random.RandomState(rank), 1000, 0.955
+    basis = np.linalg.qr(rng.randn(dims, rank))[0]
+    a, d = rng.randn(n, rank), rng.randn(n, rank)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    d -= (d * a).sum(1, keepdims=True) * a
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * d]) @ basis.T  # each vector has a partner just within reach
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    made = []
+    monkeypatch.setattr(embeddings, "fit", lambda *f, _fit=embeddings.fit: made.append(_fit(*f, a_list=40)) or made[-1])
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    for exact in (False, True):
+        got = [r.n_links for r in embeddings.near_duplicate_vectors(table, exact=exact).orderBy("vec_id").collect()]
+        assert sum(got) >= (1.0 if exact else 0.99) * want.sum() and all(g <= w for g, w in zip(got, want))
+        assert len(made[-1].centre) >= 40 and len(made[-1].top) == -(-50 // wide)
+
+
+def test_copies_of_vectors_count_without_pairs(spark):
+    rows = [(i, [1.0, 0.0, 2.0]) for i in range(500)] + [(500, [1.0, 0.01, 2.0]), (501, [0.0, 1.0, 0.0]), (502, [1e200, 0.0, 2e200])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] == (501, 0) for i in [*range(501), 502]) and got[501] == (0, 501)
+
+
 def test_embedding_blocks_give_the_same_links(spark, monkeypatch):
     rng = np.random.RandomState(6)
     centre = rng.randn(16)
@@ -304,12 +330,70 @@ def test_sketches_recover_every_difference(spark, docs, none):
     assert fingerprint.fingerprint_edits(none).count() == 0
 
 
-def test_sketches_retry_until_large_differences_peel(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "LOAD", 200)  # far too small a first sketch
+def read_print(text):
+    """Digests of a fingerprint's text, by peeling its table in plain Python."""
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    width, cells = text.split(":")
+    table = {}
+    for cell in filter(None, cells.split(",")):
+        c, n, k, h = (int(x, 16) for x in cell.split("."))
+        table[c] = [signed(n), k, h]
+    return int(width, 16), table
+
+
+def peel(width, table, places, check):
+    table, found = {c: list(v) for c, v in table.items()}, []
+    while pure := next(((v[1], v[0]) for v in table.values() if abs(v[0]) == 1 and v[2] == check[v[1]]), None):
+        k, n = pure
+        found.append(k)
+        for j, p in enumerate(places[k]):
+            v = table[j * width + (p & (width - 1))]
+            v[0], v[1], v[2] = v[0] - n, v[1] ^ k, v[2] ^ check[k]
+    return set(found), any(v != [0, 0, 0] for v in table.values())
+
+
+def test_likeness_follows_from_the_two_printed_fingerprints(spark):
+    rng = np.random.RandomState(5)
+    lines = [f"line {i} {rng.randint(10**6)}" for i in range(400)]
+    texts = ["\n".join(rng.choice(lines, n)) for n in (1, 3, 9, 30, 90, 300, 299)] + [""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in fingerprint.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    every = {k for r in got.values() for k in [*r.differing, *r.differing_next]}
+    of = spark.createDataFrame([(k,) for k in every], "k long").selectExpr("k", "xxhash64(k) h", "transform(sequence(0, 2), j -> xxhash64(k, j)) p").collect()
+    u = lambda x: x % 2**64
+    check, places = {u(r.k): u(r.h) for r in of}, {u(r.k): r.p for r in of}
+
+    class Known(dict):
+        def __missing__(self, key):
+            return None
+
+    for i, r in got.items():
+        after = got[i - 1] if i else got[max(got)]
+        sets = []
+        for x in (r.fingerprint, after.fingerprint):
+            width, table = read_print(x)
+            found, left = peel(width, table, places, Known(check))
+            assert sum(v[0] for v in table.values()) % 3 == 0
+            sets.append((found, left, sum(v[0] for v in table.values()) // 3))
+        (a, a_left, n_a), (b, b_left, n_b) = sets
+        if not (a_left or b_left):  # all digests are among those that some text differs in
+            assert len(a) == n_a and len(b) == n_b
+            assert r.near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+            assert {u(k) for k in r.differing_next} == a ^ b
+
+
+def test_sketches_of_very_different_sizes_peel(spark):
     a, b = [xxhash.xxh64_intdigest(str(i)) - 2**63 for i in range(900)], [xxhash.xxh64_intdigest(str(i)) - 2**63 for i in range(300, 1000)]
-    pairs = stage(spark.createDataFrame([(1, 0, a, b), (1, 1, a, a), (2, 0, [], b)], "uid long, kind int, a array<long>, b array<long>"), "test")
-    got = {(r.uid, r.kind): set(r.found) for r in fingerprint.sketch_differences(pairs).collect()}
-    assert got == {(1, 0): set(a) ^ set(b), (2, 0): set(b)}
+    pairs = spark.createDataFrame([(1, a, b), (2, a, a), (3, [], b), (4, b[:3], a), (5, [], [])], "uid long, a array<long>, b array<long>")
+    made = pairs.withColumns({"one": F.expr(fingerprint.sketch_of("a")), "two": F.expr(fingerprint.sketch_of("b"))})
+    got = {r.uid: set(r.d) for r in made.select("uid", F.expr(fingerprint.difference("one", "two")).alias("d")).collect()}
+    assert got == {1: set(a) ^ set(b), 2: set(), 3: set(b), 4: set(a) ^ set(b[:3]), 5: set()}
+
+
+def test_fingerprint_of_a_text_of_many_lines(spark):
+    many = "\n".join(f"line {i * 7919 % 30011}" for i in range(20_000))
+    got = {r.doc_id: r for r in fingerprint.fingerprint_edits(spark.createDataFrame([(1, many), (2, many + "\nmore")], "doc_id long, text string")).collect()}
+    assert got[1].near_next == got[2].near_next == pytest.approx(19_999 / 20_002)  # the last line ends in a line feed in one of them
 
 
 def test_brown_scores(spark, docs, none):
@@ -332,6 +416,81 @@ def test_brown_scores(spark, docs, none):
     assert len(untrained) == len(TEXTS) and all(r.n_known == 0 for r in untrained)
 
 
+def plain_brown(train, texts, longest, clustered, counted):
+    """Scores by the definition: plain loops over words, for small texts."""
+    words = [[*t.encode().lower().split(), None] for t in train]
+    n_of = {}
+    for t in words:
+        for w in t:
+            n_of[w] = n_of.get(w, 0) + 1
+    frequent = sorted((w for w in n_of if w is not None and len(w) <= longest), key=lambda w: (-n_of[w], w))
+    classes = {None: brown.END_CLASS}
+    of = lambda w: classes.get(w, brown.REST_CLASS)
+    top = frequent[:clustered]
+    place = {None: 0, **{w: i + 2 for i, w in enumerate(top)}}
+    pairs = np.zeros((len(top) + 2, len(top) + 2))
+    for t in words:
+        for a, b in zip([None, *t], t):
+            pairs[place.get(a, 1), place.get(b, 1)] += 1
+    classes |= dict(zip(top, brown.exchange(pairs, brown.CLASSES, fixed=2).tolist()))
+
+    def fitted(those):
+        grid = np.zeros((brown.K, brown.K))
+        beside = {w: [] for w in those}
+        for t in words:
+            for a, b in zip([None, *t], t):
+                grid[of(a), of(b)] += 1
+                if a in beside:
+                    beside[a].append(brown.K + of(b))
+                if b in beside:
+                    beside[b].append(of(a))
+        table = brown.fit_table(grid)
+        return {w: int(sum(table[k] for k in ks).argmax()) for w, ks in beside.items()}
+
+    classes |= fitted(frequent[clustered:counted])
+    classes |= fitted([w for w in n_of if w not in classes])
+    grid = np.zeros((brown.K, brown.K))
+    half = lambda w: [of(w), brown.REST_CLASS if w is not None and n_of[w] == 1 else of(w)]
+    for t in words:
+        for a, b in zip([None, *t], t):
+            for x in half(a):
+                for y in half(b):
+                    grid[x, y] += 0.25
+    tokens, types, share = np.zeros(brown.K), np.zeros(brown.K), np.zeros(brown.K)
+    for w, n in n_of.items():
+        tokens[of(w)] += n
+        types[of(w)] += 1
+        for x in half(w):
+            share[x] += n / 2
+    types[brown.REST_CLASS] = 1
+    share = np.where(types > 0, share + 1, 0)
+    share /= share.sum()
+    out = []
+    for t in texts:
+        score, before = 0.0, brown.END_CLASS
+        for w in [*t.encode().lower().split(), None]:
+            c = of(w)
+            score += np.log10((grid[before, c] + brown.MU * share[c]) / (grid[before].sum() + brown.MU))
+            if c < brown.CLASSES:
+                score += np.log10((n_of[w] + 1) / (tokens[c] + types[c]))
+            before = c
+        out.append(score)
+    return out
+
+
+def test_brown_scores_by_plain_loops(spark, monkeypatch):
+    rng = np.random.RandomState(2)
+    words = [("w" if i % 3 else "longword") + str(i) for i in range(60)]
+    chance = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice(words, rng.randint(0, 40), p=chance / chance.sum())) + rng.choice(["", " new", f" once{i}"]) for i in range(80)]
+    held = [i % 4 == 0 for i in range(80)]
+    table = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, held_out boolean")
+    monkeypatch.setattr(brown, "LONGEST", 6), monkeypatch.setattr(brown, "CLUSTERED", 8), monkeypatch.setattr(brown, "COUNTED", 14)
+    got = [r.score for r in brown.class_scores(table).orderBy("doc_id").collect()]
+    want = plain_brown([t for t, h in zip(texts, held) if not h], texts, 6, 8, 14)
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
 def test_exchange_finds_planted_classes_and_never_lowers_its_measure():
     rng = np.random.RandomState(0)
     of, pairs = np.arange(30) % 3, np.zeros((30, 30))
@@ -379,6 +538,102 @@ def test_quality_learns_and_scores_odd_texts(spark, docs, none):
     assert {r.score for r in quality.score(docs, untrained, ["doc_id"]).collect()} == {0.5}
 
 
+def plain_ftrl(rows):
+    """Follow-the-regularised-leader with plain dictionaries, one coordinate after the other."""
+    z, n, w = {}, {}, lambda i: 0.0 if abs(z.get(i, 0.0)) <= quality.L1 else -(z[i] - np.sign(z[i]) * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+    for _ in range(quality.EPOCHS):
+        for x, label in rows:
+            now = {i: w(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(now[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g, old = (p - label) * v, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / quality.ALPHA * now[i]
+                n[i] = old + g * g
+    return {i: w(i) for i in z}
+
+
+@pytest.mark.parametrize("part", [1 << 20, 7])
+def test_quality_weights_and_scores_by_plain_loops(spark, monkeypatch, part):
+    monkeypatch.setattr(quality, "PART", part)
+    rng = np.random.RandomState(8)
+    rows = [(i, " ".join(rng.choice(["Good", "text", "BUY", "now!!", "x1", "x1"], rng.randint(1, 12))), i % 2) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    order = {r.doc_id: r.o for r in table.select("doc_id", F.xxhash64("doc_id", F.lit("quality sample")).alias("o")).collect()}
+
+    def grams(text):
+        blocks = [np.concatenate(f) for f in zip(*quality.features(text))]
+        out = {-1: 1.0}
+        for f in blocks:
+            for i in f.tolist():
+                out[i] = out.get(i, 0.0) + quality.SCALE / len(f)
+        return out
+
+    assert all(len(np.concatenate(f)) == len(t.split()) - k for _, t, _ in rows for f, k in zip(zip(*quality.features(t)), (0, 1, 0, 1)))
+    want = plain_ftrl([(grams(t), y) for i, t, y in sorted(rows, key=lambda r: order[r[0]])])
+    weights = quality.train(table)
+    got = np.frombuffer(weights, "<f4")
+    assert all(abs(got[i + 1] - v) < 1e-4 for i, v in want.items()) and np.count_nonzero(got) == sum(abs(v) > 0 for v in want.values())
+    scores = {r.doc_id: r.score for r in quality.score(table, weights, ["doc_id"]).collect()}
+    for i, t, _ in rows:
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-sum(want.get(k, 0.0) * v for k, v in grams(t).items()))), abs=1e-4)
+
+
+def test_letters_are_letters_only(spark):
+    table = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("uno dos tres", "es"), ("one two three", "en")])], "doc_id long, text string, lang string")
+    model = langid.learn(table)
+    odd = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ 12 _ -"), (3, "uno½"), (4, "\u0301 ́")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, model, ["doc_id"]).collect()}
+    assert got[1] == got[2] == got[4] == ("und", 0.0) and got[3] == ("es", 1.0)
+
+
+def test_two_hundred_languages_and_rare_ones(spark):
+    rng = np.random.RandomState(1)
+    word = lambda i: "".join(chr(97 + (i * 7 + k * 3) % 26) for k in range(4)) + chr(97 + i % 26) + chr(97 + i // 26)
+    rows = [(i, " ".join([word(i)] * 6), f"l{i:03d}") for i in range(200)]
+    rows += [(1000 + k, " ".join([word(0)] * 6), "l000") for k in range(300)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=20)
+    assert len(model.langs) == 200
+    got = langid.identify(spark.createDataFrame(rows[:200], "doc_id long, text string, lang string"), model, ["doc_id", "lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in got) and rng is not None
+
+
+def test_language_of_texts_by_plain_search(spark):
+    rng = np.random.RandomState(4)
+    own = {"aa": ["kala", "kalo", "moki", "taka"], "bb": ["brush", "strum", "kalb", "glim"], "cc": ["дом", "кот", "моки"]}
+    rows = [(i, " ".join(rng.choice(own[x], 5)), x) for i, x in enumerate(["aa", "bb", "cc"] * 6)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [" ".join(rng.choice([*own["aa"], *own["bb"], *own["cc"], "77", "x", "brushkala"], rng.randint(1, 7))) for _ in range(40)]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).orderBy("doc_id").collect()
+
+    def grams(word):
+        raw = b"^" + word.encode() + b"$"
+        return langid.trigrams([word])[0][: len(raw) - 2]
+
+    counts, scripts = np.full((langid.BUCKETS, 3), 0.5), {}
+    for _, text, x in rows:
+        for w in text.split():
+            np.add.at(counts[:, model.langs.index(x)], grams(w), 1)
+            scripts.setdefault(langid.script_of(w), set()).add(model.langs.index(x))
+    table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    for r, text in zip(got, texts):
+        words = [langid.letters(w) for w in text.split()]
+        costs = []
+        for w in words:
+            fits = scripts.get(langid.script_of(w), {0, 1, 2})
+            s = table[grams(w)].sum(axis=0)
+            best = max(s[c] for c in fits)
+            costs.append([max(s[c] - best, -langid.CLIP) if c in fits else -langid.CLIP for c in range(3)] if w else [0.0] * 3)
+        value = lambda p: sum(c[x] for c, x in zip(costs, p)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:]))
+        best = max(map(value, itertools.product(range(3), repeat=len(words))))
+        labels = [model.langs.index(s.lang) for s in r.spans for _ in range(s.words)]
+        if not any(words):
+            assert (r.lang_pred, r.score, r.spans) == ("und", 0.0, [])
+            continue
+        assert value(labels) == pytest.approx(best, abs=1e-3)
+        sizes = [sum(len(w) for w, x in zip(words, labels) if x == c) for c in range(3)]
+        assert r.lang_pred == model.langs[int(np.argmax(sizes))] and r.score == pytest.approx(max(sizes) / sum(sizes))
+
+
 def test_language_spans_and_odd_texts(spark, docs, none):
     de = "der hund und die katze gehen nicht in das haus weil es regnet"
     en = "the dog and the cat do not go into the house because it rains"

@@ -1,11 +1,12 @@
 """Brown class-based bigram language model, and its score of every text.
 
 p(text) = product of p(class | class before) x p(word | class). Exchange clustering puts the most frequent
-words into classes so that neighbouring classes tell most about each other; the next most frequent words
-go, in one exchange step each, to the class that fits the classes around them best; all other words, seen
-or not, make up one class of their own. Counts of all words, of class pairs and of contexts are summed
-over the whole training part; what grows with the vocabulary stays in tables and is joined, and only
-tables with a set number of rows come to the driver or go to the tasks."""
+words into classes so that neighbouring classes tell most about each other; every other training word then
+goes, in one exchange step, to the class that fits the classes on both its sides best. Counts of all words,
+of class pairs and of contexts are summed over the whole training part; what grows with the vocabulary
+stays in tables and is joined, and only tables with a set number of rows come to the driver or go to tasks.
+Words that training has not seen are one further type in a class of its own. A word seen once would be
+unseen had its text been left out, so its one occurrence counts half for its own class and half for that."""
 
 from __future__ import annotations
 
@@ -15,16 +16,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import in_batches, stage, tasks
 from .tables import fold, read
 
-#: Words that tasks look up by themselves, at most, each of at most LONGEST bytes; others are joined.
+#: Words that tasks look up by themselves, at most, each of at most LONGEST bytes; all others are joined.
 FREQUENT, LONGEST = 131_072, 64
-#: Words that the exchange algorithm clusters, words that are then put into a class, and classes.
-CLUSTERED, CLASSED, CLASSES, PASSES = 1024, 16_384, 64, 8
+#: Words that the exchange algorithm clusters; words whose contexts are counted in tasks as one dense table; classes; passes.
+CLUSTERED, COUNTED, CLASSES, PASSES = 1024, 16_384, 64, 8
 #: Words that a task counts before it passes their counts on; pseudo-count of the class distribution.
 HELD, MU = 300_000, 5.0
 RARE, END = 0, 1  # ids; frequent words follow from 2 on
@@ -84,12 +86,12 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pairs(batches, words: int):
-    """Counts of neighbours among ids below `words`, one row for each first id."""
+    """Counts of neighbours among ids below `words`; all others count as RARE."""
     found = np.zeros(words * words, np.int64)
     for batch in batches:
         flat, before, _ = _flat(batch.column(0))
-        both = (flat < words) & (before < words)
-        found += np.bincount(before[both] * words + flat[both], minlength=words * words)
+        flat, before = np.where(flat < words, flat, RARE), np.where(before < words, before, RARE)
+        found += np.bincount(before * words + flat, minlength=words * words)
     yield from _rows(found)
 
 
@@ -111,7 +113,77 @@ def _contexts(batches, classes: np.ndarray, lo: int, hi: int):
     yield from _rows(found)
 
 
-def _transitions(batches, classes: np.ndarray):
+def _word_contexts(batches, names, classes: np.ndarray, lo: int):
+    """(ids, rare) to (word, k, n): how often k = side x K + class is beside each word that is rare or has an id from `lo` on."""
+    for batch in batches:
+        flat, before, _ = _flat(batch.column(0))
+        after = np.append(flat[1:], END)  # the last of a text is END, which no row is about
+        at = np.flatnonzero((flat >= lo) | (flat == RARE))
+        is_rare, ids = flat[at] == RARE, flat[at]
+        words = batch.column(1).flatten()
+        # rare words by their order, frequent ones by id, behind each other
+        which = np.where(is_rare, np.cumsum(is_rare) - 1, len(words) + ids - lo)
+        both = np.concatenate((which * (2 * K) + classes[before[at]], which * (2 * K) + K + classes[after[at]]))
+        key, n = np.unique(both, return_counts=True)
+        word = pa.concat_arrays([words, names]).take(pa.array(key // (2 * K)))
+        for i in range(0, len(key), 50_000):
+            cut = slice(i, i + 50_000)
+            columns = [word[i : i + 50_000], pa.array((key[cut] % (2 * K)).astype(np.int32)), pa.array(n[cut])]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "k", "n"])
+
+
+def _fitted(batches, table: np.ndarray):
+    """(word, k, n), sorted by word, to (word, class): the class whose fit to all of a word's contexts is best."""
+    held, fit = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        word = batch.column(0)
+        cut = np.flatnonzero(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)) + 1
+        begins = np.concatenate(([0], cut))
+        sums = np.add.reduceat(table[batch.column(1).to_numpy()] * batch.column(2).to_numpy()[:, None], begins, axis=0)
+        words = word.take(pa.array(begins))
+        if held is not None and words[0].as_py() == held.as_py():
+            sums[0] += fit
+        elif held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held.as_py()], pa.binary()), pa.array([fit.argmax()], pa.int32())], names=["word", "class"])
+        held, fit = words[-1], sums[-1]
+        if len(begins) > 1:
+            best = pa.array(sums[:-1].argmax(axis=1), pa.int32())
+            yield pa.RecordBatch.from_arrays([words[:-1].cast(pa.binary()), best], names=["word", "class"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held.as_py()], pa.binary()), pa.array([fit.argmax()], pa.int32())], names=["word", "class"])
+
+
+def _sequence(batch, at: int, classes: np.ndarray, number: np.ndarray):
+    """Classes and training counts of a batch's tokens from columns ids, rare_class and rare_n; END before each text; offsets."""
+    ids, before, ends = _flat(batch.column(at))
+    cls, n = classes[ids], number[ids]
+    cls[ids == RARE] = batch.column(at + 1).flatten().to_numpy()
+    n[ids == RARE] = batch.column(at + 2).flatten().to_numpy()
+    first = np.zeros(len(ids), bool)
+    first[ends[:-1]] = True
+    return cls, n, first, ends
+
+
+def _before(values: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    return np.where(first, start, np.concatenate(([start], values[:-1]))[: len(values)])
+
+
+def _transitions(batches, classes: np.ndarray, number: np.ndarray):
+    """Counts of neighbouring classes times four: each token as it is and, if seen once, as unseen."""
+    found = np.zeros(K * K, np.int64)
+    for batch in batches:
+        cls, n, first, _ = _sequence(batch, 0, classes, number)
+        left_out = np.where((n == 1) & (cls != END_CLASS), REST_CLASS, cls)
+        for a in (cls, left_out):
+            for b in (cls, left_out):
+                found += np.bincount(_before(a, first, END_CLASS) * K + b, minlength=K * K)
+    yield from _rows(found)
+
+
+def _grid(batches, classes: np.ndarray):
+    """Counts of neighbouring classes where words without an id count as unseen."""
     found = np.zeros(K * K, np.int64)
     for batch in batches:
         flat, before, _ = _flat(batch.column(0))
@@ -131,18 +203,19 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES, fixed: int = 0) -> np.ndarray:
     """Class of each word, by moving one word at a time to where the classes' mutual information is largest.
 
-    pairs: counts of word after word. Words start dealt out by rank; passes end when no word moves."""
-    n = len(pairs)
-    of = np.arange(n) % classes
-    one = np.eye(classes)[of]
+    pairs: counts of word after word; the first `fixed` words each stay alone in a class behind `classes`.
+    Words start dealt out by rank; passes end when no word moves."""
+    n, wide = len(pairs), classes + fixed
+    of = np.concatenate((classes + np.arange(fixed), np.arange(n - fixed) % classes))
+    one = np.eye(wide)[of]
     grid = one.T @ pairs @ one
     for _ in range(passes):
         moved = 0
-        for w in range(n):
-            row, col = np.bincount(of, pairs[w], classes), np.bincount(of, pairs[:, w], classes)
+        for w in range(fixed, n):
+            row, col = np.bincount(of, pairs[w], wide), np.bincount(of, pairs[:, w], wide)
             own, self_ = of[w], pairs[w, w]
             row[own] -= self_
             col[own] -= self_
@@ -155,7 +228,7 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarra
             gain += _xlogx(same + row + col + self_) + _xlogx(same) - _xlogx(same + row) - _xlogx(same + col)
             out, into = row.sum() + self_, col.sum() + self_
             gain -= _xlogx(left + out) - _xlogx(left) + _xlogx(right + into) - _xlogx(right)
-            best = int(gain.argmax()) if gain.max() > gain[own] + 1e-9 else own
+            best = int(gain[:classes].argmax()) if gain[:classes].max() > gain[own] + 1e-9 else own
             moved += best != own
             of[w] = best
             grid[best] += row
@@ -163,31 +236,30 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarra
             grid[best, best] += self_
         if not moved:
             break
-    return of
+    return of[fixed:]
 
 
-def fitting(contexts: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Class of each word from counts [words, side, class] and class pair counts: one exchange step, all words at once."""
+def fit_table(grid: np.ndarray) -> np.ndarray:
+    """Log-fit of each class (column) to a class before (first K rows) and after (last K) it, from counts of class pairs."""
     smooth = grid + 0.1
-    to = np.log(smooth / smooth.sum(0)).T[:CLASSES]  # class, class before it
-    on = np.log(smooth / smooth.sum(1)[:, None])[:CLASSES]  # class, class after it
-    fit = contexts[:, 0] @ to.T + contexts[:, 1] @ on.T
-    return np.where(contexts.sum((1, 2)) > 0, fit.argmax(1), REST_CLASS)
+    before = np.log(smooth / smooth.sum(0))[:, :CLASSES]  # class before, class
+    after = np.log(smooth / smooth.sum(1)[:, None])[:CLASSES].T  # class after, class
+    return np.concatenate((before, after))
 
 
-def _scored(batches, classes, log_next, log_word, log_base):
-    """(uid, doc_id, held_out, ids) to each text's sums over the words that have an id, and its number of others."""
+def _scored(batches, classes, number, log_next, size, log_total: float):
+    """(doc_id, held_out, ids, rare_class, rare_n) to (doc_id, held_out, n_tokens, n_known, score, base_score)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        flat, before, at = _flat(batch.column(3))
-        total = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  no text is without its end
-        known = flat != RARE
-        score = total(log_next[classes[before], classes[flat]] + log_word[flat])
-        columns = [pa.array(np.diff(at).astype(np.int64)), pa.array(total((~known).astype(np.int64)))]
-        columns += [pa.array(score), pa.array(total(log_base[flat]))]
+        cls, n, first, ends = _sequence(batch, 2, classes, number)
+        total = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: E731  no text is without its end
+        logs = np.log10(n + 1)
+        score = log_next[_before(cls, first, END_CLASS), cls] + np.where(cls < CLASSES, logs - np.log10(size)[cls], 0.0)
+        columns = [pa.array(np.diff(ends).astype(np.int64)), pa.array(total((n > 0).astype(np.int64)))]
+        columns += [pa.array(total(score)), pa.array(total(logs - log_total))]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], *columns], names=["uid", "doc_id", "held_out", "n_tokens", "n_rare", "score", "base_score"]
+            [*batch.columns[:2], *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "score", "base_score"]
         )
 
 
@@ -198,11 +270,12 @@ def class_scores(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     probabilities of a text's words and its end over the training words and one further type for all
     unseen ones; base_score is that of the add-one unigram model. Null texts count as empty: the end
     alone. Rows with a null `held_out` are scored, not learned from; repeated rows and null doc_ids stay;
-    with nothing to learn from, every word is unseen and p is 1 for the one type there is."""
+    with nothing to learn from, every word is unseen and p is 1 for the one type there is. Words longer
+    than LONGEST bytes are words like others, only never looked up in tasks."""
     held = F.coalesce(F.col(held_out), F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     train = rows.where(~F.col("held_out"))
-    counted = train.select("text").mapInArrow(_word_counts, "word binary, n long")
+    counted = in_batches(train.select("text"), _word_counts, "word binary, n long")
     counts = stage(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     ends = train.count()
     size = counts.agg(F.count("n").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -220,66 +293,65 @@ def class_scores(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     table = counts.where(is_frequent).select("n", "word").toArrow()  # at most FREQUENT short words
     frequent = sorted(zip(*(c.to_pylist() for c in table.columns)), key=lambda r: (-r[0], r[1]))
     ids = {w: i + 2 for i, (_, w) in enumerate(frequent)}
-    number = np.array([0, ends, *[c for c, _ in frequent]], np.float64)
+    number = np.array([0, ends, *[c for c, _ in frequent]], np.int64)
 
-    encoded = rows.mapInArrow(partial(_encoded, ids=ids), "doc_id long, held_out boolean, ids array<int>, rare array<binary>")
+    encoded = in_batches(rows, partial(_encoded, ids=ids), "doc_id long, held_out boolean, ids array<int>, rare array<binary>")
     encoded = stage(encoded.withColumn("uid", F.monotonically_increasing_id()), "encoded")
     learned = encoded.where(~F.col("held_out")).select("ids")
 
-    top, classed = min(CLUSTERED + 2, len(number)), min(CLASSED + 2, len(number))
+    top, dense = min(CLUSTERED + 2, len(number)), min(COUNTED + 2, len(number))
     classes = np.full(len(number), REST_CLASS)
     classes[END] = END_CLASS
+    grid_of = lambda: _summed(learned.mapInArrow(partial(_grid, classes=classes), "k long, n long"), K * K).reshape(K, K)
     if top > 2:
         pairs = _summed(learned.mapInArrow(partial(_pairs, words=top), "k long, n long"), top * top).reshape(top, top)
-        classes[2:top] = exchange(pairs[2:, 2:], CLASSES)
-    if classed > top:
-        step_one = _transition_counts(learned, classes)
-        found = learned.mapInArrow(partial(_contexts, classes=classes, lo=top, hi=classed), "k long, n long")
-        contexts = _summed(found, (classed - top) * 2 * K).reshape(classed - top, 2, K)
-        classes[top:classed] = fitting(contexts, step_one)
-    grid = _transition_counts(learned, classes)
-
-    # words and tokens of each class; the rest has the further type for unseen words
-    tokens_in = np.bincount(classes[1:], number[1:], K)
-    types_in = np.bincount(classes[1:], minlength=K).astype(float)
-    tokens_in[REST_CLASS] = n - tokens_in.sum() + tokens_in[REST_CLASS]
-    types_in[REST_CLASS] = v - (types_in.sum() - types_in[REST_CLASS]) + 1 if ends else 1
-    if not ends:
-        types_in[END_CLASS] = 0
-    used = types_in > 0
-    share = np.where(used, tokens_in + 1, 0)
+        order = [END, RARE, *range(2, top)]  # END and all other words stay in classes of their own
+        classes[2:top] = exchange(pairs[np.ix_(order, order)], CLASSES, fixed=2)
+    if dense > top:
+        found = learned.mapInArrow(partial(_contexts, classes=classes, lo=top, hi=dense), "k long, n long")
+        contexts = _summed(found, (dense - top) * 2 * K).reshape(dense - top, 2 * K)
+        classes[top:dense] = (contexts @ fit_table(grid_of())).argmax(axis=1)
+    names = pa.array([w for _, w in frequent[dense - 2 :]], pa.binary())
+    about = encoded.where(~F.col("held_out")).select("ids", "rare")
+    beside = in_batches(about, partial(_word_contexts, names=names, classes=classes, lo=dense), "word binary, k int, n long")
+    dealt = beside.repartition(tasks(docs.sparkSession), "word").sortWithinPartitions("word")
+    fitted = stage(dealt.mapInArrow(partial(_fitted, table=fit_table(grid_of())), "word binary, class int"), "word-classes")
+    fitted = stage(counts.join(fitted, "word").select("word", "n", "class", is_frequent.alias("is_frequent")), "classed-words")
+    for word, c in fitted.where("is_frequent").select("word", "class").toArrow().to_pandas().itertuples(index=False):
+        classes[ids[word]] = c
+    rare = fitted.where("NOT is_frequent").select("word", F.col("class"), "n")
+
+    # classes and counts of each text's rare words, in their order
+    each = encoded.where(F.size("rare") > 0).select("uid", F.posexplode("rare").alias("pos", "word")).join(rare, "word", "left")
+    token = F.struct("pos", F.coalesce("class", F.lit(REST_CLASS)).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    by_text = each.groupBy("uid").agg(F.array_sort(F.collect_list(token)).alias("rare"))
+    texts = encoded.drop("rare").join(by_text, "uid", "left").select(
+        "doc_id", "held_out", "ids", F.coalesce("rare.class", F.array().cast("array<int>")).alias("rare_class"),
+        F.coalesce("rare.n", F.array().cast("array<bigint>")).alias("rare_n"))
+    texts = stage(texts, "classed-texts")
+
+    learned = texts.where(~F.col("held_out")).select("ids", "rare_class", "rare_n")
+    found = learned.mapInArrow(partial(_transitions, classes=classes, number=number), "k long, n long")
+    grid = _summed(found, K * K).reshape(K, K) / 4
+    # words and tokens of each class
+    tokens_in, types_in = np.bincount(classes[1:], number[1:], K), np.bincount(classes[1:], minlength=K).astype(float)
+    once = np.bincount(classes[2:], number[2:] == 1, K)
+    for r in rare.groupBy("class").agg(F.count("n").alias("v"), F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).collect():
+        tokens_in[r["class"]] += r.n
+        types_in[r["class"]] += r.v
+        once[r["class"]] += r.once
+    share = tokens_in - once / 2
+    share[REST_CLASS], types_in[REST_CLASS] = once.sum() / 2, 1
+    share = np.where(types_in > 0, share + 1, 0)
     share /= share.sum()
-    log_next = np.log10(np.maximum((grid + MU * share) / (grid.sum(1, keepdims=True) + MU), 1e-300))
-    rest = float(tokens_in[REST_CLASS] + types_in[REST_CLASS])
-    log_word = np.log10((number + 1) / (tokens_in + types_in + (types_in == 0))[classes])
-    log_word[END], log_word[RARE] = 0.0, -np.log10(rest)
-    log_base = np.log10((number + 1) / (n + v + 1))
-    log_base[RARE] = -np.log10(n + v + 1)
-    if not ends:
-        log_next[:] = 0.0
-
-    apply = partial(_scored, classes=classes, log_next=log_next, log_word=log_word, log_base=log_base)
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_rare long, score double, base_score double"
-    scored = encoded.select("uid", "doc_id", "held_out", "ids").mapInArrow(apply, schema)
-    other = encoded.select("uid", F.explode("rare").alias("word")).join(counts.where(~is_frequent), "word", "left")
-    sums = other.groupBy("uid").agg(F.count("n").alias("seen"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs"))
-    both = scored.join(sums, "uid", "left")
-    seen, logs = F.coalesce("seen", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    score = F.col("score") + logs
-    return both.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_tokens") - F.col("n_rare") + seen - (0 if ends else 1)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + logs).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
-    )
-
+    log_next = np.log10(np.maximum((grid + MU * share) / (grid.sum(1, keepdims=True) + MU), 1e-300)) if ends else np.zeros((K, K))
 
-def _transition_counts(learned: DataFrame, classes: np.ndarray) -> np.ndarray:
-    return _summed(learned.mapInArrow(partial(_transitions, classes=classes), "k long, n long"), K * K).reshape(K, K)
+    apply = partial(_scored, classes=classes, number=number, log_next=log_next, size=np.maximum(tokens_in + types_in, 1), log_total=np.log10(n + v + 1))
+    scored = texts.mapInArrow(apply, "doc_id long, held_out boolean, n_tokens long, n_known long, score double, base_score double")
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", perplexity
+    )
 
 
 def op7_brown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by an inverted-list index with product-quantised residuals.
 
-Vectors are scaled to length 1, so cosine c is squared distance 2 - 2c. A coarse quantiser, fitted on a
-bounded sample, puts every vector into its nearest list; its residual is coded per subspace. A query
-probes every list that can hold a vector close enough: two vectors within distance r whose nearest
-centroids are a and c satisfy d(x,c)^2 - d(x,a)^2 <= 2 r d(a,c), so probes by this bound lose nothing. In
-a list, distances to all codes come from a table per query; the triangle inequality with the stored
+Vectors are scaled to length 1, so cosine c is squared distance 2 - 2c. A coarse quantiser of two levels,
+fitted on a bounded sample, puts every vector into one list; its residual is coded per subspace. A query
+probes lists by a bound: two vectors within distance r whose nearest centroids of a level are a and c
+satisfy d(x,c)^2 - d(x,a)^2 <= 2 r d(a,c), so probes by the whole radius lose nothing (`exact`). By default
+the radius counts by the share of a difference that can point across a border, as measured on the sample.
+In a list, distances to all codes come from a table per query; the triangle inequality with the stored
 coding error keeps every member that can be close enough, and those are ranked by exact cosine."""
 
 from __future__ import annotations
@@ -17,45 +18,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import stage
+from .staging import in_batches, stage
 from .tables import read
 
-#: Bound of the vectors that the index is fitted on, in expectation; of its lists; vectors a list is meant for.
-MAX_FITTED, MAX_LISTS, LIST = 8192, 2048, 256
-SUBSPACES, CODES, ROUNDS = 8, 256, 6
-#: Standard deviations of a difference's component across a list's border that probes allow for.
-SPREAD = 2.5
+#: Vectors a list is meant for; vectors that the index is fitted on for each list, and at least.
+LIST, PER_LIST, LEAST_FITTED = 256, 4, 8192
+#: Bounds of the fitted sample, in expectation: its vectors, and its bytes as doubles. Lists are a fourth of it at most.
+MAX_FITTED, FITTED_BYTES = 262_144, 128 << 20
+#: Lists below one centroid of the upper level; subspaces, codes and rounds of fitting.
+WIDE, SUBSPACES, CODES, ROUNDS = 256, 8, 256, 6
+#: Standard deviations of a difference's direction across a border, and the quantile of measured ones, that probes allow for.
+SPREAD, QUANTILE = 2.5, 0.995
 #: Most members, and most queries, that one task compares at a time; larger lists are cut into such blocks.
 BLOCK = 2048
 SLACK = 1e-7
 
 
-def unit_rows(vectors: list) -> np.ndarray | None:
-    """Vectors as double rows of length 1."""
+def unit_rows(vectors) -> np.ndarray:
+    """Vectors as double rows of length 1, whatever their scale."""
     x = np.array(vectors, dtype=np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def usable(batch) -> np.ndarray:
-    """Which vectors are neither null nor zero and hold only finite components."""
-    found = np.zeros(batch.num_rows, bool)
-    for i, v in enumerate(batch.column(1)):
-        v = v.as_py()
-        if v and None not in v:
-            a = np.array(v, dtype=np.float64)
-            found[i] = bool(np.isfinite(a).all() and a.any())
-    return found
+def _matrix(column) -> np.ndarray:
+    """An Arrow column of equally long lists as unit rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return unit_rows(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
 
 
 def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0)
 
 
+def _nearest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squared(x[i : i + 2048], y).argmin(1) for i in range(0, len(x), 2048)])
+
+
 def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Lloyd's algorithm from distinct sample rows; a centroid without rows stays where it is."""
     centre = x[np.random.RandomState(seed).permutation(len(x))[:k]].copy()
     for _ in range(ROUNDS):
-        nearest = np.concatenate([_squared(x[i : i + 4096], centre).argmin(1) for i in range(0, len(x), 4096)])
+        nearest = _nearest(x, centre)
         n = np.bincount(nearest, minlength=len(centre))
         sums = np.zeros_like(centre)
         np.add.at(sums, nearest, x)
@@ -64,47 +69,105 @@ def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and codebooks of residuals, one for each run of dimensions."""
-
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.centre = _means(sample, lists, 1)
-        residual = sample - self.centre[_squared(sample, self.centre).argmin(1)]
+    """Centroids of two levels, codebooks of residuals for each run of dimensions, and the share of a radius that probes reach."""
+
+    def __init__(self, sample: np.ndarray, lists: int, cosine: float, exact: bool = False):
+        self.top = _means(sample, -(-lists // WIDE), 1)
+        above = _nearest(sample, self.top)
+        self.sub = []
+        for t in range(len(self.top)):
+            rows = sample[above == t]
+            k = min(len(rows), max(1, round(lists * len(rows) / len(sample))))
+            self.sub.append(_means(rows, k, 2 + t) if k else self.top[t : t + 1])
+        self.first = np.cumsum([0, *map(len, self.sub)])
+        self.centre = np.concatenate(self.sub)
+        some = sample[:LEAST_FITTED]
+        residual = some - self.centre[self.own(some)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [_means(residual[:, c], CODES, 2 + i) for i, c in enumerate(self.cuts)]
-        self.apart = np.sqrt(_squared(self.centre, self.centre))
-
-    def assign(self, x: np.ndarray, radius: float):
-        """Own list, codes, coding error, and lists that a vector within `radius` can be in."""
-        d = _squared(x, self.centre)
-        own = d.argmin(1)
+        self.radius = float(np.sqrt(2 - 2 * cosine)) + SLACK
+        self.share = 1.0 if exact else self._share(some, cosine)
+
+    def _share(self, some: np.ndarray, cosine: float) -> float:
+        """How much of a difference points from a centroid to one near it: by the spread of such directions along
+        their main axis, and by the links of the sample itself if it has any."""
+        if len(self.centre) < 2:
+            return 1.0
+        at = np.random.RandomState(0).permutation(len(self.centre))[:1024]
+        others = np.argsort(_squared(self.centre[at], self.centre), axis=1)[:, 1:17]
+        way = self.centre[others] - self.centre[at][:, None]
+        way = (way / np.maximum(np.linalg.norm(way, axis=2, keepdims=True), 1e-12)).reshape(-1, some.shape[1])
+        share = SPREAD * np.sqrt(np.linalg.eigvalsh(way.T @ way / len(way))[-1])
+        found = []
+        for i in range(0, len(some), 1024):
+            p, q = np.nonzero(some[i : i + 1024] @ some.T >= cosine)
+            p, q = p[p + i < q][:512] + i, q[p + i < q][:512]
+            apart = np.linalg.norm(some[q] - some[p], axis=1)
+            p, q, apart = p[apart > 1e-6], q[apart > 1e-6], apart[apart > 1e-6]
+            if len(p):
+                own = self.own(some[p])
+                near = np.argsort(_squared(self.centre[own], self.centre), axis=1)[:, 1:9]
+                ways = self.centre[near] - self.centre[own][:, None]
+                length = np.maximum(np.linalg.norm(ways, axis=2), 1e-12)
+                found.append(np.abs(np.einsum("ij,ikj->ik", some[q] - some[p], ways) / length / apart[:, None]).ravel())
+        if found:
+            share = max(share, np.quantile(np.concatenate(found), QUANTILE))
+        return float(min(1.0, share))
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """List of each row: the nearest centroid below the nearest one of the upper level."""
+        above, out = _nearest(x, self.top), np.empty(len(x), np.int64)
+        for t in np.unique(above):
+            out[above == t] = self.first[t] + _nearest(x[above == t], self.sub[t])
+        return out
+
+    def coded(self, x: np.ndarray):
+        """Own list, codes and coding error."""
+        own = self.own(x)
         residual = x - self.centre[own]
         codes = np.stack([_squared(residual[:, c], b).argmin(1) for c, b in zip(self.cuts, self.books)], axis=1)
         decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
-        error = np.linalg.norm(residual - decoded, axis=1)
-        reach = (radius + SLACK) * min(1.0, SPREAD / np.sqrt(x.shape[1]))
-        probes = d - d[np.arange(len(x)), own][:, None] <= 2 * reach * self.apart[own]
-        return own, codes.astype(np.uint8), error, probes
-
-    def near(self, query: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
-        """Which of a list's members each query can be within `radius` of, by table lookups."""
+        return own, codes.astype(np.uint8), np.linalg.norm(residual - decoded, axis=1)
+
+    def _within(self, x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        """Which centroids can be the nearest of a vector within reach of each row."""
+        d, apart = _squared(x, centres), np.sqrt(_squared(centres, centres))
+        nearest = d.argmin(1)
+        return d - d[np.arange(len(x)), nearest][:, None] <= 2 * self.radius * self.share * apart[nearest]
+
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list): lists that can hold a vector within reach of each row, by rows."""
+        above, rows, lists = self._within(x, self.top), [], []
+        for t in np.flatnonzero(above.any(axis=0)):
+            at = np.flatnonzero(above[:, t])
+            row, j = np.nonzero(self._within(x[at], self.sub[t]))
+            rows.append(at[row]), lists.append(self.first[t] + j)
+        row, to = np.concatenate(rows), np.concatenate(lists)
+        order = np.argsort(row, kind="stable")
+        return row[order], to[order]
+
+    def near(self, query: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """Which of a list's members each query can be within the radius of, by table lookups."""
         residual, d = query - self.centre[at], np.zeros((len(query), len(codes)))
         for i, (c, book) in enumerate(zip(self.cuts, self.books)):
             d += _squared(residual[:, c], book)[:, codes[:, i]]
-        return d <= (radius + SLACK + error)[None, :] ** 2
+        return d <= (self.radius + error)[None, :] ** 2
 
 
-def _placed(batches, index: Index, radius: float):
-    """(vec_id, embedding) to (vec_id, embedding, list, code, error, probes)."""
+def _placed(batches, index):
+    """(rep, n, embedding) to (rep, n, embedding, list, code, error, probes)."""
+    index = index.value
     for batch in batches:
-        batch = batch.filter(pa.array(usable(batch)))
-        for i in range(0, batch.num_rows, 4096):
-            part = batch.slice(i, 4096)
-            own, codes, error, probes = index.assign(unit_rows(part.column(1).to_pylist()), radius)
-            columns = [pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes]), pa.array(error)]
-            columns.append(pa.array([np.flatnonzero(p).tolist() for p in probes], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, *columns], names=["vec_id", "embedding", "list", "code", "error", "probes"]
-            )
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.slice(i, 1024)
+            x = _matrix(part.column(2))
+            own, codes, error = index.coded(x)
+            row, to = index.probes(x)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(x)))))
+            probes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(to, pa.int32()))
+            columns = [pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes]), pa.array(error), probes]
+            names = ["rep", "n", "embedding", "list", "code", "error", "probes"]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=names)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,101 +185,115 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[label]
 
 
-def _compared(key, table, index: Index, cosine: float):
-    """One list's block of members against one block of queries: (vec_id, links, root) of linked vectors."""
-    radius, at = float(np.sqrt(2 - 2 * cosine)), key[0].as_py()
-    member = np.array(table.column("member").to_pylist(), bool)
-    ids, x = table.column("vec_id").to_numpy(), unit_rows(table.column("embedding").to_pylist())
+def _compared(key, table, index, cosine: float):
+    """One list's block of members against one block of queries: (rep, links, root) of linked vectors.
+
+    A link counts for its query, and for its member too if the member does not probe the query's list itself."""
+    index, at = index.value, key[0].as_py()
+    table = table.combine_chunks()
+    member = table.column("member").to_numpy()
+    ids, n, home, x = *(table.column(c).to_numpy() for c in ("rep", "n", "home")), _matrix(table.column("embedding"))
     inside = table.filter(pa.array(member))
-    codes = np.array([list(c) for c in inside.column("code").to_pylist()], np.uint8).reshape(len(inside), -1)
+    codes = np.frombuffer(b"".join(inside.column("code").to_pylist()), np.uint8).reshape(len(inside), -1)
     error = inside.column("error").to_numpy()
     mine, query, ids_m, ids_q = x[member], x[~member], ids[member], ids[~member]
     a, b = [], []
     for i in range(0, len(query) if len(mine) else 0, 256):
-        q, m = np.nonzero(index.near(query[i : i + 256], at, codes, error, radius))
+        q, m = np.nonzero(index.near(query[i : i + 256], at, codes, error))
         q, m = q[ids_q[q + i] != ids_m[m]] + i, m[ids_q[q + i] != ids_m[m]]
         for j in range(0, len(q), 65536):
             close = np.einsum("ij,ij->i", query[q[j : j + 65536]], mine[m[j : j + 65536]]) >= cosine
-            a.append(ids_q[q[j : j + 65536][close]]), b.append(ids_m[m[j : j + 65536][close]])
-    a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
-    nodes, roots = _forest(a, b) if len(a) else (a, a)
-    own, n = np.unique(a, return_counts=True)
-    links = np.zeros(len(nodes), np.int64)
-    links[np.searchsorted(nodes, own)] = n
-    return pa.table({"vec_id": pa.array(nodes, pa.int64()), "links": pa.array(links), "root": pa.array(roots, pa.int64())})
-
-
-def fit(vectors: DataFrame, a_list: int = LIST, most: int = MAX_FITTED) -> Index | None:
-    """Index from about `most` vectors of (vec_id, embedding) at most, the ones with the lowest hashes; None without any."""
+            a.append(q[j : j + 65536][close]), b.append(m[j : j + 65536][close])
+    q, m = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
+    nodes, roots = _forest(ids_q[q], ids_m[m]) if len(q) else (q, q)
+    links = np.bincount(np.searchsorted(nodes, ids_q[q]), n[member][m], len(nodes))
+    if index.share < 1 and len(q):
+        some, which = np.unique(m, return_inverse=True)
+        row, to = index.probes(mine[some])
+        lists = len(index.centre)
+        alone = ~np.isin(which * lists + home[~member][q], row * lists + to)
+        links += np.bincount(np.searchsorted(nodes, ids_m[m[alone]]), n[~member][q[alone]], len(nodes))
+    return pa.table({"rep": pa.array(nodes, pa.int64()), "links": pa.array(links.astype(np.int64)), "root": pa.array(roots, pa.int64())})
+
+
+def fit(vectors: DataFrame, dims: int, cosine: float = 0.95, exact: bool = False, a_list: int = LIST) -> Index:
+    """Index of (rep, embedding), usable vectors of `dims` dimensions: a list for each `a_list`, fitted on the vectors with
+    the lowest hashes, about PER_LIST a list within MAX_FITTED and FITTED_BYTES."""
     total = vectors.count()
-    known = vectors
+    bound = max(min(MAX_FITTED, FITTED_BYTES // (8 * dims)), CODES)
+    most = min(bound, max(LEAST_FITTED, PER_LIST * (total // a_list)))
+    known = vectors.select("rep", "embedding")
     if total > most:
-        order = F.xxhash64("vec_id", F.lit("index sample"))
-        known = vectors.where(order < F.lit(int(-(2**63) + 2**64 * (most / total))))
-    sample = known.orderBy("vec_id").toArrow()  # bounded by `most`
-    rows = sample.to_batches()
-    keep = [v for b in rows for v, ok in zip(b.column(1).to_pylist(), usable(b)) if ok]
-    if not keep:
-        return None
-    return Index(unit_rows(keep), int(min(MAX_LISTS, max(1, total // a_list), len(keep))))
-
-
-def _linked(known: DataFrame, cosine: float) -> DataFrame | None:
-    """(vec_id, links, root) of linked vectors among `known`, all of one length; None if none of them is usable."""
-    radius = float(np.sqrt(2 - 2 * cosine))
-    index = fit(known)
-    if index is None:
-        return None
-    schema = f"vec_id long, embedding {known.schema['embedding'].dataType.simpleString()}, list int, code binary, error double, probes array<int>"
-    placed = stage(known.mapInArrow(partial(_placed, index=index, radius=radius), schema), "placed")
-    members = placed.select("list", "vec_id", "embedding", "code", "error")
-    queries = placed.select(F.explode("probes").alias("list"), "vec_id", "embedding")
-    # blocks of each list, from at most MAX_LISTS counts
-    sizes = {r[0]: r[1] for r in members.groupBy("list").count().collect()}
-    asked = {r[0]: r[1] for r in placed.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
-    blocks = lambda n: F.element_at(
-        F.create_map(*[F.lit(x) for k in asked for x in (k, -(-n.get(k, 1) // BLOCK))]), F.col("list")
-    )
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), blocks(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        order = F.xxhash64("rep", F.lit("index sample"))
+        known = known.where(order < F.lit(int(-(2**63) + 2**64 * (most / total))))
+    sample = known.orderBy("rep").toArrow()  # bounded by `most`
+    if not len(sample):  # the hashes left none
+        sample = vectors.select("rep", "embedding").orderBy("rep").limit(CODES).toArrow()
+    rows = _matrix(sample.column("embedding"))
+    rows = rows[np.random.RandomState(3).permutation(len(rows))]
+    return Index(rows, int(max(1, min(total // a_list, bound // PER_LIST, len(rows)))), cosine, exact)
+
+
+def _linked(known: DataFrame, dims: int, cosine: float, exact: bool) -> DataFrame:
+    """(rep, links, root) of linked vectors among `known` (rep, n, embedding), all usable and of one length."""
+    index = known.sparkSession.sparkContext.broadcast(fit(known, dims, cosine, exact))
+    kind = known.schema["embedding"].dataType.simpleString()
+    schema = f"rep long, n long, embedding {kind}, list int, code binary, error double, probes array<int>"
+    placed = stage(in_batches(known.select("rep", "n", "embedding"), partial(_placed, index=index), schema), "placed")
+    asked = placed.select("rep", "n", "embedding", F.col("list").alias("home"), F.explode("probes").alias("list"))
+    # blocks of each list; at most a fourth of MAX_FITTED rows
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    held = placed.groupBy("list").agg(F.count(F.lit(1)).alias("members"))
+    sizes = asked.groupBy("list").agg(F.count(F.lit(1)).alias("queries")).join(held, "list")
+    sizes = F.broadcast(stage(sizes.select("list", blocks("members").alias("ms"), blocks("queries").alias("qs")), "list-blocks"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     no_code, no_error = F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error")
-    rows = members.select(
-        "list", own(sizes).alias("m"), each(asked).alias("q"), F.lit(True).alias("member"), "vec_id", "embedding", "code", "error"
-    ).unionAll(queries.where(F.col("list").isin(list(sizes))).select(
-        "list", each(sizes).alias("m"), own(asked).alias("q"), F.lit(False).alias("member"), "vec_id", "embedding", no_code, no_error
-    ))
+    members = placed.select("rep", "n", "embedding", "list", "code", "error").join(sizes, "list").select(
+        "list", own("ms").alias("m"), each("qs").alias("q"), F.lit(True).alias("member"), "rep", "n", F.col("list").alias("home"),
+        "embedding", "code", "error")
+    queries = asked.join(sizes, "list").select(
+        "list", each("ms").alias("m"), own("qs").alias("q"), F.lit(False).alias("member"), "rep", "n", "home", "embedding", no_code, no_error)
 
     def compare(key, table):
         return _compared(key, table, index, cosine)
 
-    return stage(rows.groupBy("list", "m", "q").applyInArrow(compare, "vec_id long, links long, root long"), "linked")
+    met = members.unionAll(queries).groupBy("list", "m", "q")
+    return stage(met.applyInArrow(compare, "rep long, links long, root long"), "linked")
 
 
-def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95) -> DataFrame:
+def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vec_id of (vec_id, embedding): links at `cosine` or above.
 
     n_links counts the other vectors that a vector is within `cosine` of, component_id is the smallest
     vec_id reachable by links, kept marks that vector. Vectors that are null, empty or zero or hold null or
     non-finite components link with nothing, and others with vectors of their own length only. A vec_id that
     comes in several rows is one vector, the smallest of its embeddings; null vec_ids are left out; an
-    empty table gives no rows. In a crowded list, blocks of members meet blocks of queries and give back
-    counts and a spanning forest, so no task holds more than a block of each and no pair leaves it."""
-    vectors = stage(
-        table.where(F.col("vec_id").isNotNull()).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(
-            F.min("embedding").alias("embedding")), "vectors")
-    # vectors of one length only are compared; null and empty ones have none
-    lengths = vectors.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("k")).count().where("count > 1").collect()
-    linked = vectors.sparkSession.createDataFrame([], "vec_id long, links long, root long")
-    for k in sorted(r.k for r in lengths):
-        found = _linked(vectors.where(F.size("embedding") == k), cosine)
-        linked = linked if found is None else linked.unionAll(found)
-    counts = linked.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    groups = connected_components(linked, "vec_id", "root").withColumnRenamed("node", "vec_id")
-    found = vectors.select("vec_id").join(counts, "vec_id", "left").join(groups, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    empty table gives no rows. Copies are one row with their number, however many. In a crowded list, blocks
+    of members meet blocks of queries and give back counts and a spanning forest, so no task holds more than
+    a block of each and no pair leaves it. `exact` probes by the whole radius and loses no link."""
+    usable = F.expr("""size(embedding) > 0 AND exists(embedding, v -> v <> 0)
+        AND forall(embedding, v -> v IS NOT NULL AND NOT isnan(v) AND abs(CAST(v AS double)) < double('Infinity'))""")
+    vectors = table.where(F.col("vec_id").isNotNull()).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(
+        F.min("embedding").alias("embedding"))
+    dims = F.when(F.coalesce(usable, F.lit(False)), F.size("embedding"))
+    digest = [F.xxhash64(F.lit(salt), "embedding").alias(f"h{salt}") for salt in (1, 2)]
+    vectors = stage(vectors.select("vec_id", "embedding", dims.alias("dims"), *digest), "vectors")
+    copies = vectors.where("dims IS NOT NULL").groupBy("dims", "h1", "h2").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    copies = stage(copies, "distinct-vectors")
+    linked = vectors.sparkSession.createDataFrame([], "rep long, links long, root long")
+    lengths = copies.groupBy("dims").count().where("count > 1").collect()  # a row per length
+    for k in sorted(r.dims for r in lengths):
+        linked = linked.unionAll(_linked(copies.where(F.col("dims") == k), k, cosine, exact))
+    counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
+    groups = connected_components(linked, "rep", "root").withColumnRenamed("node", "rep")
+    of_rep = copies.select("dims", "h1", "h2", "rep", "n").join(counts, "rep", "left").join(groups, "rep", "left")
+    found = vectors.select("vec_id", "dims", "h1", "h2").join(of_rep, ["dims", "h1", "h2"], "left")
+    component = F.coalesce("component", "rep", "vec_id")
     return found.select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce(F.coalesce("links", F.lit(0)) + F.col("n") - 1, F.lit(0)).alias("n_links"),
         component.alias("component_id"),
         (F.col("vec_id") == component).alias("kept"),
     )

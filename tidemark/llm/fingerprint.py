@@ -1,12 +1,14 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only.
 
 A text is a set of paragraph digests: its lines, long ones in pieces, each hashed with the number of times
-it occurs. A sketch is a table of cells; a digest adds to one cell in each of three subtables a count, its
-bits and a check of its bits. Two sketches subtract cell by cell, and what both texts share cancels out.
-A cell left with one digest gives it away; taking it out of its other cells uncovers more, until the whole
-difference is peeled. A difference that the sketch is too small for leaves cells over, and is tried again
-with twice the cells. Cells come in parts of 24, and a digest belongs to one part, so a part is peeled
-alone and the work follows the length of a text, however long."""
+it occurs. A sketch is a table of three rows of cells; a digest adds to one cell of each row a count, its
+bits and a check of its bits. A text's fingerprint is its sketch, as narrow a one as peels: a cell left
+with one digest gives it away, taking it out of its other cells uncovers more, until nothing is left. Too
+narrow a table leaves cells over and is tried again at twice the width. The tables of two texts are folded
+to the narrower one's width and subtracted cell by cell: what both share cancels out, and peeling recovers
+how they differ. Where the difference is too large for that width, both are peeled at the widths of their
+own, which always succeeds. So likeness follows from the two fingerprints alone. Every step sorts or walks
+an array once, so the work follows the length of a text."""
 
 from __future__ import annotations
 
@@ -14,113 +16,95 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ranges import bounds, bucket
-from .staging import stage, tasks
+from .staging import tasks
 from .tables import read
 
-#: Code points of the longest piece of a line; cells of each of the three subtables of a part.
+#: Code points of the longest piece of a line; cells of a row of the narrowest sketch.
 PIECE, WIDTH = 256, 8
-#: Digests of both texts that a part of the first sketch is made for, and sketches tried, each twice the last.
-LOAD, TRIES = 8, 24
-
-_IN_CELL = f"(shiftrightunsigned(p.k, 20 * (x.cell div {WIDTH})) & {WIDTH - 1}) = x.cell % {WIDTH}"
-_PEEL = f"""
-aggregate(
-  sequence(1, 12),
-  named_struct('cells', cells, 'found', CAST(array() AS array<bigint>)),
-  (s, r) -> element_at(transform(
-    array(array_distinct(transform(
-      filter(s.cells, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k)), x -> named_struct('n', x.n, 'k', x.k)))),
-    pure -> named_struct(
-      'cells', filter(
-        transform(s.cells, x -> aggregate(
-          filter(pure, p -> {_IN_CELL}), x,
-          (c, p) -> named_struct('cell', c.cell, 'n', c.n - p.n, 'k', c.k ^ p.k, 'h', c.h ^ xxhash64(p.k)))),
-        x -> x.n <> 0 OR x.k <> 0 OR x.h <> 0),
-      'found', concat(s.found, transform(pure, p -> p.k)))), 1))
-"""
-
-
-def digests(text: Column) -> Column:
-    """Distinct 64-bit digests of a text's paragraphs, each hashed with how often it occurs; empty for no text."""
-    pieces = F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{PIECE}}}\\n?|\\n"), F.lit(0))
-    hashes = F.array_sort(F.transform(pieces, lambda p: F.xxhash64(p)))
-
-    def with_times(s: Column) -> Column:
-        one = F.array_distinct(s)
-        after = lambda i: F.coalesce(F.array_position(s, F.get(one, i + 1)), F.size(s).cast("long") + 1)
-        return F.transform(one, lambda x, i: F.xxhash64(x, after(i) - F.array_position(s, x)))
-
-    # bound to a name, so that the hashes are computed once
-    return F.element_at(F.transform(F.array(hashes), with_times), 1)
-
-
-def sketch_text(elements: str) -> str:
-    """SQL for the one-part sketch of an array of digests, in hex: count, bits and check of each cell."""
-    mine = f"filter({elements}, e -> (shiftrightunsigned(e, 20 * (i div {WIDTH})) & {WIDTH - 1}) = i % {WIDTH})"
-    return f"""array_join(transform(transform(sequence(0, {3 * WIDTH - 1}), i -> {mine}), m -> concat(
-        lpad(hex(size(m)), 4, '0'),
-        lpad(hex(aggregate(m, 0L, (a, e) -> a ^ e)), 16, '0'),
-        lpad(hex(aggregate(m, 0L, (a, e) -> a ^ xxhash64(e))), 16, '0'))), '')"""
-
-
-def _differences(pairs: DataFrame, attempt: int) -> DataFrame:
-    """(uid, kind, found, whole): digests peeled from sketch a minus sketch b, and whether no cell was left.
-
-    pairs: uid, kind, a, b. Rows are dealt out by uid once; cells, parts and sums then stay where they are."""
-    parts = F.greatest(F.ceil((F.size("a") + F.size("b")) / F.lit(LOAD)), F.lit(1)) * F.lit(2**attempt)
-    dealt = pairs.repartition(tasks(pairs.sparkSession), "uid").withColumn("parts", parts)
-    items = dealt.select(
-        "uid",
-        "kind",
-        "parts",
-        F.explode(
-            F.concat(
-                F.transform("a", lambda e: F.struct(e.alias("k"), F.lit(1).alias("n"))),
-                F.transform("b", lambda e: F.struct(e.alias("k"), F.lit(-1).alias("n"))),
-            )
-        ).alias("item"),
-    )
-    items = items.select(
-        "uid",
-        "kind",
-        F.pmod(F.xxhash64("item.k", F.lit(attempt)), F.col("parts")).alias("part"),
-        "item.k",
-        "item.n",
-        F.explode(F.expr(
-            f"transform(sequence(0, 2), j -> CAST(j * {WIDTH} + (shiftrightunsigned(item.k, 20 * j) & {WIDTH - 1}) AS int))"
-        )).alias("cell"),
-    )
-    cells = items.groupBy("uid", "kind", "part", "cell").agg(
-        F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor(F.xxhash64("k")).alias("h")
-    )
-    left = cells.where("n <> 0 OR k <> 0 OR h <> 0")
-    tables = left.groupBy("uid", "kind", "part").agg(F.collect_list(F.struct("cell", "n", "k", "h")).alias("cells"))
-    peeled = tables.select("uid", "kind", F.expr(_PEEL).alias("peeled"))
-    return peeled.groupBy("uid", "kind").agg(
-        F.flatten(F.collect_list("peeled.found")).alias("found"), F.max(F.size("peeled.cells")).alias("left")
-    )
+#: Widths tried for a text, each twice the last; rounds of peeling, of which ten or so are needed.
+TRIES, ROUNDS = 12, 100
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of `body` with `name` bound to `value`, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _runs(array: str, same: str, each: str) -> str:
+    """SQL that turns each run of a sorted array's elements, equal by `same` of p and q, into `each` of `lo` and `n`."""
+    starts = f"filter(sequence(0, size(s) - 1), i -> i = 0 OR NOT {_let('p', 's[i - 1]', _let('q', 's[i]', same))})"
+    of_run = f"transform(b, (lo, j) -> {_let('n', 'coalesce(get(b, j + 1), size(s)) - lo', each)})"
+    return _let("s", f"sort_array({array})", f"CASE WHEN size(s) = 0 THEN array() ELSE {_let('b', starts, of_run)} END")
+
+
+def digests_of(text: str) -> str:
+    """SQL for the distinct 64-bit digests of a text's paragraphs, each hashed with how often it occurs."""
+    pieces = f"regexp_extract_all({text}, '[^\\n]{{1,{PIECE}}}\\n?|\\n', 0)"
+    return f"CAST({_runs(f'transform({pieces}, t -> xxhash64(t))', 'p = q', 'xxhash64(s[lo], n)')} AS array<bigint>)"
+
+
+_CELL = "named_struct('c', {c}, 'n', {n}, 'k', {k}, 'h', {h})"
+
+
+def _cells(digest: str, sign: str, width: str) -> str:
+    """SQL for the three cells that a digest adds to."""
+    at = f"CAST(j AS bigint) * {width} + (xxhash64({digest}, j) & ({width} - 1))"
+    return f"transform(sequence(0, 2), j -> {_CELL.format(c=at, n=sign, k=digest, h=f'xxhash64({digest})')})"
 
 
-def sketch_differences(pairs: DataFrame) -> DataFrame:
-    """(uid, kind, found): the digests that one of a and b has and the other has not, recovered from their sketches.
+def _summed(cells: str) -> str:
+    """SQL for a table of what an array of cells comes to, by place, without empty ones."""
+    add = _CELL.format(c="a.c", n="a.n + s[i].n", k="a.k ^ s[i].k", h="a.h ^ s[i].h")
+    run = f"CASE WHEN n = 1 THEN s[lo] ELSE aggregate(sequence(lo + 1, lo + n - 1), s[lo], (a, i) -> {add}) END"
+    return f"filter({_runs(cells, 'p.c = q.c', run)}, x -> x.n <> 0 OR x.k <> 0 OR x.h <> 0)"
 
-    pairs: a staged table of unique (uid, kind) and two arrays of distinct digests. Pairs without a
-    difference have no row. Each attempt takes what the last left over, with twice the cells and another
-    dealing into parts; after TRIES attempts, never seen, it is an error."""
-    done, open_pairs = None, pairs
-    for attempt in range(TRIES):
-        tried = stage(_differences(open_pairs, attempt), "peeled")
-        whole = tried.where("left = 0").select("uid", "kind", "found")
-        done = whole if done is None else done.unionAll(whole)
-        failed = tried.where("left > 0").select("uid", "kind")
-        if failed.isEmpty():
-            return done
-        open_pairs = pairs.join(failed, ["uid", "kind"], "left_semi")
-    raise RuntimeError(f"a difference could not be peeled in {TRIES} attempts")
 
+def table_of(digests: str, width: str) -> str:
+    """SQL for the sketch of an array of distinct digests."""
+    return _summed(f"flatten(transform({digests}, e -> {_cells('e', '1L', width)}))")
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """doc_id, `columns` and next_<column> of the document next in descending doc_id order; the last's is the first.
+
+def peeled(cells: str, width: str) -> str:
+    """SQL for (cells, found): what peeling leaves of a table, and the digests that it takes out, positive and negative."""
+    pure = lambda n: f"array_distinct(transform(filter(z.cells, x -> x.n = {n} AND x.h = xxhash64(x.k)), x -> x.k))"
+    out = ", ".join(f"flatten(transform(pure.{c}, y -> {_cells('y', n, width)}))" for c, n in (("more", "-1L"), ("less", "1L")))
+    step = f"""CASE WHEN size(pure.more) + size(pure.less) = 0 THEN z ELSE named_struct('cells', {_summed(f"concat(z.cells, {out})")},
+        'found', concat(z.found, pure.more, pure.less)) END"""
+    step = _let("pure", f"named_struct('more', {pure(1)}, 'less', {pure(-1)})", step)
+    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', CAST(array() AS array<bigint>)),
+        (z, r) -> CASE WHEN size(z.cells) = 0 THEN z ELSE {step} END)"""
+
+
+def sketch_of(digests: str) -> str:
+    """SQL for (w, cells): the narrowest table, in powers of two, that has 1.5 cells a digest and peels to nothing."""
+    least = f"CAST(greatest({WIDTH}, power(2, ceil(log2(greatest(size(d), 1) / 2)))) AS bigint)"
+    attempt = _let("t", table_of("d", "v"), f"named_struct('w', v, 'cells', CASE WHEN size({peeled('t', 'v')}.cells) = 0 THEN t END)")
+    none = "named_struct('w', 0L, 'cells', CAST(NULL AS array<struct<c: bigint, n: bigint, k: bigint, h: bigint>>))"
+    tries = f"aggregate(sequence(0, {TRIES - 1}), {none}, (z0, i0) -> CASE WHEN z0.cells IS NOT NULL THEN z0 ELSE {_let('v', 'shiftleft(w0, i0)', attempt)} END)"
+    return _let("d", digests, _let("w0", least, tries))
+
+
+def printed(sketch: str) -> str:
+    """SQL for a sketch as text: its width, then place, count, bits and check of each cell, in hexadecimal."""
+    cell = "concat_ws('.', hex(x.c), hex(x.n), hex(x.k), hex(x.h))"
+    return f"lower(concat(hex({sketch}.w), ':', array_join(transform({sketch}.cells, x -> {cell}), ',')))"
+
+
+def difference(a: str, b: str) -> str:
+    """SQL for the digests that one of two sketches has and the other has not, by subtraction and peeling."""
+    folded = lambda x, sign: (
+        f"transform({x}.cells, x -> {_CELL.format(c=f'(x.c div {x}.w) * w + (x.c % {x}.w & (w - 1))', n=f'{sign} x.n', k='x.k', h='x.h')})"
+    )
+    mine, other = (peeled(f"{x}.cells", f"{x}.w") + ".found" for x in (a, b))
+    alone = _let("o", mine, _let("e", other, "concat(array_except(o, e), array_except(e, o))"))
+    tried = _let("g", peeled(_summed(f"concat({folded(a, '')}, {folded(b, '-')})"), "w"), f"CASE WHEN size(g.cells) = 0 THEN g.found ELSE {alone} END")
+    return _let("w", f"least({a}.w, {b}.w)", tried)
+
+
+def with_next(docs: DataFrame, columns: list[str], more: dict[str, Column]) -> DataFrame:
+    """doc_id, `columns`, `more` and next_<column> of the document next in descending doc_id order; the last's is the first.
+
+    `more` are computed from `columns` where the rows have gone, and are not sent.
 
     Documents are dealt out by ranges of doc_id. Each range also gets the first document of the range
     below it (the lowest range: of the highest), so a window within the range sees every successor. Rows
@@ -131,7 +115,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     cuts = bounds(ids, "doc_id", n)
     heads = ids.groupBy(bucket("doc_id", cuts).alias("b")).agg(F.max("doc_id").alias("top")).orderBy("b").collect()
     if not heads:
-        return docs.select("doc_id", *columns, *[F.col(c).alias(f"next_{c}") for c in columns])
+        none = docs.select("doc_id", *columns).withColumns(more)
+        return none.select("*", *[F.col(c).alias(f"next_{c}") for c in [*columns, *more]])
     above = {h.b: heads[(i + 1) % len(heads)].b for i, h in enumerate(heads)}  # the range that sees this one's head
     tops = [h.top for h in heads if h.top is not None]
     rows = docs.select("doc_id", *columns).withColumn("b", bucket("doc_id", cuts))
@@ -142,61 +127,38 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     ghosts = head.withColumn("b", F.element_at(moved, F.col("b")))
     both = rows.withColumn("ghost", F.lit(0)).unionAll(ghosts.withColumn("ghost", F.lit(1)))
     order = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").desc_nulls_last(), *columns)
-    led = both.select("doc_id", "ghost", *columns, *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    here = both.repartition(n, "b").withColumns(more)
+    led = here.select("doc_id", "ghost", *columns, *more, *[F.lead(c).over(order).alias(f"next_{c}") for c in [*columns, *more]])
     return led.where("ghost = 0").drop("ghost")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Each document's sketch against its half-edited text's and against the next document's.
+    """Each document's fingerprint against its half-edited text's and against the next document's.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, differing,
     differing_next): near is shared digests over all digests, 1 for two texts without any; differing holds
-    the recovered digests. Null texts count as empty; an empty text has an all-zero sketch. The edited text
-    has its last floor(n/2) code points replaced by as many of the next text's first, or all it has. A lone
+    the recovered digests. Null texts count as empty; an empty text has no cells. The edited text has its
+    last floor(n/2) code points replaced by as many of the next text's first, or all it has. A lone
     document is its own next. Repeated rows stay and follow each other; an empty table gives no rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pair = with_next(texts, ["text"])
-    n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 2) AS int))"),
-                      F.expr("substring(next_text, 1, CAST(floor(length(text) / 2) AS int))"))
-    made = pair.withColumn("edited", edited)
-    table = stage(
-        made.select(
-            F.monotonically_increasing_id().alias("uid"),
-            "doc_id",
-            n.cast("long").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"),
-            digests(F.col("text")).alias("own"),
-            digests(F.col("edited")).alias("edit"),
-            digests(F.col("next_text")).alias("next"),
-        ),
-        "digests",
-    )
-    pairs = table.select(
-        "uid",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("kind"), F.col("own").alias("a"), F.col("edit").alias("b")),
-            F.struct(F.lit(1).alias("kind"), F.col("own").alias("a"), F.col("next").alias("b")),
-        )).alias("pair"),
-    ).select("uid", "pair.*")
-    found = sketch_differences(pairs)
-    by_uid = found.groupBy("uid").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("found"))).alias(c) for k, c in ((0, "differing"), (1, "differing_next"))]
-    )
-    empty = F.array().cast("array<bigint>")
-    joined = table.join(by_uid, "uid", "left")
-    joined = joined.withColumns({c: F.coalesce(c, empty) for c in ("differing", "differing_next")})
+    pair = with_next(texts, ["text"], {"own": F.expr(sketch_of(digests_of("text")))})
+    kept = "CAST(floor(length(text) / 2) AS int)"
+    edited = F.expr(f"concat(substring(text, 1, length(text) - {kept}), substring(next_text, 1, {kept}))")
+    made = pair.select("doc_id", F.expr("CAST(length(text) AS bigint)").alias("n_chars"), "own", F.col("next_own").alias("next"), edited.alias("edited"))
+    made = made.withColumn("edit", F.expr(sketch_of(digests_of("edited"))))
+    made = made.withColumns({"differing": F.expr(difference("own", "edit")), "differing_next": F.expr(difference("own", "next"))})
 
     def near(other: str, differing: str) -> Column:
-        both, d = F.size("own") + F.size(other), F.size(differing)
-        return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
+        size = lambda x: f"aggregate({x}.cells, 0L, (a, x) -> a + x.n) div 3"
+        both = f"({size('own')} + {size(other)})"
+        return F.expr(f"CASE WHEN {both} = 0 THEN 1D ELSE ({both} - size({differing})) / ({both} + size({differing})) END")
 
-    return joined.select(
+    return made.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        F.expr(sketch_text("own")).alias("fingerprint"),
-        F.expr(sketch_text("edit")).alias("edited_fingerprint"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.expr(printed("own")).alias("fingerprint"),
+        F.expr(printed("edit")).alias("edited_fingerprint"),
         near("edit", "differing").alias("near_edited"),
         near("next", "differing_next").alias("near_next"),
         "differing",

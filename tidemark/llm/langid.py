@@ -6,7 +6,6 @@ and equal neighbours form spans. The language with most letters is the document'
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections import Counter
 from functools import partial
@@ -20,8 +19,8 @@ from pyspark.sql import types as T
 from .staging import in_batches, text_last, whole_rows
 from .tables import fold, read
 
-#: Bound of the documents that learning reads, in expectation; all are read where there are fewer.
-MAX_LEARNED = 6000
+#: Bound of the documents that learning reads of each language, in expectation; of a language with fewer, all are read.
+MAX_LEARNED = 1500
 BUCKETS = 1 << 16
 #: Log-likelihood that a change of language between two words costs.
 SWITCH = 8.0
@@ -29,8 +28,9 @@ SWITCH = 8.0
 CLIP = 6.0
 #: A script belongs to a language if it writes at least this share of the language's learned letters.
 SCRIPT_SHARE = 0.01
-#: Words that a worker keeps scores of, padded words that are labelled at a time, and documents of an output batch.
-CACHE, PADDED, ROWS = 200_000, 1 << 19, 500
+#: Words times languages that a worker keeps scores of, padded words times languages that are labelled at a time,
+#: and documents of an output batch.
+CACHE, PADDED, ROWS = 800_000, 1 << 21, 500
 MIN_SHARE = 0.5
 
 #: First code points of blocks of letters and their script, from the Unicode block list.
@@ -44,20 +44,25 @@ SCRIPT_STARTS = [
     (0xF900, "han"), (0xFB00, "latin"), (0xFB10, "other"), (0x20000, "han"), (0x30000, "other"),
 ]
 _STARTS = [s for s, _ in SCRIPT_STARTS]
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+SCRIPTS = list(dict.fromkeys(name for _, name in SCRIPT_STARTS))
 
 
-def script_of(word: str) -> str:
-    """Script of the first letter; words are short and seldom mix scripts."""
-    first = ord(word[0]) if word else 0
-    if 0x41 <= first < 0x370:
-        return "latin"
-    at = bisect_right(_STARTS, first) - 1
+def _script(letter: str) -> str:
+    at = bisect_right(_STARTS, ord(letter)) - 1
     return SCRIPT_STARTS[at][1] if at >= 0 else "other"
 
 
+def script_of(word: str) -> str:
+    """Script of most letters, of several the one that comes first."""
+    if word.isascii():
+        return "latin" if word else "other"
+    return Counter(map(_script, word)).most_common(1)[0][0]
+
+
 def letters(word: str) -> str:
-    return word.lower() if word.isalpha() else _NOT_LETTER.sub("", word).lower()
+    """Letters (Unicode category L) of a word, in lower case: no digits, numerals, marks or symbols."""
+    low = word.lower()
+    return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,12 +78,12 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counts(batches):
-    """(lang, text) to partial counts (lang, kind, key, n): of trigram buckets, and of letters by script."""
+    """(lang, text) to partial counts (lang, key, n): of trigram buckets by number, and of letters by script, as -1 - the
+    number of the first block of that script."""
     words: dict[str, Counter] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             words.setdefault(lang, Counter()).update((text.as_py() or "").split())
-    rows = []
     for lang, seen in words.items():
         if not seen:
             continue
@@ -86,14 +91,13 @@ def _counts(batches):
         buckets, whole, starts = trigrams(own)
         times = np.repeat(n, np.diff(np.append(starts, len(buckets))))
         grams = np.bincount(buckets[whole], times[whole], minlength=BUCKETS).astype(np.int64)
-        scripts: Counter = Counter()
+        scripts = np.zeros(len(SCRIPTS), np.int64)
         for word, k in zip(own, n.tolist()):
             if word:
-                scripts[script_of(word)] += k * len(word)
-        rows += [(lang, "gram", str(k), int(grams[k])) for k in np.flatnonzero(grams)]
-        rows += [(lang, "script", k, v) for k, v in scripts.items()]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["lang", "kind", "key", "n"])
+                scripts[SCRIPTS.index(script_of(word))] += k * len(word)
+        keys = np.concatenate((np.flatnonzero(grams), -1 - np.flatnonzero(scripts)))
+        found = np.concatenate((grams[grams > 0], scripts[scripts > 0]))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(found)], names=["lang", "key", "n"])
 
 
 class Model:
@@ -120,28 +124,24 @@ class Model:
 def learn(docs: DataFrame, most: int = MAX_LEARNED) -> Model:
     """Model from (doc_id, text, lang). Null languages and texts are left out; without rows it knows no language.
 
-    Where there are more than `most` rows, those whose hash is lowest are read, about `most` of them. What
-    comes to the driver is bounded by BUCKETS and scripts times languages."""
+    Of a language with more than `most` rows, those whose hash is lowest are read, about `most` of them, so
+    that rare languages and small sources are learned too. What comes to the driver is bounded by BUCKETS
+    times languages, and so is the model: 256 KB a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = known.count()
-    if total > most:
-        order = F.xxhash64("doc_id", F.lit("language sample"))
-        known = known.where(order < F.lit(int(-(2**63) + 2**64 * (most / total))))
-    partials = in_batches(known.select("lang", "text"), _counts, "lang string, kind string, key string, n long")
-    rows = partials.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r.lang for r in rows})
-    at = {x: i for i, x in enumerate(langs)}
+    share = known.groupBy("lang").count().select(F.col("lang").alias("_lang"), (F.lit(float(most)) / F.col("count")).alias("_share"))
+    drawn = F.xxhash64("doc_id", F.lit("language sample")) < -(2.0**63) + 2.0**64 * F.col("_share")
+    known = known.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where((F.col("_share") >= 1) | drawn)
+    partials = in_batches(known.select("lang", "text"), _counts, "lang string, key long, n long")
+    rows = partials.groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    langs, at = np.unique(np.array(rows.column("lang").to_pylist(), object), return_inverse=True)
+    key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
     grams = np.full((BUCKETS, len(langs)), 0.5)
-    written: dict[str, np.ndarray] = {}
-    for r in rows:
-        if r.kind == "gram":
-            grams[int(r.key), at[r.lang]] += r.n
-        else:
-            written.setdefault(r.key, np.zeros(len(langs)))[at[r.lang]] = r.n
-    table = np.log(grams / grams.sum(axis=0)) if langs else grams
-    share = sum(written.values()) if written else np.zeros(len(langs))
-    scripts = {s: n >= SCRIPT_SHARE * share for s, n in written.items()}
-    return Model(langs, table.astype(np.float32), {s: f for s, f in scripts.items() if f.any()})
+    written = np.zeros((len(SCRIPTS), len(langs)))
+    grams[key[key >= 0], at[key >= 0]] += n[key >= 0]
+    written[-1 - key[key < 0], at[key < 0]] += n[key < 0]
+    table = np.log(grams / grams.sum(axis=0)) if len(langs) else grams
+    fits = (written > 0) & (written >= SCRIPT_SHARE * written.sum(axis=0))
+    return Model(langs.tolist(), table.astype(np.float32), {s: f for s, f in zip(SCRIPTS, fits) if f.any()})
 
 
 class _Words(dict):
@@ -174,9 +174,9 @@ def viterbi(emission: np.ndarray, lengths: np.ndarray, words: np.ndarray, penalt
     """Best languages of each text's words. words: row numbers in emission, [longest, texts], texts by falling length."""
     longest, n = words.shape
     best = emission[words[0]].copy()
-    came = np.zeros((longest, n, emission.shape[1]), np.int8)
+    came = np.zeros((longest, n, emission.shape[1]), np.int16)
     active = (lengths[None, :] > np.arange(longest)[:, None]).sum(axis=1)
-    stay = np.arange(emission.shape[1], dtype=np.int8)
+    stay = np.arange(emission.shape[1], dtype=np.int16)
     for t in range(1, longest):
         k = active[t]
         b = best[:k]
@@ -185,7 +185,7 @@ def viterbi(emission: np.ndarray, lengths: np.ndarray, words: np.ndarray, penalt
         keeps = b >= moved[:, None]
         came[t, :k] = np.where(keeps, stay, top[:, None])
         best[:k] = np.where(keeps, b, moved[:, None]) + emission[words[t, :k]]
-    state, out = best.argmax(axis=1), np.empty((longest, n), np.int8)
+    state, out = best.argmax(axis=1), np.empty((longest, n), np.int16)
     for t in range(longest - 1, -1, -1):
         k = active[t]
         out[t, :k] = state[:k]
@@ -205,7 +205,7 @@ def _labelled(batches, model: Model, penalty: float):
         done: list = [("und", 0.0, [])] * len(texts)
         lo = 0
         while lo < len(order) and texts[order[lo]]:
-            hi = max(lo + 1, min(len(order), lo + PADDED // len(texts[order[lo]])))
+            hi = max(lo + 1, min(len(order), lo + PADDED // len(model.langs) // len(texts[order[lo]])))
             part = [i for i in order[lo:hi] if texts[i]]
             lengths = np.array([len(texts[i]) for i in part])
             padded = np.zeros((lengths[0], len(part)), np.int64)
@@ -224,7 +224,7 @@ def _labelled(batches, model: Model, penalty: float):
         last = batch.num_columns - 1
         for at in range(0, batch.num_rows, ROWS):
             rows = batch.slice(at, ROWS)
-            if len(words) > CACHE:
+            if len(words) * len(model.langs) > CACHE:
                 words.clear()
             texts = [list(map(words.__getitem__, (t.as_py() or "").split())) for t in rows.column(last)]
             found = label(texts) if model.langs else [("und", 0.0, [])] * len(texts)

@@ -2,9 +2,10 @@
 
 The distinct marked words of a batch are sorted, which puts them in the order of a depth-first walk of
 their trie; the forward states of a prefix are kept while the walk is below it, so words that begin alike
-share the work of their beginning. For a unigram model a prefix's state is its best score and last piece.
-For a byte-pair model it is the one last piece that the merges leave: piece after piece is what the merges
-give if each two neighbours stay apart when they are merged alone, which holds for one last piece only."""
+share the work of their beginning. A prefix's state is its best score and the last piece of the path that
+has it. For a unigram model every piece may follow every other. For a byte-pair model a piece may follow
+another only if the two stay apart when they are merged alone: paths of such pieces, and no others, are
+what merges leave, so any other step scores minus infinity, and the best path is the library's."""
 
 from __future__ import annotations
 
@@ -12,13 +13,14 @@ import heapq
 import re
 import zlib
 from functools import cached_property, lru_cache, partial
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import in_batches, stage
 from .tables import read
 
 MARK = "▁"
@@ -119,26 +121,27 @@ class Model:
         return found
 
     def _forward(self, word: str, end: int, states: list[tuple[int, str, float]]) -> tuple[int, str, float]:
-        """State of word[:end]: where its last piece begins, that piece, and the prefix's score."""
-        found, node, begin = [], self.back, end
-        while begin and (node := node.get(word[begin - 1])):
+        """State of word[:end]: where its last piece begins, that piece, and the prefix's best score; -1 if no path leads there."""
+        pieces, node, begin = self.pieces, self.back, end
+        best = (-1, "", float("-inf"))
+        while begin:
+            node = node.get(word[begin - 1])
             begin -= 1
-            if "" in node:
-                found.append((begin, node[""]))
-        if not found or found[0][0] != end - 1:  # a character that is no piece stands alone
-            found.insert(0, (end - 1, word[end - 1]))
-        if self.merges:
-            for begin, piece in reversed(found):
-                if begin == 0 or (states[begin][0] >= 0 and self._stay(states[begin][1], piece)):
-                    return begin, piece, 0.0
-            return -1, "", 0.0
-        scored = [(states[begin][2] + self.pieces.get(piece, (0, self.lowest))[1], begin, piece) for begin, piece in found]
-        score, begin, piece = max(scored)
-        return begin, piece, score
+            alone = begin == end - 1 and (node is None or "" not in node)  # a character that is no piece stands alone
+            if alone or node is not None and "" in node:
+                piece = word[begin] if alone else node[""]
+                before, last, score = states[begin]
+                if before >= 0:
+                    score += self.lowest if alone else pieces[piece][1]
+                    if score > best[2] and (not begin or not self.merges or self._stay(last, piece)):
+                        best = (begin, piece, score)
+            if node is None:
+                break
+        return best
 
     def encode_words(self, words) -> dict[str, list[str]]:
         """Pieces of each distinct word, which begins with its mark, by a depth-first walk over their trie."""
-        out, last = {}, ""
+        out, last, forward = {}, "", self._forward
         states: list[tuple[int, str, float]] = [(0, "", 0.0)]
         for word in sorted(words):
             shared = 0
@@ -148,7 +151,7 @@ class Model:
                 shared += 1
             del states[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                states.append(self._forward(word, end, states))
+                states.append(forward(word, end, states))
             at, found = len(word), []
             while at > 0 and states[at][0] >= 0:
                 found.append(states[at][1])
@@ -187,8 +190,8 @@ class Model:
         found = self.encode_words(plain)
         for w in new:
             # several marks before a word: merges prefer the word, so this run of them is merged as a whole
-            pieces = found[MARK + w] if MARK + w in plain else self._marked(MARK + w)
-            self.words[w] = np.array(self.ids(pieces), "<u4").tobytes()
+            ids = self.ids(found[MARK + w] if MARK + w in plain else self._marked(MARK + w))
+            self.words[w] = pack(f"<{len(ids)}I", *ids)
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
     def _marked(self, unit: str) -> list[str]:
@@ -238,14 +241,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Repeated rows and null doc_ids stay; an empty table gives no rows; other columns are not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_encoded, path=path or default_path()), "doc_id long, ids array<int>")
+    return in_batches(rows, partial(_encoded, path=path or default_path()), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded, ids_crc32): the text of non-null ids, and the crc32 of ids as unsigned 32-bit integers."""
-    return encoded.select("doc_id", "ids").mapInArrow(
-        partial(_decoded, path=path or default_path()), "doc_id long, ids array<int>, decoded string, ids_crc32 long"
-    )
+    apply = partial(_decoded, path=path or default_path())
+    return in_batches(encoded.select("doc_id", "ids"), apply, "doc_id long, ids array<int>, decoded string, ids_crc32 long")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,40 +30,68 @@ _SHAPE = bytes(
     65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)
 )
 _RUN = re.compile(rb"([Aa0])\1+")
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are taken apart at a time.
+PART = 1 << 20
 
 
-def _hashed(words: list[bytes], salt: int) -> list[np.ndarray]:
+def _hashed(words: list[bytes], salt: int, before: int | None) -> tuple[list[np.ndarray], int]:
+    """Weight numbers of the words and of pairs of neighbours, and the last word's hash; `before` is the one before the first."""
     one = np.array(list(map(zlib.crc32, words)), dtype=np.uint64)
     single = (one * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) >> np.uint64(64 - BITS)
-    both = one[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + one[1:] * np.uint64(0x165667B19E3779F9) + np.uint64(salt)
+    row = one if before is None else np.concatenate((np.array([before], np.uint64), one))
+    both = row[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + row[1:] * np.uint64(0x165667B19E3779F9) + np.uint64(salt)
     both = (both * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-    both[one[:-1] == one[1:]] = salt >> 60  # a word said twice is one and the same pair, whatever the word
-    return [single.astype(np.int64), both.astype(np.int64)]
-
-
-def features(text: str | None) -> list[np.ndarray]:
-    """Weight numbers of a text's n-grams, one array a family; none for null and blank texts."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.split()
-    if not words:
-        return []
-    shapes = _RUN.sub(rb"\1", raw.translate(_SHAPE)).split()
-    return [*_hashed(words, 0), *_hashed(shapes, 1 << 60)]
+    both[row[:-1] == row[1:]] = salt >> 60  # a word said twice is one and the same pair, whatever the word
+    return [single.astype(np.int64), both.astype(np.int64)], int(one[-1])
+
+
+def _parts(raw: bytes):
+    """A text in parts of about PART bytes that end where a word does."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + PART)
+        if end < len(raw) and (gap := _SPACE.search(raw, end)):
+            end = gap.start()
+        elif end < len(raw):
+            end = len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def features(text: str | None):
+    """Weight numbers of a text's n-grams part by part, one array a family; nothing for null and blank texts."""
+    words_end = shapes_end = None
+    for part in _parts((text or "").encode("utf-8", "surrogatepass")):
+        words = part.split()
+        if words:
+            shapes = _RUN.sub(rb"\1", part.translate(_SHAPE)).split()
+            own, words_end = _hashed(words, 0, words_end)
+            alike, shapes_end = _hashed(shapes, 1 << 60, shapes_end)
+            yield [*own, *alike]
 
 
 def _sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    found = [f for f in features(text) if len(f)]
-    if not found:
-        return np.empty(0, np.int64), np.empty(0)
-    weights = np.concatenate([np.full(len(f), SCALE / len(f)) for f in found])
-    index, at = np.unique(np.concatenate(found), return_inverse=True)
-    return index, np.bincount(at, weights)
+    """Weight numbers of a text and what each weighs: SCALE a family, shared out over its n-grams."""
+    found = [[np.unique(f, return_counts=True) for f in block] for block in features(text)]
+    index, weight = [], []
+    for family in zip(*found):
+        total = sum(int(n.sum()) for _, n in family)
+        for i, n in family:
+            index.append(i), weight.append(n * (SCALE / max(total, 1)))
+    if not index:
+        return np.empty(0, np.int32), np.empty(0)
+    index, at = np.unique(np.concatenate(index), return_inverse=True)
+    return index.astype(np.int32), np.bincount(at, np.concatenate(weight))
 
 
 def _train(batches):
-    """All rows (order, text, label) of the one partition to one row of weights: the bias and 2^BITS others."""
-    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-    data = [(*_sparse(text), float(label)) for _, text, label in sorted(rows, key=lambda r: (r[0], r[1] or ""))]
+    """All rows (text, label) of the one partition, in order, to one row of weights: the bias and 2^BITS others.
+
+    Texts are let go batch by batch; only their weight numbers and weights are kept for all epochs."""
+    data = []
+    for batch in batches:
+        data += [(*_sparse(text.as_py()), float(label)) for text, label in zip(batch.column(0), batch.column(1).to_pylist())]
     size = 1 + (1 << BITS)
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     for _ in range(EPOCHS):
@@ -84,14 +112,15 @@ def train(labelled: DataFrame, most: int = MAX_LABELLED) -> bytes:
     """Weights from (doc_id, text, label). Rows with a null label are left out; without rows all weights are 0.
 
     Where there are more than `most` rows, those whose hash is lowest are taken, about `most` of them:
-    the one task that runs the updates reads that bounded sample, whatever the input."""
+    the one task that runs the updates reads that bounded sample, whatever the input. It keeps 12 bytes for
+    each distinct n-gram of a text, of which hashing leaves 2^BITS at most: typically 20 KB a text."""
     known = labelled.where(F.col("label").isNotNull())
     total = known.count()
     order = F.xxhash64("doc_id", F.lit("quality sample"))
     if total > most:
         known = known.where(order < F.lit(int(-(2**63) + 2**64 * (most / total))))
     one = known.select(order.alias("order"), "text", F.col("label").cast("int").alias("label")).repartition(1)
-    found = in_batches(one, _train, "weights binary").first()
+    found = in_batches(one.sortWithinPartitions("order", "text", "label").select("text", "label"), _train, "weights binary").first()
     return bytes(found[0]) if found else np.zeros(1 + (1 << BITS), "<f4").tobytes()
 
 
@@ -101,7 +130,11 @@ def _scored(batches, weights: bytes):
     for batch in batches:
         scores = []
         for text in batch.column(batch.num_columns - 1):
-            z = bias + sum(SCALE * w[f].mean() for f in features(text.as_py()) if len(f))
+            sums, sizes = np.zeros(4), np.zeros(4)
+            for block in features(text.as_py()):
+                sums += [w[f].sum() for f in block]
+                sizes += [len(f) for f in block]
+            z = bias + SCALE * (sums / np.maximum(sizes, 1)).sum()
             scores.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])

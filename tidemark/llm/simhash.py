@@ -154,7 +154,7 @@ def links(fps: DataFrame, radius: int = 3, limit: int = 4096) -> DataFrame:
         dealt = rows.repartition(tasks(fps.sparkSession), *keys).sortWithinPartitions(*keys)
         return dealt.mapInArrow(partial(_linked, radius=radius, limit=most), "slot int, part long, fp long")
 
-    spread = fps.repartition(tasks(fps.sparkSession), "fp")  # a row becomes 66, so no few tasks may hold many
+    spread = fps.repartition(tasks(fps.sparkSession))  # a row becomes 66, so no few tasks may hold many
     found = stage(meet(variants(spread), ["slot", "part"], limit), "variants")
     crowded = found.where("slot >= 0")
     out = found.where("slot < 0")

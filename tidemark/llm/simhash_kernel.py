@@ -94,9 +94,9 @@ def signature_batches(batches, width: int):
 
 
 def set_batches(batches, width: int):
-    """(id, text) to (id, shingles): the sorted distinct hashes, shortened to 32 bits, as bytes."""
+    """(id, text) to (id, shingles): the sorted distinct 64-bit hashes as bytes."""
     for batch in batches:
-        sets = [np.unique(shingle_set(t.as_py(), width).astype(np.uint32)).tobytes() for t in batch.column(1)]
+        sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
 
@@ -109,8 +109,8 @@ def sketch_batches(batches, width: int):
     for batch in batches:
         sizes, sketches = [], []
         for t in batch.column(1):
-            own = np.unique(shingle_set(t.as_py(), width).astype(np.uint32))
-            odd = np.bincount(own % SKETCH, minlength=SKETCH) & 1
+            own = shingle_set(t.as_py(), width)
+            odd = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
             sizes.append(len(own))
             sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
         columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())]
@@ -149,7 +149,7 @@ def jaccard_batches(batches):
     for batch in batches:
         found = []
         for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             found.append(both / max(1, len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays(

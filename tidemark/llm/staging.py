@@ -19,10 +19,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; where the session names none (tests), a folder of this process."""
+    """`spark.checkpoint.dir` of the session; where the session names none and driver and tasks share one machine
+    (tests), a folder of this process. On a cluster such a folder would leave each executor with its own files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
