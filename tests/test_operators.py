@@ -1,5 +1,6 @@
 """Golden vectors and invariants of evidence, signals, comparison, text, payloads and streaming."""
 
+import itertools
 import json
 
 import pytest
@@ -110,10 +111,10 @@ def test_payloads(spark):
     assert sorted((r.open_time_ms, r.high, r.close) for r in k.collect() if r.close) == [(1, 3.0, 2.0)] and k.count() == 2
     m = payloads.market_series(one({"prices": [[0, 100.0], [86400000, 108.2]], "total_volumes": [[0, 1.0]]}), "body").first()
     assert (m.return_pct, m.dates, m.volumes) == (8.2, ["1970-01-01", "1970-01-02"], None)
-    w = frame(spark, [(hex(1996008 * 10**18),), (hex(123456789012345678901234567890),)], "h string").select(payloads.hex_wei("h").alias("e")).collect()
-    assert w[0].e == 1996008.0 and w[1].e == pytest.approx(123456789012.3457)
-    balance = payloads.wallet_balances(one({"a": {"final_balance": 24859759064156}, "z": {"final_balance": 1}}), frame(spark, [("a", "cold")], "address string, label string"), "body")
-    assert [(r.label, r.balance) for r in balance.collect()] == [("cold", 248597.5906)]
+    w = frame(spark, [(hex(731 * 10**18),), (hex(123456789012345678901234567890),)], "h string").select(payloads.hex_wei("h").alias("e")).collect()
+    assert w[0].e == 731.0 and w[1].e == pytest.approx(123456789012.3457)
+    balance = payloads.wallet_balances(one({"a": {"final_balance": 1234567890123}, "z": {"final_balance": 1}}), frame(spark, [("a", "cold")], "address string, label string"), "body")
+    assert [(r.label, r.balance) for r in balance.collect()] == [("cold", 12345.6789)]
     ratios = frame(spark, [("X", i, r) for i, r in enumerate([1.5, 0.667, 1.5])], "k string, t int, r double")
     assert payloads.side_consistency(ratios, "k", "t", "r").first()[:] == ("X", 1.5, "long_dominant", 66.7)
     tvl = frame(spark, [("X", i, 100.0 + i) for i in range(40)] + [("Y", 0, 1.0)], "k string, t int, v double")
@@ -124,7 +125,7 @@ def test_payloads(spark):
 
 def test_profiles_keep_missing_null(spark):
     p = frame(spark, [("A", 2.0), ("B", 1.0), ("C", None), ("D", None), ("E", 2.0)], "symbol string, v double")
-    got = {(r.a, r.b): (r.leader, r.verdict, r.ratio) for r in compare.pairwise(p, "v").collect()}
+    got = {(r.a, r.b): (r.leader, r.verdict, r.ratio) for r in compare.pairwise(p, frame(spark, list(itertools.combinations("ABCDE", 2)), "a string, b string"), "v").collect()}
     assert got["A", "B"] == ("A", "leads", 2.0) and got["A", "C"] == ("A", "only one known", None)
     assert got["C", "D"] == (None, "unknown", None) and got["A", "E"] == (None, "tie", None)
     bars = fixtures.fixture_bars(spark)

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Named entities that are decoded, the ampersand last.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"),
-]
+#: Elements whose text is no part of an article.
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "form")
 
 
+_REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _decoded(name: Column) -> Column:
+    """Characters of a reference without its & and ;, null for one that is not known."""
+    code = F.when(name.startswith("#x") | name.startswith("#X"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+    number = code.try_cast("bigint")
+    valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    named = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string, string>")
+    return F.when(name.startswith("#"), F.when(valid, char)).otherwise(F.try_element_at(named, name))
+
+
 def unescape(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Numeric and named references, as the standard library's table has them, to characters; unknown ones stay."""
+    between = F.split(text, _REFERENCE, -1)
+    names = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
+    chars = F.transform(names, lambda n: F.coalesce(_decoded(n), F.concat(F.lit("&"), n, F.lit(";"))))
+    whole = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(chars, i), F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def squash(text: Column) -> Column:
@@ -77,25 +92,29 @@ def matched_words(posts: DataFrame, key: list[str], text: str, words: list[str])
     return one.agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("matched"))
 
 
-def feed_entries(feeds: DataFrame, xml: str, most: int = 420) -> DataFrame:
-    """Rows of (other columns, n, title, url, published, summary) of RSS 2.0 or Atom documents; RSS if there is an item."""
-    rest = [c for c in feeds.columns if c != xml]
+_ITEM = "array<struct<title: string, link: string, pubDate: string, description: string>>"
+_ENTRY = "array<struct<title: string, link: array<struct<_href: string>>, updated: string, published: string, summary: string, content: string>>"
 
-    def field(node: str, name: str) -> Column:
-        return F.expr(f"""xpath({xml}, '//*[local-name()="{node}"]/*[local-name()="{name}"]/text()')""")
-
-    is_rss = F.expr(f"""size(xpath({xml}, '//*[local-name()="item"]/*[local-name()="title"]/text()')) > 0""")
-    links = F.expr(f"""xpath({xml}, '//*[local-name()="entry"]/*[local-name()="link"][1]/@href')""")
-    date = F.when(F.size(field("entry", "updated")) > 0, field("entry", "updated")).otherwise(field("entry", "published"))
-    body = F.when(F.size(field("entry", "summary")) > 0, field("entry", "summary")).otherwise(field("entry", "content"))
-    rss = F.arrays_zip(
-        field("item", "title").alias("title"), field("item", "link").alias("url"),
-        field("item", "pubDate").alias("published"), field("item", "description").alias("summary"),
-    )
-    atom = F.arrays_zip(
-        field("entry", "title").alias("title"), links.alias("url"), date.alias("published"), body.alias("summary")
-    )
-    rows = feeds.select(*rest, F.posexplode(F.when(is_rss, rss).otherwise(atom)).alias("n", "e"))
+
+def feed_entries(feeds: DataFrame, xml: str, limit: int = 25, most: int = 420) -> DataFrame:
+    """Rows of (other columns, n, title, url, published, summary) of the first `limit` entries of RSS or Atom documents.
+
+    Fields are read within each item; one that an item lacks is empty. RSS wins if there is an item. Null
+    documents and such as are no XML have no rows."""
+    rest = [c for c in feeds.columns if c != xml]
+    schema = f"channel array<struct<item: {_ITEM}>>, item {_ITEM}, entry {_ENTRY}"
+    parsed = feeds.select(*rest, F.from_xml(xml, schema, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("f"))
+    items = F.concat(F.coalesce("f.item", F.array()), F.coalesce(F.flatten("f.channel.item"), F.array()))
+    value = lambda *c: F.trim(F.coalesce(*[F.nullif(x, F.lit("")) for x in c], F.lit("")))
+
+    def entry(title: Column, url: Column, published: Column, summary: Column) -> Column:
+        return F.struct(title.alias("title"), url.alias("url"), published.alias("published"), summary.alias("summary"))
+
+    rss = F.transform(items, lambda i: entry(value(i["title"]), value(i["link"]), value(i["pubDate"]), value(i["description"])))
+    atom = F.transform("f.entry", lambda e: entry(
+        value(e["title"]), value(F.get(e["link"], F.lit(0))["_href"]), value(e["updated"], e["published"]), value(e["summary"], e["content"])))
+    found = F.slice(F.when(F.size(rss) > 0, rss).otherwise(atom), 1, limit)
+    rows = parsed.select(*rest, F.posexplode(found).alias("n", "e"))
     return rows.select(*rest, "n", "e.title", "e.url", "e.published", strip_html(F.col("e.summary"), most).alias("summary"))
 
 

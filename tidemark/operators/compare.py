@@ -63,13 +63,13 @@ def attention(posts: DataFrame, counters: list[str]) -> DataFrame:
     return x.withColumn("capped", F.col("posts") >= 25)
 
 
-def pairwise(profiles: DataFrame, measure: str) -> DataFrame:
-    """(a, b, leader, verdict, ratio) of every two symbols; profiles has a row per symbol, a short fixed list.
+def pairwise(profiles: DataFrame, asked: DataFrame, measure: str) -> DataFrame:
+    """(a, b, leader, verdict, ratio) of the comparisons (a, b) that are asked for; profiles has a row per symbol.
 
     One missing: the other leads; both missing: nobody; equal: tie. A ratio is given from 1.1 on."""
     a = profiles.select(F.col("symbol").alias("a"), F.col(measure).alias("x"))
     b = profiles.select(F.col("symbol").alias("b"), F.col(measure).alias("y"))
-    x = a.join(F.broadcast(b), F.col("a") < F.col("b"))
+    x = asked.select("a", "b").where("a != b").join(a, "a", "left").join(b, "b", "left")
     leader = (
         F.when(F.col("x").isNull() & F.col("y").isNull(), None)
         .when(F.col("x").isNull(), F.col("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ from tidemark.functions.numbers import rnd
 from tidemark.operators import backtest, compare, evidence, indicators, signals, strategy
 from tidemark.plans.report import report_markdown
 from tidemark.sources import payloads
+from tidemark.sources.shared import staged
 from tidemark.sources.tables import event_bars, read, region_bars, tail
 
 LOOSE = dict(oversold=40.0, overbought=60.0, vol_mult=1.0)
 POSITIVE, NEGATIVE = ["good", "great", "thanks", "the", "for"], ["bad", "worthless", "no", "not", "of"]
 ALIASES = ["tion", "worthless"]
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 #: Weights of a report's markdown are doubles with one digit.
 BARS = ["symbol", "bar", "idx", "open", "high", "low", "close", "volume", "n"]
 
@@ -27,9 +31,17 @@ def loose(spark: SparkSession, sf: str) -> DataFrame:
     return strategy.strategy(region_bars(spark, sf), **LOOSE)
 
 
+def loose_positions(spark: SparkSession, sf: str, variants=backtest.VARIANTS) -> DataFrame:
+    """Bars with their positions, computed once: trades, curve and summary all read them."""
+    return staged(backtest.positions(loose(spark, sf), variants), "positions")
+
+
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics_of(staged(region_bars(spark, sf), "bars"))
+
+
+def metrics_of(bars: DataFrame) -> DataFrame:
     """One row per region: everything that the signal rules look at, from its bars."""
-    bars = region_bars(spark, sf)
     wide = indicators.price_windows(bars, [("14d", 14), ("90d", 90)]).groupBy("symbol").pivot("label", ["14d", "90d"]).agg(
         F.first("return_pct").alias("r"), F.first("percentile_in_range").alias("p")
     )
@@ -76,15 +88,50 @@ def completed(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.complete(observed(spark, sf), keys, evidence.sources(spark))
 
 
+def measured(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics, one row per region, computed once for all rules that look at them."""
+    return staged(metrics(spark, sf), "metrics")
+
+
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
     return signals.signal_inventory(metrics(spark, sf))
 
 
-def stances(spark: SparkSession, sf: str) -> DataFrame:
-    x = metrics(spark, sf)
+def stances_of(x: DataFrame) -> DataFrame:
     return signals.stance(signals.signal_inventory(x), x)
 
 
+def stances(spark: SparkSession, sf: str) -> DataFrame:
+    return stances_of(measured(spark, sf))
+
+
+def q_drivers(spark: SparkSession, sf: str) -> DataFrame:
+    x = measured(spark, sf)
+    return signals.drivers(signals.signal_inventory(x), stances_of(x))
+
+
+def q_risk_factors(spark: SparkSession, sf: str) -> DataFrame:
+    x = measured(spark, sf)
+    return signals.risk_factors(x, stances_of(x), completed(spark, sf))
+
+
+def q_report(spark: SparkSession, sf: str) -> DataFrame:
+    bars = staged(region_bars(spark, sf), "bars")
+    x = staged(metrics_of(bars), "metrics")
+    return report_markdown(stances_of(x), indicators.price_windows(bars), signals.signal_inventory(x))
+
+
+def q_risk(spark: SparkSession, sf: str) -> DataFrame:
+    bars = staged(region_bars(spark, sf), "bars")
+    return compare.risk_composite(metrics_of(bars), compare.realised_volatility(bars))
+
+
+def q_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two regions, as the list of comparisons that is asked for."""
+    asked = spark.createDataFrame(list(combinations(REGIONS, 2)), "a string, b string")
+    return compare.pairwise(staged(compare.liquidity(region_bars(spark, sf)), "profiles"), asked, "avg_volume")
+
+
 def q_strategy(spark: SparkSession, sf: str, **params) -> DataFrame:
     x = strategy.strategy(region_bars(spark, sf), **params)
     return x.select("symbol", "bar", "trend", "in_tunnel", "volume_spike", F.coalesce("signal", F.lit("-")).alias("signal"))
@@ -105,20 +152,20 @@ def q_minutes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_trades(spark: SparkSession, sf: str, variant: str) -> DataFrame:
-    done = backtest.trades(backtest.positions(loose(spark, sf), [variant]))
+    done = backtest.trades(loose_positions(spark, sf, [variant]))
     return done.select(
         "symbol", "side", "entry_date", "exit_date", "entry_price", "exit_price", "bars_held", "return_pct", "exit_reason"
     )
 
 
 def q_equity(spark: SparkSession, sf: str) -> DataFrame:
-    held = backtest.positions(loose(spark, sf))
+    held = loose_positions(spark, sf)
     return backtest.equity_curve(held, backtest.trades(held)).select("symbol", "variant", "bar", "equity")
 
 
 def q_summary(spark: SparkSession, sf: str) -> DataFrame:
-    held = backtest.positions(loose(spark, sf))
-    done = backtest.trades(held)
+    held = loose_positions(spark, sf)
+    done = staged(backtest.trades(held), "trades")
     return backtest.summary(held, done, backtest.equity_curve(held, done))
 
 
@@ -174,27 +221,25 @@ def q_requests(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", F.coalesce(evidence.request_error("coin", "text"), F.lit("ok")).alias("outcome"))
 
 
-FEEDS = [
-    ("a", "<rss><channel><item><title>One</title><link>u1</link><pubDate>d1</pubDate><description>&lt;p&gt;Fed  holds &amp;amp; waits&lt;/p&gt;</description></item></channel></rss>"),
-    ("b", '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Two</title><link href="u2"/><updated>d2</updated><summary>S</summary></entry></feed>'),
-]
-CRITIQUES = [
-    (1, 0.6, '{"verdict":"weakened","summary":"s","confidence_adjustment":-0.1,"findings":[{"severity":"low","claim":"c","evidence_id":"EV-1"}]}'),
-    (2, 0.6, '{"verdict":"weakened","summary":"s","confidence_adjustment":0.1,"findings":[]}'),
-    (3, 0.6, '{"verdict":"odd","summary":"s","confidence_adjustment":-0.1,"findings":[]}'),
-    (4, 0.6, '{"verdict":"supported","summary":"s","confidence_adjustment":-0.9,"findings":[{"severity":"low","claim":"c","evidence_id":"EV-9"}]}'),
-    (5, 0.6, "no json"),
-    (6, 0.6, '{"verdict":"rejected","summary":"s","confidence_adjustment":-0.7,"findings":[{"severity":"low","claim":"c","evidence_id":"N/A"}]}'),
-]
-
-
 def q_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return text.feed_entries(spark.createDataFrame(FEEDS, "feed string, xml string"), "xml")
+    """Entries of a feed per page: RSS for even pages, whose first item has neither link nor date, Atom for odd ones."""
+    page = read(spark, sf, "pages").select("page_id", F.replace(F.coalesce("url", F.lit("")), F.lit("&"), F.lit("&amp;")).alias("u"))
+    rss = """concat('<rss version="2.0"><channel><title>feed</title><item><title> first ', page_id, '</title><description>&lt;p&gt;Fed  holds &amp;amp; waits &amp;#8217;til&lt;/p&gt;</description></item>',
+        '<item><title>second</title><link>', u, '</link><pubDate>d', page_id, '</pubDate></item></channel></rss>')"""
+    atom = """concat('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="text">one</title><link href="', u, '"/><published>p</published><content>body ', page_id, '</content></entry>',
+        '<entry><title>two</title><updated>u</updated><published>p</published><summary>s</summary></entry></feed>')"""
+    return text.feed_entries(page.select("page_id", F.expr(f"CASE WHEN page_id % 2 = 0 THEN {rss} ELSE {atom} END").alias("xml")), "xml")
 
 
 def q_critiques(spark: SparkSession, sf: str) -> DataFrame:
-    known = spark.createDataFrame([("EV-1",)], "evidence_id string")
-    out = signals.audited(spark.createDataFrame(CRITIQUES, "id int, confidence double, body string"), known)
+    """A critique per turn, of several makes; the evidence known is that of the first half of the documents."""
+    c = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn")
+    body = """CASE WHEN turn % 7 = 6 THEN 'no json' ELSE to_json(named_struct(
+        'verdict', CASE turn % 4 WHEN 0 THEN 'weakened' WHEN 1 THEN 'supported' WHEN 2 THEN 'rejected' ELSE 'odd' END, 'summary', 's',
+        'confidence_adjustment', (conv_id % 13 - 11) / 10D,
+        'findings', array(named_struct('severity', 'low', 'claim', 'c', 'evidence_id', CASE WHEN conv_id % 3 = 0 THEN 'N/A' ELSE concat('EV-', conv_id * 2) END)))) END"""
+    known = read(spark, sf, "documents").where("doc_id % 4 < 2").select(F.concat(F.lit("EV-"), "doc_id").alias("evidence_id"))
+    out = signals.audited(c.select("id", F.lit(0.6).alias("confidence"), F.expr(body).alias("body")), known)
     return out.withColumn("reason", F.coalesce("reason", F.lit("-")))
 
 
@@ -226,14 +271,14 @@ QUERIES = {
     "index_direction": lambda s, d: payloads.index_direction(tail(region_bars(s, d), 14), "symbol", "idx", "close"),
     "liquidity_profile": lambda s, d: compare.liquidity(region_bars(s, d)),
     "symbol_metrics": metrics,
-    "risk_composite": lambda s, d: compare.risk_composite(metrics(s, d), compare.realised_volatility(region_bars(s, d))),
+    "risk_composite": q_risk,
     "attention_profile": q_attention,
-    "pairwise_compare": lambda s, d: compare.pairwise(compare.liquidity(region_bars(s, d)), "avg_volume"),
+    "pairwise_compare": q_pairs,
     "signal_inventory": lambda s, d: inventory(s, d).withColumn("weight", F.col("weight").cast("double")),
     "stance": stances,
-    "stance_drivers": lambda s, d: signals.drivers(inventory(s, d), stances(s, d)),
+    "stance_drivers": q_drivers,
     "confidence": lambda s, d: signals.confidence(stances(s, d), completed(s, d)),
-    "risk_factors": lambda s, d: signals.risk_factors(metrics(s, d), stances(s, d), completed(s, d)),
+    "risk_factors": q_risk_factors,
     "fallback_fill": completed,
     "first_available": lambda s, d: evidence.first_available(read(s, d, "supplier"), ["s_nationkey"], "s_suppkey", F.col("s_acctbal") > 5000).select("s_nationkey", "s_suppkey"),
     "dq_rules": q_quality,
@@ -249,5 +294,5 @@ QUERIES = {
     "citations": lambda s, d: text.citations(read(s, d, "documents"), "doc_id", "text", "[0-9]{4,}"),
     "feed_parse": q_feed,
     "critic_validate": q_critiques,
-    "report_markdown": lambda s, d: report_markdown(stances(s, d), indicators.price_windows(region_bars(s, d)), inventory(s, d)),
+    "report_markdown": q_report,
 }

@@ -292,6 +292,16 @@ t AS (SELECT page_id, list_transform(blocks, lambda x: {BLOCK}) AS ts FROM b)
 SELECT page_id, substr(array_to_string(list_filter(ts, lambda x: length(x) >= 80 AND
   len(list_filter(string_split(x, ' '), lambda w: starts_with(w, '$') OR ends_with(w, '%'))) <= 0.2 * len(string_split(x, ' '))), chr(10)), 1, 4000) AS body FROM t""",
     "citations": "SELECT doc_id, ref, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]{4,}')) AS ref FROM documents) GROUP BY 1, 2",
+    "feed_parse": """SELECT page_id, n, title, url, published, summary FROM (
+  SELECT page_id, 0 AS n, 'first ' || page_id AS title, '' AS url, '' AS published, 'Fed holds & waits ’til' AS summary FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id, 1, 'second', coalesce(url, ''), 'd' || page_id, '' FROM pages WHERE page_id % 2 = 0
+  UNION ALL SELECT page_id, 0, 'one', coalesce(url, ''), 'p', 'body ' || page_id FROM pages WHERE page_id % 2 = 1
+  UNION ALL SELECT page_id, 1, 'two', '', 'u', 's' FROM pages WHERE page_id % 2 = 1)""",
+    "critic_validate": """WITH x AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, (conv_id % 13 - 11) / 10.0::DOUBLE AS adj,
+  conv_id % 3 <> 0 AND conv_id * 2 NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 < 2) AS unknown FROM conversations),
+y AS (SELECT *, CASE WHEN turn % 7 = 6 THEN 'not of the schema' WHEN turn % 4 = 3 THEN 'unknown verdict' WHEN adj NOT BETWEEN -1 AND 0 THEN 'adjustment out of range'
+  WHEN unknown THEN 'unknown evidence' ELSE '-' END AS reason FROM x)
+SELECT id, reason = '-' AS accepted, reason, 0.6::DOUBLE AS confidence, CASE WHEN reason = '-' THEN round(greatest(0.0, least(1.0, 0.6 + adj)) * 10000) / 10000 ELSE 0.6 END::DOUBLE AS adjusted FROM y""",
     "report_markdown": f"""WITH RECURSIVE {REGION}, {METRICS}, {windows(out="fw")}, {INVENTORY}, {STANCE},
 lg AS (SELECT symbol, string_agg('- ' || label || ': ' || {FMT("return_pct", 2)} || ' %, drawdown ' || {FMT("max_drawdown_pct", 2)} || ' %', chr(10) ORDER BY label) AS t FROM fw GROUP BY 1),
 fx AS (SELECT symbol, string_agg('- ' || rule || ' ' || side || ' ' || {FMT("weight", 1)}, chr(10) ORDER BY ord, rule) AS t FROM inv GROUP BY 1)
