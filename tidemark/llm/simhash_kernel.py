@@ -22,11 +22,11 @@ def word_spans(text: str | None) -> tuple[bytes, list[int], list[int]]:
     return b" ".join(words), starts.tolist(), ends.tolist()
 
 
-def shingle_hashes(text: str | None, width: int):
-    """XXH64 (seed 42) of each `width`-word shingle, repeats included, as big-endian bytes in chunks.
+def shingle_hashes(spans: tuple[bytes, list[int], list[int]], width: int):
+    """XXH64 (seed 42) of each `width`-word shingle of `word_spans`, repeats included, as big-endian bytes in chunks.
 
     Fewer words than `width`: the whole sequence is the one shingle; no word: nothing."""
-    joined, starts, ends = word_spans(text)
+    joined, starts, ends = spans
     if not starts:
         return
     ends = ends[width - 1 :] or ends[-1:]
@@ -35,16 +35,21 @@ def shingle_hashes(text: str | None, width: int):
         yield b"".join([digest(joined[s:e], 42) for s, e in zip(starts[i : i + CHUNK], ends[i : i + CHUNK])])
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """64-bit SimHash: a bit is set if it is set in over half the shingle hashes; without words, 0."""
+def simhash(blocks) -> int:
+    """64-bit SimHash of shingle hashes: a bit is set if it is set in over half of them; without any, 0."""
     ones, n = np.zeros(64, dtype=np.int64), 0
-    for block in shingle_hashes(text, width):
+    for block in blocks:
         bits = np.unpackbits(np.frombuffer(block, dtype=np.uint8)).reshape(-1, 64)
         ones += bits.sum(axis=0, dtype=np.int64)
         n += len(bits)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big") if n else 0
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """SimHash of a text's `width`-word shingles."""
+    return simhash(shingle_hashes(word_spans(text), width))
+
+
 def fingerprint_batches(batches, width: int):
     """Arrow batches whose last column is the text: the other columns and `fp` as a signed long."""
     for batch in batches:
@@ -61,10 +66,15 @@ _MIX = _RANDOM.randint(1, 2**63 - 1, size=ROWS * BANDS, dtype=np.int64).astype(n
 _XOR = _RANDOM.randint(0, 2**63 - 1, size=ROWS * BANDS, dtype=np.int64).astype(np.uint64)
 
 
+def distinct_hashes(blocks) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes."""
+    blocks = [np.unique(np.frombuffer(b, ">u8").astype(np.uint64)) for b in blocks]
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    blocks = [np.unique(np.frombuffer(b, ">u8").astype(np.uint64)) for b in shingle_hashes(text, width)]
-    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+    return distinct_hashes(shingle_hashes(word_spans(text), width))
 
 
 def band_keys(shingles: np.ndarray) -> list[int]:
@@ -84,10 +94,11 @@ def signature_batches(batches, width: int):
     for batch in batches:
         rows = []
         for text in batch.column(1):
-            text = text.as_py()
-            digest = hashlib.blake2b(word_spans(text)[0], digest_size=16).digest()
-            fp = fingerprint(text, width)
-            rows.append((digest, fp - (fp >> 63 << 64), band_keys(shingle_set(text, width))))
+            spans = word_spans(text.as_py())
+            digest = hashlib.blake2b(spans[0], digest_size=16).digest()
+            blocks = list(shingle_hashes(spans, width))  # hashed once for both; 8 bytes a shingle
+            fp = simhash(blocks)
+            rows.append((digest, fp - (fp >> 63 << 64), band_keys(distinct_hashes(blocks))))
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.list_(pa.int64())))]
         if rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "digest", "fp", "bands"])
