@@ -129,16 +129,23 @@ def _linked(batches, radius: int, limit: int | None):
         yield from groups(held)
 
 
-def _finer(crowded: DataFrame) -> DataFrame:
+def _finer(crowded: DataFrame, limit: int) -> DataFrame:
     """Rows of crowded variants under variants of the other segment too: its two halves of 16 bits, whole or with one wildcard.
 
     At most three differing bits are left there, so one half differs in at most one. Rows that then still
-    meet agree in 46 bits, which bounds a group by 2^18 whatever the input."""
+    meet agree in 46 bits, which bounds a group by 2^18 whatever the input. A group of more than `limit`
+    rows is cut into blocks, dealt out in pairs (lo, hi), so that no task compares more than two blocks."""
     rows = crowded.select("slot", "part", "fp", F.explode(F.sequence(F.lit(0), F.lit(33))).alias("half"))
     other = F.expr("CASE WHEN slot < 33 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295L END")
     bits = F.when(F.col("half") < 17, other.bitwiseAND(F.lit(65535))).otherwise(F.shiftrightunsigned(other, 16))
     mask = F.expr("CASE WHEN half % 17 = 16 THEN -1L ELSE ~shiftleft(1L, half % 17) END")
-    return rows.select("slot", "part", F.col("half").cast("int"), bits.bitwiseAND(mask).alias("finer"), "fp")
+    keys = ["slot", "part", "half", "finer"]
+    rows = rows.select("slot", "part", F.col("half").cast("int"), bits.bitwiseAND(mask).alias("finer"), "fp")
+    large = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("blocks")).where("blocks > 1")
+    rows = rows.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(*keys, F.least("block", "mate").alias("lo"), F.greatest("block", "mate").alias("hi"), "fp")
 
 
 def links(fps: DataFrame, radius: int = 3, limit: int = 4096) -> DataFrame:
@@ -146,7 +153,8 @@ def links(fps: DataFrame, radius: int = 3, limit: int = 4096) -> DataFrame:
 
     fps: distinct non-null `fp`. One shuffle deals the variants out by their value; within a partition
     they are sorted, so a group is a run of rows. A variant of more than `limit` fingerprints is not
-    compared in one task: its rows are dealt out again under finer variants, which lose no pair either."""
+    compared in one task: its rows are dealt out again under finer variants, and of those that are still
+    as large in pairs of blocks, which lose no pair either."""
     if radius > 3:
         raise ValueError("two segments with one wildcard hold all pairs up to three differing bits")
 
@@ -159,7 +167,7 @@ def links(fps: DataFrame, radius: int = 3, limit: int = 4096) -> DataFrame:
     crowded = found.where("slot >= 0")
     out = found.where("slot < 0")
     if not crowded.isEmpty():
-        out = out.unionAll(meet(_finer(crowded), ["slot", "part", "half", "finer"], None))
+        out = out.unionAll(meet(_finer(crowded, limit), ["slot", "part", "half", "finer", "lo", "hi"], None))
     return out.select(F.col("part").alias("a"), F.col("fp").alias("b"))
 
 
