@@ -13,6 +13,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "bars_from_events", "bars_daily_region", "price_windows", "downsample", "rsi", "crossovers", "strategy_signals", "side_consistency", "trend_30_90",
     "pairwise_compare", "fallback_fill", "dq_rules", "dedupe_topn", "snapshot_delta", "lexicon_sentiment", "strip_truncate", "article_text", "citations",
+    "report_markdown", "narrative", "risk_factors", "comparison_report", "news_union", "policy_releases", "evidence_by_type", "footnotes", "indicators_shown",
+    "run_state", "numeric_elements", "sentence_blocks", "fuller_text", "minutes_shown",
 ]
 
 

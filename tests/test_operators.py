@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import compare, evidence, indicators, signals
+from tidemark.operators import compare, evidence, indicators, reasoning, signals
 from tidemark.plans import sinks
 from tidemark.sources import fixtures, payloads, tables
 from tidemark.streaming.bars import run_bars
@@ -69,7 +69,7 @@ def test_quality_findings_and_dangling(spark):
     good = ("E1", "s", "u", "2026-01-01T00:00:00Z", "market", "X", "14d", "{}", 0.9, "r", "c")
     rows = [good, good, ("E2", "", "u", "never", None, "X", "14d", "{}", 1.2, "", "c")]
     got = sorted((r.evidence_id, r.finding) for r in evidence.quality_findings(frame(spark, rows, evidence.SCHEMA)).collect())
-    assert got == [("E1", "duplicate id"), ("E2", "bad timestamp"), ("E2", "empty source"), ("E2", "empty traceability"), ("E2", "missing field"), ("E2", "score out of range")]
+    assert got == [("E1", "duplicate id"), ("E2", "bad timestamp"), ("E2", "empty source"), ("E2", "empty traceability"), ("E2", "missing data_type"), ("E2", "score out of range")]
     refs = frame(spark, [("E1",), ("E9",)], "evidence_id string")
     assert [r[0] for r in evidence.dangling(refs, frame(spark, rows, evidence.SCHEMA), "evidence_id").collect()] == ["E9"]
 
@@ -164,3 +164,42 @@ def test_plans_prune_and_push_down(spark, capsys):
     tables.region_bars(spark, "/root/testdata/sf0.001").explain("formatted")
     plan = capsys.readouterr().out
     assert "l_comment" not in plan and "ReadSchema: struct<l_suppkey" in plan and "BroadcastHashJoin" in plan
+
+
+def test_comparison_with_a_missing_side(spark):
+    schema = "symbol string, avg_volume double, composite_score double, engagement long, news long, posts long, capped boolean"
+    profiles = frame(spark, [("A", 10.0, None, 5, 1, 2, False), ("B", 30.0, None, 5, 6, 2, True)], schema)
+    got = {(r.a, r.b): r for r in compare.comparison(profiles, frame(spark, [("A", "B"), ("A", "Z"), ("Y", "Z"), ("A", "A")], "a string, b string")).collect()}
+    assert set(got) == {("A", "B"), ("A", "Z"), ("Y", "Z")}
+    ab = got["A", "B"]
+    assert (ab.liquidity_leader, ab.liquidity_ratio, ab.risk_verdict, ab.attention_verdict) == ("B", 3.0, "unknown", "tie")
+    assert ab.note and "| risk | N/A | N/A | unknown |" in ab.report
+    assert (got["A", "Z"].liquidity_leader, got["A", "Z"].liquidity_ratio) == ("A", None)
+    assert got["Y", "Z"].summary == "too little data to tell them apart"
+
+
+def test_news_union_of_odd_items(spark):
+    schema = "coin string, title string, n int"
+    ours = frame(spark, [("A", "One", 1), ("A", "ONE", 2), ("A", "", 3), ("A", None, 4), (None, "One", 5)], schema)
+    theirs = frame(spark, [("A", "one", 1), ("A", "two", 2), ("A", "two", 3), ("A", None, 4), ("A", "five", 5), ("A", "late", 6), (None, "one", 7)], schema)
+    got = [tuple(r) for r in evidence.news_union(ours, theirs, "coin", "title", "n").orderBy("coin", "rank").select("coin", "n", "from_publisher", "rank").collect()]
+    assert got == [(None, 5, True, 1), ("A", 1, True, 1), ("A", 2, False, 2), ("A", 3, False, 3), ("A", 4, False, 4), ("A", 5, False, 5)]
+    assert evidence.news_union(ours.limit(0), theirs.limit(0), "coin", "title", "n").count() == 0
+
+
+def test_sentence_blocks_fuller_texts_and_numbers(spark):
+    rows = [("Short. one; two! three and a good deal more text? end",), ("",), (None,), ("no end at all",), ("a long clause that stands alone; tail",)]
+    got = [r[0] for r in frame(spark, rows, "t string").select(text.sentence_blocks("t")).collect()]
+    assert got == [["Short. one;two!three and a good deal more text?end"], [""], [""], ["no end at all"], ["a long clause that stands alone;tail"]]
+    pairs = frame(spark, [("a b", "x a  b y"), ("same", "same "), ("a", "b"), (None, "c")], "p string, q string")
+    assert [r[0] for r in pairs.select(text.fuller("p", "q")).collect()] == ["x a  b y", "same", None, "c"]
+    assert frame(spark, [(["1", "x", None, "2.5"],)], "s array<string>").select(evidence.numeric_elements("s")).first()[0] == [1.0, 2.5]
+
+
+def test_narrative_without_signals(spark):
+    none = frame(spark, [], "symbol string, ord int, rule string, data_type string, side string, weight decimal(6,2)")
+    stances = signals.stance(none, frame(spark, [("X",)], "symbol string"))
+    found = frame(spark, [("X", 0, "market", "E", True)], "symbol string, ordinal int, label string, evidence_id string, is_fallback boolean")
+    sure = signals.confidence(stances, found)
+    got = {(r.section, r.ord) for r in reasoning.narrative(none, stances, sure, found, frame(spark, [("X", None)], "symbol string, fear_greed double")).collect()}
+    assert got == {("judgment", 1), ("facts", 0), ("inferences", 20), ("counter_evidence", 300), ("counter_evidence", 400), ("observations", 4)}

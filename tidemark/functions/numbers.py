@@ -19,3 +19,9 @@ def pct_change(new: Column, old: Column, digits: int = 2) -> Column:
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
+
+
+def fixed(x: Column | str, digits: int) -> Column:
+    """A number as text with so many digits; N/A for null, which a format alone would cut to its first letters."""
+    c = F.col(x) if isinstance(x, str) else x
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double"))).otherwise(F.lit("N/A"))

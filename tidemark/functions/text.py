@@ -122,3 +122,42 @@ def citations(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """(key, ref, times): what matches the pattern in each text, and how often."""
     refs = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0))
     return df.select(key, F.explode(refs).alias("ref")).groupBy(key, "ref").agg(F.count(F.lit(1)).alias("times"))
+
+
+_ENDS = "。！？；!?;"
+
+
+def sentence_blocks(text: str, least: int = 24, orphan: int = 12) -> Column:
+    """Clauses of a text gathered into blocks of `least` characters or more; a last one below `orphan` joins the one before.
+
+    A null or blank text is one block as it is."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    pieces = F.regexp_extract_all(whole, F.lit(f"[^{_ENDS}]+[{_ENDS}]*"), F.lit(0))
+    clauses = F.filter(F.transform(pieces, lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def take(held: Column, clause: Column) -> Column:
+        now = F.concat(held["open"], clause)
+        full = F.length(now) >= least
+        done = F.when(full, F.array_append(held["done"], now)).otherwise(held["done"])
+        return F.struct(done.alias("done"), F.when(full, F.lit("")).otherwise(now).alias("open"))
+
+    def close(held: Column) -> Column:
+        done, rest = held["done"], held["open"]
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), rest)))
+        return F.when(rest == "", done).when((F.size(done) > 0) & (F.length(rest) < orphan), joined).otherwise(F.array_append(done, rest))
+
+    blocks = F.aggregate(clauses, start, take, close)
+    return F.when(F.size(clauses) == 0, F.array(whole)).otherwise(blocks)
+
+
+def fuller(a: str, b: str) -> Column:
+    """The longer of two texts if one holds the other but for white space (b if as long), null if they differ."""
+    x, y = (F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", "") for c in (a, b))
+    p, q = F.trim(F.coalesce(F.col(a), F.lit(""))), F.trim(F.coalesce(F.col(b), F.lit("")))
+    return F.when(F.contains(x, y) | F.contains(y, x), F.when(F.length(p) > F.length(q), p).otherwise(q))
+
+
+def to_minutes(stamp: str) -> Column:
+    """An ISO timestamp up to its minutes, with a space for the T."""
+    return F.replace(F.substring(F.col(stamp), 1, 16), F.lit("T"), F.lit(" "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import rnd
+from tidemark.functions.numbers import fixed, rnd
 
 
 def capped(x: Column) -> Column:
@@ -54,35 +54,74 @@ def risk_composite(metrics: DataFrame, volatility: DataFrame) -> DataFrame:
     )
 
 
-def attention(posts: DataFrame, counters: list[str]) -> DataFrame:
-    """(symbol, posts, engagement, capped): null counters count as zero; 25 posts are the fetch limit."""
+def attention(posts: DataFrame, counters: list[str], news: DataFrame | None = None) -> DataFrame:
+    """(symbol, posts, engagement, capped): null counters count as zero. 25 posts and, where news (symbol, ...) are given
+    and counted in a column `news`, 5 articles are the fetch limits."""
     each = F.coalesce(F.col(counters[0]), F.lit(0))
     for c in counters[1:]:
         each = each + F.coalesce(F.col(c), F.lit(0))
     x = posts.groupBy("symbol").agg(F.count(F.lit(1)).alias("posts"), F.sum(each).alias("engagement"))
-    return x.withColumn("capped", F.col("posts") >= 25)
+    if news is None:
+        return x.withColumn("capped", F.col("posts") >= 25)
+    x = x.join(news.groupBy("symbol").agg(F.count(F.lit(1)).alias("news")), "symbol", "full").fillna(0, ["posts", "engagement", "news"])
+    return x.withColumn("capped", (F.col("posts") >= 25) | (F.col("news") >= 5))
 
 
-def pairwise(profiles: DataFrame, asked: DataFrame, measure: str) -> DataFrame:
-    """(a, b, leader, verdict, ratio) of the comparisons (a, b) that are asked for; profiles has a row per symbol.
+def ranked(x: str, y: str) -> tuple[Column, Column, Column]:
+    """leader, verdict and ratio of columns a and b by their values x and y.
 
     One missing: the other leads; both missing: nobody; equal: tie. A ratio is given from 1.1 on."""
-    a = profiles.select(F.col("symbol").alias("a"), F.col(measure).alias("x"))
-    b = profiles.select(F.col("symbol").alias("b"), F.col(measure).alias("y"))
-    x = asked.select("a", "b").where("a != b").join(a, "a", "left").join(b, "b", "left")
+    u, v = F.col(x), F.col(y)
     leader = (
-        F.when(F.col("x").isNull() & F.col("y").isNull(), None)
-        .when(F.col("x").isNull(), F.col("b"))
-        .when(F.col("y").isNull(), F.col("a"))
-        .when(F.col("x") > F.col("y"), F.col("a"))
-        .when(F.col("y") > F.col("x"), F.col("b"))
+        F.when(u.isNull() & v.isNull(), None)
+        .when(u.isNull(), F.col("b"))
+        .when(v.isNull(), F.col("a"))
+        .when(u > v, F.col("a"))
+        .when(v > u, F.col("b"))
     )
-    verdict = (
-        F.when(F.col("x").isNull() & F.col("y").isNull(), "unknown")
-        .when(F.col("x").isNull() | F.col("y").isNull(), "only one known")
-        .when(F.col("x") == F.col("y"), "tie")
-        .otherwise("leads")
+    verdict = F.when(u.isNull() & v.isNull(), "unknown").when(u.isNull() | v.isNull(), "only one known").when(u == v, "tie").otherwise("leads")
+    ratio = F.try_divide(F.greatest(u, v), F.least(u, v))
+    return leader, verdict, F.when(u.isNotNull() & v.isNotNull() & (ratio >= 1.1), rnd(ratio, 2))
+
+
+def _asked(profiles: DataFrame, asked: DataFrame, measures: list[str]) -> DataFrame:
+    """The comparisons (a, b), without those of a symbol with itself, with both sides' measures as x_ and y_ columns."""
+    side = lambda s, p: profiles.select(F.col("symbol").alias(s), *[F.col(m).alias(f"{p}_{m}") for m in measures])
+    return asked.select("a", "b").where("a != b").join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left")
+
+
+def pairwise(profiles: DataFrame, asked: DataFrame, measure: str) -> DataFrame:
+    """(a, b, leader, verdict, ratio) of the comparisons (a, b) that are asked for; profiles has a row per symbol."""
+    leader, verdict, ratio = ranked(f"x_{measure}", f"y_{measure}")
+    return _asked(profiles, asked, [measure]).select("a", "b", leader.alias("leader"), verdict.alias("verdict"), ratio.alias("ratio"))
+
+
+#: Parts of a comparison and the measure each is ranked by.
+DIMENSIONS = {"liquidity": "avg_volume", "risk": "composite_score", "attention": "engagement"}
+
+
+def comparison(profiles: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b, then leader, verdict and ratio of liquidity, risk and attention, note, summary, report) per comparison asked for.
+
+    profiles: a row per symbol with avg_volume, composite_score, engagement, news, posts and capped. note: set where a
+    side's counts reached their fetch limits. The report is Markdown with both sides' figures."""
+    x = _asked(profiles, asked, [*DIMENSIONS.values(), "news", "posts", "capped"])
+    for name, measure in DIMENSIONS.items():
+        parts = dict(zip(("leader", "verdict", "ratio"), ranked(f"x_{measure}", f"y_{measure}")))
+        x = x.withColumns({f"{name}_{part}": c for part, c in parts.items()})
+    capped = F.coalesce("x_capped", F.lit(False)) | F.coalesce("y_capped", F.lit(False))
+    said = F.array_join(F.array_compact(F.array(
+        F.concat(F.lit("more liquid: "), "liquidity_leader"), F.concat(F.lit("more exposed: "), "risk_leader"), F.concat(F.lit("more attention: "), "attention_leader"))), "; ")
+    both = F.col("liquidity_leader") == F.col("risk_leader")
+    more = F.when(both, F.concat(F.lit("; "), "risk_leader", F.lit(" moves by active trade"))).when(
+        ~both, F.concat(F.lit("; "), "risk_leader", F.lit(" is exposed at less liquidity"))
     )
-    ratio = F.try_divide(F.greatest("x", "y"), F.least("x", "y"))
-    shown = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & (ratio >= 1.1), rnd(ratio, 2))
-    return x.select("a", "b", leader.alias("leader"), verdict.alias("verdict"), shown.alias("ratio"))
+    x = x.withColumn("note", F.when(capped, "counts are at their fetch limits"))
+    x = x.withColumn("summary", F.when(said == "", "too little data to tell them apart").otherwise(F.concat(said, F.coalesce(more, F.lit("")))))
+    row = lambda label, m, d, last: F.concat(F.lit(f"| {label} | "), fixed(f"x_{m}", d), F.lit(" | "), fixed(f"y_{m}", d), F.lit(" | "), last, F.lit(" |"))
+    text = F.array_join(F.array(
+        F.concat(F.lit("## "), "a", F.lit(" vs "), "b"), F.col("summary"), F.concat(F.lit("| | "), "a", F.lit(" | "), "b", F.lit(" | verdict |")), F.lit("|---|---|---|---|"),
+        *[row(name, m, 2, F.concat_ws(" ", f"{name}_leader", f"{name}_verdict")) for name, m in DIMENSIONS.items()],
+        row("news", "news", 0, F.coalesce("note", F.lit(""))), row("posts", "posts", 0, F.lit(""))), "\n")
+    ranks = [f"{name}_{part}" for name in DIMENSIONS for part in ("leader", "verdict", "ratio")]
+    return x.select("a", "b", *ranks, "note", "summary", text.alias("report"))

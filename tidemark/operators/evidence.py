@@ -82,18 +82,29 @@ def first_available(rows: DataFrame, key: list[str], priority: str, usable: Colu
     return rows.where(usable).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
+#: Fields that every record has.
+REQUIRED = (
+    "evidence_id", "source", "source_url", "fetched_at", "data_type", "coin", "time_range", "content", "content_reference", "related_claim",
+    "reliability_score",
+)
+
+
 def quality_findings(evidence: DataFrame, key: str = "evidence_id") -> DataFrame:
-    """(evidence_id, finding) for each rule that a record breaks; second and later records of an id are duplicates."""
-    again = F.row_number().over(Window.partitionBy(key).orderBy("fetched_at", "source")) > 1
+    """(evidence_id, finding) for each rule that a record breaks; second and later records of an id are duplicates.
+
+    Absent fields are one finding that names them in order; an absent score is also out of range. Records without
+    an id are nobody's duplicates and are dealt out by their other fields."""
+    own = F.when(F.col(key).isNull(), F.xxhash64("fetched_at", "source", "content_reference"))
+    again = F.row_number().over(Window.partitionBy(key, own).orderBy("fetched_at", "source")) > 1
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    score = F.col("reliability_score")
+    absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in sorted(REQUIRED)]))
     rules = [
-        ("missing field", F.col(key).isNull() | F.col("data_type").isNull() | score.isNull()),
-        ("duplicate id", again & F.col(key).isNotNull()),
-        ("empty source", blank("source") | blank("source_url")),
-        ("empty traceability", blank("content_reference") | blank("related_claim")),
-        ("score out of range", (score < 0) | (score > 1)),
-        ("bad timestamp", F.try_to_timestamp(F.replace(F.col("fetched_at"), F.lit("Z"), F.lit("+00:00"))).isNull()),
+        (F.concat(F.lit("missing "), F.array_join(absent, ", ")), F.size(absent) > 0),
+        (F.lit("duplicate id"), again & F.col(key).isNotNull()),
+        (F.lit("empty source"), blank("source") | blank("source_url")),
+        (F.lit("empty traceability"), blank("content_reference") | blank("related_claim")),
+        (F.lit("score out of range"), ~F.coalesce(F.col("reliability_score"), F.lit(-1.0)).between(0, 1)),
+        (F.lit("bad timestamp"), F.try_to_timestamp(F.replace(F.col("fetched_at"), F.lit("Z"), F.lit("+00:00"))).isNull()),
     ]
     found = F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules]))
     return evidence.select(key, found.alias("found")).select(key, F.explode("found").alias("finding"))
@@ -111,6 +122,41 @@ def dedupe_top(items: DataFrame, key: list[str], title: str, order: list[Column]
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def news_union(publishers: DataFrame, search: DataFrame, key: str, title: str, order: str, limit: int = 5) -> DataFrame:
+    """(key, order, title, from_publisher, rank): items of publishers first, each title once in any case, then of the search feed.
+
+    Of the search feed only the first `limit` items of a key count, without those whose title a publisher has, cut or not.
+    Publishers' items without a title are left out. At most `limit` items of a key stay; a null key is a key of its own."""
+    low = F.lower(F.coalesce(F.col(title), F.lit("")))
+    titled = publishers.where(low != "")
+    seen = titled.select(F.col(key).alias("_key"), F.xxhash64(low).alias("_hash"), low.alias("_low")).distinct()
+    ours = dedupe_top(titled.select(key, order, title), [key], title, [F.col(order)], limit).drop("rank")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    theirs = search.select(key, order, title).withColumn("_n", first).where(F.col("_n") <= limit).drop("_n")
+    known = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(low) == F.col("_hash")) & (low == F.col("_low"))
+    theirs = theirs.join(seen, known, "left_anti")
+    both = ours.withColumn("from_publisher", F.lit(True)).unionByName(theirs.withColumn("from_publisher", F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("from_publisher"), order))
+    return both.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def policy_releases(releases: DataFrame, keys: DataFrame, limit: int = 5) -> DataFrame:
+    """(symbol, policy_status, releases, latest_fomc): of each symbol's first `limit` releases (symbol, n, title) how many
+    there are and the first whose title has FOMC in any case; `unavailable:empty` for symbols without a release."""
+    first = F.row_number().over(Window.partitionBy("symbol").orderBy("n"))
+    top = releases.withColumn("_k", first).where(F.col("_k") <= limit)
+    fomc = F.when(F.contains(F.upper("title"), F.lit("FOMC")), F.col("n"))
+    one = top.groupBy("symbol").agg(F.count(F.lit(1)).alias("releases"), F.min_by("title", fomc).alias("latest_fomc"))
+    x = keys.select("symbol").distinct().join(one, "symbol", "left")
+    status = F.when(F.col("releases") > 0, "available").otherwise("unavailable:empty")
+    return x.select("symbol", status.alias("policy_status"), F.coalesce("releases", F.lit(0)).alias("releases"), "latest_fomc")
+
+
+def numeric_elements(series: str) -> Column:
+    """Elements of a list that are numbers, as doubles, in their order."""
+    return F.array_compact(F.transform(F.col(series), lambda x: x.try_cast("double")))
+
+
 def keep_newest(ledger: DataFrame, most: int = 30) -> DataFrame:
     """The newest `most` snapshots of each coin; a snapshot is all rows of a (coin, fetched_at), repeats once."""
     one = ledger.dropDuplicates(["coin", "fetched_at", "label"])

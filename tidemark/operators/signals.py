@@ -85,16 +85,18 @@ def confidence(stances: DataFrame, failures: DataFrame) -> DataFrame:
     return x.select("symbol", "source_failures", rnd(clamp(raw, 0.20, 0.85), 2).alias("confidence"))
 
 
-def risk_factors(metrics: DataFrame, stances: DataFrame, failures: DataFrame) -> DataFrame:
-    """(symbol, ord, factor): one per degraded source, then those of the data, then two that always hold."""
+def risk_factors(metrics: DataFrame, stances: DataFrame, failures: DataFrame, policy: DataFrame) -> DataFrame:
+    """(symbol, ord, factor): one per degraded source, then those of the data, then two that always hold.
+
+    policy: (symbol, policy_status); a symbol without a status has no such factor."""
     lost = failures.where("is_fallback").select("symbol", F.lit(1).alias("ord"), F.concat(F.lit("degraded source: "), "label").alias("factor"))
     ratio = F.try_divide("bull_weight", "bear_weight")
-    x = metrics.join(stances, "symbol")
+    x = metrics.join(stances, "symbol").join(policy.select("symbol", "policy_status"), "symbol", "left")
     rules = [
         (2, "bull and bear weights are close", (F.col("bull_weight") > 0) & ratio.between(0.6, 1.67)),
         (3, "timeframes disagree", ~F.col("aligned")),
         (4, "positioning is unstable", F.col("consistency_pct") < 60),
-        (5, "policy releases are unavailable", F.lit(False)),
+        (5, "policy releases are unavailable", F.col("policy_status").startswith("unavailable")),
         (6, "signals are simultaneous, not causal", F.lit(True)),
         (7, "social and news sources are less reliable", F.lit(True)),
     ]

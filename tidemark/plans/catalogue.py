@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.functions.numbers import rnd
-from tidemark.operators import backtest, compare, evidence, indicators, signals, strategy
-from tidemark.plans.report import report_markdown
+from tidemark.functions.numbers import fixed, rnd
+from tidemark.operators import backtest, compare, evidence, indicators, reasoning, signals, strategy
+from tidemark.plans import report
 from tidemark.sources import payloads
 from tidemark.sources.shared import staged
 from tidemark.sources.tables import event_bars, read, region_bars, tail
@@ -110,15 +110,100 @@ def q_drivers(spark: SparkSession, sf: str) -> DataFrame:
     return signals.drivers(signals.signal_inventory(x), stances_of(x))
 
 
+def policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Releases of a feed per region, taken from page urls; each seventh page is about the FOMC, and one region has none."""
+    regions = read(spark, sf, "region").select(F.col("r_name").alias("symbol"), F.col("r_regionkey").cast("long").alias("k"))
+    title = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("Fomc "), F.coalesce("url", F.lit("")))).otherwise(F.coalesce("url", F.lit("")))
+    pages = read(spark, sf, "pages").select((F.col("page_id") % 4).alias("k"), F.col("page_id").alias("n"), title.alias("title"))
+    return evidence.policy_releases(pages.join(regions, "k").drop("k"), regions)
+
+
 def q_risk_factors(spark: SparkSession, sf: str) -> DataFrame:
     x = measured(spark, sf)
-    return signals.risk_factors(x, stances_of(x), completed(spark, sf))
+    return signals.risk_factors(x, stances_of(x), completed(spark, sf), policy(spark, sf))
+
+
+def told(x: DataFrame, found: DataFrame) -> DataFrame:
+    """The narrative of metrics and completed evidence."""
+    side = stances_of(x)
+    return reasoning.narrative(signals.signal_inventory(x), side, signals.confidence(side, found), found, x)
+
+
+SHOWN = ["trend", "funding_bias", "ratio_bias", "sentiment", "risk_appetite", "tvl_direction"]
 
 
 def q_report(spark: SparkSession, sf: str) -> DataFrame:
     bars = staged(region_bars(spark, sf), "bars")
-    x = staged(metrics_of(bars), "metrics")
-    return report_markdown(stances_of(x), indicators.price_windows(bars), signals.signal_inventory(x))
+    x, found = staged(metrics_of(bars), "metrics"), completed(spark, sf)
+    side = stances_of(x)
+    shown = reasoning.shown_indicators(x, SHOWN).withColumn("line", F.concat("indicator", F.lit(": "), "value"))
+    risks = signals.risk_factors(x, side, found, policy(spark, sf))
+    return report.report_markdown([
+        report.lines(x, "Question", F.concat(F.lit("Where is "), "symbol", F.lit(" heading?"))),
+        report.stance_lines(side),
+        report.window_lines(indicators.price_windows(bars)),
+        report.of_narrative(told(x, found)),
+        report.lines(signals.confidence(side, found), "Confidence", fixed("confidence", 2)),
+        report.lines(shown, "Indicators", F.col("line")),
+        report.lines(found, "Evidence Sources", F.concat("evidence_id", F.lit(" by "), "agent", F.lit(", reliability "), fixed("reliability", 2)), F.col("ordinal")),
+        report.lines(risks, "Risks and Limitations", F.col("factor"), F.col("ord")),
+    ])
+
+
+def q_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two regions by liquidity, risk and attention; posts are turns and news are documents, dealt to regions by number."""
+    bars = staged(region_bars(spark, sf), "bars")
+    region = lambda c: F.element_at(F.array(*map(F.lit, REGIONS)), (F.col(c) % len(REGIONS) + 1).cast("int")).alias("symbol")
+    posts = read(spark, sf, "conversations").select(region("conv_id"), F.length("text").alias("likes"), F.col("turn").alias("replies"))
+    heard = compare.attention(posts, ["likes", "replies"], read(spark, sf, "documents").select(region("doc_id")))
+    risk = compare.risk_composite(metrics_of(bars), compare.realised_volatility(bars))
+    profiles = compare.liquidity(bars).join(risk, "symbol", "left").join(heard, "symbol", "left")
+    asked = spark.createDataFrame([*combinations(REGIONS, 2), (REGIONS[0], "NOWHERE")], "a string, b string")
+    return compare.comparison(staged(profiles, "profiles"), asked)
+
+
+def q_news(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents labelled good stand for publishers' items of a language, all others for those of the search feed."""
+    docs = read(spark, sf, "documents").select("doc_id", "lang", "text")
+    good = read(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
+    ours, theirs = (docs.join(good, "doc_id", how) for how in ("left_semi", "left_anti"))
+    return evidence.news_union(ours, theirs, "lang", "text", "doc_id").select("lang", "doc_id", "from_publisher", "rank")
+
+
+def q_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    seen = completed(spark, sf).where("NOT is_fallback").withColumnRenamed("label", "data_type")
+    return reasoning.by_data_type(seen, [s[1] for s in evidence.SOURCES])
+
+
+def q_footnotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals cite the evidence of their source; one that has none is cited under the source's name."""
+    found = completed(spark, sf)
+    ids = found.select("symbol", F.col("label").alias("data_type"), "evidence_id")
+    cited = inventory(spark, sf).join(ids, ["symbol", "data_type"], "left").withColumn("evidence_id", F.coalesce("evidence_id", "data_type"))
+    return reasoning.footnotes(cited.select("symbol", "rule", "evidence_id"), found)
+
+
+def q_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers among the elements of a landed series: a count, a word, nothing, a turn and a fraction."""
+    series = F.array(F.length("text").cast("string"), F.col("role"), F.lit(None), F.col("turn").cast("string"), F.lit("0.5"))
+    found = read(spark, sf, "conversations").select("conv_id", "turn", series.alias("series"))
+    return found.select("conv_id", "turn", F.array_join(F.transform(evidence.numeric_elements("series"), lambda v: F.format_string("%.1f", v)), ",").alias("numbers"))
+
+
+def q_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(text.sentence_blocks("text"), "|").alias("blocks"))
+
+
+def q_fuller(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns against themselves in other white space, every second one against its role: which text says it all, if one holds the other."""
+    judged = F.when(F.col("turn") % 2 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("role"))
+    c = read(spark, sf, "conversations").select("conv_id", "turn", "text", judged.alias("judgment"))
+    return c.select("conv_id", "turn", F.coalesce(text.fuller("judgment", "text"), F.lit("-")).alias("shown"))
+
+
+def q_minutes_shown(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+    return e.select("event_id", text.to_minutes("at").alias("shown"))
 
 
 def q_risk(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +282,8 @@ def q_quality(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 17 != 0, "market").alias("data_type"),
         (F.col("o_totalprice") / 400000).alias("reliability_score"),
         F.col("o_orderstatus").alias("content_reference"),
-        F.lit("c").alias("related_claim"),
+        F.lit("c").alias("related_claim"), F.lit("BTC").alias("coin"), F.lit("14d").alias("time_range"),
+        F.when(F.col("o_orderkey") % 19 != 0, F.lit("x")).alias("content"),
     )
     return evidence.quality_findings(x).groupBy("finding").agg(F.count(F.lit(1)).alias("records"))
 
@@ -295,4 +381,16 @@ QUERIES = {
     "feed_parse": q_feed,
     "critic_validate": q_critiques,
     "report_markdown": q_report,
+    "narrative": lambda s, d: told(measured(s, d), completed(s, d)),
+    "comparison_report": q_comparison,
+    "news_union": q_news,
+    "policy_releases": policy,
+    "evidence_by_type": q_by_type,
+    "footnotes": q_footnotes,
+    "indicators_shown": lambda s, d: reasoning.shown_indicators(metrics(s, d), SHOWN),
+    "run_state": lambda s, d: reasoning.run_state(completed(s, d)),
+    "numeric_elements": q_numeric,
+    "sentence_blocks": q_blocks,
+    "fuller_text": q_fuller,
+    "minutes_shown": q_minutes_shown,
 }

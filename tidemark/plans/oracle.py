@@ -2,9 +2,49 @@
 
 from __future__ import annotations
 
-from tidemark.operators.evidence import SOURCES
-from tidemark.operators.signals import RULES
-from tidemark.plans.catalogue import ALIASES, LOOSE, NEGATIVE, POSITIVE
+#: Fixed values, written out here so that a change of the operators' own cannot pass unseen.
+LOOSE = dict(oversold=40.0, overbought=60.0, vol_mult=1.0)
+POSITIVE, NEGATIVE, ALIASES = ['good', 'great', 'thanks', 'the', 'for'], ['bad', 'worthless', 'no', 'not', 'of'], ['tion', 'worthless']
+RULES = [
+    (1, "1a", "market", "return_pct > 2", "bull", 1.0),
+    (1, "1b", "market", "return_pct < -2", "bear", 1.0),
+    (1, "1c", "market", "return_pct between -2 and 2", "neutral", 0.5),
+    (2, "2a", "vegas_channel", "trend = 'bullish_aligned'", "bull", 1.2),
+    (2, "2b", "vegas_channel", "trend = 'bearish_aligned'", "bear", 1.2),
+    (3, "3", "vegas_channel", "not aligned", "neutral", 1.0),
+    (4, "4a", "vegas_channel", "rsi > 80", "bear", 1.0),
+    (4, "4b", "vegas_channel", "rsi < 20", "bull", 1.0),
+    (5, "5", "vegas_channel", "volume_spike", "neutral", 0.8),
+    (6, "6a", "derivatives", "funding_bias = 'long_crowded'", "bear", 1.1),
+    (6, "6b", "derivatives", "funding_bias = 'short_crowded'", "bull", 1.1),
+    (6, "6c", "derivatives", "funding_bias = 'balanced'", "neutral", 0.5),
+    (7, "7a", "long_short_ratio", "ratio_bias = 'long_dominant'", "bear", 0.9),
+    (7, "7b", "long_short_ratio", "ratio_bias = 'short_dominant'", "bull", 0.9),
+    (8, "8a", "social", "sentiment = 'positive'", "bull", 0.4),
+    (8, "8b", "social", "sentiment = 'negative'", "bear", 0.4),
+    (9, "9a", "macro", "fear_greed <= 25", "bull", 0.9),
+    (9, "9b", "macro", "fear_greed >= 75", "bear", 0.9),
+    (9, "9c", "macro", "fear_greed > 25 and fear_greed < 75", "neutral", 0.5),
+    (10, "10a", "macro", "risk_appetite = 'deteriorating'", "bear", 0.8),
+    (10, "10b", "macro", "risk_appetite = 'improving'", "bull", 0.8),
+    (11, "11", "announcement", "announcements > 0", "neutral", 0.4),
+    (12, "12a", "tvl", "change_30d is not null and tvl_direction = 'expanding'", "bull", 0.7),
+    (12, "12b", "tvl", "change_30d is not null and tvl_direction = 'contracting'", "bear", 0.7),
+    (12, "12c", "tvl", "change_30d is not null and tvl_direction not in ('expanding', 'contracting')", "neutral", 0.4),
+]
+SOURCES = [
+    (0, "market", "market_agent"),
+    (1, "news", "news_agent"),
+    (2, "macro", "macro_agent"),
+    (3, "announcement", "macro_agent"),
+    (4, "onchain", "onchain_agent"),
+    (5, "social", "social_agent"),
+    (6, "derivatives", "technical_agent"),
+    (7, "whale", "onchain_agent"),
+    (8, "vegas_channel", "technical_agent"),
+    (9, "long_short_ratio", "technical_agent"),
+    (10, "tvl", "onchain_agent"),
+]
 
 
 def r(x: str, d: int = 2) -> str:
@@ -156,7 +196,7 @@ STANCE = f"""sums AS (SELECT symbol, {r("coalesce(sum(weight) FILTER (side = 'bu
 mg AS (SELECT *, {r("bull_weight + bear_weight")} AS total, coalesce((bull_weight - bear_weight) / nullif({r("bull_weight + bear_weight")}, 0), 0) AS margin FROM sums),
 stance AS (SELECT symbol, bull_weight, bear_weight, signal_count, CASE WHEN total < 1.5 THEN 'neutral' WHEN margin >= 0.25 THEN 'bullish' WHEN margin <= -0.25 THEN 'bearish'
   ELSE 'neutral' END AS stance, {r("margin * 100", 1)} AS net_margin_pct FROM mg)"""
-LABELS = ", ".join(f"({o}, '{name}', '{a}')" for o, name, a, _, _ in SOURCES)
+LABELS = ", ".join(f"({o}, '{name}', '{a}')" for o, name, a in SOURCES)
 COMPLETE = f"""src(ordinal, label, agent) AS (VALUES {LABELS}),
 obs AS (SELECT r_name AS symbol, label, 'EV-' || min(n_name) AS evidence_id, CASE WHEN min(n_nationkey) % 5 = 0 THEN 'unsupported' ELSE 'success' END AS st
   FROM nation JOIN region ON n_regionkey = r_regionkey JOIN src ON ordinal = n_nationkey % {len(SOURCES)} GROUP BY 1, 2),
@@ -171,6 +211,54 @@ rv_r AS (SELECT *, close / nullif(lag(close) OVER ({BY}), 0) - 1 AS ret FROM rv_
 rv AS (SELECT symbol, {r("CASE WHEN count(close) >= 3 AND count(ret) >= 2 THEN least(100, stddev_pop(ret) / 0.05 * 100) END", 1)} AS realised_volatility FROM rv_r GROUP BY 1)"""
 RISK = f"""rk AS (SELECT symbol, {r("CASE WHEN funding_pct IS NOT NULL THEN least(100, abs(funding_pct) / 0.05 * 100) END", 1)} AS funding_stress, {r("CASE WHEN long_pct IS NOT NULL THEN least(100, abs(long_pct - 50) * 2) END", 1)} AS positioning_crowding,
   {r("CASE WHEN rsi IS NOT NULL THEN least(100, abs(rsi - 50) / 50 * 100) END", 1)} AS rsi_extremity, CASE WHEN aligned THEN 0.0 WHEN NOT aligned THEN 100.0 END::DOUBLE AS timeframe_conflict, realised_volatility FROM metrics LEFT JOIN rv USING (symbol))"""
+CONF = f"""fb AS (SELECT symbol, count(*) FILTER (is_fallback) AS source_failures FROM comp GROUP BY 1),
+conf AS (SELECT symbol, source_failures, {r("greatest(0.2, least(0.85, 0.30 + 0.35 * coalesce(greatest(bull_weight, bear_weight) / nullif(bull_weight + bear_weight, 0), 0) - 0.06 * source_failures))")} AS confidence
+  FROM stance JOIN fb USING (symbol))"""
+POLICY = """rg AS (SELECT r_name AS symbol, r_regionkey AS k FROM region),
+pg AS (SELECT symbol, page_id AS n, CASE WHEN page_id % 7 = 0 THEN 'Fomc ' ELSE '' END || coalesce(url, '') AS title, row_number() OVER (PARTITION BY symbol ORDER BY page_id) AS q FROM pages JOIN rg ON k = page_id % 4),
+pol AS (SELECT symbol, CASE WHEN count(n) > 0 THEN 'available' ELSE 'unavailable:empty' END AS policy_status, count(n) AS releases,
+  arg_min(title, n) FILTER (contains(upper(title), 'FOMC')) AS latest_fomc FROM rg LEFT JOIN (SELECT * FROM pg WHERE q <= 5) USING (symbol) GROUP BY 1)"""
+RISKS = f"""{POLICY}, rx AS (SELECT * FROM metrics JOIN stance USING (symbol) LEFT JOIN pol USING (symbol)),
+risks AS (SELECT symbol, 1 AS ord, 'degraded source: ' || label AS factor FROM comp WHERE is_fallback
+UNION ALL SELECT symbol, 2, 'bull and bear weights are close' FROM rx WHERE bull_weight > 0 AND bull_weight / nullif(bear_weight, 0) BETWEEN 0.6 AND 1.67
+UNION ALL SELECT symbol, 3, 'timeframes disagree' FROM rx WHERE NOT aligned
+UNION ALL SELECT symbol, 4, 'positioning is unstable' FROM rx WHERE consistency_pct < 60
+UNION ALL SELECT symbol, 5, 'policy releases are unavailable' FROM rx WHERE policy_status LIKE 'unavailable%'
+UNION ALL SELECT symbol, 6, 'signals are simultaneous, not causal' FROM rx UNION ALL SELECT symbol, 7, 'social and news sources are less reliable' FROM rx)"""
+NARRATIVE = f"""{CONF}, net AS (SELECT symbol, CASE WHEN bull_weight > bear_weight THEN 'bull' WHEN bear_weight > bull_weight THEN 'bear' ELSE 'neutral' END AS net FROM stance),
+pn AS (SELECT inv.*, net, data_type || ' rule ' || rule AS name, CASE WHEN side = 'neutral' THEN 'undecided' WHEN net = side THEN 'supporting' WHEN net <> 'neutral' THEN 'opposing' END AS part
+  FROM inv JOIN net USING (symbol)),
+pt AS (SELECT *, row_number() OVER (PARTITION BY symbol, part ORDER BY ord, rule) AS k FROM pn),
+ct AS (SELECT net.symbol, net.net, count(*) FILTER (part = 'supporting') AS sup, count(*) FILTER (part = 'opposing') AS opp, count(*) FILTER (part = 'undecided') AS und
+  FROM net LEFT JOIN pt USING (symbol) GROUP BY 1, 2),
+cx AS (SELECT ct.*, confidence, fear_greed FROM ct LEFT JOIN conf USING (symbol) LEFT JOIN metrics USING (symbol)),
+nar(symbol, section, ord, line) AS (SELECT symbol, 'inferences', k::INT, name || ' points to ' || net FROM pt WHERE part = 'supporting' AND k <= 4
+UNION ALL SELECT symbol, 'inferences', k + 10, name || ' gives no direction' FROM pt WHERE part = 'undecided' AND k <= 2
+UNION ALL SELECT symbol, 'inferences', 20, 'no signal gives a direction' FROM cx WHERE sup = 0 AND und = 0
+UNION ALL SELECT symbol, 'inferences', 30, opp || ' signals oppose this; confidence ' || printf('%.2f', confidence) FROM cx WHERE opp > 0
+UNION ALL SELECT symbol, 'counter_evidence', k, name || ' points to ' || side FROM pt WHERE part = 'opposing'
+UNION ALL SELECT symbol, 'counter_evidence', k + 100, name || ' is undecided' FROM pt WHERE part = 'undecided' AND k <= 3
+UNION ALL SELECT symbol, 'counter_evidence', 200, 'nothing opposes; that ' || sup || ' signals agree proves no cause' FROM cx WHERE net <> 'neutral' AND opp = 0
+UNION ALL SELECT symbol, 'counter_evidence', ordinal + 300, label || ' has no live data, so nothing from there can oppose' FROM comp WHERE is_fallback
+UNION ALL SELECT symbol, 'counter_evidence', 400, 'weighed by rules, not checked by a model' FROM cx
+UNION ALL SELECT symbol, 'observations', 1, 'whether ' || name || ' grows stronger' FROM pt WHERE part = 'opposing' AND k = 1
+UNION ALL SELECT symbol, 'observations', 2, 'whether price and volume of the next day go on ' || net FROM cx WHERE net <> 'neutral'
+UNION ALL SELECT symbol, 'observations', 3, 'whether fear and greed leave ' || printf('%.1f', fear_greed) FROM cx WHERE fear_greed IS NOT NULL
+UNION ALL SELECT symbol, 'observations', 4, 'whether announcements and chain activity go with the price' FROM cx
+UNION ALL SELECT symbol, 'judgment', 1, symbol || ' leans ' || net || ': ' || sup || ' signals for it, ' || opp || ' against' FROM cx
+UNION ALL SELECT symbol, 'facts', ordinal, evidence_id || ': ' || label || CASE WHEN is_fallback THEN ' is unavailable' ELSE ' was observed' END FROM comp)"""
+SHOWN = ["trend", "funding_bias", "ratio_bias", "sentiment", "risk_appetite", "tvl_direction"]
+INDICATORS = "shown AS (" + " UNION ALL ".join(f"SELECT symbol, '{n}' AS indicator, {n} AS value FROM metrics WHERE {n} IS NOT NULL" for n in SHOWN) + ")"
+
+
+def rank_of(name: str, m: str) -> str:
+    both = f"x.{m} IS NOT NULL AND y.{m} IS NOT NULL"
+    ratio = f"greatest(x.{m}, y.{m}) / nullif(least(x.{m}, y.{m}), 0)"
+    return f"""CASE WHEN x.{m} IS NULL AND y.{m} IS NULL THEN NULL WHEN x.{m} IS NULL THEN b WHEN y.{m} IS NULL THEN a WHEN x.{m} > y.{m} THEN a WHEN y.{m} > x.{m} THEN b END AS {name}_leader,
+  CASE WHEN x.{m} IS NULL AND y.{m} IS NULL THEN 'unknown' WHEN x.{m} IS NULL OR y.{m} IS NULL THEN 'only one known' WHEN x.{m} = y.{m} THEN 'tie' ELSE 'leads' END AS {name}_verdict,
+  CASE WHEN {both} AND {ratio} >= 1.1 THEN {r(ratio)} END AS {name}_ratio"""
+
+
 PARTS = ["funding_stress", "positioning_crowding", "rsi_extremity", "timeframe_conflict", "realised_volatility"]
 SQUASH = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 ENTITY = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
@@ -254,21 +342,57 @@ FROM liq a JOIN liq b ON a.symbol < b.symbol""",
     "stance": f"WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE} SELECT * FROM stance",
     "stance_drivers": f"""WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE} SELECT symbol, rank, rule, weight FROM (SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY weight DESC, ord, rule))::INT AS rank, rule, weight
 FROM inv JOIN stance USING (symbol) WHERE side = CASE stance WHEN 'bullish' THEN 'bull' WHEN 'bearish' THEN 'bear' END) WHERE rank <= 3""",
-    "confidence": f"""WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE}, {COMPLETE}, f AS (SELECT symbol, count(*) FILTER (is_fallback) AS source_failures FROM comp GROUP BY 1)
-SELECT symbol, source_failures, {r("greatest(0.2, least(0.85, 0.30 + 0.35 * coalesce(greatest(bull_weight, bear_weight) / nullif(bull_weight + bear_weight, 0), 0) - 0.06 * source_failures))")} AS confidence
-FROM stance JOIN f USING (symbol)""",
-    "risk_factors": f"""WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE}, {COMPLETE}, x AS (SELECT * FROM metrics JOIN stance USING (symbol))
-SELECT symbol, 1 AS ord, 'degraded source: ' || label AS factor FROM comp WHERE is_fallback AND symbol IN (SELECT symbol FROM comp)
-UNION ALL SELECT symbol, 2, 'bull and bear weights are close' FROM x WHERE bull_weight > 0 AND bull_weight / nullif(bear_weight, 0) BETWEEN 0.6 AND 1.67
-UNION ALL SELECT symbol, 3, 'timeframes disagree' FROM x WHERE NOT aligned
-UNION ALL SELECT symbol, 4, 'positioning is unstable' FROM x WHERE consistency_pct < 60
-UNION ALL SELECT symbol, 6, 'signals are simultaneous, not causal' FROM x UNION ALL SELECT symbol, 7, 'social and news sources are less reliable' FROM x""",
+    "confidence": f"WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE}, {COMPLETE}, {CONF} SELECT * FROM conf",
+    "risk_factors": f"WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE}, {COMPLETE}, {RISKS} SELECT * FROM risks",
+    "narrative": f"WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {STANCE}, {COMPLETE}, {NARRATIVE} SELECT * FROM nar",
+    "policy_releases": f"WITH {POLICY} SELECT * FROM pol",
+    "evidence_by_type": f"WITH RECURSIVE {COMPLETE} SELECT symbol, " + ", ".join(f"max(evidence_id) FILTER (label = '{x[1]}') AS {x[1]}" for x in SOURCES) + " FROM comp WHERE NOT is_fallback GROUP BY 1",
+    "footnotes": f"""WITH RECURSIVE {REGION}, {METRICS}, {INVENTORY}, {COMPLETE}, pl AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ordinal))::INT AS number FROM comp)
+SELECT inv.symbol, rule, coalesce(evidence_id, data_type) AS evidence_id, number FROM inv LEFT JOIN pl ON pl.symbol = inv.symbol AND label = data_type""",
+    "indicators_shown": f"WITH RECURSIVE {REGION}, {METRICS}, {INDICATORS} SELECT * FROM shown",
+    "run_state": f"WITH RECURSIVE {COMPLETE} SELECT symbol, CASE WHEN bool_or(is_fallback) THEN 'degraded' ELSE 'clean' END AS state, count(*) FILTER (is_fallback) AS degraded FROM comp GROUP BY 1",
+    "numeric_elements": "SELECT conv_id, turn, concat_ws(',', printf('%.1f', length(text)::DOUBLE), printf('%.1f', turn::DOUBLE), '0.5') AS numbers FROM conversations",
+    "sentence_blocks": """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^。！？；!?;]+[。！？；!?;]*'),
+  lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS cs FROM conversations),
+s AS (SELECT *, string_split(list_reduce(list_prepend('', cs), lambda a, x: a || x || CASE WHEN length(string_split(a || x, chr(1))[-1]) >= 24 THEN chr(1) ELSE '' END), chr(1)) AS p FROM c)
+SELECT conv_id, turn, CASE WHEN len(cs) = 0 THEN text WHEN p[-1] = '' THEN array_to_string(p[:-2], '|')
+  WHEN len(p) > 1 AND length(p[-1]) < 12 THEN array_to_string(p[:-2], '|') || p[-1] ELSE array_to_string(p, '|') END AS blocks FROM s""",
+    "fuller_text": """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, coalesce(CASE WHEN turn % 2 = 0 THEN replace(text, ' ', '  ') ELSE role END, '') AS j FROM conversations),
+d AS (SELECT *, regexp_replace(t, '\\s+', '', 'g') AS u, regexp_replace(j, '\\s+', '', 'g') AS v FROM c)
+SELECT conv_id, turn, CASE WHEN contains(u, v) OR contains(v, u) THEN CASE WHEN length(trim(j)) > length(trim(t)) THEN trim(j) ELSE trim(t) END ELSE '-' END AS shown FROM d""",
+    "minutes_shown": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events",
+    "news_union": """WITH good AS (SELECT doc_id FROM labels WHERE quality = 1),
+p AS (SELECT * FROM (SELECT lang, doc_id, lower(text) AS low, row_number() OVER (PARTITION BY lang, lower(text) ORDER BY doc_id) AS k FROM documents WHERE doc_id IN (FROM good) AND text <> '') WHERE k = 1),
+s AS (SELECT * FROM (SELECT lang, doc_id, lower(coalesce(text, '')) AS low, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE doc_id NOT IN (FROM good)) WHERE n <= 5),
+u AS (SELECT lang, doc_id, true AS from_publisher FROM p UNION ALL
+  SELECT lang, doc_id, false FROM s WHERE NOT EXISTS (FROM p WHERE p.lang IS NOT DISTINCT FROM s.lang AND p.low = s.low))
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY from_publisher DESC, doc_id))::INT AS rank FROM u) WHERE rank <= 5""",
+    "comparison_report": f"""WITH RECURSIVE {REGION}, {METRICS}, {VOL}, {RISK}, {LIQ},
+cs AS (SELECT symbol, {r("(" + " + ".join(f"coalesce({p}, 0)" for p in PARTS) + ") / (" + " + ".join(f"({p} IS NOT NULL)::INT" for p in PARTS) + ")", 1)} AS composite_score FROM rk),
+rgn AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS k FROM (SELECT r_name AS symbol FROM region)),
+po AS (SELECT symbol, count(*) AS posts, sum(coalesce(length(text), 0) + coalesce(turn, 0))::BIGINT AS engagement FROM conversations JOIN rgn ON k = conv_id % 5 GROUP BY 1),
+ne AS (SELECT symbol, count(*) AS news FROM documents JOIN rgn ON k = doc_id % 5 GROUP BY 1),
+pf AS (SELECT symbol, avg_volume, composite_score, coalesce(posts, 0) AS posts, coalesce(engagement, 0) AS engagement, coalesce(news, 0) AS news
+  FROM liq LEFT JOIN cs USING (symbol) LEFT JOIN po USING (symbol) LEFT JOIN ne USING (symbol)),
+ask AS (SELECT p.symbol AS a, q.symbol AS b FROM rgn p JOIN rgn q ON p.k < q.k UNION ALL SELECT 'AFRICA', 'NOWHERE'),
+cm AS (SELECT a, b, {rank_of("liquidity", "avg_volume")}, {rank_of("risk", "composite_score")}, {rank_of("attention", "engagement")},
+  CASE WHEN coalesce(x.posts >= 25 OR x.news >= 5, false) OR coalesce(y.posts >= 25 OR y.news >= 5, false) THEN 'counts are at their fetch limits' END AS note,
+  {", ".join(f"coalesce(printf('%.{d}f', {t}.{m}::DOUBLE), 'N/A') AS {t}_{m}" for t in "xy" for m, d in (("avg_volume", 2), ("composite_score", 2), ("engagement", 2), ("news", 0), ("posts", 0)))}
+  FROM ask LEFT JOIN pf x ON x.symbol = a LEFT JOIN pf y ON y.symbol = b),
+sm AS (SELECT *, concat_ws('; ', 'more liquid: ' || liquidity_leader, 'more exposed: ' || risk_leader, 'more attention: ' || attention_leader) AS said FROM cm),
+su AS (SELECT *, CASE WHEN said = '' THEN 'too little data to tell them apart' ELSE said || CASE WHEN liquidity_leader = risk_leader THEN '; ' || risk_leader || ' moves by active trade'
+  WHEN liquidity_leader <> risk_leader THEN '; ' || risk_leader || ' is exposed at less liquidity' ELSE '' END END AS summary FROM sm)
+SELECT a, b, {", ".join(f"{n}_{c}" for n in ("liquidity", "risk", "attention") for c in ("leader", "verdict", "ratio"))}, note, summary,
+  concat_ws(chr(10), '## ' || a || ' vs ' || b, summary, '| | ' || a || ' | ' || b || ' | verdict |', '|---|---|---|---|',
+  {", ".join(f"'| {n} | ' || x_{m} || ' | ' || y_{m} || ' | ' || concat_ws(' ', {n}_leader, {n}_verdict) || ' |'" for n, m in (("liquidity", "avg_volume"), ("risk", "composite_score"), ("attention", "engagement")))},
+  '| news | ' || x_news || ' | ' || y_news || ' | ' || coalesce(note, '') || ' |', '| posts | ' || x_posts || ' | ' || y_posts || ' |  |') AS report FROM su""",
     "fallback_fill": f"WITH RECURSIVE {COMPLETE} SELECT * FROM comp",
     "first_available": "SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 5000 GROUP BY 1",
     "dq_rules": """WITH x AS (SELECT 'EV-' || (o_orderkey % 5000) AS id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS source, o_orderkey % 13 = 0 AS bad,
-  CASE WHEN o_orderkey % 17 <> 0 THEN 'market' END AS dt, o_totalprice / 400000 AS score FROM orders)
+  CASE WHEN o_orderkey % 17 <> 0 THEN 'market' END AS dt, CASE WHEN o_orderkey % 19 <> 0 THEN 'x' END AS content, o_totalprice / 400000 AS score FROM orders),
+y AS (SELECT *, concat_ws(', ', CASE WHEN content IS NULL THEN 'content' END, CASE WHEN dt IS NULL THEN 'data_type' END, CASE WHEN source IS NULL THEN 'source' END) AS absent FROM x)
 SELECT 'duplicate id' AS finding, count(*) - count(DISTINCT id) AS records FROM x HAVING count(*) > count(DISTINCT id)
-UNION ALL SELECT 'missing field', count(*) FROM x WHERE dt IS NULL HAVING count(*) > 0 UNION ALL SELECT 'empty source', count(*) FROM x WHERE source IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'missing ' || absent, count(*) FROM y WHERE absent <> '' GROUP BY 1 UNION ALL SELECT 'empty source', count(*) FROM x WHERE source IS NULL HAVING count(*) > 0
 UNION ALL SELECT 'score out of range', count(*) FROM x WHERE score < 0 OR score > 1 HAVING count(*) > 0 UNION ALL SELECT 'bad timestamp', count(*) FROM x WHERE bad HAVING count(*) > 0""",
     "dq_dangling_refs": "SELECT doc_id * 3 AS doc_id FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM documents)",
     "dedupe_topn": """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source, lower(text) ORDER BY doc_id) AS k FROM documents)
@@ -302,9 +426,16 @@ SELECT page_id, substr(array_to_string(list_filter(ts, lambda x: length(x) >= 80
 y AS (SELECT *, CASE WHEN turn % 7 = 6 THEN 'not of the schema' WHEN turn % 4 = 3 THEN 'unknown verdict' WHEN adj NOT BETWEEN -1 AND 0 THEN 'adjustment out of range'
   WHEN unknown THEN 'unknown evidence' ELSE '-' END AS reason FROM x)
 SELECT id, reason = '-' AS accepted, reason, 0.6::DOUBLE AS confidence, CASE WHEN reason = '-' THEN round(greatest(0.0, least(1.0, 0.6 + adj)) * 10000) / 10000 ELSE 0.6 END::DOUBLE AS adjusted FROM y""",
-    "report_markdown": f"""WITH RECURSIVE {REGION}, {METRICS}, {windows(out="fw")}, {INVENTORY}, {STANCE},
-lg AS (SELECT symbol, string_agg('- ' || label || ': ' || {FMT("return_pct", 2)} || ' %, drawdown ' || {FMT("max_drawdown_pct", 2)} || ' %', chr(10) ORDER BY label) AS t FROM fw GROUP BY 1),
-fx AS (SELECT symbol, string_agg('- ' || rule || ' ' || side || ' ' || {FMT("weight", 1)}, chr(10) ORDER BY ord, rule) AS t FROM inv GROUP BY 1)
-SELECT symbol, '# ' || symbol || chr(10) || '## Stance' || chr(10) || stance || ' (' || {FMT("net_margin_pct", 1)} || ' %)' || chr(10) || '## Long-horizon' || chr(10) ||
-coalesce(lg.t, 'N/A') || chr(10) || '## Signals' || chr(10) || coalesce(fx.t, 'N/A') AS report FROM stance LEFT JOIN lg USING (symbol) LEFT JOIN fx USING (symbol)""",
+    "report_markdown": f"""WITH RECURSIVE {REGION}, {METRICS}, {windows(out="fw")}, {INVENTORY}, {STANCE}, {COMPLETE}, {NARRATIVE}, {RISKS}, {INDICATORS},
+ln(symbol, no, title, ord, line) AS (SELECT symbol, 1, 'Question', 0, 'Where is ' || symbol || ' heading?' FROM metrics
+UNION ALL SELECT symbol, 2, 'Stance', 0, stance || ' (' || {FMT("net_margin_pct", 1)} || ' %), bull ' || {FMT("bull_weight", 2)} || ', bear ' || {FMT("bear_weight", 2)} FROM stance
+UNION ALL SELECT symbol, 3, 'Market Judgment', ord, line FROM nar WHERE section = 'judgment'
+UNION ALL SELECT symbol, 4, 'Long-horizon Context', 0, label || ': ' || {FMT("return_pct", 2)} || ' %, drawdown ' || {FMT("max_drawdown_pct", 2)} || ' %' FROM fw
+UNION ALL SELECT symbol, 5, 'Facts', ord, line FROM nar WHERE section = 'facts' UNION ALL SELECT symbol, 6, 'Inferences', ord, line FROM nar WHERE section = 'inferences'
+UNION ALL SELECT symbol, 7, 'Conclusion', ord, line FROM nar WHERE section = 'judgment' UNION ALL SELECT symbol, 9, 'Confidence', 0, {FMT("confidence", 2)} FROM conf
+UNION ALL SELECT symbol, 10, 'Indicators', 0, indicator || ': ' || value FROM shown UNION ALL SELECT symbol, 11, 'Counter Evidence', ord, line FROM nar WHERE section = 'counter_evidence'
+UNION ALL SELECT symbol, 12, 'Evidence Sources', ordinal, evidence_id || ' by ' || agent || ', reliability ' || {FMT("reliability", 2)} FROM comp
+UNION ALL SELECT symbol, 13, 'Next Observations', ord, line FROM nar WHERE section = 'observations' UNION ALL SELECT symbol, 14, 'Risks and Limitations', ord, factor FROM risks),
+sc AS (SELECT symbol, no, '## ' || title || chr(10) || string_agg('- ' || line, chr(10) ORDER BY ord, line) AS t FROM ln GROUP BY symbol, no, title)
+SELECT symbol, '# ' || symbol || chr(10) || string_agg(t, chr(10) ORDER BY no) AS report FROM sc GROUP BY 1""",
 }
