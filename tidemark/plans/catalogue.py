@@ -123,10 +123,15 @@ def q_risk_factors(spark: SparkSession, sf: str) -> DataFrame:
     return signals.risk_factors(x, stances_of(x), completed(spark, sf), policy(spark, sf))
 
 
-def told(x: DataFrame, found: DataFrame) -> DataFrame:
-    """The narrative of metrics and completed evidence."""
-    side = stances_of(x)
-    return reasoning.narrative(signals.signal_inventory(x), side, signals.confidence(side, found), found, x)
+def told(x: DataFrame, found: DataFrame, rules: DataFrame, side: DataFrame) -> DataFrame:
+    """The narrative of metrics, completed evidence, signals and stances."""
+    return reasoning.narrative(rules, side, signals.confidence(side, found), found, x)
+
+
+def q_narrative(spark: SparkSession, sf: str) -> DataFrame:
+    x, found = measured(spark, sf), completed(spark, sf)
+    rules = staged(signals.signal_inventory(x), "signals")
+    return told(x, found, rules, staged(signals.stance(rules, x), "stances"))
 
 
 SHOWN = ["trend", "funding_bias", "ratio_bias", "sentiment", "risk_appetite", "tvl_direction"]
@@ -134,15 +139,16 @@ SHOWN = ["trend", "funding_bias", "ratio_bias", "sentiment", "risk_appetite", "t
 
 def q_report(spark: SparkSession, sf: str) -> DataFrame:
     bars = staged(region_bars(spark, sf), "bars")
-    x, found = staged(metrics_of(bars), "metrics"), completed(spark, sf)
-    side = stances_of(x)
+    x, found = staged(metrics_of(bars), "metrics"), staged(completed(spark, sf), "evidence")
+    rules = staged(signals.signal_inventory(x), "signals")
+    side = staged(signals.stance(rules, x), "stances")
     shown = reasoning.shown_indicators(x, SHOWN).withColumn("line", F.concat("indicator", F.lit(": "), "value"))
     risks = signals.risk_factors(x, side, found, policy(spark, sf))
     return report.report_markdown([
         report.lines(x, "Question", F.concat(F.lit("Where is "), "symbol", F.lit(" heading?"))),
         report.stance_lines(side),
         report.window_lines(indicators.price_windows(bars)),
-        report.of_narrative(told(x, found)),
+        report.of_narrative(told(x, found, rules, side)),
         report.lines(signals.confidence(side, found), "Confidence", fixed("confidence", 2)),
         report.lines(shown, "Indicators", F.col("line")),
         report.lines(found, "Evidence Sources", F.concat("evidence_id", F.lit(" by "), "agent", F.lit(", reliability "), fixed("reliability", 2)), F.col("ordinal")),
@@ -381,7 +387,7 @@ QUERIES = {
     "feed_parse": q_feed,
     "critic_validate": q_critiques,
     "report_markdown": q_report,
-    "narrative": lambda s, d: told(measured(s, d), completed(s, d)),
+    "narrative": q_narrative,
     "comparison_report": q_comparison,
     "news_union": q_news,
     "policy_releases": policy,
