@@ -135,6 +135,8 @@ class Model:
                     score += self.lowest if alone else pieces[piece][1]
                     if score > best[2] and (not begin or not self.merges or self._stay(last, piece)):
                         best = (begin, piece, score)
+                        if self.merges:  # merges leave one path, so no other step scores above minus infinity
+                            break
             if node is None:
                 break
         return best
