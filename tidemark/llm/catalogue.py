@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, embeddings, fingerprint, langid, packing, pieces, quality, simhash, token_files, urls
+from . import brown, embeddings, exact, fingerprint, langid, packing, pieces, quality, simhash, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_urls": urls.op9_urls,
     "op10_langid": langid.op10_langid,
+    "op13_exact": exact.op13_exact,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_urls": urls.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_urls": urls.OP9_SQL, "op13_exact": exact.OP13_SQL}
