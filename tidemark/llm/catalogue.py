@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, codebooks, embeddings, exact, fingerprint, langid, packing, pieces, quality, simhash, token_files, urls
+from . import brown, codebooks, embeddings, exact, fingerprint, langid, packing, pieces, quality, simhash, spelling, token_files, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_urls": urls.op9_urls,
     "op10_langid": langid.op10_langid,
+    "op11_spelling": spelling.op11_spelling,
     "op12_codes": codebooks.op12_codes,
     "op13_exact": exact.op13_exact,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_urls": urls.OP9_SQL, "op12_codes": codebooks.OP12_SQL, "op13_exact": exact.OP13_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op9_urls": urls.OP9_SQL,
+    "op11_spelling": spelling.OP11_SQL,
+    "op12_codes": codebooks.OP12_SQL,
+    "op13_exact": exact.OP13_SQL,
+}
