@@ -43,6 +43,8 @@ def smoothed(x: str, period: int, ratio: float, first: int = 0) -> Column:
     if period == 1 or ratio <= 0:
         return F.expr(f"CASE WHEN {at} >= {seat} THEN {x} END")
     block = _block(ratio)
+    if -math.log(ratio) * block < 35:
+        raise ValueError(f"a period of {period} reaches back over more than two blocks; operators.scan takes any")
     start = f"({at} - pmod({at}, {block}))"
     power = lambda n: f"power({ratio!r}D, {n})"
     weighed = f"CASE WHEN {at} < 0 THEN NULL WHEN {at} <= {seat} THEN {x} / {period} ELSE {1 - ratio!r}D * {x} END"

@@ -67,13 +67,27 @@ def strategy(
     their windows, and the rest are windows by symbol in order of idx."""
     gain, loss = wilder("_up", "_down", rsi_len)
     x = moves(bars).withColumns({**_averages(periods), "volume_ema": ema("volume", vol_len), "_g": gain, "_l": loss})
-    zone = f"CASE WHEN rsi < {oversold!r}D THEN -1 WHEN rsi > {overbought!r}D THEN 1 ELSE 0 END"
-    x = _ribbon_flags(x.withColumns({"rsi": relative_strength("_g", "_l"), "volume_spike": _spike(vol_mult)}), periods)
+    x = states(x, periods, vol_mult, oversold, overbought)
     by, run = "OVER (PARTITION BY symbol ORDER BY idx)", "OVER (PARTITION BY symbol ORDER BY idx ROWS UNBOUNDED PRECEDING)"
-    x = x.withColumn("_zone", F.expr(zone)).withColumns({"_before": F.expr(f"lag(_zone) {by}"), "_rsi": F.expr(f"lag(rsi) {by}")})
+    x = x.withColumns({"_before": F.expr(f"lag(_zone) {by}"), "_rsi": F.expr(f"lag(rsi) {by}")})
     began, spiked = "CASE WHEN NOT _zone <=> _before THEN idx END", "CASE WHEN volume_spike THEN idx END"
     x = x.withColumns({"_began": F.expr(f"max({began}) {run}"), "_spike": F.expr(f"max({spiked}) {run}")})
-    x = x.withColumn("_was", F.expr(f"lag(CASE WHEN _spike >= _began THEN _zone ELSE 0 END) {by}"))
+    return signalled(x.withColumn("_was", F.expr(f"lag({CONFIRMED}) {by}")), oversold, overbought, warmup)
+
+
+#: The zone of a run of bars beyond a level once a spike has been seen in it, else 0.
+CONFIRMED = "CASE WHEN _spike >= _began THEN _zone ELSE 0 END"
+
+
+def states(averages: DataFrame, periods, vol_mult: float, oversold: float, overbought: float) -> DataFrame:
+    """Bars with their averages to those with rsi, volume_spike, ribbon and _zone: below the lower level, beyond the upper, or neither."""
+    zone = f"CASE WHEN rsi < {oversold!r}D THEN -1 WHEN rsi > {overbought!r}D THEN 1 ELSE 0 END"
+    x = averages.withColumns({"rsi": relative_strength("_g", "_l"), "volume_spike": _spike(vol_mult)})
+    return _ribbon_flags(x, periods).withColumn("_zone", F.expr(zone))
+
+
+def signalled(x: DataFrame, oversold: float, overbought: float, warmup: int) -> DataFrame:
+    """States with what was one bar before (_rsi, _was) to those with trend and signal."""
     over, under = f"_rsi < {oversold!r}D AND rsi >= {oversold!r}D AND _was = -1", f"_rsi > {overbought!r}D AND rsi <= {overbought!r}D AND _was = 1"
     signal = f"""CASE WHEN {over} AND bull AND in_tunnel THEN 'bull_entry' WHEN {under} AND bear AND in_tunnel THEN 'bear_entry'
         WHEN {under} THEN 'take_profit_bull' WHEN {over} THEN 'take_profit_bear' END"""

@@ -17,8 +17,8 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("bar")) - 1)
 
 
-def event_bars(events: DataFrame, minutes: int = 30) -> DataFrame:
-    """(symbol, bar, open, high, low, close, volume, n, idx) of events by type and time bucket.
+def event_sums(events: DataFrame, minutes: int = 30) -> DataFrame:
+    """(symbol, bar, open, high, low, close, volume, n) of events by type and time bucket, not numbered.
 
     Open and close belong to the first and last event by (ts, event_id). One shuffle of partial bars."""
     when = F.struct("ts", "event_id")
@@ -30,7 +30,12 @@ def event_bars(events: DataFrame, minutes: int = 30) -> DataFrame:
         rnd(F.sum("value"), 4).alias("volume"),
         F.count(F.lit(1)).alias("n"),
     )
-    return numbered(out.withColumn("bar", F.date_format("w.start", "yyyy-MM-dd HH:mm")).drop("w"))
+    return out.withColumn("bar", F.date_format("w.start", "yyyy-MM-dd HH:mm")).drop("w")
+
+
+def event_bars(events: DataFrame, minutes: int = 30) -> DataFrame:
+    """`event_sums` with idx."""
+    return numbered(event_sums(events, minutes))
 
 
 def region_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
