@@ -7,22 +7,24 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as Parquet below `spark.checkpoint.dir` and read back, so that it is computed once.
-
-    Where the session names no folder and tasks share the driver's machine (tests), a folder of this process."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`; where the session names no folder and tasks share the driver's machine (tests), one of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root and not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
-    path = f"{(root or _OWN[0]).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return (root or _OWN[0]).rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """`df` written as Parquet below the shared folder and read back, so that it is computed once."""
+    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
