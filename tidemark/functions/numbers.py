@@ -25,3 +25,27 @@ def fixed(x: Column | str, digits: int) -> Column:
     """A number as text with so many digits; N/A for null, which a format alone would cut to its first letters."""
     c = F.col(x) if isinstance(x, str) else x
     return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double"))).otherwise(F.lit("N/A"))
+
+
+def grouped(x: Column | str, digits: int) -> Column:
+    """A number as text with thousands set apart and so many digits; N/A for null."""
+    c = F.col(x) if isinstance(x, str) else x
+    return F.when(c.isNotNull(), F.format_string(f"%,.{digits}f", c.cast("double"))).otherwise(F.lit("N/A"))
+
+
+def cell(df_types: dict[str, str], column: str) -> Column:
+    """A table's cell: whole numbers as they are, others with two digits, thousands set apart; N/A for null."""
+    return grouped(column, 2 if df_types[column] in ("double", "float") or df_types[column].startswith("decimal") else 0)
+
+
+def signed(x: Column | str, suffix: str = "%") -> Column:
+    """A change with its sign, two digits and a suffix; N/A for null."""
+    c = F.col(x) if isinstance(x, str) else x
+    return F.when(c.isNotNull(), F.concat(F.format_string("%+,.2f", c.cast("double")), F.lit(suffix))).otherwise(F.lit("N/A"))
+
+
+def series_texts(values: str, unit: str = "") -> Column:
+    """The numbers of a list as texts by one rule for all of them: no digits if all are whole, else two; nulls are N/A."""
+    whole = F.forall(values, lambda v: v.isNull() | (v == F.floor(v)))
+    show = lambda v, d: F.when(v.isNotNull(), F.concat(F.format_string(f"%,.{d}f", v.cast("double")), F.lit(unit))).otherwise(F.lit("N/A"))
+    return F.transform(values, lambda v: F.when(whole, show(v, 0)).otherwise(show(v, 2)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import rnd
 
 #: How many times the base price and volume a symbol has.
-SCALES = {"BTC": 6.0, "ETH": 3.0, "SOL": 1.5, "BNB": 2.0, "XRP": 0.8}
+SCALES = {"BTC": 6.0, "ETH": 3.0, "SOL": 1.4, "BNB": 1.1, "XRP": 0.8}
 
 
 def fixture_bars(spark: SparkSession, scales: dict[str, float] = SCALES, days: int = 14) -> DataFrame:
