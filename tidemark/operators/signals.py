@@ -67,6 +67,17 @@ def stance(signals: DataFrame, symbols: DataFrame) -> DataFrame:
     return sums.withColumns({"stance": side, "net_margin_pct": rnd(margin * 100, 1)})
 
 
+def rollup(signals: DataFrame) -> DataFrame:
+    """(symbol, side, data_type, level, signals, weight): counts and weights by symbol, side and source, by symbol and side, by
+    side and source, by side, and of all, in one pass. `level` has a bit for each column that a row is summed over: 4 symbol,
+    2 side, 1 data_type."""
+    sets = [("symbol", "side", "data_type"), ("symbol", "side"), ("side", "data_type"), ("side",), ()]
+    names = ("symbol", "side", "data_type")
+    x = signals.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in names])
+    weight = F.coalesce(F.sum("weight"), F.lit(0)).cast("double")
+    return x.agg(F.grouping_id(*names).alias("level"), F.count(F.lit(1)).alias("signals"), rnd(weight, 2).alias("weight"))
+
+
 def drivers(signals: DataFrame, stances: DataFrame, most: int = 3) -> DataFrame:
     """(symbol, rank, rule, weight): heaviest signals of the stance's side, ties in rule order; none for neutral."""
     side = F.when(F.col("stance") == "bullish", "bull").when(F.col("stance") == "bearish", "bear")
