@@ -12,25 +12,49 @@ from pyspark.sql import functions as F
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "form")
 
 
-_REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-
-
-def _decoded(name: Column) -> Column:
-    """Characters of a reference without its & and ;, null for one that is not known."""
-    code = F.when(name.startswith("#x") | name.startswith("#X"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
-    number = code.try_cast("bigint")
-    valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    named = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string, string>")
-    return F.when(name.startswith("#"), F.when(valid, char)).otherwise(F.try_element_at(named, name))
+#: Names that are references without a semicolon too, the longest first.
+_BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+_REFERENCE = f"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{'|'.join(_BARE)}))"
+#: Numbers 128 to 159 are read as that Windows code page, as browsers do.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+#: Names that most references have; only others are looked up in the whole table.
+_USUAL = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "hellip", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo", "reg", "trade", "bull")
+
+
+def _numbered(name: Column) -> Column:
+    """The character of a numeric reference: U+FFFD for no character, nothing for a control character or non-character."""
+    hexed = F.when(F.length(name) <= 18, F.conv(F.substr(name, F.lit(3)), 16, 10))
+    number = F.coalesce(F.when(F.lower(name).startswith("#x"), hexed).otherwise(F.substr(name, F.lit(2))).try_cast("bigint"), F.lit(0x110000))
+    windows = F.element_at(F.array(*map(F.lit, _WINDOWS.values())), F.greatest(F.least(number - 127, F.lit(32)), F.lit(1)).cast("int"))
+    control = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    none = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    return F.when(none, "\ufffd").when(number.between(128, 159), windows).when(control, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+
+
+def _named(whole: Column) -> Column:
+    """The characters of a named reference (`name;` or a bare name); of an unknown one those of the longest bare name that it
+    begins with, and the rest; else null."""
+    usual = F.lit(None).cast("string")
+    for known in _USUAL:
+        usual = F.when(whole == f"{known};", html5[f"{known};"]).otherwise(usual)
+    table = F.from_json(F.lit(json.dumps(dict(sorted(html5.items())))), "map<string, string>")
+    start = F.regexp_extract(whole, f"^(?:{'|'.join(_BARE)})", 0)
+    prefix = F.when(start != "", F.concat(F.try_element_at(table, start), F.substr(whole, F.length(start) + 1)))
+    return F.coalesce(usual, F.try_element_at(table, whole), prefix)
+
+
+def _decoded(whole: Column) -> Column:
+    """Characters of a reference without its &, as it stands if it is not known."""
+    named = F.coalesce(_named(whole), F.concat(F.lit("&"), whole))
+    return F.when(whole.startswith("#"), _numbered(F.rtrim(whole, F.lit(";")))).otherwise(named)
 
 
 def unescape(text: Column) -> Column:
-    """Numeric and named references, as the standard library's table has them, to characters; unknown ones stay."""
+    """Numeric and named references to characters, as the standard library's table has them, some without their semicolon; unknown
+    ones stay. A text is cut at its references once and each is decoded once, so the work follows the text's length."""
     between = F.split(text, _REFERENCE, -1)
-    names = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
-    chars = F.transform(names, lambda n: F.coalesce(_decoded(n), F.concat(F.lit("&"), n, F.lit(";"))))
-    whole = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(chars, i), F.lit("")))), "")
+    chars = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1)), _decoded)
+    whole = F.array_join(F.zip_with(between, F.array_append(chars, F.lit("")), lambda b, c: F.concat(b, c)), "")
     return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
