@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import cell, rnd, series_texts, signed
 from tidemark.plans.oracle import LIST, WORDS, r
-from tidemark.sources import shapes
+from tidemark.sources import payloads, shapes
 from tidemark.sources.klines import bulk_klines, land_pages
 from tidemark.sources.shared import shared_root
 from tidemark.sources.tables import read
@@ -120,8 +120,43 @@ def q_formats(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("o_orderkey", cell(kinds, "price").alias("price"), cell(kinds, "key").alias("key"), signed("change").alias("change"), F.array_join(series_texts("series", " x"), "|").alias("series"))
 
 
+def daily(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_type, body) of market series payloads: a price and a volume for each day; one type lacks its last volume."""
+    e = read(spark, sf, "events").groupBy("event_type", F.unix_millis(F.date_trunc("day", "ts")).alias("ms")).agg(rnd(F.avg("value"), 4).alias("p"), rnd(F.sum("value"), 4).alias("v"))
+    e = e.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("ms", "p", "v"))).alias("d"))
+    pair = lambda c: F.transform("d", lambda x: F.array(x["ms"].cast("double"), x[c]))
+    volumes = F.when(F.col("event_type") == "click", F.slice(pair("v"), F.lit(1), F.size("d") - 1)).otherwise(pair("v"))
+    return e.select("event_type", F.to_json(F.struct(pair("p").alias("prices"), volumes.alias("total_volumes"))).alias("body"))
+
+
+def q_series(spark: SparkSession, sf: str) -> DataFrame:
+    x = payloads.market_series(daily(spark, sf), "body")
+    lists = {"dates": F.array_join("dates", ","), "volumes": F.coalesce(F.array_join(F.transform("volumes", lambda v: F.format_string("%.4f", v)), ","), F.lit("-"))}
+    return x.withColumns(lists)
+
+
+def q_funding(spark: SparkSession, sf: str) -> DataFrame:
+    """A premium index payload per event; every seventh has no rate."""
+    rate = "CASE WHEN event_id % 7 > 0 THEN concat('{\"lastFundingRate\": \"', (event_id % 41 - 20) / 100000D, '\"}') ELSE '{}' END"
+    e = read(spark, sf, "events").select("event_id", F.expr(rate).alias("body"))
+    x = payloads.funding(e, "body")
+    return x.withColumn("bias", F.coalesce("bias", F.lit("-")))
+
+
+def q_klines(spark: SparkSession, sf: str) -> DataFrame:
+    """A payload of candles per user, with a repeat of each third open time behind it and one candle that is no number."""
+    candle = lambda close: f"array(cast(event_id AS string), '1', '2.5', '0.5', cast({close} AS string), CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '7' END)"
+    e = read(spark, sf, "events").groupBy("user_id").agg(
+        F.expr(f"array_sort(collect_list({candle('event_id / 4D')}))").alias("a"), F.expr(f"array_sort(collect_list({candle('-1')}) FILTER (WHERE event_id % 3 = 0))").alias("b")
+    )
+    return payloads.klines(e.select("user_id", F.to_json(F.concat("a", "b")).alias("body")), "body").withColumn("volume", F.coalesce("volume", F.lit(-1.0)))
+
+
 QUERIES = {
     "bulk_klines": q_bulk_klines,
+    "market_payloads": q_series,
+    "funding_payloads": q_funding,
+    "kline_payloads": q_klines,
     "heartbeats": q_heartbeats,
     "social_posts": q_social,
     "social_profile": q_social_profile,
@@ -179,4 +214,11 @@ SELECT event_type, day, points, long_pct, short_pct, ratio, CASE WHEN ratio > 1.
   coalesce(CASE WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 1000 >= 500 THEN '+' ELSE '' END || format('{:,.2f}', ((o_orderkey % 1000 - 500) / 4.0)::DOUBLE) || '%' END, 'N/A') AS change,
   CASE WHEN o_orderkey % 2 = 0 THEN '1,000 x|N/A|' || format('{:,}', o_orderkey) || ' x' WHEN o_totalprice = floor(o_totalprice) THEN format('{:,}', o_totalprice::BIGINT) || ' x|2 x'
     ELSE format('{:,.2f}', o_totalprice::DOUBLE) || ' x|2.00 x' END AS series FROM orders""",
+    "market_payloads": f"""WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, {r("avg(value)", 4)} AS p, {r("sum(value)", 4)} AS v FROM events GROUP BY 1, 2)
+SELECT event_type, arg_min(p, day) AS start_price, arg_max(p, day) AS end_price, {r("(arg_max(p, day) - arg_min(p, day)) / arg_min(p, day) * 100")} AS return_pct,
+  string_agg(strftime(day, '%Y-%m-%d'), ',' ORDER BY day) AS dates, CASE WHEN event_type = 'click' THEN '-' ELSE string_agg(printf('%.4f', v), ',' ORDER BY day) END AS volumes FROM d GROUP BY 1""",
+    "funding_payloads": f"""WITH f AS (SELECT event_id, CASE WHEN event_id % 7 > 0 THEN {r("(event_id % 41 - 20) / 100000.0::DOUBLE * 100", 4)} END AS funding_rate_pct FROM events)
+SELECT *, CASE WHEN funding_rate_pct > 0.01 THEN 'long_crowded' WHEN funding_rate_pct < -0.01 THEN 'short_crowded' WHEN funding_rate_pct IS NOT NULL THEN 'balanced' ELSE '-' END AS bias FROM f""",
+    "kline_payloads": """SELECT user_id, event_id AS open_time_ms, 1.0::DOUBLE AS open, 2.5::DOUBLE AS high, 0.5::DOUBLE AS low, event_id / 4.0::DOUBLE AS close,
+  CASE WHEN event_id % 5 = 0 THEN -1 ELSE 7 END::DOUBLE AS volume FROM events""",
 }

@@ -9,15 +9,13 @@ from tidemark.functions.numbers import pct_change, rnd
 
 
 def klines(df: DataFrame, body: str) -> DataFrame:
-    """Positional candles: (other columns, open_time_ms, open, high, low, close, volume); a later repeat of an open time is dropped."""
+    """Positional candles: (other columns, open_time_ms, open, high, low, close, volume); of equal open times the first stays."""
     rest = [c for c in df.columns if c != body]
-    rows = df.select(*rest, F.explode(F.from_json(body, "array<array<string>>")).alias("k"))
+    rows = df.select(*rest, F.posexplode(F.from_json(body, "array<array<string>>")).alias("_at", "k"))
     number = lambda i: F.expr(f"try_cast(get(k, {i}) AS double)")
-    out = rows.select(
-        *rest, F.expr("try_cast(get(k, 0) AS bigint)").alias("open_time_ms"),
-        *[number(i).alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)],
-    )
-    return out.dropDuplicates([*rest, "open_time_ms"])
+    named = F.struct(*[number(i).alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)])
+    opened = rows.withColumn("open_time_ms", F.expr("try_cast(get(k, 0) AS bigint)"))
+    return opened.groupBy(*rest, "open_time_ms").agg(F.min_by(named, "_at").alias("k")).select(*rest, "open_time_ms", "k.*")
 
 
 def market_series(df: DataFrame, body: str) -> DataFrame:
