@@ -6,6 +6,7 @@ and equal neighbours form spans. The language with most letters is the document'
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import Counter
 from functools import partial
@@ -31,6 +32,10 @@ SCRIPT_SHARE = 0.01
 #: Words times languages that a worker keeps scores of, padded words times languages that are labelled at a time,
 #: and documents of an output batch.
 CACHE, PADDED, ROWS = 800_000, 1 << 21, 500
+#: Code points of a text beyond which it is labelled in pieces of words, times languages; trigrams times languages scored at a time.
+LONG, SCORED = 1 << 22, 1 << 22
+#: Words that learning keeps of a language before it counts their trigrams.
+HELD = 200_000
 MIN_SHARE = 0.5
 
 #: First code points of blocks of letters and their script, from the Unicode block list.
@@ -47,6 +52,22 @@ _STARTS = [s for s, _ in SCRIPT_STARTS]
 SCRIPTS = list(dict.fromkeys(name for _, name in SCRIPT_STARTS))
 
 
+_SPACE = re.compile(r"\s")
+
+
+def _pieces(text: str, size: int):
+    """Words of a text, those of about `size` code points at a time; a word is never cut."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        gap = _SPACE.search(text, end) if end < len(text) else None
+        end = gap.start() if gap else len(text)
+        words = text[at:end].split()
+        if words:
+            yield words
+        at = end
+
+
 def _script(letter: str) -> str:
     at = bisect_right(_STARTS, ord(letter)) - 1
     return SCRIPT_STARTS[at][1] if at >= 0 else "other"
@@ -81,20 +102,32 @@ def _counts(batches):
     """(lang, text) to partial counts (lang, key, n): of trigram buckets by number, and of letters by script, as -1 - the
     number of the first block of that script."""
     words: dict[str, Counter] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words.setdefault(lang, Counter()).update((text.as_py() or "").split())
-    for lang, seen in words.items():
-        if not seen:
-            continue
+    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def count(lang: str) -> None:
+        seen = words[lang]
         own, n = list(map(letters, seen)), np.array(list(seen.values()))
-        buckets, whole, starts = trigrams(own)
-        times = np.repeat(n, np.diff(np.append(starts, len(buckets))))
-        grams = np.bincount(buckets[whole], times[whole], minlength=BUCKETS).astype(np.int64)
-        scripts = np.zeros(len(SCRIPTS), np.int64)
+        grams, scripts = counts.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS), np.int64)))
+        for lo in range(0, len(own), HELD // 8):
+            buckets, whole, starts = trigrams(own[lo : lo + HELD // 8])
+            times = np.repeat(n[lo : lo + HELD // 8], np.diff(np.append(starts, len(buckets))))
+            grams += np.bincount(buckets[whole], times[whole], minlength=BUCKETS).astype(np.int64)
         for word, k in zip(own, n.tolist()):
             if word:
                 scripts[SCRIPTS.index(script_of(word))] += k * len(word)
+        seen.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            seen = words.setdefault(lang, Counter())
+            for piece in _pieces(text.as_py() or "", LONG // 8):
+                seen.update(piece)
+                if len(seen) > HELD:
+                    count(lang)
+    for lang, seen in words.items():
+        if seen:
+            count(lang)
+    for lang, (grams, scripts) in counts.items():
         keys = np.concatenate((np.flatnonzero(grams), -1 - np.flatnonzero(scripts)))
         found = np.concatenate((grams[grams > 0], scripts[scripts > 0]))
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(found)], names=["lang", "key", "n"])
@@ -111,7 +144,7 @@ class Model:
         own = list(map(letters, words))
         sizes = np.array(list(map(len, own)))
         buckets, whole, starts = trigrams(own)
-        sums = np.add.reduceat(np.where(whole[:, None], self.table[buckets], 0), starts, axis=0)
+        sums = self._sums(buckets, whole, starts)
         rows = {s: i for i, s in enumerate(self.scripts)}
         fits = np.array([*self.scripts.values(), np.ones(len(self.langs), bool)])
         fits = fits[[rows.get(script_of(w), len(rows)) for w in own]]
@@ -120,6 +153,22 @@ class Model:
         scores[sizes == 0] = 0
         return scores, sizes
 
+    def _sums(self, buckets: np.ndarray, whole: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Each word's sum over its trigrams, of as many words at a time as SCORED allows; a longer word is summed in parts."""
+        most, ends = max(1, SCORED // len(self.langs)), np.append(starts[1:], len(buckets))
+        out = np.zeros((len(starts), len(self.langs)), self.table.dtype)
+        word = 0
+        while word < len(starts):
+            last = max(word + 1, int(np.searchsorted(ends, starts[word] + most, "right")))
+            lo, hi = int(starts[word]), int(ends[last - 1])
+            if hi - lo <= most:
+                out[word:last] = np.add.reduceat(np.where(whole[lo:hi, None], self.table[buckets[lo:hi]], 0), starts[word:last] - lo, axis=0)
+            else:
+                for at in range(lo, hi, most):
+                    out[word] += np.where(whole[at : min(at + most, hi), None], self.table[buckets[at : min(at + most, hi)]], 0).sum(axis=0)
+            word = last
+        return out
+
 
 def learn(docs: DataFrame, most: int = MAX_LEARNED) -> Model:
     """Model from (doc_id, text, lang). Null languages and texts are left out; without rows it knows no language.
@@ -194,19 +243,99 @@ def viterbi(emission: np.ndarray, lengths: np.ndarray, words: np.ndarray, penalt
     return [out[: lengths[d], d] for d in range(n)]
 
 
+def _steps(emission: np.ndarray, best: np.ndarray | None, penalty: float, came: np.ndarray | None) -> np.ndarray:
+    """Values of the languages after a piece's words, from those before it (None: the text begins), as `viterbi` has them.
+
+    came: gets the language that each language at a word comes from."""
+    stay = np.arange(emission.shape[1])
+    for t, e in enumerate(emission):
+        if best is None:
+            best = e.copy()
+            continue
+        top = best.argmax()
+        moved = best[top] - penalty
+        keeps = best >= moved
+        if came is not None:
+            came[t] = np.where(keeps, stay, top)
+        best = np.where(keeps, best, moved) + e
+    return best
+
+
+def label_long(text: str, model: Model, penalty: float) -> tuple[str, float, tuple]:
+    """Label of a text of any length, in memory of a piece: forwards only the values before each piece are kept, and backwards
+    each piece is walked again from them."""
+    size = max(1, LONG // 8 // len(model.langs))
+
+    def emissions():
+        for words in _pieces(text, size):
+            known = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            scores, sizes = model.words(list(known))
+            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            yield scores[at], sizes[at]
+
+    best, before = None, []
+    for emission, _ in emissions():
+        before.append(best)
+        best = _steps(emission, best, penalty, None)
+    if best is None:
+        return "und", 0.0, _NO_SPANS
+    state, by, ends = int(best.argmax()), np.zeros(len(model.langs)), len(before)
+    found: list[tuple[np.ndarray, int]] = []
+    for k, words in zip(range(ends - 1, -1, -1), _backwards(text, size)):
+        known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        scores, sizes = model.words(list(known))
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        came = np.zeros((len(words), len(model.langs)), np.int16)
+        _steps(scores[at], before[k], penalty, came)
+        labels = np.empty(len(words), np.int16)
+        for t in range(len(words) - 1, -1, -1):
+            labels[t] = state
+            if t or k:
+                state = int(came[t, state])
+        by += np.bincount(labels, sizes[at], minlength=len(model.langs))
+        cut = np.flatnonzero(np.diff(labels)) + 1
+        starts = np.concatenate(([0], cut))
+        found.append((np.stack((labels[starts].astype(np.int64), starts)), len(words)))
+    if not by.sum():
+        return "und", 0.0, _NO_SPANS
+    first, spans = 0, []
+    for cut, n in reversed(found):
+        spans.append(cut + np.array([[0], [first]]))
+        first += n
+    langs, starts = np.concatenate(spans, axis=1)
+    new = np.concatenate(([True], langs[1:] != langs[:-1]))  # a span may go on over pieces
+    langs, starts = langs[new], starts[new]
+    return model.langs[int(by.argmax())], float(by.max() / by.sum()), (langs, starts, np.diff(np.append(starts, first)))
+
+
+def _backwards(text: str, size: int):
+    """The pieces of a text, the last first; places of their ends are kept, not their words."""
+    cuts, at = [], 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        cuts.append((at, end))
+        at = end
+    for a, b in reversed(cuts):
+        words = text[a:b].split()
+        if words:
+            yield words
+
+
+_NO_SPANS = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 def _labelled(batches, model: Model, penalty: float):
     """Batches whose last column is the text: the other columns, lang_pred, score and spans."""
     words = _Words(model)
-    span = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64())]))
 
-    def label(texts: list[list[int]]):
+    def label(texts: list[list[int]], done: list) -> None:
         scores, sizes = words.score()
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        done: list = [("und", 0.0, [])] * len(texts)
+        order = sorted((i for i in range(len(texts)) if texts[i]), key=lambda i: -len(texts[i]))
         lo = 0
-        while lo < len(order) and texts[order[lo]]:
+        while lo < len(order):
             hi = max(lo + 1, min(len(order), lo + PADDED // len(model.langs) // len(texts[order[lo]])))
-            part = [i for i in order[lo:hi] if texts[i]]
+            part = order[lo:hi]
             lengths = np.array([len(texts[i]) for i in part])
             padded = np.zeros((lengths[0], len(part)), np.int64)
             for d, i in enumerate(part):
@@ -214,11 +343,9 @@ def _labelled(batches, model: Model, penalty: float):
             for d, (i, labels) in enumerate(zip(part, viterbi(scores, lengths, padded, penalty))):
                 by = np.bincount(labels, sizes[padded[: lengths[d], d]], minlength=len(model.langs))
                 if by.sum():
-                    cut = np.concatenate(([0], np.flatnonzero(np.diff(labels)) + 1, [lengths[d]]))
-                    spans = [(model.langs[labels[a]], a, b - a) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                    done[i] = (model.langs[by.argmax()], by.max() / by.sum(), spans)
+                    starts = np.concatenate(([0], np.flatnonzero(np.diff(labels)) + 1))
+                    done[i] = (model.langs[by.argmax()], by.max() / by.sum(), (labels[starts].astype(np.int64), starts, np.diff(np.append(starts, lengths[d]))))
             lo = hi
-        return done
 
     for batch in batches:
         last = batch.num_columns - 1
@@ -226,12 +353,22 @@ def _labelled(batches, model: Model, penalty: float):
             rows = batch.slice(at, ROWS)
             if len(words) * len(model.langs) > CACHE:
                 words.clear()
-            texts = [list(map(words.__getitem__, (t.as_py() or "").split())) for t in rows.column(last)]
-            found = label(texts) if model.langs else [("und", 0.0, [])] * len(texts)
-            pred, score, spans = zip(*found)
-            spans = [[dict(zip(("lang", "first_word", "words"), s)) for s in x] for x in spans]
+            done: list = [("und", 0.0, _NO_SPANS)] * rows.num_rows
+            texts: list[list[int]] = [[]] * rows.num_rows
+            for i, t in enumerate(rows.column(last) if model.langs else []):
+                text = t.as_py() or ""
+                if len(text) * len(model.langs) > LONG:
+                    done[i] = label_long(text, model, penalty)
+                else:
+                    texts[i] = list(map(words.__getitem__, text.split()))
+            label(texts, done)
+            pred, score, spans = zip(*done)
+            names = pa.array(model.langs or ["und"], pa.string())
+            lang, first, count = (np.concatenate([x[k] for x in spans]) for k in range(3))
+            flat = pa.StructArray.from_arrays([names.take(pa.array(lang)), pa.array(first), pa.array(count)], names=["lang", "first_word", "words"])
+            ends = np.cumsum([0, *(len(x[0]) for x in spans)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns[:last], pa.array(pred), pa.array(score, pa.float64()), pa.array(spans, span)],
+                [*rows.columns[:last], pa.array(pred), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), flat)],
                 names=[*rows.schema.names[:last], "lang_pred", "score", "spans"],
             )
 

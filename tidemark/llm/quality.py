@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import in_batches, text_last, whole_rows
+from .staging import in_batches, release, stage, tasks, text_last, whole_rows
 from .tables import fold, read
 
 BITS = 18
@@ -85,23 +85,27 @@ def _sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return index.astype(np.int32), np.bincount(at, np.concatenate(weight))
 
 
-def _train(batches):
-    """All rows (text, label) of the one partition, in order, to one row of weights: the bias and 2^BITS others.
+def _taken_apart(batches):
+    """(order, tie, label, text) to the same with a text's weight numbers and weights, as bytes, in its place."""
+    for batch in (b for b in batches if b.num_rows):
+        parts = [_sparse(text.as_py()) for text in batch.column(3)]
+        index, weight = (pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in zip(zip(*parts), ("<i4", "<f8")))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], index, weight], names=["order", "tie", "label", "index", "weight"])
 
-    Texts are let go batch by batch; only their weight numbers and weights are kept for all epochs."""
-    data = []
-    for batch in batches:
-        data += [(*_sparse(text.as_py()), float(label)) for text, label in zip(batch.column(0), batch.column(1).to_pylist())]
+
+def _train(batches):
+    """All rows (label, index, weight) of the one partition, every epoch's in order, to one row of weights: the bias and 2^BITS
+    others. Rows are read once and let go; what is kept is three numbers for each weight."""
     size = 1 + (1 << BITS)
-    z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
-    for _ in range(EPOCHS):
-        for index, value, label in data:
-            i = np.concatenate(([0], index + 1))
-            x = np.concatenate(([1.0], value))
+    z, n = np.zeros(size), np.zeros(size)
+    for batch in batches:
+        for label, index, value in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            i = np.concatenate(([0], np.frombuffer(index.as_py(), "<i4") + 1))
+            x = np.concatenate(([1.0], np.frombuffer(value.as_py(), "<f8")))
             zi, ni = z[i], n[i]
             wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             p = 1 / (1 + np.exp(-np.clip(wi @ x, -35, 35)))
-            g = (p - label) * x
+            g = (p - float(label)) * x
             z[i] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * wi
             n[i] = ni + g * g
     w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -112,15 +116,20 @@ def train(labelled: DataFrame, most: int = MAX_LABELLED) -> bytes:
     """Weights from (doc_id, text, label). Rows with a null label are left out; without rows all weights are 0.
 
     Where there are more than `most` rows, those whose hash is lowest are taken, about `most` of them:
-    the one task that runs the updates reads that bounded sample, whatever the input. It keeps 12 bytes for
-    each distinct n-gram of a text, of which hashing leaves 2^BITS at most: typically 20 KB a text."""
+    the one task that runs the updates reads that bounded sample, whatever the input. Texts are taken apart in many tasks
+    and staged, 12 bytes for each distinct n-gram, of which hashing leaves 2^BITS at most. The one task is sent them in
+    order, epoch after epoch, by a sort that spills, so it holds a batch of rows and the weights, however long texts are."""
     known = labelled.where(F.col("label").isNotNull())
     total = known.count()
     order = F.xxhash64("doc_id", F.lit("quality sample"))
     if total > most:
         known = known.where(order < F.lit(int(-(2**63) + 2**64 * (most / total))))
-    one = known.select(order.alias("order"), "text", F.col("label").cast("int").alias("label")).repartition(1)
-    found = in_batches(one.sortWithinPartitions("order", "text", "label").select("text", "label"), _train, "weights binary").first()
+    rows = known.select(order.alias("order"), F.xxhash64("text").alias("tie"), F.col("label").cast("int").alias("label"), "text")
+    taken = "order long, tie long, label int, index binary, weight binary"
+    apart = stage(in_batches(rows.repartition(tasks(labelled.sparkSession), "order", "tie"), _taken_apart, taken), "quality-rows")
+    epochs = apart.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))).repartition(1)
+    found = in_batches(epochs.sortWithinPartitions("epoch", "order", "tie", "label").select("label", "index", "weight"), _train, "weights binary").first()
+    release(apart)
     return bytes(found[0]) if found else np.zeros(1 + (1 << BITS), "<f4").tobytes()
 
 
