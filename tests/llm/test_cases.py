@@ -352,13 +352,20 @@ def peel(width, table, places, check):
     return set(found), any(v != [0, 0, 0] for v in table.values())
 
 
+def test_differences_are_recovered_by_subtraction(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    how = fingerprint.fingerprint_edits(docs).select("differing.how", F.col("differing_next.how").alias("next")).collect()
+    share = lambda c: sum(r[c] != "apart" for r in how) / len(how)
+    assert share("how") >= 0.95 and share("next") >= 0.95
+
+
 def test_likeness_follows_from_the_two_printed_fingerprints(spark):
     rng = np.random.RandomState(5)
     lines = [f"line {i} {rng.randint(10**6)}" for i in range(400)]
     texts = ["\n".join(rng.choice(lines, n)) for n in (1, 3, 9, 30, 90, 300, 299)] + [""]
     rows = [(i, t) for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in fingerprint.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    every = {k for r in got.values() for k in [*r.differing, *r.differing_next]}
+    every = {k for r in got.values() for k in [*r.differing.found, *r.differing_next.found]}
     of = spark.createDataFrame([(k,) for k in every], "k long").selectExpr("k", "xxhash64(k) h", "transform(sequence(0, 2), j -> xxhash64(k, j)) p").collect()
     u = lambda x: x % 2**64
     check, places = {u(r.k): u(r.h) for r in of}, {u(r.k): r.p for r in of}
@@ -379,14 +386,14 @@ def test_likeness_follows_from_the_two_printed_fingerprints(spark):
         if not (a_left or b_left):  # all digests are among those that some text differs in
             assert len(a) == n_a and len(b) == n_b
             assert r.near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
-            assert {u(k) for k in r.differing_next} == a ^ b
+            assert {u(k) for k in r.differing_next.found} == a ^ b
 
 
 def test_sketches_of_very_different_sizes_peel(spark):
     a, b = [xxhash.xxh64_intdigest(str(i)) - 2**63 for i in range(900)], [xxhash.xxh64_intdigest(str(i)) - 2**63 for i in range(300, 1000)]
     pairs = spark.createDataFrame([(1, a, b), (2, a, a), (3, [], b), (4, b[:3], a), (5, [], [])], "uid long, a array<long>, b array<long>")
     made = pairs.withColumns({"one": F.expr(fingerprint.sketch_of("a")), "two": F.expr(fingerprint.sketch_of("b"))})
-    got = {r.uid: set(r.d) for r in made.select("uid", F.expr(fingerprint.difference("one", "two")).alias("d")).collect()}
+    got = {r.uid: set(r.d) for r in fingerprint.difference(made, "one", "two", "how").select("uid", F.col("how.found").alias("d")).collect()}
     assert got == {1: set(a) ^ set(b), 2: set(), 3: set(b), 4: set(a) ^ set(b[:3]), 5: set()}
 
 

@@ -4,10 +4,12 @@ A text is a set of paragraph digests: its lines, long ones in pieces, each hashe
 it occurs. A sketch is a table of three rows of cells; a digest adds to one cell of each row a count, its
 bits and a check of its bits. A text's fingerprint is its sketch, as narrow a one as peels: a cell left
 with one digest gives it away, taking it out of its other cells uncovers more, until nothing is left. Too
-narrow a table leaves cells over and is tried again at twice the width. The tables of two texts are folded
-to the narrower one's width and subtracted cell by cell: what both share cancels out, and peeling recovers
-how they differ. Where the difference is too large for that width, both are peeled at the widths of their
-own, which always succeeds. So likeness follows from the two fingerprints alone. Every step sorts or walks
+narrow a table leaves cells over and is tried again at twice the width. A table has room for twice its own
+digests, so that it can hold a difference too. The tables of two texts are folded to the narrower one's width
+and subtracted cell by cell: what both share cancels out, and peeling recovers how they differ. A difference that
+is too large for that width is subtracted again at the wider one, for which the narrower table is written out
+anew. What is too large even then (one to three pairs in a hundred here) is found by peeling both, which always
+succeeds. So likeness follows from the two fingerprints alone. Every step sorts or walks
 an array once, so the work follows the length of a text."""
 
 from __future__ import annotations
@@ -76,8 +78,8 @@ def peeled(cells: str, width: str) -> str:
 
 
 def sketch_of(digests: str) -> str:
-    """SQL for (w, cells): the narrowest table, in powers of two, that has 1.5 cells a digest and peels to nothing."""
-    least = f"CAST(greatest({WIDTH}, power(2, ceil(log2(greatest(size(d), 1) / 2)))) AS bigint)"
+    """SQL for (w, cells): the narrowest table, in powers of two, that has 3 cells a digest and peels to nothing."""
+    least = f"CAST(greatest({WIDTH}, power(2, ceil(log2(greatest(size(d), 1))))) AS bigint)"
     attempt = _let("t", table_of("d", "v"), f"named_struct('w', v, 'cells', CASE WHEN size({peeled('t', 'v')}.cells) = 0 THEN t END)")
     none = "named_struct('w', 0L, 'cells', CAST(NULL AS array<struct<c: bigint, n: bigint, k: bigint, h: bigint>>))"
     tries = f"aggregate(sequence(0, {TRIES - 1}), {none}, (z0, i0) -> CASE WHEN z0.cells IS NOT NULL THEN z0 ELSE {_let('v', 'shiftleft(w0, i0)', attempt)} END)"
@@ -90,15 +92,27 @@ def printed(sketch: str) -> str:
     return f"lower(concat(hex({sketch}.w), ':', array_join(transform({sketch}.cells, x -> {cell}), ',')))"
 
 
-def difference(a: str, b: str) -> str:
-    """SQL for the digests that one of two sketches has and the other has not, by subtraction and peeling."""
-    folded = lambda x, sign: (
-        f"transform({x}.cells, x -> {_CELL.format(c=f'(x.c div {x}.w) * w + (x.c % {x}.w & (w - 1))', n=f'{sign} x.n', k='x.k', h='x.h')})"
-    )
-    mine, other = (peeled(f"{x}.cells", f"{x}.w") + ".found" for x in (a, b))
-    alone = _let("o", mine, _let("e", other, "concat(array_except(o, e), array_except(e, o))"))
-    tried = _let("g", peeled(_summed(f"concat({folded(a, '')}, {folded(b, '-')})"), "w"), f"CASE WHEN size(g.cells) = 0 THEN g.found ELSE {alone} END")
-    return _let("w", f"least({a}.w, {b}.w)", tried)
+def _tried(cells: str, how: str) -> str:
+    """SQL for (how, found) of a table of differences, null if peeling leaves something."""
+    return _let("g", peeled(_summed(cells), "w"), f"CASE WHEN size(g.cells) = 0 THEN named_struct('how', '{how}', 'found', g.found) END")
+
+
+def difference(made: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """`made` with `out`, (how, found): the digests that one of two sketches has and the other has not, by subtraction and peeling.
+
+    how: `folded` to the narrower width, `widened` to the wider one, or `apart`, each peeled by itself. A later way is
+    only gone where the one before it failed."""
+    own = lambda x: peeled(f"{x}.cells", f"{x}.w") + ".found"
+    placed = lambda cells, place, sign: f"transform({cells}, x -> {_CELL.format(c=place, n=f'{sign} x.n', k='x.k', h='x.h')})"
+    folded = lambda x, sign: placed(f"{x}.cells", f"(x.c div {x}.w) * w + (x.c % {x}.w & (w - 1))", sign)
+    wide = lambda x, sign: placed(f"CASE WHEN {x}.w = w THEN {x}.cells ELSE {table_of(own(x), 'w')} END", "x.c", sign)
+    first = _let("w", f"least({a}.w, {b}.w)", _tried(f"concat({folded(a, '')}, {folded(b, '-')})", "folded"))
+    second = _let("w", f"greatest({a}.w, {b}.w)", _tried(f"concat({wide(a, '')}, {wide(b, '-')})", "widened"))
+    both = f"named_struct('o', {own(a)}, 'e', {own(b)})"
+    last = f"named_struct('how', 'apart', 'found', {_let('p', both, 'concat(array_except(p.o, p.e), array_except(p.e, p.o))')})"
+    made = made.withColumn(out, F.expr(first))
+    made = made.withColumn(out, F.expr(f"CASE WHEN {out} IS NOT NULL OR {a}.w = {b}.w THEN {out} ELSE {second} END"))
+    return made.withColumn(out, F.expr(f"coalesce({out}, {last})"))
 
 
 def with_next(docs: DataFrame, columns: list[str], more: dict[str, Column]) -> DataFrame:
@@ -136,8 +150,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint against its half-edited text's and against the next document's.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, differing,
-    differing_next): near is shared digests over all digests, 1 for two texts without any; differing holds
-    the recovered digests. Null texts count as empty; an empty text has no cells. The edited text has its
+    differing_next): near is shared digests over all digests, 1 for two texts without any; differing holds how
+    the digests were recovered, and these. Null texts count as empty; an empty text has no cells. The edited text has its
     last floor(n/2) code points replaced by as many of the next text's first, or all it has. A lone
     document is its own next. Repeated rows stay and follow each other; an empty table gives no rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -146,12 +160,12 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited = F.expr(f"concat(substring(text, 1, length(text) - {kept}), substring(next_text, 1, {kept}))")
     made = pair.select("doc_id", F.expr("CAST(length(text) AS bigint)").alias("n_chars"), "own", F.col("next_own").alias("next"), edited.alias("edited"))
     made = made.withColumn("edit", F.expr(sketch_of(digests_of("edited"))))
-    made = made.withColumns({"differing": F.expr(difference("own", "edit")), "differing_next": F.expr(difference("own", "next"))})
+    made = difference(difference(made, "own", "edit", "differing"), "own", "next", "differing_next")
 
     def near(other: str, differing: str) -> Column:
         size = lambda x: f"aggregate({x}.cells, 0L, (a, x) -> a + x.n) div 3"
         both = f"({size('own')} + {size(other)})"
-        return F.expr(f"CASE WHEN {both} = 0 THEN 1D ELSE ({both} - size({differing})) / ({both} + size({differing})) END")
+        return F.expr(f"CASE WHEN {both} = 0 THEN 1D ELSE ({both} - size({differing}.found)) / ({both} + size({differing}.found)) END")
 
     return made.select(
         "doc_id",
