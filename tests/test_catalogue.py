@@ -6,15 +6,23 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans.catalogue import QUERIES
-from tidemark.plans.oracle import ORACLE_SQL
+from tidemark.operators import backtest, compare
+from tidemark.plans import catalogue, cited, kept, landed, oracle, recorded, ruled, series, streams
+from tidemark.sources import shared
 
 SF = "/root/testdata/sf0.001"
+MODULES = [series, landed, streams, ruled, cited, kept, recorded]
+QUERIES = catalogue.QUERIES | {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = oracle.ORACLE_SQL | {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
 QUICK = [
     "bars_from_events", "bars_daily_region", "price_windows", "downsample", "rsi", "crossovers", "strategy_signals", "side_consistency", "trend_30_90",
     "pairwise_compare", "fallback_fill", "dq_rules", "dedupe_topn", "snapshot_delta", "lexicon_sentiment", "strip_truncate", "article_text", "citations",
     "report_markdown", "narrative", "risk_factors", "comparison_report", "news_union", "policy_releases", "evidence_by_type", "footnotes", "indicators_shown",
-    "run_state", "numeric_elements", "sentence_blocks", "fuller_text", "minutes_shown",
+    "run_state", "numeric_elements", "sentence_blocks", "fuller_text", "minutes_shown", "scan_signals", "scan_ticks", "bulk_klines", "market_payloads",
+    "funding_payloads", "kline_payloads", "heartbeats", "social_posts", "social_profile", "live_evidence", "wallet_balances", "announcements", "ratio_history",
+    "number_formats", "ledger_stream", "sliding_windows", "session_windows", "session_stream", "signal_rules", "rule_table", "linked_lines", "alias_mentions",
+    "crawl_budget", "signal_rollup", "stored_bars", "stored_ledger", "evidence_facts", "signals_of_records", "fallback_records", "agent_rollup", "agents_once",
+    "elided_series",
 ]
 
 
@@ -46,4 +54,30 @@ def test_entry_and_names(spark):
     import __spark_entry__ as driver
 
     assert set(driver.oracle_sql()) <= set(driver.queries())
+    names = [n for m in [catalogue, *MODULES] for n in m.QUERIES]
+    assert len(names) == len(set(names)) and set(names) <= set(driver.queries())
+    assert set(names) <= set(driver.oracle_sql())
     assert driver.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["backtest_summary", "report_markdown", "comparison_report"])
+def test_line_items_are_read_once(spark, monkeypatch, name):
+    plans = []
+
+    def recorded(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.staged(df, label)
+
+    for module in (catalogue, compare, backtest):
+        if hasattr(module, "staged"):
+            monkeypatch.setattr(module, "staged", recorded)
+    plans.append(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("lineitem.parquet") for p in plans) == 1
+
+
+def test_scratch_deletes_what_was_staged_in_it(spark):
+    with shared.scratch(spark):
+        found = shared.staged(spark.range(3), "some")
+        path = Path(found.inputFiles()[0].removeprefix("file://")).parent
+        assert found.count() == 3 and path.exists()
+    assert not path.exists() and path.parent.exists()

@@ -25,6 +25,7 @@ SOURCES = [
     (9, "long_short_ratio", "technical_agent", 0.70, "last 24x1h"),
     (10, "tvl", "onchain_agent", 0.75, "last Nd"),
 ]
+#: Reliability of what stands in for a failed source, and the symbols that can be asked for.
 FALLBACK = 0.20
 SYMBOLS = ("BTC", "ETH", "SOL", "BNB", "XRP")
 
@@ -95,7 +96,7 @@ def quality_findings(evidence: DataFrame, key: str = "evidence_id") -> DataFrame
     Absent fields are one finding that names them in order; an absent score is also out of range. Records without
     an id are nobody's duplicates and are dealt out by their other fields."""
     own = F.when(F.col(key).isNull(), F.xxhash64("fetched_at", "source", "content_reference"))
-    again = F.row_number().over(Window.partitionBy(key, own).orderBy("fetched_at", "source")) > 1
+    again = F.row_number().over(Window.partitionBy(key, own).orderBy("fetched_at", "source", F.xxhash64(*evidence.columns))) > 1
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in sorted(REQUIRED)]))
     rules = [
@@ -180,6 +181,7 @@ def snapshot_delta(ledger: DataFrame) -> DataFrame:
 
 def crawl_status(allowed: list[str], url: str, robots: str, body: str, late: str) -> Column:
     """Why an article has its full text or not: deadline, allow-list, robots, fetch failure, emptiness, in this order."""
+    # fixed values: the statuses as reports name them
     host = F.regexp_replace(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")), r"^www\.", "")
     return (
         F.when(F.col(late), "skipped:deadline")

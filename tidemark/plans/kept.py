@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from tidemark.operators import crawl, signals
 from tidemark.plans import oracle, sinks
 from tidemark.plans.catalogue import completed, inventory
 from tidemark.plans.oracle import r
-from tidemark.sources.shared import shared_root, staged
+from tidemark.sources.shared import new_path, staged
 from tidemark.sources.tables import read, region_bars
 
 #: Hosts that may be read.
@@ -40,7 +38,7 @@ def q_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stored_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Completed evidence written as JSON, the first region's a second time with other reliabilities, and read again."""
-    path = f"{shared_root(spark)}/evidence-{uuid.uuid4().hex}"
+    path = new_path(spark, "evidence")
     found = staged(completed(spark, sf).withColumnRenamed("symbol", "coin"), "evidence")
     first = found.agg(F.min("coin")).first()[0]
     again = found.where(F.col("coin") == first).withColumn("reliability", F.lit(0.5))
@@ -52,7 +50,7 @@ def q_stored_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stored_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars written twice as CSV and read again: rows, first and last day and mean close of each symbol."""
-    path = f"{shared_root(spark)}/bars-{uuid.uuid4().hex}"
+    path = new_path(spark, "bars")
     bars = staged(region_bars(spark, sf), "bars")
     for _ in range(2):
         sinks.write_bars(bars, path)
@@ -63,7 +61,7 @@ def q_stored_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Balances by hour stored in two halves that overlap, the second one twice: the newest 30 snapshots of each coin."""
-    path = f"{shared_root(spark)}/stored-{uuid.uuid4().hex}"
+    path = new_path(spark, "stored")
     e = read(spark, sf, "events")
     hours = staged(e.groupBy(
         F.col("event_type").alias("coin"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("fetched_at"), F.concat(F.lit("w"), F.col("user_id") % 7).alias("label")

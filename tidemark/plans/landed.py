@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from tidemark.functions.numbers import cell, rnd, series_texts, signed
 from tidemark.plans.oracle import LIST, WORDS, r
 from tidemark.sources import payloads, shapes
 from tidemark.sources.klines import bulk_klines, land_pages
-from tidemark.sources.shared import shared_root
+from tidemark.sources.shared import new_path
 from tidemark.sources.tables import read
 
 
@@ -23,7 +21,7 @@ def q_bulk_klines(spark: SparkSession, sf: str) -> DataFrame:
         rnd(F.min_by("value", "at"), 4).alias("open"), rnd(F.max("value"), 4).alias("high"), rnd(F.min("value"), 4).alias("low"),
         rnd(F.max_by("value", "at"), 4).alias("close"), rnd(F.sum("value"), 4).alias("volume"),
     )
-    path = f"{shared_root(spark)}/kline-pages-{uuid.uuid4().hex}"
+    path = new_path(spark, "kline-pages")
     land_pages(bars, path)
     return bulk_klines(spark, path)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import rnd
 from tidemark.plans.oracle import r
-from tidemark.sources.shared import shared_root
+from tidemark.sources.shared import new_path
 from tidemark.sources.tables import read
 from tidemark.streaming import ledger, windows
 
@@ -27,7 +26,7 @@ def in_three(e: DataFrame) -> list[DataFrame]:
 
 def q_ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Daily balances by event type and wallet, compared on arrival; the stream stops and goes on after each third of the days."""
-    root = f"{shared_root(spark)}/ledger-{uuid.uuid4().hex}"
+    root = new_path(spark, "ledger")
     for part in in_three(read(spark, sf, "events")):
         balances = part.groupBy(
             F.col("event_type").alias("coin"), F.date_format("ts", "yyyy-MM-dd").alias("fetched_at"), F.concat(F.lit("w"), F.col("user_id") % 7).alias("label")
@@ -40,7 +39,7 @@ def q_ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed(windowed, spark: SparkSession, sf: str) -> DataFrame:
     """The windows that are complete by the end of a stream of events, which stops and goes on after each third of the days."""
-    root = f"{shared_root(spark)}/{windowed.__name__}-{uuid.uuid4().hex}"
+    root = new_path(spark, windowed.__name__)
     events = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     for part in in_three(events):
         part.select(*[c.split()[0] for c in windows.EVENTS.split(", ")]).write.mode("append").parquet(f"{root}/events")
