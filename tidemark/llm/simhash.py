@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash_kernel import crossing, fingerprint_batches, jaccard_batches, set_batches, signature_batches, sketch_batches
+from .simhash_kernel import SKETCH, crossing, fingerprint_batches, jaccard_batches, set_batches, signature_batches, sketch_batches
 from .staging import by_ids, in_batches, release, stage, tasks
 from .tables import read
 
@@ -25,6 +25,8 @@ SEGMENT_BITS = 32
 BLOCK = 1024
 #: Members of a band up to which each two are compared at once; of a larger one, members that a task compares with as many others.
 FEW, MEMBERS = 8, 1024
+#: Bytes of sketches in a block of a crowded band, about.
+BLOCK_BYTES = 1 << 20
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,10 +196,12 @@ def _across(members: DataFrame, similarity: float, nearest: bool) -> DataFrame:
     """(a, b): pairs of one band and two components that sketches do not rule out at `similarity`.
 
     members: (band, key, n, id, component, size, sketch). A band goes through in pairs of blocks of about
-    MEMBERS, a task's rows whatever its size. nearest: of each text only the closest of every other component."""
-    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    rows = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    MEMBERS texts or BLOCK_BYTES of sketches, a task's rows whatever its size. nearest: of each text only the closest of every other component."""
+    size = F.ceil(F.sum(F.greatest(F.lit(SKETCH), F.lit(2) * F.col("size"))) / 8 / BLOCK_BYTES)
+    blocks = F.greatest(F.ceil(F.first("n") / MEMBERS), size).cast("int").alias("blocks")
+    dealt = members.groupBy("band", "key").agg(blocks)
+    rows = members.join(dealt, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     rows = rows.select("band", "key", "lo", "hi", "block", "id", "component", "size", "sketch")
 

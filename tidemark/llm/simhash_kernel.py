@@ -111,31 +111,53 @@ def set_batches(batches, width: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
 
-#: Bits of a sketch: the parity of the shingles that fall on each, so sketches differ in no more bits than sets in members.
+#: Bits of the narrowest sketch: the parity of the shingles that fall on each, so sketches differ in no more bits than sets in members.
 SKETCH = 2048
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch of so many shingles, a power of two that is not below it: two unrelated sets of a size n then differ in
+    about n / 2 bits, more than twice what alike ones may."""
+    return max(SKETCH, 1 << max(0, size - 1).bit_length())
+
+
 def sketch_batches(batches, width: int):
     """(id, text) to (id, size, sketch) of the sets of `set_batches`."""
     for batch in batches:
         sizes, sketches = [], []
         for t in batch.column(1):
             own = shingle_set(t.as_py(), width)
-            odd = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+            bits = sketch_bits(len(own))
+            odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
             sizes.append(len(own))
             sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
         columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "sketch"])
 
 
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, a row each, as they are at a smaller width: parities of bits that fall together."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def crossing(table: pa.Table, similarity: float, nearest: bool) -> pa.Table:
     """(a, b): pairs of different components among a block of a band, or between two, whose sets may be alike.
 
     Sets x and y of Jaccard similarity s differ in (x + y) (1 - s) / (1 + s) members, and the smaller has s of
-    the larger; sketches that differ in more bits rule a pair out and no pair is lost. Memory: the block's sketches."""
+    the larger; sketches that differ in more bits rule a pair out and no pair is lost. Sketches of two widths are compared
+    at the narrower one. Memory: the block's sketches."""
     table = table.combine_chunks()
     lo, hi, block, ids, component, size = (table.column(c).to_numpy() for c in ("lo", "hi", "block", "id", "component", "size"))
-    raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), SKETCH // 64)
+    sketches = table.column("sketch").to_pylist()
+    words = np.array([len(x) // 8 for x in sketches], np.int64)
+    order = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
+    raw = {w: np.frombuffer(b"".join(sketches[i] for i in own), np.uint64).reshape(len(own), w) for w, own in order.items()}
+    place = np.empty(len(ids), np.int64)
+    for own in order.values():
+        place[own] = np.arange(len(own))
     one, share = len(ids) == 0 or lo[0] == hi[0], (1 - similarity) / (1 + similarity)
     a, b = [], []
     for p in np.flatnonzero(block == lo):
@@ -144,7 +166,11 @@ def crossing(table: pa.Table, similarity: float, nearest: bool) -> pa.Table:
         q = q[(component[q] != component[p]) & (small + 1e-6 >= similarity * large)]
         if not len(q):
             continue
-        bits = np.bitwise_count(raw[q] ^ raw[p]).sum(axis=1, dtype=np.int64)
+        bits, own = np.empty(len(q), np.int64), raw[int(words[p])][place[p]][None, :]
+        for w in np.unique(words[q]).tolist():
+            at, least = np.flatnonzero(words[q] == w), min(w, int(words[p]))
+            both = folded(raw[w][place[q[at]]], least) ^ folded(own, least)
+            bits[at] = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
         may = bits <= share * (size[q].astype(np.int64) + size[p]) + 1e-6
         q, bits = q[may], bits[may]
         if nearest and len(q) > 1:
