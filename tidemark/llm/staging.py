@@ -5,35 +5,15 @@ shared folder and not to an executor's memory or disk."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
+from tidemark.sources.shared import delete, new_path
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; where the session names none and driver and tasks share one machine
-    (tests), a folder of this process. On a cluster such a folder would leave each executor with its own files."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
-        atexit.register(shutil.rmtree, _OWN[0], True)
-    return _OWN[0]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["by_ids", "in_batches", "new_path", "release", "stage", "tasks", "text_last", "whole_rows"]
 
 
 def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -47,11 +27,9 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Deletes the files of staged tables that no later plan reads."""
     for df in frames:
-        spark = df.sparkSession
         files = df.inputFiles()
         if files:
-            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, files[0].rpartition("/")[0])
 
 
 #: Bytes of rows that go to a Python worker at a time, so that long texts need bounded memory there and in the JVM.
