@@ -4,9 +4,11 @@ import html
 import random
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.plans import catalogue, oracle
 
 
 def test_as_the_standard_library_has_them(spark):
@@ -27,3 +29,14 @@ def test_twenty_thousand_references_in_one_text(spark):
 
     seconds(100)  # compiles
     assert seconds(20_000) < 4 and seconds(80_000) < 12
+
+
+def test_queries_of_pages_decode_what_their_sql_does(spark, tmp_path):
+    sentence, tail = "Some words of prose that go on and on here. ", "and &amp; so &amp, &quot &eacute; &#233; &am\u00a0&nbsp;\u3000x&amp;lt; y&#39;s 。z\x0b\u2028 "
+    pages = [f"<p>{tail}</p>", f"<p>{sentence * 9}{tail}</p>", f"<p>{'words 。' * 50}{tail}</p>", f"<div><p>{sentence * 2}{tail}<b> </p>{tail}", f"<p>{'&amp ' * 200}</p>", None, ""]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("strip_truncate", "article_text"):
+        got = {tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == set(con.sql(oracle.ORACLE_SQL[name]).fetchall()), name

@@ -62,22 +62,40 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def strip_html(raw: str | Column, most: int = 420) -> Column:
-    """Text without tags and entities in single spaces; longer ones end at a sentence in their second half, and in an ellipsis."""
+#: References that the catalogue's queries of pages decode, in this order, as their SQL does.
+LISTED = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&mdash;": "—", "&ndash;": "–", "&amp;": "&",
+}
+
+
+def _untagged(html: Column, listed: bool) -> Column:
+    """Text without tags in single spaces, with all references decoded, or only the LISTED ones and ASCII white space alone."""
+    text = F.regexp_replace(html, "<[^>]+>", " ")
+    if not listed:
+        return squash(unescape(text))
+    for reference, char in LISTED.items():
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"[ \t\n\f\r]+", " "))
+
+
+def strip_html(raw: str | Column, most: int = 420, listed: bool = False) -> Column:
+    """Text without tags and entities in single spaces; longer ones end at a sentence in their second half, and in an ellipsis.
+
+    `listed` goes by the SQL of the catalogue: LISTED references alone, and every sentence ends before a space."""
     c = F.col(raw) if isinstance(raw, str) else raw
-    text = squash(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")))
+    text = _untagged(F.coalesce(c, F.lit("")), listed)
     cut = F.substring(text, 1, most)
-    whole = F.regexp_extract(cut, r"(?s)^(.*(?:。|[.!?](?= )))", 1)
+    whole = F.regexp_extract(cut, r"(?s)^(.*[。.!?])(?= )" if listed else r"(?s)^(.*(?:。|[.!?](?= )))", 1)
     kept = F.when(F.length(whole) > most * 0.5 + 1, whole).otherwise(cut)
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.trim(kept), F.lit("…")))
 
 
-def article_text(html: str, least: int = 80, share: float = 0.2, most: int = 4000) -> Column:
-    """Paragraphs of a page's body: long enough, not mostly tickers and percentages; in lines, cut at `most`."""
+def article_text(html: str, least: int = 80, share: float = 0.2, most: int = 4000, listed: bool = False) -> Column:
+    """Paragraphs of a page's body: long enough, not mostly tickers and percentages; in lines, cut at `most`. `listed`: as in `strip_html`."""
     tags = "|".join(DROPPED)
     body = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), rf"(?is)<({tags})[^>]*>.*?</\1>", " ")
     blocks = F.regexp_extract_all(body, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1))
-    plain = F.transform(blocks, lambda b: squash(unescape(F.regexp_replace(b, "<[^>]+>", " "))))
+    plain = F.transform(blocks, lambda b: _untagged(b, listed))
     odd = lambda t: F.size(F.filter(F.split(t, " "), lambda w: w.startswith("$") | w.endswith("%")))
     kept = F.filter(plain, lambda t: (F.length(t) >= least) & (odd(t) <= share * F.size(F.split(t, " "))))
     return F.substring(F.array_join(kept, "\n"), 1, most)
