@@ -100,3 +100,18 @@ def test_ten_thousand_rules_leave_the_plan_as_it_is(spark, monkeypatch, few):
     assert nodes[0] == nodes[1]
     want = {(m["symbol"], r[1]) for m in metrics for r in table if r[7] <= m["a"] <= r[9]}
     assert {(r.symbol, r.rule) for r in many.collect()} == want
+
+
+@pytest.mark.parametrize("few", [100_000, 10])
+def test_a_part_that_holds_for_most_rows_is_not_joined_with_all_of_them(spark, monkeypatch, few):
+    monkeypatch.setattr(rules, "FEW", few)
+    joined = []
+    monkeypatch.setattr(rules, "matched", lambda values, conditions, key="symbol", own=rules.matched: joined.append(own(values, conditions, key)) or joined[-1])
+    metrics = [{"symbol": f"s{k}" if k else None, "a": float(k), "word": "x", "b": k} for k in range(1000)]
+    table = []
+    for k in range(0, 1000, 2):
+        table += [row(f"r{k}", 0, "a", float(k), True, k + 1.5), row(f"r{k}", 1, "word", text="x"), row(f"r{k}", 2, "b"), row(f"r{k}", 3, "b", 0.0)]
+        table += [row(f"r{k}", 4, "word", text="z"), row(f"r{k}", 4, "b", 0.0, True, 900.0)]
+    got = result(spark, metrics, table)
+    assert got == {(f"s{j}" if j else None, f"r{k}") for k in range(0, 1000, 2) for j in (k, k + 1) if j <= 900}
+    assert sum(df.count() for df in joined) == 1000

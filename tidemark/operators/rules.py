@@ -6,7 +6,10 @@ if each of its parts has one that holds. So rules can be added as data: neither
 
 An interval is put into the buckets of the size class (a power of two) of its width, of which it meets two at most; a value
 is looked up in its one bucket of each size class that its metric's rules use. Intervals that are open to a side meet
-every value of their metric, since they hold for about as many."""
+every value of their metric, since they hold for about as many.
+
+Of a rule with several parts, the part that meets the fewest values is matched first. Only the rows that it leaves are held
+against the rule's other parts, so the work follows the rows of the most selective part and not those of the least."""
 
 from __future__ import annotations
 
@@ -86,26 +89,73 @@ def _bucket(value: str, size: str) -> str:
     return f"floor({value} / power(2D, {size}))"
 
 
-def matched(values: DataFrame, conditions: DataFrame, key: str = "symbol") -> DataFrame:
-    """(key, rule, part): conditions that hold. values: `long_form`; conditions: (rule, part, metric, low, low_in, high, high_in, text), staged."""
-    send = F.broadcast if conditions.count() <= FEW else (lambda df: df)
-    ranges = conditions.where("text IS NULL").withColumn("closed", F.expr("low IS NOT NULL AND high IS NOT NULL"))
+def _placed(ranges: DataFrame) -> DataFrame:
+    """Closed intervals with the size class of their width and the one or two buckets that they meet."""
     sized = ranges.where("closed AND low <= high").withColumn("size", F.expr(_class_of("(high - low)")))
     ends = F.array_distinct(F.array(F.expr(_bucket("low", "size")), F.expr(_bucket("high", "size"))))
-    placed = sized.withColumn("bucket", F.explode(ends))
+    return sized.withColumn("bucket", F.explode(ends))
+
+
+def _looked(values: DataFrame, placed: DataFrame, send) -> DataFrame:
+    """Values with their one bucket of each size class that their metric's intervals have."""
     sizes = placed.groupBy("metric").agg(F.collect_set("size").alias("sizes"))  # COARSEST - FINEST at most a metric
     looked = values.where("value IS NOT NULL").join(send(sizes), "metric").withColumn("size", F.explode("sizes"))
-    looked = looked.withColumn("bucket", F.expr(_bucket("value", "size")))
-    inside = "(low IS NULL OR value > low OR low_in AND value = low) AND (high IS NULL OR value < high OR high_in AND value = high)"
+    return looked.withColumn("bucket", F.expr(_bucket("value", "size")))
+
+
+def _sender(conditions: DataFrame):
+    return F.broadcast if conditions.count() <= FEW else (lambda df: df)
+
+
+_CLOSED = "low IS NOT NULL AND high IS NOT NULL"
+_INSIDE = "(low IS NULL OR value > low OR low_in AND value = low) AND (high IS NULL OR value < high OR high_in AND value = high)"
+_HOLDS = f"CASE WHEN text IS NOT NULL THEN text = _text WHEN low IS NULL AND high IS NULL THEN true ELSE value IS NOT NULL AND {_INSIDE} END"
+
+
+def matched(values: DataFrame, conditions: DataFrame, key: str = "symbol") -> DataFrame:
+    """(key, rule, part): conditions that hold. values: `long_form`; conditions: (rule, part, metric, low, low_in, high, high_in, text), staged."""
+    send = _sender(conditions)
+    ranges = conditions.where("text IS NULL").withColumn("closed", F.expr(_CLOSED))
+    placed = _placed(ranges)
     columns = ["metric", "rule", "part", "low", "low_in", "high", "high_in"]
-    closed = looked.join(send(placed.select(*columns, "size", "bucket")), ["metric", "size", "bucket"]).where(inside)
-    open_ = values.where("value IS NOT NULL").join(send(ranges.where("NOT closed AND (low IS NOT NULL OR high IS NOT NULL)").select(columns)), "metric").where(inside)
+    closed = _looked(values, placed, send).join(send(placed.select(*columns, "size", "bucket")), ["metric", "size", "bucket"]).where(_INSIDE)
+    open_ = values.where("value IS NOT NULL").join(send(ranges.where("NOT closed AND (low IS NOT NULL OR high IS NOT NULL)").select(columns)), "metric").where(_INSIDE)
     known = values.join(send(ranges.where("low IS NULL AND high IS NULL").select("metric", "rule", "part")), "metric")
     texts = values.join(send(conditions.where("text IS NOT NULL").select("metric", "text", "rule", "part")), ["metric", "text"])
     out = [x.select(key, "rule", "part") for x in (closed, open_, known, texts)]
     return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
 
 
+def _met(values: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(rule, part, n): how many values `matched` would bring to each part's conditions, at least those that hold."""
+    send = _sender(conditions)
+    ranges = conditions.where("text IS NULL").withColumn("closed", F.expr(_CLOSED))
+    n = F.count(F.lit(1)).alias("n")
+    placed, place = _placed(ranges), ["metric", "size", "bucket"]
+    held = _looked(values, placed, send).join(send(placed.select(place).distinct()), place, "left_semi").groupBy(place).agg(n)
+    closed = placed.join(held, place)
+    named = conditions.where("text IS NOT NULL")
+    said = values.join(send(named.select("metric", "text").distinct()), ["metric", "text"], "left_semi").groupBy("metric", "text").agg(n)
+    texts = named.join(said, ["metric", "text"])
+    rest = ranges.where("NOT closed").join(F.broadcast(values.groupBy("metric").agg(n)), "metric")  # a row for each column of the metrics
+    each = [x.select("rule", "part", "n") for x in (closed, texts, rest)]
+    met = each[0].unionAll(each[1]).unionAll(each[2]).groupBy("rule", "part").agg(F.sum("n").alias("n"))
+    return conditions.select("rule", "part").distinct().join(met, ["rule", "part"], "left").fillna(0, "n")
+
+
+def _all_parts(values: DataFrame, conditions: DataFrame, key: str) -> DataFrame:
+    """(key, rule, part) of rules with several parts: the part that meets the fewest values is matched first, and the others
+    are looked up for the rows that it leaves, so a part that holds for most rows is never joined with all of them."""
+    lead = _met(values, conditions).groupBy("rule").agg(F.min_by("part", F.struct("n", "part")).alias("lead"))
+    led = staged(conditions.join(lead, "rule").withColumn("first", F.expr("part = lead")), "led-conditions")
+    found = staged(matched(values, led.where("first"), key).distinct(), "led-rules")
+    rest = led.where("NOT first").select("rule", "part", "metric", "low", "low_in", "high", "high_in", "text")
+    asked = found.select(F.col(key).alias("_key"), "rule").join(_sender(rest)(rest), "rule").withColumnRenamed("metric", "_metric")
+    own = values.withColumnRenamed("text", "_text")
+    also = asked.join(own, F.col("_key").eqNullSafe(F.col(key)) & (F.col("_metric") == F.col("metric"))).where(_HOLDS)
+    return found.unionAll(also.select(key, "rule", "part"))
+
+
 def fired(metrics: DataFrame, rules: DataFrame, key: str = "symbol") -> DataFrame:
     """(key, ord, rule, data_type, side, weight) of rules that hold for each row of metrics (key and a column a metric).
 
@@ -117,8 +167,15 @@ def fired(metrics: DataFrame, rules: DataFrame, key: str = "symbol") -> DataFram
     bit = "shiftleft(1L, part)"
     inside = f"part BETWEEN 0 AND {PARTS - 1}"
     heads = conditions.groupBy("rule").agg(
-        F.expr(f"CASE WHEN bool_and({inside}) THEN bit_or({bit}) END").alias("_all"), *[F.min(c).alias(c) for c in ("ord", "data_type", "side", "weight")]
-    )
-    held = matched(long_form(metrics, key), conditions.where(inside), key).groupBy(key, "rule").agg(F.expr(f"bit_or({bit})").alias("_held"))
-    found = held.join(F.broadcast(heads) if conditions.count() <= FEW else heads, "rule").where("_held = _all")
-    return found.select(key, "ord", "rule", "data_type", "side", "weight")
+        F.expr(f"CASE WHEN bool_and({inside}) THEN bit_or({bit}) END").alias("_all"), F.expr("min(part) < max(part)").alias("_several"),
+        *[F.min(c).alias(c) for c in ("ord", "data_type", "side", "weight")],
+    )
+    heads = staged(heads.where("_all IS NOT NULL"), "rule-heads")
+    send = F.broadcast if conditions.count() <= FEW else (lambda df: df)
+    of = conditions.select("rule", "part", "metric", "low", "low_in", "high", "high_in", "text")
+    values, several = long_form(metrics, key), heads.where("_several").select("rule")
+    met = matched(values, of.join(send(heads.where("NOT _several").select("rule")), "rule", "left_semi"), key)
+    if not several.isEmpty():
+        met = met.unionAll(_all_parts(values, of.join(send(several), "rule", "left_semi"), key))
+    held = met.groupBy(key, "rule").agg(F.expr(f"bit_or({bit})").alias("_held"))
+    return held.join(send(heads), "rule").where("_held = _all").select(key, "ord", "rule", "data_type", "side", "weight")
