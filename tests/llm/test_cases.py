@@ -300,6 +300,24 @@ def test_embedding_blocks_give_the_same_links(spark, monkeypatch):
     assert sorted(embeddings.near_duplicate_vectors(table).collect()) == whole
 
 
+def test_embedding_rounds_bound_what_is_shuffled_and_leave_the_links(spark, monkeypatch):
+    rng = np.random.RandomState(7)
+    x = rng.randn(600, 8)
+    x[300:] = x[:300] + rng.randn(300, 8) * 0.25
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "fit", lambda *f, _fit=embeddings.fit: _fit(*f, a_list=20))
+    monkeypatch.setattr(embeddings, "ROUND_BYTES", 0), monkeypatch.setattr(embeddings, "BLOCK", 100)
+    rounds, deal = [], embeddings.Cells.deal
+    monkeypatch.setattr(embeddings.Cells, "deal", lambda self, queries, most: rounds.append((deal(self, queries, most), self, queries, most)) or rounds[-1][0])
+    got = [r.n_links for r in embeddings.near_duplicate_vectors(table, exact=True).orderBy("vec_id").collect()]
+    assert got == ((unit @ unit.T >= 0.95).sum(1) - 1).tolist() and max(got) > 1
+    (number, cells, queries, most), rows = rounds[0], np.zeros(rounds[0][0])
+    np.add.at(rows, cells.round, cells.members * cells.qs + queries * cells.ms)
+    assert number > 1 and most == 2 * len(x) and rows.max() <= most
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_embeddings_of_every_length_link_whatever_nulls_and_empties_outnumber(spark):
     rows = [(i, None) for i in range(9)] + [(i, []) for i in range(10, 19)]
     rows += [(20, [1.0, 2.0]), (21, [1.0, 2.0]), (22, [2.0, -1.0])] + [(30, [1.0, 0.0, 3.0]), (31, [1.0, 0.0, 3.0])]

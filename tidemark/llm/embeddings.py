@@ -6,7 +6,10 @@ probes lists by a bound: two vectors within distance r whose nearest centroids o
 satisfy d(x,c)^2 - d(x,a)^2 <= 2 r d(a,c), so probes by the whole radius lose nothing (`exact`). By default
 the radius counts by the share of a difference that can point across a border, as measured on the sample.
 In a list, distances to all codes come from a table per query; the triangle inequality with the stored
-coding error keeps every member that can be close enough, and those are ranked by exact cosine."""
+coding error keeps every member that can be close enough, and those are ranked by exact cosine.
+
+Lists in a row are compared together: a query goes once to such a cell, with the lists that it probes there. Cells are dealt
+to rounds that shuffle about ROUND rows a vector and drop their shuffle files, so disk follows the vectors, not the probes."""
 
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import in_batches, stage
+from .staging import in_batches, release, shuffles_dropped, stage
 from .tables import read
 
 #: Vectors a list is meant for; vectors that the index is fitted on for each list, and at least.
@@ -29,8 +32,13 @@ MAX_FITTED, FITTED_BYTES = 262_144, 128 << 20
 WIDE, SUBSPACES, CODES, ROUNDS = 256, 8, 256, 6
 #: Standard deviations of a difference's direction across a border, and the quantile of measured ones, that probes allow for.
 SPREAD, QUANTILE = 2.5, 0.995
-#: Most members, and most queries, that one task compares at a time; larger lists are cut into such blocks.
-BLOCK = 2048
+#: Most members, and most queries, that one task compares at a time: lists in a row share such a block, a larger list is cut
+#: into several. Blocks of members that a table has at least, if it has as many lists.
+BLOCK, CELLS = 32_768, 16
+#: Rows that one round of comparisons shuffles for each vector, about; tables of fewer bytes have one round.
+ROUND, ROUND_BYTES = 2, 128 << 20
+#: Distances, and links, that a task holds at a time.
+DISTANCES, LINKS = 1 << 20, 1 << 21
 SLACK = 1e-7
 
 
@@ -185,35 +193,158 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[label]
 
 
-def _compared(key, table, index, cosine: float):
-    """One list's block of members against one block of queries: (rep, links, root) of linked vectors.
+class Cells:
+    """Lists in a row as cells of about `per` members; blocks of members and of queries in each, and the round that compares it."""
+
+    def __init__(self, members: np.ndarray, per: int):
+        self.of, cell, held = np.empty(len(members), np.int32), -1, per
+        for at, n in enumerate(members):
+            if held + n > per:
+                cell, held = cell + 1, 0
+            self.of[at], held = cell, held + n
+        self.members = np.bincount(self.of, members, cell + 1).astype(np.int64)
+
+    def deal(self, queries: np.ndarray, most: int) -> int:
+        """Blocks and rounds, given each cell's queries and the rows of a round; how many rounds there are."""
+        self.ms, self.qs = (-(-n // BLOCK) * (self.members > 0) * (queries > 0) for n in (self.members, queries))
+        self.round, last, held = np.zeros(len(queries), np.int32), 0, 0
+        for at, n in enumerate(self.members * self.qs + queries * self.ms):
+            if held and held + n > most:
+                last, held = last + 1, 0
+            self.round[at], held = last, held + n
+        return last + 1
+
+
+def _asks(probes, of: np.ndarray):
+    """Rows and cells that they probe, each pair once, and the lists probed there."""
+    flat = probes.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(probes)), np.diff(probes.offsets.to_numpy()))
+    cell = of[flat]
+    new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0))  # lists of a row ascend
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(flat)), pa.int32()), pa.array(flat, pa.int32()))
+    return row[new], cell[new], lists
+
+
+def _counted(batches, cells):
+    """(probes) to (cell, n): queries of each cell."""
+    cells = cells.value
+    n = np.zeros(len(cells.members), np.int64)
+    for batch in batches:
+        n += np.bincount(_asks(batch.column(0), cells.of)[1], minlength=len(n))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int32()), pa.array(n)], names=["cell", "n"])
+
+
+def _times(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place n times, and the number of the time."""
+    at = np.repeat(np.arange(len(n)), n)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _dealt(batches, cells, number: int):
+    """Placed rows to members and queries of a round's blocks."""
+    cells = cells.value
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1024):
+            batch = whole.slice(i, 1024)
+            rep, home = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            mix = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            own = lambda row, n: (mix[row] % n.astype(np.uint64)).astype(np.int32)
+            row = np.flatnonzero(cells.round[cells.of[home]] == number)
+            at, q = _times(cells.qs[cells.of[home[row]]])
+            held = row[at]
+            asking, cell, lists = _asks(batch.column(6), cells.of)
+            some = np.flatnonzero(cells.round[cell] == number)
+            at, m = _times(cells.ms[cell[some]])
+            some = some[at]
+            asked, cell = asking[some], np.concatenate((cells.of[home[held]], cell[some]))
+            both, inside = np.concatenate((held, asked)), np.arange(len(held) + len(asked)) < len(held)
+            if not len(both):
+                continue
+            split = len(held)
+            m = np.concatenate((own(held, cells.ms[cell[:split]]), m))
+            q = np.concatenate((q, own(asked, cells.qs[cell[split:]])))
+            rows, only = pa.array(both), pa.array(np.where(inside, both, 0), mask=~inside)  # codes go with members alone
+            nothing = pa.nulls(split, lists.type)
+            columns = [pa.array(cell, pa.int32()), pa.array(m, pa.int32()), pa.array(q, pa.int32()), pa.array(inside), batch.column(0).take(rows), batch.column(1).take(rows),
+                       batch.column(3).take(rows), batch.column(2).take(rows), batch.column(4).take(only), batch.column(5).take(only), pa.concat_arrays([nothing, lists.take(pa.array(some))])]
+            yield pa.RecordBatch.from_arrays(columns, names=_DEALT)
+
+
+_DEALT = ["cell", "m", "q", "member", "rep", "n", "home", "embedding", "code", "error", "lists"]
+
+
+class _Links:
+    """Links of a block's rows: their numbers by vector, and a spanning forest."""
+
+    def __init__(self, index: Index, ids: np.ndarray, n: np.ndarray, home: np.ndarray, x: np.ndarray):
+        self.index, self.n, self.home, self.x = index, n, home, x
+        self.nodes, self.node = np.unique(ids, return_inverse=True)
+        self.links, self.label = np.zeros(len(self.nodes), np.int64), np.arange(len(self.nodes))
+        self.met, self.open, self.held = np.zeros(len(self.nodes), bool), [], 0
+
+    def add(self, q: np.ndarray, m: np.ndarray) -> None:
+        self.open.append((q, m))
+        self.held += len(q)
+        if self.held > LINKS:
+            self.fold()
+
+    def fold(self) -> None:
+        """A link counts for its query, and for its member too if the member does not probe the query's list itself."""
+        if not self.held:
+            return
+        q, m = (np.concatenate(z) for z in zip(*self.open))
+        self.open, self.held, index = [], 0, self.index
+        a, b = self.node[q], self.node[m]
+        np.add.at(self.links, a, self.n[m])
+        self.met[a] = self.met[b] = True
+        if index.share < 1:
+            some, which = np.unique(m, return_inverse=True)
+            row, to = index.probes(self.x[some])
+            lists = len(index.centre)
+            alone = ~np.isin(which * lists + self.home[q], row * lists + to)
+            np.add.at(self.links, b[alone], self.n[q[alone]])
+        u, v = self.label[a], self.label[b]
+        if (u != v).any():
+            joined, root = _forest(u[u != v], v[u != v])
+            to = np.arange(len(self.nodes))
+            to[joined] = root
+            self.label = to[self.label]
+
+    def table(self) -> pa.Table:
+        self.fold()
+        found = [self.nodes[self.met], self.links[self.met], self.nodes[self.label[self.met]]]
+        return pa.table(dict(zip(("rep", "links", "root"), (pa.array(c, pa.int64()) for c in found))))
+
 
-    A link counts for its query, and for its member too if the member does not probe the query's list itself."""
-    index, at = index.value, key[0].as_py()
+def _compared(key, table, index, cosine: float):
+    """One block of a cell's members against one block of its queries: (rep, links, root) of linked vectors."""
+    index = index.value
     table = table.combine_chunks()
     member = table.column("member").to_numpy()
     ids, n, home, x = *(table.column(c).to_numpy() for c in ("rep", "n", "home")), _matrix(table.column("embedding"))
-    inside = table.filter(pa.array(member))
-    codes = np.frombuffer(b"".join(inside.column("code").to_pylist()), np.uint8).reshape(len(inside), -1)
+    held = np.flatnonzero(member)[np.argsort(home[member], kind="stable")]
+    inside = table.select(["code", "error"]).take(pa.array(held))
+    codes = np.frombuffer(b"".join(inside.column("code").to_pylist()), np.uint8).reshape(len(held), -1)
     error = inside.column("error").to_numpy()
-    mine, query, ids_m, ids_q = x[member], x[~member], ids[member], ids[~member]
-    a, b = [], []
-    for i in range(0, len(query) if len(mine) else 0, 256):
-        q, m = np.nonzero(index.near(query[i : i + 256], at, codes, error))
-        q, m = q[ids_q[q + i] != ids_m[m]] + i, m[ids_q[q + i] != ids_m[m]]
-        for j in range(0, len(q), 65536):
-            close = np.einsum("ij,ij->i", query[q[j : j + 65536]], mine[m[j : j + 65536]]) >= cosine
-            a.append(q[j : j + 65536][close]), b.append(m[j : j + 65536][close])
-    q, m = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
-    nodes, roots = _forest(ids_q[q], ids_m[m]) if len(q) else (q, q)
-    links = np.bincount(np.searchsorted(nodes, ids_q[q]), n[member][m], len(nodes))
-    if index.share < 1 and len(q):
-        some, which = np.unique(m, return_inverse=True)
-        row, to = index.probes(mine[some])
-        lists = len(index.centre)
-        alone = ~np.isin(which * lists + home[~member][q], row * lists + to)
-        links += np.bincount(np.searchsorted(nodes, ids_m[m[alone]]), n[~member][q[alone]], len(nodes))
-    return pa.table({"rep": pa.array(nodes, pa.int64()), "links": pa.array(links.astype(np.int64)), "root": pa.array(roots, pa.int64())})
+    probed = table.column("lists").filter(pa.array(~member)).combine_chunks()
+    asking = np.repeat(np.flatnonzero(~member), np.diff(probed.offsets.to_numpy()))
+    to = probed.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(to, kind="stable")
+    asking, to = asking[order], to[order]
+    links = _Links(index, ids, n, home, x)
+    lists, first = np.unique(home[held], return_index=True)
+    for at, a, b in zip(lists, first, np.append(first[1:], len(held))):
+        mine, queries = held[a:b], asking[np.searchsorted(to, at) : np.searchsorted(to, at, "right")]
+        step = max(1, min(256, DISTANCES // len(mine)))
+        for i in range(0, len(queries), step):
+            some = queries[i : i + step]
+            q, m = np.nonzero(index.near(x[some], at, codes[a:b], error[a:b]))
+            q, m = some[q], mine[m]
+            q, m = q[ids[q] != ids[m]], m[ids[q] != ids[m]]
+            for j in range(0, len(q), 65536):
+                close = np.einsum("ij,ij->i", x[q[j : j + 65536]], x[m[j : j + 65536]]) >= cosine
+                links.add(q[j : j + 65536][close], m[j : j + 65536][close])
+    return links.table()
 
 
 def fit(vectors: DataFrame, dims: int, cosine: float = 0.95, exact: bool = False, a_list: int = LIST) -> Index:
@@ -234,32 +365,65 @@ def fit(vectors: DataFrame, dims: int, cosine: float = 0.95, exact: bool = False
     return Index(rows, int(max(1, min(total // a_list, bound // PER_LIST, len(rows)))), cosine, exact)
 
 
-def _linked(known: DataFrame, dims: int, cosine: float, exact: bool) -> DataFrame:
-    """(rep, links, root) of linked vectors among `known` (rep, n, embedding), all usable and of one length."""
-    index = known.sparkSession.sparkContext.broadcast(fit(known, dims, cosine, exact))
+def _placed_rows(known: DataFrame, index) -> DataFrame:
     kind = known.schema["embedding"].dataType.simpleString()
     schema = f"rep long, n long, embedding {kind}, list int, code binary, error double, probes array<int>"
-    placed = stage(in_batches(known.select("rep", "n", "embedding"), partial(_placed, index=index), schema), "placed")
-    asked = placed.select("rep", "n", "embedding", F.col("list").alias("home"), F.explode("probes").alias("list"))
-    # blocks of each list; at most a fourth of MAX_FITTED rows
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    held = placed.groupBy("list").agg(F.count(F.lit(1)).alias("members"))
-    sizes = asked.groupBy("list").agg(F.count(F.lit(1)).alias("queries")).join(held, "list")
-    sizes = F.broadcast(stage(sizes.select("list", blocks("members").alias("ms"), blocks("queries").alias("qs")), "list-blocks"))
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    no_code, no_error = F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error")
-    members = placed.select("rep", "n", "embedding", "list", "code", "error").join(sizes, "list").select(
-        "list", own("ms").alias("m"), each("qs").alias("q"), F.lit(True).alias("member"), "rep", "n", F.col("list").alias("home"),
-        "embedding", "code", "error")
-    queries = asked.join(sizes, "list").select(
-        "list", each("ms").alias("m"), own("qs").alias("q"), F.lit(False).alias("member"), "rep", "n", "home", "embedding", no_code, no_error)
+    return stage(in_batches(known.select("rep", "n", "embedding"), partial(_placed, index=index), schema), "placed", **_PLAIN)
+
+
+def _linked(placed: DataFrame, index, dims: int, cosine: float) -> DataFrame:
+    """(rep, links, root) of linked vectors among `placed` rows, all usable and of one length."""
+    spark, total = placed.sparkSession, placed.count()
+    held = placed.groupBy("list").count().toArrow()  # a row per list, at most a fourth of MAX_FITTED
+    members = np.zeros(len(index.value.centre), np.int64)
+    members[held.column("list").to_numpy()] = held.column("count").to_numpy()
+    cells = Cells(members, max(1, min(BLOCK, total // CELLS)))
+    counted = in_batches(placed.select("probes"), partial(_counted, cells=spark.sparkContext.broadcast(cells)), "cell int, n long")
+    asked = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row per cell
+    queries = np.zeros(len(cells.members), np.int64)
+    queries[asked.column("cell").to_numpy()] = asked.column("n").to_numpy()
+    rounds = cells.deal(queries, max(ROUND * total, ROUND_BYTES // (8 * dims)))
+    sent = spark.sparkContext.broadcast(cells)
+    kind = placed.schema["embedding"].dataType.simpleString()
+    schema = f"cell int, m int, q int, member boolean, rep long, n long, home int, embedding {kind}, code binary, error double, lists array<int>"
 
     def compare(key, table):
         return _compared(key, table, index, cosine)
 
-    met = members.unionAll(queries).groupBy("list", "m", "q")
-    return stage(met.applyInArrow(compare, "rep long, links long, root long"), "linked")
+    linked = None
+    for number in range(rounds):
+        met = in_batches(placed, partial(_dealt, cells=sent, number=number), schema).groupBy("cell", "m", "q")
+        some = stage(met.applyInArrow(compare, "rep long, links long, root long"), "linked")
+        linked = some if linked is None else linked.unionAll(some)
+    return linked
+
+
+#: Components hardly repeat, so a dictionary of them costs more than it saves.
+_PLAIN = {"parquet.enable.dictionary": "false"}
+
+
+def _links_of(vectors: DataFrame, cosine: float, exact: bool) -> tuple[DataFrame, ...]:
+    """(vec_id, dims, h1, h2), (dims, h1, h2, rep, n), (rep, links, root) and (rep, component). Embeddings are staged as vectors,
+    as distinct vectors and as placed ones, and each is deleted when the next is there."""
+    whole = stage(vectors, "vectors", **_PLAIN)
+    vectors = stage(whole.select("vec_id", "dims", "h1", "h2"), "vector-ids")
+    distinct = whole.where("dims IS NOT NULL").groupBy("dims", "h1", "h2").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    distinct = stage(distinct, "distinct-vectors", **_PLAIN)
+    release(whole)
+    copies = stage(distinct.select("dims", "h1", "h2", "rep", "n"), "distinct-ids")
+    lengths = sorted(r.dims for r in copies.groupBy("dims").count().where("count > 1").collect())  # a row per length
+    placed = []
+    for k in lengths:
+        known = distinct.where(F.col("dims") == k)
+        index = vectors.sparkSession.sparkContext.broadcast(fit(known, k, cosine, exact))
+        placed.append((_placed_rows(known, index), index, k))
+    release(distinct)
+    linked = vectors.sparkSession.createDataFrame([], "rep long, links long, root long")
+    for rows, index, k in placed:
+        linked = linked.unionAll(_linked(rows, index, k, cosine))
+        release(rows)
+    return vectors, copies, linked, connected_components(linked, "rep", "root").withColumnRenamed("node", "rep")
 
 
 def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, exact: bool = False) -> DataFrame:
@@ -278,18 +442,11 @@ def near_duplicate_vectors(table: DataFrame, cosine: float = 0.95, exact: bool =
         F.min("embedding").alias("embedding"))
     dims = F.when(F.coalesce(usable, F.lit(False)), F.size("embedding"))
     digest = [F.xxhash64(F.lit(salt), "embedding").alias(f"h{salt}") for salt in (1, 2)]
-    vectors = stage(vectors.select("vec_id", "embedding", dims.alias("dims"), *digest), "vectors")
-    copies = vectors.where("dims IS NOT NULL").groupBy("dims", "h1", "h2").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
-    copies = stage(copies, "distinct-vectors")
-    linked = vectors.sparkSession.createDataFrame([], "rep long, links long, root long")
-    lengths = copies.groupBy("dims").count().where("count > 1").collect()  # a row per length
-    for k in sorted(r.dims for r in lengths):
-        linked = linked.unionAll(_linked(copies.where(F.col("dims") == k), k, cosine, exact))
+    with shuffles_dropped(table.sparkSession):
+        vectors, copies, linked, groups = _links_of(vectors.select("vec_id", "embedding", dims.alias("dims"), *digest), cosine, exact)
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = connected_components(linked, "rep", "root").withColumnRenamed("node", "rep")
-    of_rep = copies.select("dims", "h1", "h2", "rep", "n").join(counts, "rep", "left").join(groups, "rep", "left")
-    found = vectors.select("vec_id", "dims", "h1", "h2").join(of_rep, ["dims", "h1", "h2"], "left")
+    of_rep = copies.join(counts, "rep", "left").join(groups, "rep", "left")
+    found = vectors.join(of_rep, ["dims", "h1", "h2"], "left")
     component = F.coalesce("component", "rep", "vec_id")
     return found.select(
         "vec_id",

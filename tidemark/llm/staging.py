@@ -5,6 +5,8 @@ shared folder and not to an executor's memory or disk."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.shared import delete, new_path
 
-__all__ = ["by_ids", "in_batches", "new_path", "release", "stage", "tasks", "text_last", "whole_rows"]
+__all__ = ["by_ids", "in_batches", "new_path", "release", "shuffles_dropped", "stage", "tasks", "text_last", "whole_rows"]
 
 
 def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -32,6 +34,18 @@ def release(*frames: DataFrame) -> None:
             delete(df.sparkSession, files[0].rpartition("/")[0])
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of every write within as soon as it ends, and not when the driver's memory is next cleared."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 #: Bytes of rows that go to a Python worker at a time, so that long texts need bounded memory there and in the JVM.
 BATCH_BYTES = 8 << 20
 
