@@ -83,3 +83,15 @@ def test_a_hundred_thousand_aliases(spark):
     for k, t in texts:  # every substring of an alias's length
         want |= {(k, t[i : i + n]) for n in (5, 7, 9) for i in range(len(t)) if t[i : i + n] in known}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_texts_are_looked_through_and_not_exploded_into_grams(spark, monkeypatch):
+    monkeypatch.setattr(citing, "AT_A_TIME", 50)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcé𝒳 ") for _ in range(n))
+    texts = [(k, word(rng.choice([0, 5, 49, 50, 51, 300]))) for k in range(60)]
+    aliases = [word(rng.choice([1, 2, 3, 4, 5, 8, 12, 30])) for _ in range(60)] + [texts[-1][1][3:40]]
+    found = citing.alias_mentions(spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame([(a,) for a in aliases], "alias string"), "k", "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    assert {tuple(r) for r in found.collect()} == pairs(texts, aliases)
