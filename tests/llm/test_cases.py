@@ -318,6 +318,21 @@ def test_embedding_rounds_bound_what_is_shuffled_and_leave_the_links(spark, monk
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_one_product_with_decoded_members_keeps_all_within_the_radius_and_few_others():
+    rng = np.random.RandomState(8)
+    x = embeddings.unit_rows(rng.randn(6000, 32))
+    x[3000:] = embeddings.unit_rows(x[:3000] + rng.randn(3000, 32) * 0.05)
+    index = embeddings.Index(x, 20, 0.95)
+    own, codes, error = index.coded(x)
+    for at in range(20):
+        held = np.flatnonzero(own == at)
+        decoded, least = index.decoded(at, codes[held], error[held])
+        assert decoded.dtype == least.dtype == np.float32
+        kept = x.astype(np.float32) @ decoded.T >= least
+        assert kept[x @ x[held].T >= 0.95].all() and kept.mean() < 0.2
+    assert embeddings.Cells(np.full(9, 1000), 10**6, 4096).most == embeddings.BLOCK_BYTES // (8 * 4096) < embeddings.BLOCK
+
+
 def test_embeddings_of_every_length_link_whatever_nulls_and_empties_outnumber(spark):
     rows = [(i, None) for i in range(9)] + [(i, []) for i in range(10, 19)]
     rows += [(20, [1.0, 2.0]), (21, [1.0, 2.0]), (22, [2.0, -1.0])] + [(30, [1.0, 0.0, 3.0]), (31, [1.0, 0.0, 3.0])]

@@ -5,8 +5,8 @@ fitted on a bounded sample, puts every vector into one list; its residual is cod
 probes lists by a bound: two vectors within distance r whose nearest centroids of a level are a and c
 satisfy d(x,c)^2 - d(x,a)^2 <= 2 r d(a,c), so probes by the whole radius lose nothing (`exact`). By default
 the radius counts by the share of a difference that can point across a border, as measured on the sample.
-In a list, distances to all codes come from a table per query; the triangle inequality with the stored
-coding error keeps every member that can be close enough, and those are ranked by exact cosine.
+In a list, distances of many queries to all codes are one matrix product with the vectors that the codes stand for; the triangle
+inequality with the stored coding error keeps every member that can be close enough, and those are ranked by exact cosine.
 
 Lists in a row are compared together: a query goes once to such a cell, with the lists that it probes there. Cells are dealt
 to rounds that shuffle about ROUND rows a vector and drop their shuffle files, so disk follows the vectors, not the probes."""
@@ -32,9 +32,9 @@ MAX_FITTED, FITTED_BYTES = 262_144, 128 << 20
 WIDE, SUBSPACES, CODES, ROUNDS = 256, 8, 256, 6
 #: Standard deviations of a difference's direction across a border, and the quantile of measured ones, that probes allow for.
 SPREAD, QUANTILE = 2.5, 0.995
-#: Most members, and most queries, that one task compares at a time: lists in a row share such a block, a larger list is cut
-#: into several. Blocks of members that a table has at least, if it has as many lists.
-BLOCK, CELLS = 32_768, 16
+#: Most members, and most queries, that one task compares at a time, and their bytes as doubles: lists in a row share such a
+#: block, a larger list is cut into several. Blocks of members that a table has at least, if it has as many lists.
+BLOCK, BLOCK_BYTES, CELLS = 65_536, 32 << 20, 16
 #: Rows that one round of comparisons shuffles for each vector, about; tables of fewer bytes have one round.
 ROUND, ROUND_BYTES = 2, 128 << 20
 #: Distances, and links, that a task holds at a time.
@@ -154,12 +154,13 @@ class Index:
         order = np.argsort(row, kind="stable")
         return row[order], to[order]
 
-    def near(self, query: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
-        """Which of a list's members each query can be within the radius of, by table lookups."""
-        residual, d = query - self.centre[at], np.zeros((len(query), len(codes)))
-        for i, (c, book) in enumerate(zip(self.cuts, self.books)):
-            d += _squared(residual[:, c], book)[:, codes[:, i]]
-        return d <= (self.radius + error)[None, :] ** 2
+    def decoded(self, at: int, codes: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors that a list's codes stand for, and the product with each from which a query of length 1 can be within
+        the radius of its member: single precision, less what rounding can add to such a product."""
+        found = self.centre[at] + np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
+        squared = (found * found).sum(1)
+        rounding = (found.shape[1] + 8) * np.finfo(np.float32).eps * (1 + squared)
+        return found.astype(np.float32), ((1 + squared - (self.radius + error) ** 2) / 2 - rounding).astype(np.float32)
 
 
 def _placed(batches, index):
@@ -196,7 +197,9 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Cells:
     """Lists in a row as cells of about `per` members; blocks of members and of queries in each, and the round that compares it."""
 
-    def __init__(self, members: np.ndarray, per: int):
+    def __init__(self, members: np.ndarray, per: int, dims: int = 1):
+        self.most = max(1, min(BLOCK, BLOCK_BYTES // (8 * dims)))
+        per = max(1, min(per, self.most))
         self.of, cell, held = np.empty(len(members), np.int32), -1, per
         for at, n in enumerate(members):
             if held + n > per:
@@ -206,7 +209,7 @@ class Cells:
 
     def deal(self, queries: np.ndarray, most: int) -> int:
         """Blocks and rounds, given each cell's queries and the rows of a round; how many rounds there are."""
-        self.ms, self.qs = (-(-n // BLOCK) * (self.members > 0) * (queries > 0) for n in (self.members, queries))
+        self.ms, self.qs = (-(-n // self.most) * (self.members > 0) * (queries > 0) for n in (self.members, queries))
         self.round, last, held = np.zeros(len(queries), np.int32), 0, 0
         for at, n in enumerate(self.members * self.qs + queries * self.ms):
             if held and held + n > most:
@@ -331,14 +334,15 @@ def _compared(key, table, index, cosine: float):
     to = probed.flatten().to_numpy(zero_copy_only=False)
     order = np.argsort(to, kind="stable")
     asking, to = asking[order], to[order]
-    links = _Links(index, ids, n, home, x)
+    links, short = _Links(index, ids, n, home, x), x.astype(np.float32)
     lists, first = np.unique(home[held], return_index=True)
     for at, a, b in zip(lists, first, np.append(first[1:], len(held))):
         mine, queries = held[a:b], asking[np.searchsorted(to, at) : np.searchsorted(to, at, "right")]
-        step = max(1, min(256, DISTANCES // len(mine)))
+        decoded, least = index.decoded(at, codes[a:b], error[a:b])
+        step = max(1, DISTANCES // len(mine))
         for i in range(0, len(queries), step):
             some = queries[i : i + step]
-            q, m = np.nonzero(index.near(x[some], at, codes[a:b], error[a:b]))
+            q, m = np.divmod(np.flatnonzero(short[some] @ decoded.T >= least), len(mine))
             q, m = some[q], mine[m]
             q, m = q[ids[q] != ids[m]], m[ids[q] != ids[m]]
             for j in range(0, len(q), 65536):
@@ -377,7 +381,7 @@ def _linked(placed: DataFrame, index, dims: int, cosine: float) -> DataFrame:
     held = placed.groupBy("list").count().toArrow()  # a row per list, at most a fourth of MAX_FITTED
     members = np.zeros(len(index.value.centre), np.int64)
     members[held.column("list").to_numpy()] = held.column("count").to_numpy()
-    cells = Cells(members, max(1, min(BLOCK, total // CELLS)))
+    cells = Cells(members, total // CELLS, dims)
     counted = in_batches(placed.select("probes"), partial(_counted, cells=spark.sparkContext.broadcast(cells)), "cell int, n long")
     asked = counted.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row per cell
     queries = np.zeros(len(cells.members), np.int64)
