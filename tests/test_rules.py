@@ -115,3 +115,19 @@ def test_a_part_that_holds_for_most_rows_is_not_joined_with_all_of_them(spark, m
     got = result(spark, metrics, table)
     assert got == {(f"s{j}" if j else None, f"r{k}") for k in range(0, 1000, 2) for j in (k, k + 1) if j <= 900}
     assert sum(df.count() for df in joined) == 1000
+
+
+@pytest.mark.parametrize("few", [100_000, 10])
+def test_pairs_of_an_interval_and_one_more_condition_are_not_grouped(spark, monkeypatch, few):
+    monkeypatch.setattr(rules, "FEW", few)
+    monkeypatch.setattr(rules, "matched", lambda *rest: pytest.fail("pairs go through a shuffle"))
+    rng = random.Random(11)
+    metrics = [{"symbol": f"s{k}" if k else None, "a": rng.choice([None, float("nan"), 5.0, *(rng.uniform(0, 50) for _ in range(4))]), "b": rng.choice([None, 3, 7]), "flag": rng.choice([None, True, False]), "word": rng.choice([None, "x", "y"])} for k in range(120)]
+    also = [[], [], [("word", None, None, "x")], [("b", 3.0, 5.0, None)], [("absent", 0.0, 1.0, None)], [("b", None, 6.0, None)], [("word", None, None, None)], [("flag", 1.0, None, None)]]
+    table = []
+    for k in range(200):
+        low, part = rng.choice([5.0, rng.uniform(0, 50)]), rng.choice([0, 62])
+        table.append(row(f"r{k}", part, "a", low, rng.random() < 0.5, low + rng.choice([0.0, 1e-9, 0.01, 0.2]), rng.random() < 0.5))
+        table += [row(f"r{k}", 1, metric, a, True, b, True, text) for metric, a, b, text in rng.choice(also)]
+    want = brute(metrics, table)
+    assert want and result(spark, metrics, table + table[:1]) == want

@@ -9,10 +9,16 @@ is looked up in its one bucket of each size class that its metric's rules use. I
 every value of their metric, since they hold for about as many.
 
 Of a rule with several parts, the part that meets the fewest values is matched first. Only the rows that it leaves are held
-against the rule's other parts, so the work follows the rows of the most selective part and not those of the least."""
+against the rule's other parts, so the work follows the rows of the most selective part and not those of the least.
+
+Most rules are one closed interval, or that and one more condition. Where each key has one row of metrics, that row goes with its
+value to the interval and answers for the other condition too: each pair that holds is met once and is a row of the result as it
+is, so of those only metrics and rules are shuffled and not the pairs, of which there are about as many as both multiplied."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
@@ -66,17 +72,22 @@ def built_in(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def _known(metrics: DataFrame, key: str) -> list:
+    """(name, column, is it a text) of each column that is a metric: numbers and booleans as doubles, NaN as null."""
+    found = []
+    for field in metrics.schema:
+        c, is_text = F.col(f"`{field.name}`"), isinstance(field.dataType, StringType)
+        if field.name != key and isinstance(field.dataType, (NumericType, BooleanType, StringType)):
+            found.append((field.name, c if is_text else F.nanvl(c.cast("double"), F.lit(None).cast("double")), is_text))
+    return found
+
+
 def long_form(metrics: DataFrame, key: str = "symbol") -> DataFrame:
     """(key, metric, value, text): a row for each known metric; numbers and booleans are values, texts texts; NaN is unknown."""
     rows = []
-    for field in metrics.schema:
-        kind = field.dataType
-        if field.name == key or not isinstance(kind, (NumericType, BooleanType, StringType)):
-            continue
-        c = F.col(f"`{field.name}`")
-        value = F.lit(None).cast("double") if isinstance(kind, StringType) else F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-        text = c if isinstance(kind, StringType) else F.lit(None).cast("string")
-        rows.append(F.struct(F.lit(field.name).alias("metric"), value.alias("value"), text.alias("text")))
+    for name, c, is_text in _known(metrics, key):
+        value, text = (F.lit(None).cast("double"), c) if is_text else (c, F.lit(None).cast("string"))
+        rows.append(F.struct(F.lit(name).alias("metric"), value.alias("value"), text.alias("text")))
     each = metrics.select(key, F.inline(F.array(*rows)))
     return each.where("value IS NOT NULL OR text IS NOT NULL")
 
@@ -89,13 +100,21 @@ def _bucket(value: str, size: str) -> str:
     return f"floor({value} / power(2D, {size}))"
 
 
-def _placed(ranges: DataFrame) -> DataFrame:
-    """Closed intervals with the size class of their width and the one or two buckets that they meet."""
-    sized = ranges.where("closed AND low <= high").withColumn("size", F.expr(_class_of("(high - low)")))
+def _sized(ranges: DataFrame) -> DataFrame:
+    """Closed intervals with the size class of their width."""
+    return ranges.where("closed AND low <= high").withColumn("size", F.expr(_class_of("(high - low)")))
+
+
+def _bucketed(sized: DataFrame) -> DataFrame:
+    """Intervals with the one or two buckets of their class that they meet."""
     ends = F.array_distinct(F.array(F.expr(_bucket("low", "size")), F.expr(_bucket("high", "size"))))
     return sized.withColumn("bucket", F.explode(ends))
 
 
+def _placed(ranges: DataFrame) -> DataFrame:
+    return _bucketed(_sized(ranges))
+
+
 def _looked(values: DataFrame, placed: DataFrame, send) -> DataFrame:
     """Values with their one bucket of each size class that their metric's intervals have."""
     sizes = placed.groupBy("metric").agg(F.collect_set("size").alias("sizes"))  # COARSEST - FINEST at most a metric
@@ -132,11 +151,10 @@ def _met(values: DataFrame, conditions: DataFrame) -> DataFrame:
     ranges = conditions.where("text IS NULL").withColumn("closed", F.expr(_CLOSED))
     n = F.count(F.lit(1)).alias("n")
     placed, place = _placed(ranges), ["metric", "size", "bucket"]
-    held = _looked(values, placed, send).join(send(placed.select(place).distinct()), place, "left_semi").groupBy(place).agg(n)
+    held = _looked(values, placed, send).groupBy(place).agg(n)  # summed before it shuffles
     closed = placed.join(held, place)
     named = conditions.where("text IS NOT NULL")
-    said = values.join(send(named.select("metric", "text").distinct()), ["metric", "text"], "left_semi").groupBy("metric", "text").agg(n)
-    texts = named.join(said, ["metric", "text"])
+    texts = named.join(values.where("text IS NOT NULL").groupBy("metric", "text").agg(n), ["metric", "text"])
     rest = ranges.where("NOT closed").join(F.broadcast(values.groupBy("metric").agg(n)), "metric")  # a row for each column of the metrics
     each = [x.select("rule", "part", "n") for x in (closed, texts, rest)]
     met = each[0].unionAll(each[1]).unionAll(each[2]).groupBy("rule", "part").agg(F.sum("n").alias("n"))
@@ -156,6 +174,73 @@ def _all_parts(values: DataFrame, conditions: DataFrame, key: str) -> DataFrame:
     return found.unionAll(also.select(key, "rule", "part"))
 
 
+def _merged(sized: DataFrame) -> DataFrame:
+    """Closed intervals, of each metric in fewer size classes: a class goes into the next one of at least half as many intervals, so
+    intervals that a value is held against are at most three times those of the larger class alone, and values have fewer copies."""
+    counts: dict = {}
+    for r in sized.groupBy("_at", "size").count().collect():  # COARSEST - FINEST at most a metric
+        counts.setdefault(r["_at"], {})[r["size"]] = r["count"]
+    rows = []
+    for at, sizes in counts.items():
+        open_, held = [], 0
+        for size in sorted(sizes):
+            if held > 2 * sizes[size]:
+                open_, held = [], 0
+            for x in open_:
+                x[2] = size
+            open_.append([at, size, size])
+            rows.append(open_[-1])
+            held += sizes[size]
+    into = sized.sparkSession.createDataFrame([tuple(r) for r in rows], "_at int, size int, _into int")
+    return sized.join(F.broadcast(into), ["_at", "size"]).drop("size").withColumnRenamed("_into", "size")
+
+
+def _leading(values: DataFrame, conditions: DataFrame, heads: DataFrame) -> DataFrame:
+    """Conditions of rules with one condition a part and two parts at most, whose most selective part is a closed interval: that
+    interval is `first`."""
+    plain = conditions.join(heads.where("_plain").select("rule", "_several"), "rule").distinct()
+    two = plain.where("_several").drop("_several")
+    lead = _met(values, two).groupBy("rule").agg(F.min_by("part", F.struct("n", "part")).alias("lead"))
+    led = plain.join(lead, "rule", "left").withColumn("first", F.expr("lead IS NULL OR part = lead"))
+    led = staged(led, "plain-conditions")
+    return led.join(led.where(f"first AND text IS NULL AND {_CLOSED}").select("rule"), "rule", "left_semi")
+
+
+def _chosen(on: str, fields: list[int], kind: str):
+    """The metric of a row that the column `on` numbers, among some of its fields."""
+    found = F.lit(None).cast(kind)
+    for i in fields:
+        found = F.when(F.col(on) == i, F.col(f"_m{i}")).otherwise(found)
+    return found
+
+
+_ALSO = f"_also IS NULL OR CASE WHEN _text IS NOT NULL THEN _said = _text WHEN _low IS NULL AND _high IS NULL THEN _value IS NOT NULL OR _said IS NOT NULL ELSE {re.sub(r'(low|high|value)', r'_\1', _INSIDE)} END"
+
+
+def _direct(metrics: DataFrame, led: DataFrame, heads: DataFrame, key: str, few: bool) -> DataFrame:
+    """(key, ord, rule, data_type, side, weight) that hold, of `_leading` rules and metrics of one row a key: pairs are not shuffled."""
+    known = _known(metrics, key)
+    numbers, texts = ([i for i, x in enumerate(known) if x[2] == kind] for kind in (False, True))
+    number = F.lit(None).cast("int")
+    for i, (name, _, _) in enumerate(known):
+        number = F.when(F.col("metric") == name, i).otherwise(number)
+    led, ends = led.withColumn("_at", number).where("_at IS NOT NULL"), ["low", "low_in", "high", "high_in"]  # others never hold
+    other = led.where("NOT first").select("rule", F.col("_at").alias("_also"), *[F.col(c).alias(f"_{c}") for c in (*ends, "text")])
+    first = led.where("first").select("rule", "_several", "_at", *ends, F.lit(True).alias("closed"))
+    whole = first.join(other, "rule", "left").where("NOT _several OR _also IS NOT NULL").drop("_several", "closed")
+    whole = whole.join(heads.select("rule", "ord", "data_type", "side", "weight"), "rule").withColumn("closed", F.lit(True))
+    sized = staged(_merged(_sized(whole)).drop("closed"), "sized-rules")
+    sizes = sized.groupBy("_at").agg(F.collect_set("size").alias("_sizes"))  # a row a metric
+    row = metrics.select(key, *[c.alias(f"_m{i}") for i, (_, c, _) in enumerate(known)])
+    asked = row.withColumn("_at", F.explode(F.array(*map(F.lit, numbers)).cast("array<int>"))).join(F.broadcast(sizes), "_at")
+    asked = asked.withColumn("value", _chosen("_at", numbers, "double")).where("value IS NOT NULL").withColumn("size", F.explode("_sizes"))
+    asked = asked.withColumn("bucket", F.expr(_bucket("value", "size"))).drop("value", "_sizes")
+    placed = _bucketed(sized)  # merged where it is not broadcast, so that a bucket's pairs are made where its values went
+    met = asked.join(F.broadcast(placed) if few else placed.hint("merge"), ["_at", "size", "bucket"])
+    met = met.withColumns({"value": _chosen("_at", numbers, "double"), "_value": _chosen("_also", numbers, "double"), "_said": _chosen("_also", texts, "string")})
+    return met.where(_INSIDE).where(_ALSO).select(key, "ord", "rule", "data_type", "side", "weight")
+
+
 def fired(metrics: DataFrame, rules: DataFrame, key: str = "symbol") -> DataFrame:
     """(key, ord, rule, data_type, side, weight) of rules that hold for each row of metrics (key and a column a metric).
 
@@ -166,16 +251,28 @@ def fired(metrics: DataFrame, rules: DataFrame, key: str = "symbol") -> DataFram
     conditions = staged(usable, "rule-conditions")
     bit = "shiftleft(1L, part)"
     inside = f"part BETWEEN 0 AND {PARTS - 1}"
+    plain = "count(DISTINCT struct(part, metric, low, low_in, high, high_in, text)) = count(DISTINCT part) AND count(DISTINCT part) <= 2"
     heads = conditions.groupBy("rule").agg(
         F.expr(f"CASE WHEN bool_and({inside}) THEN bit_or({bit}) END").alias("_all"), F.expr("min(part) < max(part)").alias("_several"),
-        *[F.min(c).alias(c) for c in ("ord", "data_type", "side", "weight")],
+        F.expr(plain).alias("_plain"), *[F.min(c).alias(c) for c in ("ord", "data_type", "side", "weight")],
     )
     heads = staged(heads.where("_all IS NOT NULL"), "rule-heads")
-    send = F.broadcast if conditions.count() <= FEW else (lambda df: df)
+    few = conditions.count() <= FEW
+    send = F.broadcast if few else (lambda df: df)
     of = conditions.select("rule", "part", "metric", "low", "low_in", "high", "high_in", "text")
-    values, several = long_form(metrics, key), heads.where("_several").select("rule")
+    values, head = long_form(metrics, key), [key, "ord", "rule", "data_type", "side", "weight"]
+    direct = None
+    if metrics.groupBy(key).count().where("count > 1").isEmpty():
+        led = staged(_leading(values, of, heads), "leading-conditions")
+        if not led.isEmpty():
+            direct = _direct(metrics, led, heads, key, few)
+            heads = staged(heads.join(send(led.select("rule").distinct()), "rule", "left_anti"), "other-heads")
+            if heads.isEmpty():
+                return direct
+    several = heads.where("_several").select("rule")
     met = matched(values, of.join(send(heads.where("NOT _several").select("rule")), "rule", "left_semi"), key)
     if not several.isEmpty():
         met = met.unionAll(_all_parts(values, of.join(send(several), "rule", "left_semi"), key))
     held = met.groupBy(key, "rule").agg(F.expr(f"bit_or({bit})").alias("_held"))
-    return held.join(send(heads), "rule").where("_held = _all").select(key, "ord", "rule", "data_type", "side", "weight")
+    grouped = held.join(send(heads), "rule").where("_held = _all").select(head)
+    return grouped if direct is None else direct.unionAll(grouped)
